@@ -95,7 +95,10 @@ def parse(hits: DataFrame, window: int) -> DataFrame:
             bounds = bounds - bounds[0]
             owner = np.repeat(np.arange(len(b)), np.diff(bounds))
             order = np.lexsort((pos, owner))
-            pos, ref = pos[order], ref[order]
+            pos, ref, owner = pos[order], ref[order], owner[order]
+            once = np.ones(len(pos), dtype=bool)  # repeated rows repeat their hits
+            once[1:] = (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1])
+            pos, ref, owner = pos[once], ref[once], owner[once]
             new = np.ones(len(pos), dtype=bool)
             new[1:] = (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + 1) | (ref[1:] != ref[:-1])
             first = np.flatnonzero(new)
@@ -118,13 +121,14 @@ def factors(docs: DataFrame, window: int = 13, limit: int | None = None) -> Data
     copies = docs.select("doc_id", "content", "check").join(same, ["content", "check"]).filter("doc_id > first").select("doc_id", "content", F.col("first").alias("copy_of")).distinct()
 
     found = anchors(docs, window)
-    hot = found.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("anchor")
+    # settled, so that both sides of the joins below are plain shuffles, whose crowded keys adaptive execution splits
+    hot = settle(found.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("anchor"), "rlz-hot")
     by_text = settle(found.join(hot, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("hot")), "rlz-anchors")
     hot_docs = join_checked(docs, by_text, ["content"], "inner", F.size("hot") * 8 + 32, **bound)
 
     placed = windows(hot_docs, window)
-    least = placed.groupBy("piece").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last")).filter("ref_doc < last").drop("last")
-    hits = placed.join(least, "piece").filter("ref_doc < doc_id").groupBy("doc_id", "content").agg(F.array_distinct(F.collect_list(F.struct("pos", "ref_doc"))).alias("hits"))
+    least = settle(placed.groupBy("piece").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last")).filter("ref_doc < last").drop("last"), "rlz-pieces")
+    hits = placed.join(least, "piece").filter("ref_doc < doc_id").groupBy("doc_id", "content").agg(F.collect_list(F.struct("pos", "ref_doc")).alias("hits"))
     return settle(parse(hits, window).join(copies, ["doc_id", "content"], "full_outer"), "rlz-factors")
 
 

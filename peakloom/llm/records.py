@@ -16,6 +16,7 @@ content; a damaged record raises. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -35,7 +36,7 @@ END_ID = 0
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 TEXTS_AT_ONCE = 64
 #: Pre-tokens are cached for texts of these characters only, whose classes are the same in every Unicode version.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
@@ -129,6 +130,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_for(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker: what it has learned stays."""
+    return Encoder(path)
+
+
 def filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
     from pyarrow import fs
 
@@ -145,7 +152,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, text: str = "text", key:
     ordered = texts.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         number = TaskContext.get().partitionId()
         system, root = filesystem(folder)
         system.create_dir(root, recursive=True)

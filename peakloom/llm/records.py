@@ -37,7 +37,7 @@ MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
 CACHE_PIECES = 400_000
-TEXTS_AT_ONCE = 64
+TEXTS_AT_ONCE = 128
 #: Pre-tokens are cached for texts of these characters only, whose classes are the same in every Unicode version.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
@@ -97,20 +97,21 @@ class Encoder:
         if not words:
             return []
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.cumsum([len(w.encode()) for w in words])
-        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-        return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        ends = np.cumsum(list(map(len, map(str.encode, words))))
+        cuts = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.width).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def _learn(self, pieces: set[str]) -> None:
         """Have all of `pieces` among self.pieces; what was not used since the last turn of generations is dropped."""
-        missing = pieces - self.pieces.keys()
+        missing = pieces.difference(self.pieces)
         if len(self.pieces) + len(missing) > CACHE_PIECES:
             self.older, self.pieces = self.pieces, {}
             missing = pieces
-        known = missing & self.older.keys()
-        self.pieces.update((p, self.older[p]) for p in known)
-        missing = missing - known
-        spaced = [p for p in missing if SPACED.fullmatch(p)]
+        known = [p for p in missing if p in self.older]
+        self.pieces.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        missing = missing.difference(known)
+        spaced = list(filter(SPACED.fullmatch, missing))
         other = list(missing.difference(spaced))
         self.pieces.update(zip(spaced, self._joined(spaced), strict=True))
         self.pieces.update(zip(other, self._raw(other), strict=True))

@@ -149,15 +149,18 @@ class Model:
 
 
 def fit(x: np.ndarray, labels: np.ndarray, rank: int = 48, neighbours: int = 25, sharpness: float = 8.0, event_weight: float = 1.5) -> Model:
-    """Latent axes and labelled vectors from the sample's term rows."""
-    seen = (x > 0).sum(axis=0)
+    """Latent axes and labelled vectors from the sample's term rows (half floats), a block of rows at a time."""
+    blocks = [slice(at, at + ROWS_AT_ONCE) for at in range(0, len(x), ROWS_AT_ONCE)]
+    seen = sum(((x[b] > 0).sum(axis=0) for b in blocks), np.zeros(TERMS, dtype=np.int64))
     idf = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + np.float32(0.5)
     model = Model(idf, np.zeros((TERMS, 0), np.float32), np.zeros((0, 0), np.float32), labels.astype(np.float64), neighbours, sharpness, event_weight)
     if len(x):
-        weighed = model.weigh(x).astype(np.float64)
-        _, vectors = np.linalg.eigh(weighed.T @ weighed)
-        model.axes = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
-        model.vectors = model.latent(x)
+        products = np.zeros((TERMS, TERMS), dtype=np.float32)
+        for b in blocks:
+            weighed = model.weigh(x[b].astype(np.float32))
+            products += weighed.T @ weighed
+        model.axes = np.ascontiguousarray(np.linalg.eigh(products)[1][:, : -rank - 1 : -1])
+        model.vectors = np.concatenate([model.latent(x[b].astype(np.float32)) for b in blocks])
     return model
 
 
@@ -181,7 +184,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows:
 
     # a doc_id on several rows counts once: the sample stays within its bound
     found = rows.mapInArrow(vectors, "doc_id bigint, label double, terms binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("terms").alias("terms")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    x = np.frombuffer(b"".join(found["terms"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
+    column = found["terms"].combine_chunks().cast(pa.large_binary())
+    x = np.frombuffer(column.buffers()[2], np.float16).reshape(-1, TERMS) if len(column) else np.zeros((0, TERMS), np.float16)
     return x, found["label"].to_numpy(zero_copy_only=False)
 
 

@@ -1,12 +1,317 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library, each beside SQL that computes the same."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import lda, network, peaks, similarity, topics
+from .plans.compiler import run, run_many
+from .sources.adapters import MS1_SQL, MS2_SQL, WORDS_SQL, beta, ms1_peaks, ms2_peaks, theta
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+PEAKS = f"with ms2 as ({MS2_SQL}), ms1 as ({MS1_SQL})"
+THETA = "with cells as (select vec_id as id, unnest(range(64))::int as topic, abs(unnest(embedding)::double) as e from embeddings), theta as (select id as doc, topic, e / sum(e) over (partition by id) as p from cells), beta as (select topic, id as word, e / sum(e) over (partition by topic) as p from cells)"
+FLAGSHIP = "QUERY scaninfo(MS2DATA) WHERE MS2PROD=178.03:TOLERANCEMZ=0.5"
+
+
+def r6(c: Column | str) -> Column:
+    """Rounded alike in both engines."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
+def q6(sql: str) -> str:
+    return f"floor(({sql}) * 1e6 + 0.5e0) / 1e6"
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def peak_query(name: str, query: str, columns: list[Column] | None, sql: str, ms1: bool = False) -> None:
+    """Register a query of the peak language; columns: what is compared."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = run_many(query, ms1_peaks(spark, sf_dir) if ms1 else None, ms2_peaks(spark, sf_dir)) if "|||" in query else run(query, ms1_peaks(spark, sf_dir) if ms1 else None, ms2_peaks(spark, sf_dir))
+        return out.select(*columns) if columns else out
+
+    QUERIES[name] = f
+    ORACLES[name] = f"{PEAKS} {sql}"
+
+
+def band(mz: str, at: str, tol: str = "0.1e0") -> str:
+    return f"{mz} > {at} - {tol} and {mz} < {at} + {tol}"
+
+
+INFO = [F.col("scan"), F.col("ms1scan"), r6("precmz").alias("precmz"), F.col("charge"), F.col("motif_id"), F.col("motifset"), F.col("mslevel"), r6("i").alias("i")]
+INFO_SQL = f"select scan, max(ms1scan) as ms1scan, {q6('max(precmz)')} as precmz, max(charge) as charge, max(motif_id) as motif_id, max(motifset) as motifset, 2 as mslevel, {q6('sum(frag_intens)')} as i from ms2"
+HIT = band("frag_mz", "178.03e0", "0.5e0")
+
+peak_query("ql_scaninfo_ms2prod", FLAGSHIP, INFO, f"{INFO_SQL} where scan in (select scan from ms2 where {HIT}) group by scan")
+peak_query(
+    "ql_scannum_nl_excluded",
+    "QUERY scannum(MS2DATA) WHERE MS2NL=505:TOLERANCEMZ=5 AND MS2PROD=200:TOLERANCEMZ=100:EXCLUDED",
+    None,
+    f"select distinct scan from ms2 where scan in (select scan from ms2 where {band('loss_mz', '505', '5')}) and scan not in (select scan from ms2 where {band('frag_mz', '200', '100')})",
+)
+peak_query(
+    "ql_cardinality_or",
+    "QUERY scannum(MS2DATA) WHERE MS2PROD=(100 OR 200 OR 400):TOLERANCEMZ=20:CARDINALITY=range(min=2,max=3)",
+    None,
+    f"select scan from (select scan, max(({band('frag_mz', '100', '20')})::int) + max(({band('frag_mz', '200', '20')})::int) + max(({band('frag_mz', '400', '20')})::int) as n from ms2 group by scan) where n between 2 and 3",
+)
+peak_query(
+    "ql_massdefect_any",
+    "QUERY scannum(MS2DATA) WHERE MS2PROD=ANY:MASSDEFECT=massdefect(min=0.2,max=0.25) AND POLARITY=Positive",
+    None,
+    "select distinct scan from ms2 where polarity = 1 and frag_mz - floor(frag_mz) > 0.2e0 and frag_mz - floor(frag_mz) < 0.25e0",
+)
+peak_query("ql_metafilter", FLAGSHIP + " METAFILTER:motifset=BUILDING", INFO, f"{INFO_SQL} where motifset = 'BUILDING' and scan in (select scan from ms2 where {HIT}) group by scan")
+for _name, _agg in (("scansum", "sum"), ("scanmaxint", "max"), ("scanrangesum", "sum")):
+    peak_query(
+        f"ql_{_name}",
+        f"QUERY {_name}(MS2DATA) WHERE MS2PREC=1500:TOLERANCEMZ=50",
+        [F.col("scan"), r6("frag_intens").alias("frag_intens")],
+        f"select scan, {q6(f'{_agg}(frag_intens)')} as frag_intens from ms2 where {band('precmz', '1500', '50')} group by scan",
+    )
+peak_query(
+    "ql_scanrangesum_ms1",
+    "QUERY scanrangesum(MS1DATA) WHERE RTMIN=1 AND RTMAX=5",
+    [F.col("bin"), F.col("scan"), r6("i_sum").alias("i_sum")],
+    f"select floor(mz / 0.1e0)::bigint as bin, scan, {q6('sum(i)')} as i_sum from ms1 where rt > 1 and rt < 5 group by 1, 2",
+    ms1=True,
+)
+peak_query(
+    "ql_scanmz_subquery",
+    "QUERY scannum(MS2DATA) WHERE MS2PROD=(QUERY scanmz(MS2DATA) WHERE MS2PREC=300:TOLERANCEMZ=2):TOLERANCEMZ=0.01",
+    None,
+    f"select distinct p.scan from ms2 p join (select distinct precmz from ms2 where {band('precmz', '300', '2')}) t on p.frag_mz > t.precmz - 0.01e0 and p.frag_mz < t.precmz + 0.01e0",
+)
+peak_query(
+    "ql_ms1_link",
+    "QUERY scaninfo(MS1DATA) WHERE MS1MZ=2050:TOLERANCEMZ=50:INTENSITYPERCENT=50",
+    [F.col("scan"), F.col("mslevel"), r6("i").alias("i"), r6("i_norm").alias("i_norm")],
+    f"select scan, 1 as mslevel, {q6('sum(i)')} as i, {q6('max(i_norm)')} as i_norm from ms1 where scan in (select scan from ms1 where {band('mz', '2050', '50')} and i_norm > 0.5e0) group by scan",
+    ms1=True,
+)
+peak_query(
+    "ql_intensity_match",
+    "QUERY scannum(MS2DATA) WHERE MS2PROD=300:TOLERANCEMZ=100:INTENSITYMATCH=Y:INTENSITYMATCHREFERENCE AND MS2PROD=600:TOLERANCEMZ=150:INTENSITYMATCH=Y*1.5:INTENSITYMATCHPERCENT=40",
+    None,
+    f"select scan from (select scan, sum(frag_intens) filter ({band('frag_mz', '300', '100')}) as ref, sum(frag_intens) filter ({band('frag_mz', '600', '150')}) as s from ms2 group by scan) where s > ref * 1.5e0 * (1 - 0.4e0) and s < ref * 1.5e0 * (1 + 0.4e0)",
+)
+peak_query(
+    "ql_otherscan",
+    "QUERY scannum(MS1DATA) WHERE MS1MZ=3990:TOLERANCEMZ=20:OTHERSCAN=rtrange(left=0.05,right=0.05)",
+    None,
+    f"select distinct a.scan from ms1 a join (select distinct rt from ms1 where {band('mz', '3990', '20')}) b on b.rt > a.rt - 0.05e0 and b.rt < a.rt + 0.05e0",
+    ms1=True,
+)
+peak_query(
+    "ql_filter_peaks",
+    "QUERY MS2DATA WHERE MS2PREC=1500:TOLERANCEMZ=50 FILTER MS2PROD=(300 OR 500):TOLERANCEMZ=40",
+    [F.col("scan"), r6("frag_mz").alias("frag_mz"), r6("frag_intens").alias("frag_intens")],
+    f"select scan, {q6('frag_mz')} as frag_mz, {q6('frag_intens')} as frag_intens from ms2 where {band('precmz', '1500', '50')} and ({band('frag_mz', '300', '40')} or {band('frag_mz', '500', '40')})",
+)
+peak_query(
+    "ql_scan_charge_range",
+    "QUERY scannum(MS2DATA) WHERE SCANMIN=100 AND SCANMAX=5000 AND CHARGE=2 AND MS2NL=ANY:MASSDEFECT=massdefect(min=0.5,max=0.6)",
+    None,
+    "select distinct scan from ms2 where cast(scan as bigint) between 100 and 5000 and charge = 2 and loss_mz - floor(loss_mz) > 0.5e0 and loss_mz - floor(loss_mz) < 0.6e0",
+)
+peak_query(
+    "ql_formula_ppm",
+    "QUERY scannum(MS2DATA) WHERE MS2PROD=formula(C10H16N5O13P3):TOLERANCEPPM=500",
+    None,
+    f"select distinct scan from ms2 where {band('frag_mz', '506.99574513e0', '506.99574513e0 * 500 / 1e6')}",
+)
+peak_query(
+    "ql_many",
+    "QUERY scannum(MS2DATA) WHERE MS2PROD=178.03:TOLERANCEMZ=0.5 ||| QUERY scannum(MS2DATA) WHERE MS2PROD=500:TOLERANCEMZ=0.5",
+    None,
+    f"select distinct scan, 0 as query_index from ms2 where {HIT} union all select distinct scan, 1 from ms2 where {band('frag_mz', '500', '0.5e0')}",
+)
+
+
+@register("ql_variable")
+def ql_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = "QUERY scaninfo(MS2DATA) WHERE MS2PROD=X:TOLERANCEMZ=0.1 AND MS2PROD=X+100:TOLERANCEMZ=0.1 AND X=range(min=200,max=300)"
+    return run(query, None, ms2_peaks(spark, sf_dir)).select("scan", "comment", r6("i").alias("i"))
+
+
+@register(
+    "peaks_topn_norm",
+    f"""{PEAKS}, n as (select *, frag_intens / max(frag_intens) over (partition by scan) as w from ms2 where frag_mz > 0),
+    k as (select *, row_number() over (partition by scan order by w desc, frag_mz, loss_mz) as rank from n where frag_mz between 0 and 1000 and w between 0.1e0 and 1)
+    select scan, {q6('sum(w)')} as w, {q6('max(frag_mz)')} as top_mz, count(*) as n from k where rank <= 5 group by scan having count(*) >= 3""",
+)
+def peaks_topn_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.clean(ms2_peaks(spark, sf_dir), low=0.1, top=5).groupBy("scan").agg(r6(F.sum("w")).alias("w"), r6(F.max("frag_mz")).alias("top_mz"), F.count("*").alias("n"))
+
+
+WORDS = f"{PEAKS}, words as ({WORDS_SQL.format(half_even='cast(round_even(100e0*w, 0) as bigint)')})"
+
+
+@register("corpus_word_counts", f"{WORDS} select * from words")
+def corpus_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.words(ms2_peaks(spark, sf_dir))
+
+
+@register("corpus_vocabulary", f"{WORDS} select word, sum(n)::bigint as cf, count(distinct scan) as df from words group by word having sum(n) >= 50 and count(distinct scan) >= 2")
+def corpus_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.vocabulary(peaks.words(ms2_peaks(spark, sf_dir)), 50, 2)
+
+
+@register(
+    "completion_split",
+    f"""{PEAKS}, p as (select scan, row_number() over (partition by scan order by frag_mz, frag_intens, loss_mz) as peak_idx from ms2),
+    r as (select scan, peak_idx, count(*) over (partition by scan) as n, row_number() over (partition by scan order by sha256('42' || chr(0) || scan || ':' || peak_idx::varchar)) as k from p)
+    select scan, peak_idx::int as peak_idx, k <= greatest(least(round_even(n * 0.5e0, 0), n - 1), 1) as observed from r""",
+)
+def completion_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    numbered = ms2_peaks(spark, sf_dir).withColumn("peak_idx", F.row_number().over(Window.partitionBy("scan").orderBy("frag_mz", "frag_intens", "loss_mz")))
+    return peaks.completion_split(numbered, 42).select("scan", "peak_idx", "observed")
+
+
+@register("theta_entropy", f"{THETA} select {q6('avg(h)')} as entropy from (select doc, sum(-p * ln(case when p = 0 then 1e-12 else p end)) as h from theta group by doc)")
+def theta_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.entropy(theta(spark, sf_dir), "doc").select(r6("entropy").alias("entropy"))
+
+
+@register("topic_top_words", f"{THETA} select topic, word, {q6('p')} as p, rank::int as rank from (select *, row_number() over (partition by topic order by p desc, word) as rank from beta) where rank <= 10")
+def topic_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.top_words(beta(spark, sf_dir)).select("topic", "word", r6("p").alias("p"), "rank")
+
+
+@register("theta_dominant", f"{THETA} select doc, topic, {q6('p')} as p from (select *, row_number() over (partition by doc order by p desc, topic) as k from theta) where k = 1")
+def theta_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.dominant(theta(spark, sf_dir)).select("doc", "topic", r6("p").alias("p"))
+
+
+@register(
+    "theta_motif_degree",
+    f"""{THETA}, o as (select doc, topic, p * 10 as overlap from theta), i as (select t.topic, t.p, o.overlap from theta t join o using (doc, topic) where t.p between 0.05e0 and 1 and overlap between 0.3e0 and 1)
+    select topic, count(i.p) as degree, {q6('coalesce(avg(i.p), 0)')} as mean_p, {q6('coalesce(avg(overlap), 0)')} as mean_overlap from (select distinct topic from theta) left join i using (topic) group by topic""",
+)
+def theta_motif_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = theta(spark, sf_dir)
+    overlaps = t.select("doc", "topic", (F.col("p") * 10).alias("overlap"))
+    return topics.degrees(t, overlaps, (0.05, 1.0), (0.3, 1.0)).select("topic", "degree", r6("mean_p").alias("mean_p"), r6("mean_overlap").alias("mean_overlap"))
+
+
+@register(
+    "topic_active",
+    f"""{THETA}, d as (select doc, sum((p >= 0.03)::int) as n from theta group by doc), c as (select topic, avg(p) as p from theta group by topic)
+    select {q6('avg(n)')} as mean, {q6('quantile_cont(n, 0.5)')} as median, {q6('quantile_cont(n, 0.95)')} as p95, (select sum((p >= 0.0155)::int)::bigint from c) as corpus from d""",
+)
+def topic_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = theta(spark, sf_dir)
+    out = topics.active(t, 0.03).select(*(r6(c).alias(c) for c in ("mean", "median", "p95")))
+    corpus = t.groupBy("topic").agg(F.avg("p").alias("p")).agg(F.sum((F.col("p") >= 0.0155).cast("int")).alias("corpus"))
+    return out.crossJoin(corpus)  # one row each
+
+
+@register("topic_diversity", f"{THETA} select {q6('count(distinct word) * 1e0 / count(word)')} as diversity from (select word, row_number() over (partition by topic order by p desc, word) as k from beta) where k <= 10")
+def topic_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.diversity(beta(spark, sf_dir)).select(r6("diversity").alias("diversity"))
+
+
+@register(
+    "topic_npmi",
+    f"""{THETA}, docs as (select distinct (word * 7 + k * 13) % 97 as doc, word from (select distinct word from beta), range(5) r(k)),
+    top as (select * from (select topic, word, row_number() over (partition by topic order by p desc, word) as rank from beta) where rank <= 5),
+    pairs as (select a.topic, a.word as v, b.word as w from top a join top b on a.topic = b.topic and a.rank < b.rank),
+    s as (select word, count(*) as c from docs group by word), d as (select count(distinct doc) as d from docs),
+    b as (select v, w, count(*) as c from (select distinct v, w from pairs) join docs x on x.word = v join docs y on y.word = w and y.doc = x.doc group by v, w)
+    select topic, {q6('avg(case when b.c is null then -1 when b.c = d then 1 else ln((b.c * 1e0 / d) / (sv.c * 1e0 / d * sw.c / d)) / -ln(b.c * 1e0 / d) end)')} as npmi
+    from pairs left join b using (v, w) left join s sv on sv.word = v left join s sw on sw.word = w cross join d group by topic""",
+)
+def topic_npmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = beta(spark, sf_dir)
+    docs = b.select("word").distinct().select(F.explode(F.array(*[(F.col("word") * 7 + k * 13) % 97 for k in range(5)])).alias("doc"), "word").distinct()
+    return topics.npmi(b, docs, 5).select("topic", r6("npmi").alias("npmi"))
+
+
+@register(
+    "document_likelihood",
+    f"""{THETA}, n as (select id as doc, (id * 31 + k * 17) % 500 as word, k + 1 as n from (select distinct id from cells), range(4) r(k)),
+    t as (select n.doc, n.word, max(n.n) as n, sum(theta.p * beta.p) as p from n join theta on theta.doc = n.doc join beta on beta.word = n.word and beta.topic = theta.topic group by n.doc, n.word)
+    select {q6('sum(-n * ln(greatest(p, 1e-12))) / sum(n)')} as nll, {q6('1 - sum(n) * 1e0 / (select sum(n) from n)')} as unknown from t""",
+)
+def document_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, b = theta(spark, sf_dir), beta(spark, sf_dir)
+    cells = F.array(*[F.struct(((F.col("doc") * 31 + k * 17) % 500).alias("word"), F.lit(k + 1).alias("n")) for k in range(4)])
+    counts = t.select("doc").distinct().select("doc", F.inline(cells))
+    return topics.likelihood(counts, t, b).select(r6("nll").alias("nll"), r6("unknown").alias("unknown"))
+
+
+@register(
+    "embedding_cosine_top",
+    f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as e from v),
+    s as (select q.vec_id as query, l.vec_id as id, list_sum(list_transform(range(1, 65), lambda k: q.e[k] * l.e[k])) as score from u q join u l on true)
+    select query, id, {q6('score')} as score, rank::int as rank from (select *, row_number() over (partition by query order by score desc, id) as rank from s) where rank <= 5""",
+)
+def embedding_cosine_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    library = table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    queries = table.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    return similarity.cosine_top(library, queries, 5).select("query", "id", r6("score").alias("score"), "rank")
+
+
+@register(
+    "fingerprint_screen",
+    f"""with f as (select vec_id, list_filter(range(0, 64), lambda k: embedding[k + 1] > 0) as s from embeddings),
+    p as (select a.vec_id as a, b.vec_id as b, len(list_intersect(a.s, b.s)) as c, len(a.s) as na, len(b.s) as nb from f a join f b on a.vec_id <> b.vec_id)
+    select a, b, {q6('c * 1e0 / (na + nb - c)')} as score from p where c * 1e0 / (na + nb - c) >= 0.5e0""",
+)
+def fingerprint_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("a"), similarity.bits(F.col("embedding")).alias("set"))
+    return similarity.screen(sets, sets.withColumnRenamed("a", "b"), 0.5).filter("a <> b").select("a", "b", r6("score").alias("score"))
+
+
+@register(
+    "fingerprint_consensus",
+    "with c as (select label, unnest(range(64))::int as pos, (unnest(embedding) > 0)::int as b from embeddings) select label, pos, (avg(b) >= 0.55)::int as bit from c group by label, pos",
+)
+def fingerprint_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("bits"))
+    return similarity.consensus(prints, "label", 0.55)
+
+
+@register(
+    "network_document_edges",
+    f"""{THETA}, k as (select doc, topic, p, p * 10 as overlap, row_number() over (partition by doc order by p desc, topic) as rank from theta where p >= 0.04e0 and p * 10 >= 0.3e0)
+    select doc, topic, {q6('p')} as p, {q6('overlap')} as overlap, rank::int as rank from k where rank <= 3""",
+)
+def network_document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = theta(spark, sf_dir)
+    edges = network.document_edges(t, t.select("doc", "topic", (F.col("p") * 10).alias("overlap")), 0.04, 0.3)
+    return edges.select("doc", "topic", r6("p").alias("p"), r6("overlap").alias("overlap"), "rank")
+
+
+@register("lda_fit_infer")
+def lda_fit_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of the peak corpus by variational Bayes, then every scan's mixture under them."""
+    corpus = peaks.words(ms2_peaks(spark, sf_dir), digits=0).withColumnRenamed("scan", "doc")
+    vocabulary = peaks.vocabulary(corpus.withColumnRenamed("doc", "scan"), 1, 2).orderBy("word").select("word")
+    words = [r["word"] for r in vocabulary.toLocalIterator()]  # whole m/z units: about a thousand
+    ids = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, id int")
+    docs = lda.bags(corpus, ids).cache()
+    model = lda.fit(docs, words, topics=10, epochs=4)
+    return lda.infer(docs, model)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return QUERIES["ql_scaninfo_ms2prod"](spark, sf_dir)

@@ -28,6 +28,10 @@ def q6(sql: str) -> str:
     return f"floor(({sql}) * 1e6 + 0.5e0) / 1e6"
 
 
+def named(name: str) -> str:
+    return f"{q6(name)} as {name}"
+
+
 def register(name: str, sql: str | None = None):
     def keep(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
@@ -38,12 +42,12 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
-def peak_query(name: str, query: str, columns: list[Column] | None, sql: str, ms1: bool = False) -> None:
+def peak_query(name: str, query: str, columns: list[str] | None, sql: str, ms1: bool = False) -> None:
     """Register a query of the peak language; columns: what is compared."""
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = run_many(query, ms1_peaks(spark, sf_dir) if ms1 else None, ms2_peaks(spark, sf_dir)) if "|||" in query else run(query, ms1_peaks(spark, sf_dir) if ms1 else None, ms2_peaks(spark, sf_dir))
-        return out.select(*columns) if columns else out
+        return out.selectExpr(*columns) if columns else out
 
     QUERIES[name] = f
     ORACLES[name] = f"{PEAKS} {sql}"
@@ -53,7 +57,7 @@ def band(mz: str, at: str, tol: str = "0.1e0") -> str:
     return f"{mz} > {at} - {tol} and {mz} < {at} + {tol}"
 
 
-INFO = [F.col("scan"), F.col("ms1scan"), r6("precmz").alias("precmz"), F.col("charge"), F.col("motif_id"), F.col("motifset"), F.col("mslevel"), r6("i").alias("i")]
+INFO = ["scan", "ms1scan", named("precmz"), "charge", "motif_id", "motifset", "mslevel", named("i")]
 INFO_SQL = f"select scan, max(ms1scan) as ms1scan, {q6('max(precmz)')} as precmz, max(charge) as charge, max(motif_id) as motif_id, max(motifset) as motifset, 2 as mslevel, {q6('sum(frag_intens)')} as i from ms2"
 HIT = band("frag_mz", "178.03e0", "0.5e0")
 
@@ -81,13 +85,13 @@ for _name, _agg in (("scansum", "sum"), ("scanmaxint", "max"), ("scanrangesum",
     peak_query(
         f"ql_{_name}",
         f"QUERY {_name}(MS2DATA) WHERE MS2PREC=1500:TOLERANCEMZ=50",
-        [F.col("scan"), r6("frag_intens").alias("frag_intens")],
+        ["scan", named("frag_intens")],
         f"select scan, {q6(f'{_agg}(frag_intens)')} as frag_intens from ms2 where {band('precmz', '1500', '50')} group by scan",
     )
 peak_query(
     "ql_scanrangesum_ms1",
     "QUERY scanrangesum(MS1DATA) WHERE RTMIN=1 AND RTMAX=5",
-    [F.col("bin"), F.col("scan"), r6("i_sum").alias("i_sum")],
+    ["bin", "scan", named("i_sum")],
     f"select floor(mz / 0.1e0)::bigint as bin, scan, {q6('sum(i)')} as i_sum from ms1 where rt > 1 and rt < 5 group by 1, 2",
     ms1=True,
 )
@@ -100,7 +104,7 @@ peak_query(
 peak_query(
     "ql_ms1_link",
     "QUERY scaninfo(MS1DATA) WHERE MS1MZ=2050:TOLERANCEMZ=50:INTENSITYPERCENT=50",
-    [F.col("scan"), F.col("mslevel"), r6("i").alias("i"), r6("i_norm").alias("i_norm")],
+    ["scan", "mslevel", named("i"), named("i_norm")],
     f"select scan, 1 as mslevel, {q6('sum(i)')} as i, {q6('max(i_norm)')} as i_norm from ms1 where scan in (select scan from ms1 where {band('mz', '2050', '50')} and i_norm > 0.5e0) group by scan",
     ms1=True,
 )
@@ -120,7 +124,7 @@ peak_query(
 peak_query(
     "ql_filter_peaks",
     "QUERY MS2DATA WHERE MS2PREC=1500:TOLERANCEMZ=50 FILTER MS2PROD=(300 OR 500):TOLERANCEMZ=40",
-    [F.col("scan"), r6("frag_mz").alias("frag_mz"), r6("frag_intens").alias("frag_intens")],
+    ["scan", named("frag_mz"), named("frag_intens")],
     f"select scan, {q6('frag_mz')} as frag_mz, {q6('frag_intens')} as frag_intens from ms2 where {band('precmz', '1500', '50')} and ({band('frag_mz', '300', '40')} or {band('frag_mz', '500', '40')})",
 )
 peak_query(

@@ -210,7 +210,7 @@ def grouped_motifs(peaks: DataFrame) -> DataFrame:
     """One row for each motif with equal-length arrays, the nested form of the motif store."""
     parts = ["peak_idx", "frag_mz", "frag_intens", "loss_mz", "loss_intens"]
     grouped = peaks.groupBy("scan", "motif_id", "annotation").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("p"))
-    return grouped.select("scan", "motif_id", "annotation", *(F.transform("p", lambda x, c=c: x[c]).alias(c) for c in parts[1:]))
+    return grouped.select("scan", "motif_id", "annotation", *(F.col("p").getField(c).alias(c) for c in parts[1:]))
 
 
 def exploded_motifs(nested: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ common. An inverted index from fingerprints to the templates, a fixed list, is s
 Around the hits of a template a banded local alignment of words (match 2, mismatch and gap -1) gives the matched words:
 their share of the template is the coverage, the first and last give the span. Spans with `coverage` or more are reported.
 
-Defined cases: null and empty texts have no licence; characters beyond ASCII are separators; of overlapping spans for one template
-the best is kept; repeated rows are reported each; spans are in words and code points, ends exclusive.
+Defined cases: null and empty texts have no licence; characters beyond ASCII are separators; spans of one
+template never overlap; repeated rows are reported each; spans are in words and code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -128,20 +128,20 @@ class Index:
         words, starts, ends = words_of(text)
         at = np.searchsorted(starts, places, side="right") - 1
         seeds = sorted({(k, int(j) - i) for h, j in zip(hashes, at, strict=True) for k, i in self.found[h]})
-        out, tried = [], {}
+        out, tried, free = [], {}, {}
         for k, shift in seeds:
             if k in tried and shift - tried[k] <= BAND // 2:
                 continue  # within the band that was aligned
             tried[k] = shift
-            matched, first, last = align(self.words[k], words, shift)
-            if matched >= coverage * len(self.words[k]):
+            left = free.setdefault(k, list(words))  # without the words of this template's spans so far
+            while True:
+                matched, first, last = align(self.words[k], left, shift)
+                if matched < coverage * len(self.words[k]):
+                    break
                 out.append((self.names[k], matched / len(self.words[k]), first, last))
-        best = []
-        for name, share, first, last in sorted(out, key=lambda x: (x[0], -x[1], x[2])):
-            if not any(b[0] == name and first < b[3] and b[2] < last for b in best):
-                best.append((name, share, first, last))
+                left[first:last] = [b""] * (last - first)
         point = lambda n: len(text[:n].decode())
-        return [(name, share, first, last, point(starts[first]), point(ends[last - 1])) for name, share, first, last in sorted(best, key=lambda x: (x[2], x[0]))]
+        return [(name, share, first, last, point(starts[first]), point(ends[last - 1])) for name, share, first, last in sorted(out, key=lambda x: (x[2], x[0]))]
 
 
 NAMES = ["doc_id", "template", "coverage", "first_word", "end_word", "start", "end"]

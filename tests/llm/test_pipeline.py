@@ -1,0 +1,48 @@
+import zlib
+
+import numpy as np
+
+import corpus_pipeline
+from peakloom.llm import decontaminate, jaccard, mixing, quality
+from peakloom.llm.queries import ORACLES, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages_follow_each_other(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        after = stage(spark, kept, DATA).cache()
+        assert after.columns == docs.columns and after.count() <= kept.count(), name
+        kept = after
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    junk = {r["doc_id"] for r in quality.score(docs, spark.read.parquet(f"{DATA}/labels.parquet")).filter("predicted = 0").collect()}
+    assert junk and not ids & junk
+    assert jaccard.links(kept).filter("n_links > 0").count() == 0
+    assert decontaminate.leaks(kept, spark.read.parquet(f"{DATA}/benchmark.parquet")).count() == 0
+    mix = mixing.resample(kept).collect()
+    assert {r["doc_id"] for r in mix} <= ids
+
+
+def test_run(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    out = sorted(corpus_pipeline.run(spark, DATA).collect(), key=lambda r: r["start"])
+    assert out and [r["doc_id"] for r in out] == sorted(r["doc_id"] for r in out)
+    start = 0
+    for r in out:
+        ids = np.array([*t.encode(docs[r["doc_id"]], add_special_tokens=False).ids, 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_query_equals_sql(spark, duck):
+    for name, sql in ORACLES.items():
+        expected = duck.execute(sql).to_arrow_table()
+        names = sorted(expected.column_names)
+        got = QUERIES[name](spark, DATA).select(*names).collect()
+        assert sorted(map(tuple, got)) == sorted(zip(*[expected[n].to_pylist() for n in names], strict=True))

@@ -13,8 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches: texts can be long, and a Python worker holds a few batches at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .common import crc_rest, documents
 
-TRIGRAMS = 2048
+TRIGRAMS = 1024
 BINS = 24
 EVENTS = 10
 TERMS = TRIGRAMS + EVENTS * BINS
@@ -40,7 +40,7 @@ def trigram_terms(w: T.Words) -> np.ndarray:
         return out
     low = T._LOWER[w.data].astype(np.uint32)
     code = low[:-2] + (low[1:-1] << np.uint32(8)) + (low[2:] << np.uint32(16))
-    code = (code * np.uint32(2654435761)) >> np.uint32(21)
+    code = (code * np.uint32(2654435761)) >> np.uint32(22)
     for d in range(w.n):
         out[d] = np.bincount(code[w.offsets[d] : max(w.offsets[d], w.offsets[d + 1] - 2)], minlength=TRIGRAMS)
     return out

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import lda, network, peaks, similarity, topics
+from .functions import sketches
+from .operators import lda, metrics, network, peaks, screening, similarity, summaries, topics
 from .plans.compiler import run, run_many
 from .sources.adapters import MS1_SQL, MS2_SQL, WORDS_SQL, beta, ms1_peaks, ms2_peaks, theta
 
@@ -317,5 +318,209 @@ def lda_fit_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lda.infer(docs, model)
 
 
+# motifs: scans of charge 1; spectra: scans of charge 2
+SIDES = f"""{PEAKS}, m as (select scan as motif, frag_mz as feature, max(frag_intens) as mi from ms2 where charge = 1 group by 1, 2),
+    s as (select scan as spectrum, frag_mz as peak, frag_intens as si from ms2 where charge = 2),
+    b as (select *, floor(feature / 0.005e0)::bigint + k as bin from m, (values (-1), (0), (1)) v(k)),
+    f as (select motif, spectrum, feature, mi, min(struct_pack(peak := peak, si := si)) as f from s join b on floor(peak / 0.005e0)::bigint = bin where abs(peak - feature) <= 0.005e0 group by all)"""
+
+
+@register(
+    "screen_overlap",
+    f"""{SIDES}, t as (select motif, sum(mi) as total from m group by motif),
+    g as (select motif, spectrum, count(*) as n, sum(mi) as matched, max(mi) > min(mi) and max(f.si) > min(f.si) as varied, corr(mi, f.si) as r from f group by motif, spectrum),
+    x as (select motif, spectrum, n, matched / total as share, case when varied then r else 0 end as r from g join t using (motif))
+    select motif, spectrum, n, {named('share')}, {named('r')}, case when n >= 5 and share >= 0.8e0 and r >= 0.8e0 then 'A' when n >= 3 and share >= 0.5e0 then 'B' when n >= 2 then 'C' else 'D' end as grade from x""",
+)
+def screen_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = ms2_peaks(spark, sf_dir)
+    side = lambda charge, name: table.filter(F.col("charge") == charge).select(F.col("scan").alias(name), F.col("frag_mz").alias("mz"), F.col("frag_intens").alias("i"))
+    out = screening.overlap_screen(side(1, "motif"), side(2, "spectrum"))
+    return out.select("motif", "spectrum", "n", r6("share").alias("share"), r6("r").alias("r"), "grade")
+
+
+@register(
+    "screen_shared_features",
+    f"""{PEAKS}, h as (select ms1scan as motif, scan as hit, floor(frag_mz / 100e0 + 0.5e0) as feature from ms2), c as (select motif, count(distinct hit) as hits from h group by motif)
+    select motif, feature * 1e0 as feature from (select motif, feature, count(distinct hit) as n from h group by 1, 2) join c using (motif) where n = hits""",
+)
+def screen_shared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = ms2_peaks(spark, sf_dir).select(F.col("ms1scan").alias("motif"), F.col("scan").alias("hit"), (F.col("frag_mz") / 100.0).alias("mz"))
+    return screening.shared_features(hits, 0).withColumn("feature", F.col("feature").cast("double"))
+
+
+@register(
+    "spectra_search",
+    f"{PEAKS} select scan, {q6('max(precmz)')} as precmz from ms2 where precmz between 500 and 2500 and (abs(frag_mz - 300.5e0) <= 0.5e0 or coalesce(abs(loss_mz - 300.5e0) <= 0.5e0, false)) group by scan",
+)
+def spectra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.search(ms2_peaks(spark, sf_dir), 500, 2500, "300.5", losses=True, margin=0.5).select("scan", r6("precmz").alias("precmz"))
+
+
+@register("spectra_bounds", f"{PEAKS} select floor(greatest(min(precmz) - 50, 0) / 10)::bigint * 10 as low, floor((max(precmz) + 59) / 10)::bigint * 10 as high from ms2")
+def spectra_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.slider_bounds(ms2_peaks(spark, sf_dir))
+
+
+@register(
+    "word_nearest_peak",
+    f"""{PEAKS}, p as (select scan as doc, row_number() over (partition by scan order by frag_mz, frag_intens, loss_mz)::int as peak_idx, frag_mz as mz, precmz as precursor from ms2),
+    w as (select scan as doc, 'frag@' || (floor(frag_mz + 0.5e0))::bigint as word, 'frag' as kind, floor(frag_mz + 0.5e0) as value from ms2
+          union select scan, 'loss@' || (floor(loss_mz + 0.5e0))::bigint, 'loss', floor(loss_mz + 0.5e0) from ms2 where loss_mz is not null),
+    h as (select p.doc, word, abs((case kind when 'frag' then mz else precursor - mz end) - value) as delta, peak_idx from p join w using (doc))
+    select doc, word, peak_idx, {named('delta')} from (select *, row_number() over (partition by doc, word order by delta, peak_idx) as k from h where delta <= 0.5e0) where k = 1""",
+)
+def word_nearest_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    table = ms2_peaks(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("scan").orderBy("frag_mz", "frag_intens", "loss_mz"))
+    numbered = table.select(F.col("scan").alias("doc"), place.alias("peak_idx"), F.col("frag_mz").alias("mz"), F.col("precmz").alias("precursor"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.floor(F.col(f"{k}_mz") + 0.5).cast("double").alias("value")) for k in ("frag", "loss")])
+    words = table.select(F.col("scan").alias("doc"), F.inline(kinds)).filter("value is not null").distinct()
+    words = words.withColumn("word", F.concat("kind", F.lit("@"), F.col("value").cast("bigint").cast("string")))
+    return screening.nearest_peaks(words, numbered, 0.5).select("doc", "word", "peak_idx", r6("delta").alias("delta"))
+
+
+@register(
+    "screen_top_hits",
+    f"""{THETA}, k as (select topic, doc, p, row_number() over (partition by topic order by p desc, doc) as rank from theta)
+    select topic, string_agg('set|' || doc || '(' || printf('%.2f', p * 100e0) || ')', ', ' order by rank) as text from k where rank <= 3 group by topic""",
+)
+def screen_top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = theta(spark, sf_dir).select(F.col("topic").alias("motif"), F.lit("set").alias("set"), F.col("doc").alias("id"), (F.col("p") * 100).alias("score"))
+    return screening.top_hits(hits).withColumnRenamed("motif", "topic")
+
+
+@register(
+    "mixture_diagnostics",
+    f"""{THETA}, d as (select doc, max(p) as m, exp(sum(-p * ln(case when p = 0 then 1e-12 else p end))) as wide from theta group by doc),
+    b as (select count(distinct topic) as n from (select topic, row_number() over (partition by doc order by p desc, topic) as k from theta) where k = 1)
+    select (select n from b) as dominant_topics, {q6('quantile_cont(m, 0.5)')} as max_median, {q6('quantile_cont(m, 0.95)')} as max_p95, {q6('max(m)')} as max_max, {q6('quantile_cont(wide, 0.5)')} as wide_median from d""",
+)
+def mixture_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.mixture_diagnostics(theta(spark, sf_dir)).select("dominant_topics", *(r6(c).alias(c) for c in ("max_median", "max_p95", "max_max", "wide_median")))
+
+
+@register(
+    "mixture_distances",
+    f"""{THETA}, u as (select doc, topic, p as a, lag(p, 1, 0) over (partition by doc order by topic) as b from theta),
+    g as (select doc, sum(a * b) as ab, sum(a * a) as aa, sum(b * b) as bb, sum(case when a > 0 then a * ln(a / ((a + b) / 2)) else 0 end + case when b > 0 then b * ln(b / ((a + b) / 2)) else 0 end) / 2 as js from u group by doc)
+    select doc, {q6('case when aa > 0 and bb > 0 then ab / sqrt(aa * bb) else 0 end')} as cosine, {named('js')} from g""",
+)
+def mixture_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = theta(spark, sf_dir)
+    shifted = t.filter("topic < 63").withColumn("topic", F.col("topic") + 1)
+    return metrics.mixture_distances(t, shifted).select("doc", r6("cosine").alias("cosine"), r6("js").alias("js"))
+
+
+@register(
+    "seed_aggregate",
+    "select o_orderstatus || ':' || o_orderpriority as arm, quantile_cont(o_totalprice, 0.5) as median, min(o_totalprice) as min, max(o_totalprice) as max, count(*) as n from (select o_orderstatus, o_orderpriority, o_totalprice::double as o_totalprice from orders) group by arm",
+)
+def seed_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat_ws(":", "o_orderstatus", "o_orderpriority").alias("arm"), F.col("o_totalprice").cast("double").alias("value"))
+    return summaries.across_seeds(rows, "arm")
+
+
+@register(
+    "convergence_steps",
+    """with h as (select o_custkey as run, o_orderkey as step, o_totalprice::double as v from orders), c as (select *, abs(v - lag(v) over w) / abs(lag(v) over w) < 0.5e0 as calm from h window w as (partition by run order by step))
+    select run, step, coalesce(sum(calm::int) over (partition by run order by step rows 2 preceding), 0) = 3 as stable from c""",
+)
+def convergence_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").cast("double").alias("value"))
+    return summaries.converged(rows, 0.5, 3, "run").drop("value")
+
+
+@register(
+    "audit_counts",
+    """with c as (select o_custkey as k, count(*) as n from orders group by 1)
+    select sum(n)::bigint as n_rows, count(k) as n_keys, coalesce(sum(n) filter (k is null), 0)::bigint as n_missing, count(*) filter (k is not null and n > 1) as n_repeated, coalesce(sum(n - 1) filter (k is not null), 0)::bigint as n_extra from c""",
+)
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.audit(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey")
+
+
+@register(
+    "leakage_audit",
+    "select o_custkey, count(distinct o_orderstatus) as splits from orders group by o_custkey having count(distinct o_orderstatus) > 1",
+)
+def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.leakage(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", "o_orderstatus")
+
+
+@register(
+    "precursor_histogram",
+    "with b as (select k as bin, k * 500e0 as low, k * 500e0 + 500 as high from range(10) r(k)) select bin::int as bin, count(v) as n from b left join (select o_totalprice / 100e0 as v from orders) on v > low and v <= high group by bin",
+)
+def precursor_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_totalprice") / 100.0).alias("v"))
+    return summaries.histogram(rows, F.col("v"), [500.0 * k for k in range(11)])
+
+
+@register(
+    "feature_frequency",
+    f"{PEAKS}, r as (select distinct scan, floor(frag_mz) as item from ms2) select item::bigint as item, count(*) as n from r group by item having count(*) >= (select count(distinct scan) from ms2) * 0.005e0",
+)
+def feature_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.frequent(ms2_peaks(spark, sf_dir).select("scan", F.floor("frag_mz").alias("item")), "scan", "item")
+
+
+@register(
+    "curated_first",
+    "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as k from orders where o_orderstatus = 'F') where k = 1",
+)
+def curated_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select("o_custkey", "o_orderkey")
+    return summaries.curated(rows, "o_custkey", "o_orderkey")
+
+
+@register(
+    "vocabulary_order",
+    f"{PEAKS}, f as (select floor(frag_mz)::bigint as word, min(struct_pack(doc := scan, pos := frag_mz)) as f from ms2 group by 1) select word, row_number() over (order by f)::int as place from f",
+)
+def vocabulary_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.first_places(ms2_peaks(spark, sf_dir).select(F.col("scan").alias("doc"), F.col("frag_mz").alias("pos"), F.floor("frag_mz").alias("word")))
+
+
+@register(
+    "unknown_words",
+    f"{WORDS}, v as (select word from words group by word having sum(n) >= 50 and count(distinct scan) >= 2) select scan as doc, sum(n)::bigint as n, coalesce(sum(n) filter (word not in (select word from v)), 0)::bigint as unknown from words group by scan",
+)
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = peaks.words(ms2_peaks(spark, sf_dir))
+    return summaries.unknown_words(corpus.withColumnRenamed("scan", "doc"), peaks.vocabulary(corpus, 50, 2))
+
+
+@register(
+    "topic_feature_counts",
+    f"""{THETA}, n as (select distinct doc, (doc * 31 + k * 17) % 500 as word from (select distinct doc from theta), range(4) r(k))
+    select word, count(distinct doc) as docs from n where doc in (select doc from theta where topic = 3 and p between 0.02e0 and 1) group by word""",
+)
+def topic_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = theta(spark, sf_dir)
+    documents = t.select("doc").distinct().select("doc", F.explode(F.array(*[(F.col("doc") * 31 + k * 17) % 500 for k in range(4)])).alias("word"))
+    return summaries.feature_counts(documents, t, 3, 0.02)
+
+
+MAPS = sketches.permutations(16)
+SKETCH = f"""with p as (select p_partkey, p_name from part), g as (select p_partkey, list_distinct([substr(p_name, k, 4) for k in range(1, length(p_name) - 2)]) as s from p),
+    h as (select p_partkey, [('0x' || substr(sha1(x), 1, 8))::bigint % {sketches.PRIME} for x in s] as h from g),
+    m as (select p_partkey, h, [{", ".join(f"coalesce(list_min([(x * {a} + {b}) % {sketches.PRIME} for x in h]), {sketches.PRIME})" for a, b in MAPS)}] as sketch from h)"""
+
+
+@register(
+    "sketch_minhash",
+    SKETCH + " select p_partkey, list_aggregate(sketch, 'sum')::bigint as total, list_sort(list_distinct([x % 1024 for x in h]))::varchar as bits, 1 - list_sum([(sketch[k] = o.other[k])::int for k in range(1, 17)]) / 16e0 as distance from m cross join (select sketch as other from m where p_partkey = 1) o",
+)
+def sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", sketches.lingo(F.col("p_name")).alias("s")).withColumn("sketch", sketches.minhash(F.col("s"), MAPS))
+    first = table.filter("p_partkey = 1").select(F.col("sketch").alias("other"))
+    total = F.aggregate("sketch", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    bits = F.concat(F.lit("["), F.array_join(sketches.folded(F.col("s"), 1024).cast("array<string>"), ", "), F.lit("]"))
+    return table.crossJoin(F.broadcast(first)).select("p_partkey", total.alias("total"), bits.alias("bits"), sketches.distance(F.col("sketch"), F.col("other")).alias("distance"))  # one row
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["ql_scaninfo_ms2prod"](spark, sf_dir)

@@ -6,7 +6,8 @@ topics times vocabulary, and expected counts come back as one grouped aggregatio
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Values in the place of a word's number: the bound, the number of documents, expected log shares by topic.
+BOUND, DOCUMENTS, LOG_THETA = -1, -2, -3
+
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """By recurrence to 6 and the asymptotic series."""
@@ -30,6 +34,53 @@ def expected_log(a: np.ndarray) -> np.ndarray:
     return digamma(a) - digamma(a.sum(axis=-1, keepdims=True))
 
 
+def trigamma(x: np.ndarray) -> np.ndarray:
+    """By recurrence to 6 and the asymptotic series."""
+    x = np.asarray(x, dtype=float)
+    out = np.zeros_like(x)
+    while (small := x < 6).any():
+        out = np.where(small, out + 1 / np.where(small, x, 1) ** 2, out)
+        x = np.where(small, x + 1, x)
+    r = 1 / (x * x)
+    return out + 1 / x + r / 2 + r / x * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r / 30)))
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def newton_alpha(alpha: np.ndarray, mean_log: np.ndarray, steps: int = 20, least: float = 1e-9) -> np.ndarray:
+    """The Dirichlet parameters that maximise the likelihood of mean expected log shares, by Newton steps.
+
+    The Hessian is a diagonal plus a constant, so a step costs as much as the gradient. A step is halved until the
+    likelihood does not fall and all parameters stay above `least`.
+    """
+
+    def value(a: np.ndarray) -> float:
+        return math.lgamma(a.sum()) - float(log_gamma(a).sum()) + float(((a - 1) * mean_log).sum())
+
+    alpha = np.maximum(alpha, least)
+    for _ in range(steps):
+        gradient = digamma(alpha.sum()) - digamma(alpha) + mean_log
+        diagonal = -trigamma(alpha)
+        shared = float(trigamma(alpha.sum()))
+        offset = (gradient / diagonal).sum() / (1 / shared + (1 / diagonal).sum())
+        step = (gradient - offset) / diagonal
+        now, size = value(alpha), 1.0
+        while size > 1e-6:
+            new = alpha - size * step
+            if (new > least).all() and value(new) >= now:
+                break
+            size /= 2
+        else:
+            return alpha
+        moved = np.abs(new - alpha).sum() / alpha.sum()
+        alpha = new
+        if moved < 1e-6:
+            break
+    return alpha
+
+
 def local_step(counts: np.ndarray, log_beta: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, steps: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
     """(gamma, expected topic counts): counts (w), log_beta (topics x w)."""
     weighed = np.zeros_like(log_beta)
@@ -62,7 +113,7 @@ def _steps(model: TopicModel, steps: int, tol: float, totals: bool):
     log_beta, topics = expected_log(model.lam), len(model.alpha)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, score = np.zeros_like(log_beta), 0.0
+        total, score, seen, log_theta = np.zeros_like(log_beta), 0.0, 0.0, np.zeros(topics)
         for b in batches:
             out = []
             for ids, counts in zip(b["ids"].to_pylist(), b["counts"].to_pylist(), strict=True):
@@ -71,6 +122,7 @@ def _steps(model: TopicModel, steps: int, tol: float, totals: bool):
                 if totals:
                     np.add.at(total.T, ids, weighed.T)
                     theta = np.exp(expected_log(gamma))
+                    seen, log_theta = seen + 1, log_theta + expected_log(gamma)
                     score += float((n * np.log(np.maximum(theta @ np.exp(log_beta[:, ids]), 1e-300))).sum())
                 else:
                     out.append(gamma / gamma.sum())
@@ -79,24 +131,39 @@ def _steps(model: TopicModel, steps: int, tol: float, totals: bool):
                 yield pa.RecordBatch.from_arrays([b["doc"], pa.array(list(flat), pa.list_(pa.float64()))], ["doc", "theta"])
         if totals:
             at, word = np.nonzero(total > 1e-8)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(word, -1).astype(np.int32)), pa.array(np.append(total[at, word], score))], ["topic", "word", "n"])
+            topic = np.concatenate([at, [-1, -1], np.arange(topics)]).astype(np.int32)
+            kind = np.concatenate([word, [BOUND, DOCUMENTS], np.full(topics, LOG_THETA)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(kind), pa.array(np.concatenate([total[at, word], [score, seen], log_theta]))], ["topic", "word", "n"])
 
     return rows
 
 
-def fit(docs: DataFrame, words: list[str], topics: int, epochs: int = 10, steps: int = 30, alpha: float = 0.1, eta: float = 0.01, tol: float = 1e-4, patience: int = 2, seed: int = 1) -> TopicModel:
-    """Batch variational Bayes over bags; stops when the bound per epoch changes by less than tol, `patience` times in a row."""
+def fit(docs: DataFrame, words: list[str], topics: int, epochs: int = 10, steps: int = 30, alpha: float = 0.1, eta: float = 0.01, tol: float = 1e-4, patience: int = 2, seed: int = 1, start: TopicModel | None = None, after: Callable[[TopicModel], None] | None = None, learn_alpha: bool = False) -> TopicModel:
+    """Batch variational Bayes over bags; stops when the bound per epoch changes by less than tol, `patience` times in a row.
+
+    start: a model to go on from, whose epochs count; after: called with the model at the end of each epoch.
+    """
     rng = np.random.default_rng(seed)
-    model = TopicModel(rng.gamma(100.0, 0.01, (topics, len(words))), np.full(topics, alpha), words)
+    model = start or TopicModel(rng.gamma(100.0, 0.01, (topics, len(words))), np.full(topics, alpha), words)
+    if model.words != words or len(model.alpha) != topics:
+        raise ValueError("the model to go on from has other words or topics")
     calm = 0
-    for _ in range(epochs):
+    for _ in range(epochs - len(model.history)):
         # topics x words values at most, summed before they reach the driver
         found = docs.mapInArrow(_steps(model, steps, 1e-3, True), "topic int, word int, n double").groupBy("topic", "word").agg(F.sum("n").alias("n")).toArrow()
         at, word, n = (found[c].to_numpy() for c in ("topic", "word", "n"))
         lam = np.full_like(model.lam, eta)
-        lam[at[at >= 0], word[at >= 0]] += n[at >= 0]
+        cell = word >= 0
+        lam[at[cell], word[cell]] += n[cell]
+        if learn_alpha:
+            per_topic = {int(k): float(v) for k, w, v in zip(at, word, n, strict=True) if w == LOG_THETA}
+            documents = float(n[word == DOCUMENTS].sum())
+            if documents:
+                model.alpha = newton_alpha(model.alpha, np.array([per_topic.get(k, 0.0) for k in range(topics)]) / documents)
         model.lam = lam
-        model.history.append(float(n[at < 0].sum()))
+        model.history.append(float(n[word == BOUND].sum()))
+        if after is not None:
+            after(model)
         if len(model.history) > 1:
             change = abs(model.history[-1] - model.history[-2]) / max(abs(model.history[-2]), 1e-12)
             calm = calm + 1 if change < tol else 0

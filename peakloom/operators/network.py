@@ -19,6 +19,23 @@ def document_edges(theta: DataFrame, overlaps: DataFrame, least_p: float = 0.1,
     return kept.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
+def elements(motif_peaks: DataFrame, precursor: float | None = None, least: float = 0.05, margin: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, kind), edges (source, target, weight)) of motifs and their features (motif, kind, mz, p), each node once.
+
+    With a precursor, a loss gets an edge of weight null to the fragment at precursor - loss, where a motif has both.
+    """
+    kept = motif_peaks.filter(F.col("p") >= least).withColumn("feature", F.concat_ws("_", "kind", F.col("mz").cast("string")))
+    edges = kept.groupBy(F.col("motif").alias("source"), F.col("feature").alias("target")).agg(F.max("p").alias("weight"))
+    nodes = kept.select(F.col("motif").alias("id"), F.lit("motif").alias("kind")).union(kept.select("feature", "kind")).distinct()
+    if precursor is not None:
+        at = F.floor(F.col("at") / margin)
+        losses = kept.filter("kind = 'loss'").select("motif", F.col("feature").alias("source"), (F.lit(float(precursor)) - F.col("mz")).alias("at")).withColumn("bin", F.explode(F.sequence(at - 1, at + 1)))
+        fragments = kept.filter("kind = 'frag'").select("motif", F.col("feature").alias("target"), F.col("mz").alias("at2"), F.floor(F.col("mz") / margin).alias("bin"))
+        linked = losses.join(fragments, ["motif", "bin"]).filter(F.abs(F.col("at") - F.col("at2")) <= margin)
+        edges = edges.unionByName(linked.select("source", "target", F.lit(None).cast("double").alias("weight")).distinct())
+    return nodes, edges
+
+
 def write_graphml(edges: DataFrame, path: str) -> None:
     """Edges as GraphML elements, one on a line, under a folder; joined they are the body of a graph."""
     text = F.format_string('<edge source="%s" target="%s"><data key="weight">%s</data></edge>', F.col("motif"), F.col("feature"), F.col("weight").cast("string"))

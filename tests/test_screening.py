@@ -19,6 +19,8 @@ def test_overlap_screen_takes_the_first_match(spark):
     assert [(x["motif"], x["spectrum"], x["n"], x["share"], x["grade"]) for x in r] == [("m", "s", 2, 0.75, "C")]
     assert r[0]["r"] == pytest.approx(1.0)
     assert screening.overlap_screen(motifs, spectra.limit(0)).count() == 0
+    level = screening.overlap_screen(motifs, frame(spark, [("s", 100.0, 5.0), ("s", 200.0, 5.0)], "spectrum string, mz double, i double")).first()
+    assert (level["n"], level["r"]) == (2, 0.0)
 
 
 def test_near_is_complete(spark):

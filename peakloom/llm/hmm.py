@@ -3,8 +3,8 @@
 Tokens are the lower-cased words of a text and one end. All training tokens are counted. The `classes` - 1 most frequent
 tokens are classes of their own, all others share the last one, in which a token has the add-one estimate of its count. States are
 trained by Baum-Welch: expected counts are summed inside each task, across partitions by a grouped aggregation, and
-renormalised; each of the `rounds` rounds takes another part of the training documents, together all of them, cut into
-segments of SEGMENT tokens. Scoring runs the scaled forward recursion over each whole text, many texts at a time, so
+renormalised; each of the `rounds` rounds takes all training documents, cut into segments of SEGMENT tokens. They start
+from a model of `sample` segments. Scoring runs the scaled forward recursion over each whole text, many texts at a time, so
 log10 P(text) is exact under the model.
 
 The `head` most frequent tokens' counts are broadcast (a fixed number); rarer tokens meet their counts in a shuffle
@@ -206,7 +206,7 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int, rounds: int, seed: in
     for _ in range(sample_rounds if len(few[0]) else 0):
         model = renewed(*model.expected(*few), share)
     schema = "item int, " + ", ".join(f"s{k} double" for k in range(states))
-    for turn in range(rounds):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -218,9 +218,8 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int, rounds: int, seed: in
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), *(pa.array(np.ascontiguousarray(total[:, k])) for k in range(states))], ["item", *(f"s{k}" for k in range(states))])
 
-        part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == turn)
         # one row for each class and state, whatever the number of documents
-        rows = part.select("text").mapInArrow(sums, schema).groupBy("item").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).orderBy("item").toArrow()
+        rows = docs.select("text").mapInArrow(sums, schema).groupBy("item").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).orderBy("item").toArrow()
         if rows.num_rows:
             total = np.stack([rows[f"s{k}"].to_numpy() for k in range(states)], axis=1)
             model = renewed(total[0], total[1 : 1 + states], total[1 + states :], share)

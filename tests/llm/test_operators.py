@@ -246,6 +246,16 @@ def test_language_model(docs, texts, nothing):
     assert hmm.score(nothing).count() == 0
 
 
+def test_every_round_sees_all_training_text(docs, texts, monkeypatch):
+    learned = docs.filter("doc_id is not null")
+    vocab = hmm.vocabulary(hmm.token_counts(learned), 40, 16)
+    seen, renewed = [], hmm.renewed
+    monkeypatch.setattr(hmm, "renewed", lambda start, moves, emits, share: seen.append((start.sum(), emits.sum())) or renewed(start, moves, emits, share))
+    hmm.train(learned, vocab, 3, 3, sample_rounds=0)
+    known = [t for i, t, _ in texts if i is not None]
+    assert seen == [pytest.approx((len(known), sum(len(words(t)) + 1 for t in known)))] * 3
+
+
 def test_forward_recursion_sums_over_all_paths():
     import itertools
 

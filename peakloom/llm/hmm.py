@@ -1,14 +1,16 @@
-"""Language-model scores: a hidden Markov model over word classes, beside an add-one unigram base.
+"""Language-model scores: a hidden Markov model over all training tokens, beside an add-one unigram base.
 
 Tokens are the lower-cased words of a text and one end. All training tokens are counted. The `classes` - 1 most frequent
-tokens are classes of their own, all others share the last one, in which a token has the add-one estimate of its count. States are
+tokens are classes of their own, all others share the last one while the chain is trained. States are
 trained by Baum-Welch: expected counts are summed inside each task, across partitions by a grouped aggregation, and
 renormalised; each of the `rounds` rounds takes all training documents, cut into segments of SEGMENT tokens. They start
-from a model of `sample` segments. Scoring runs the scaled forward recursion over each whole text, many texts at a time, so
-log10 P(text) is exact under the model.
+from a model of `sample` segments. The last round also sums the expected counts by state of every token of the last
+class, from which that token gets emissions of its own: in each state, its share of the class is its expected count over
+the mean token's, add-one smoothed as the base is. Scoring runs the scaled forward recursion over each whole text, many
+texts at a time, so log10 P(text) is exact under the model.
 
-The `head` most frequent tokens' counts are broadcast (a fixed number); rarer tokens meet their counts in a shuffle
-join, once for each text they are in. Tokens are identified by 64-bit hashes.
+Counts and emissions of the `head` most frequent tokens are broadcast (a fixed number); rarer tokens meet theirs in a
+shuffle join, once for each text they are in. Tokens are identified by 64-bit hashes.
 
 Defined cases: null and empty texts are one end; a null doc_id is neither learned from nor held out; repeated rows are
 scored alike; with no training token every count is 0. Extra columns are ignored.
@@ -32,6 +34,8 @@ from .common import crc_rest, documents, settle
 END = np.int64(-0x61C8864680B583EB)
 SEGMENT = 128
 CHUNK = 1 << 22
+HELD_WORDS = 1 << 18
+UNIT = 4096  # expected counts of rare tokens are summed as whole numbers of 1 / UNIT, which take less room
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -112,8 +116,8 @@ class Model:
         out[order] = total
         return out
 
-    def expected(self, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions over segments (rows of classes, -1 behind the end)."""
+    def posteriors(self, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each place's probabilities of the states (place, segment, state) and expected moves, over segments (rows of classes, -1 behind the end)."""
         n, length = classes.shape
         states = len(self.start)
         real = classes >= 0
@@ -137,10 +141,15 @@ class Model:
                 moves += alpha[t - 1].T @ ahead
                 beta = ahead @ self.moves.T
                 beta[real[:, t - 1] & ~real[:, t]] = 1.0
-        mask = real.T
+        return gamma, moves * self.moves
+
+    def expected(self, classes: np.ndarray, first: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, moves and emissions over segments; found: their posteriors, where known."""
+        gamma, moves = self.posteriors(classes, first) if found is None else found
+        states, mask = len(self.start), (classes >= 0).T
         symbols = classes.T[mask]
         emits = np.stack([np.bincount(symbols, weights=gamma[..., s][mask], minlength=len(self.emits)) for s in range(states)], axis=1)
-        return gamma[0][first].sum(axis=0), moves * self.moves, emits
+        return gamma[0][first].sum(axis=0), moves, emits
 
 
 def initial(classes: int, states: int, share: np.ndarray, seed: int) -> Model:
@@ -194,8 +203,23 @@ def sample_segments(docs: DataFrame, words: Broadcast, limit: int) -> tuple[np.n
     return np.frombuffer(b"".join(found["kinds"].to_pylist()), np.int32).reshape(-1, SEGMENT).astype(np.int64), found["first"].to_numpy(zero_copy_only=False).astype(bool)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, states: int, rounds: int, seed: int = 3, sample: int = 2000, sample_rounds: int = 15) -> Model:
-    """Baum-Welch over docs (doc_id, text): from random parameters to a starting point on `sample` segments, then on all of docs."""
+def by_word(words: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and their rows of sums added up."""
+    words, at = np.unique(words, return_inverse=True)
+    return words, np.stack([np.bincount(at, weights=x, minlength=len(words)) for x in sums.T], axis=1)
+
+
+def emissions(sums: np.ndarray, rest: np.ndarray, vocab: Vocabulary, model: Model) -> np.ndarray:
+    """P(token | state) of tokens of the last class by their expected counts, whose totals are `rest`; 0 for tokens never seen."""
+    mean = rest / max(vocab.rest_total, 1)
+    return (sums / np.where(mean > 0, mean, 1.0) + 1.0) / vocab.rest_denominator * model.emits[-1]
+
+
+def train(docs: DataFrame, vocab: Vocabulary, states: int, rounds: int, seed: int = 3, sample: int = 2000, sample_rounds: int = 15) -> tuple[Model, DataFrame, np.ndarray]:
+    """Baum-Welch over docs (doc_id, text): from random parameters to a starting point on `sample` segments, then on all of docs.
+
+    Beside the model: (word, n, s0, s1, ...), count and expected counts by state (times UNIT) of the last class's tokens, and their totals by state.
+    """
     spark = docs.sparkSession
     classes = vocab.n_classes
     share = np.bincount(vocab.classes, weights=vocab.counts, minlength=classes).astype(float)
@@ -205,25 +229,53 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int, rounds: int, seed: in
     model, few = initial(classes, states, share, seed), sample_segments(docs, words, sample)
     for _ in range(sample_rounds if len(few[0]) else 0):
         model = renewed(*model.expected(*few), share)
-    schema = "item int, " + ", ".join(f"s{k} double" for k in range(states))
-    for _ in range(rounds):
+    schema = "item int, word bigint, n bigint, " + ", ".join(f"s{k} double, u{k} bigint" for k in range(states))
+
+    def of_classes(sums: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(sums), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), none, none, *(x for s in sums.T for x in (pa.array(np.ascontiguousarray(s)), none))], fields)
+
+    def of_words(found: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        none, whole = pa.nulls(len(sums), pa.float64()), np.rint(sums * np.array([1] + [UNIT] * states)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(sums), pa.int32()), pa.array(found), pa.array(np.ascontiguousarray(whole[:, 0])), *(x for s in whole.T[1:] for x in (none, pa.array(np.ascontiguousarray(s))))], fields)
+
+    fields = [x.split(" ")[0] for x in schema.split(", ")]
+    for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
-        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared, last=turn == rounds - 1) -> Iterator[pa.RecordBatch]:
             now, vocab, total = shared.value, words.value, None
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            merged = lambda: by_word(*(np.concatenate(x) for x in zip(*held, strict=True)))
             for b in batches:
-                for *_, kind, bounds in sequences(b["text"], vocab, T.CHUNK_BYTES):
-                    found = np.concatenate([x.reshape(-1, states) for x in now.expected(*segments(kind, bounds))])
+                for _, tokens, _, kind, bounds in sequences(b["text"], vocab, T.CHUNK_BYTES):
+                    cut, first = segments(kind, bounds)
+                    both = now.posteriors(cut, first)
+                    found = np.concatenate([x.reshape(-1, states) for x in now.expected(cut, first, both)])
                     total = found if total is None else total + found
+                    if last:
+                        of_rest = cut.T == vocab.n_classes - 1
+                        own = both[0][of_rest]
+                        held.append(by_word(segments(tokens, bounds)[0].T[of_rest], np.concatenate([np.ones((len(own), 1)), own], axis=1)))
+                        if sum(len(x) for x, _ in held) > HELD_WORDS:
+                            yield of_words(*merged())
+                            held.clear()
+            if held:
+                yield of_words(*merged())
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), *(pa.array(np.ascontiguousarray(total[:, k])) for k in range(states))], ["item", *(f"s{k}" for k in range(states))])
-
-        # one row for each class and state, whatever the number of documents
-        rows = docs.select("text").mapInArrow(sums, schema).groupBy("item").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).orderBy("item").toArrow()
-        if rows.num_rows:
-            total = np.stack([rows[f"s{k}"].to_numpy() for k in range(states)], axis=1)
+                yield of_classes(total)
+
+        # one row for each class and state, whatever the number of documents; in the last round one for each token too
+        rows = docs.select("text").mapInArrow(sums, schema).groupBy("item", "word").agg(*(F.sum(x).alias(x) for x in fields[2:]))
+        if turn == rounds - 1:
+            rows = settle(rows, "hmm-lexicon")
+        found = rows.filter("item is not null").orderBy("item").toArrow()
+        if found.num_rows:
+            total = np.stack([found[f"s{k}"].to_numpy() for k in range(states)], axis=1)
             model = renewed(total[0], total[1 : 1 + states], total[1 + states :], share)
-    return model
+    lexicon = rows.filter("item is null").select("word", "n", *(F.col(f"u{k}").alias(f"s{k}") for k in range(states)))
+    rest = np.array(lexicon.agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in range(states))).first(), dtype=float)
+    return model, lexicon, rest
 
 
 def score(docs: DataFrame, head: int = 65536, classes: int = 1024, states: int = 8, rounds: int = 3, modulus: int = 7) -> DataFrame:
@@ -233,66 +285,75 @@ def score(docs: DataFrame, head: int = 65536, classes: int = 1024, states: int =
     learned = docs.filter(crc_rest("doc_id", modulus) != 2)
     counts = settle(token_counts(learned), "hmm-counts")
     vocab = vocabulary(counts, head, classes)
-    words, shared = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(train(learned, vocab, states, rounds))
+    model, lexicon, rest = train(learned, vocab, states, rounds)
+    words = spark.sparkContext.broadcast(vocab)
+    numbers = lambda b: np.stack([b[f"s{k}"].to_numpy() for k in range(states)], axis=1)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = words.value, shared.value
-        logs = np.log10(np.append(vocab.counts + 1.0, 1.0))
-        number, part = 0, TaskContext.get().partitionId()
+    def of_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w, tokens, index, kind, bounds in sequences(b["text"], vocab):
-                known = index >= 0
-                log = np.where(known, logs[index], 0.0)
-                rest = kind == vocab.n_classes - 1
-                base = T.reduce_by_text(np.add, np.where(known, log - np.log10(vocab.base_denominator), 0.0), bounds)
-                own = T.reduce_by_text(np.add, np.where(rest, log - np.log10(vocab.rest_denominator), 0.0), bounds)
-                rare = np.flatnonzero(~known)
+            yield b.filter(pa.array(words.value.lookup(b["word"].to_numpy())[0] >= 0))
+
+    top = lexicon.mapInArrow(of_head, lexicon.schema).toArrow()
+    table = model.emits[vocab.classes]
+    sums = np.zeros((len(table), states))
+    sums[vocab.lookup(top["word"].to_numpy())[0]] = numbers(top)
+    in_rest = vocab.classes == vocab.n_classes - 1
+    table[in_rest] = emissions(sums[in_rest], rest, vocab, model)
+    shared = spark.sparkContext.broadcast((model, rest, table))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(words.value.lookup(b["word"].to_numpy())[0] < 0))
+            yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array([x.tobytes() for x in numbers(b).astype(np.float32)], pa.binary())], ["word", "n", "own"])
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, number, part = words.value, 0, TaskContext.get().partitionId()
+        for b in batches:
+            for w, tokens, index, _, bounds in sequences(b["text"], vocab):
+                rare = np.flatnonzero(index < 0)
                 owner = np.repeat(np.arange(w.n), np.diff(bounds))[rare]
                 order = np.lexsort((tokens[rare], owner))
                 rare_words, owner = tokens[rare][order], owner[order]
                 new = np.ones(len(owner), dtype=bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (rare_words[1:] != rare_words[:-1])
                 first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(owner)))
                 cuts = np.searchsorted(owner[first], np.arange(w.n + 1))
+                index[rare[order]] = cuts[owner] - np.cumsum(new)  # -1, -2, ...: places in the text's own list
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((np.int64(part) << 36) + number + np.arange(w.n)),
-                        b["doc_id"].slice(w.first, w.n),
-                        pa.array(np.diff(bounds).astype(np.int64)),
-                        pa.array(T.reduce_by_text(np.add, known.astype(np.int64), bounds)),
-                        pa.array(base),
-                        pa.array(own + model.logs(kind, bounds) / np.log(10)),
-                        T.lists(rare_words[first], cuts, pa.int64()),
-                        T.lists(times.astype(np.int32), cuts, pa.int32()),
-                    ],
-                    NAMES,
+                    [pa.array((np.int64(part) << 36) + number + np.arange(w.n)), b["doc_id"].slice(w.first, w.n), T.lists(index.astype(np.int32), bounds, pa.int32()), T.lists(rare_words[first], cuts, pa.int64())],
+                    ["row", "doc_id", "tokens", "rare"],
                 )
                 number += w.n
 
-    scored = settle(docs.mapInArrow(rows, SCORED), "hmm-scored")
-    rare = scored.select("row", F.inline(F.arrays_zip("rare", "times"))).withColumnsRenamed({"rare": "word"})
-    c = F.coalesce("n", F.lit(0))
-    found = (
-        rare.join(counts, "word", "left")
-        .groupBy("row")
-        .agg(F.sum("times").alias("n_rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(c + 1.0)).alias("rare_log"))
-    )
-    out = scored.drop("rare", "times").join(found, "row", "left")
-    zero, log = F.coalesce("n_rare", F.lit(0)), F.coalesce("rare_log", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        F.coalesce(crc_rest("doc_id", modulus) == 2, F.lit(False)).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(vocab.total).cast("long").alias("train_tokens"),
-        (F.col("base") + log - zero * float(np.log10(vocab.base_denominator))).alias("base_score"),
-        (F.col("model") + log).alias("score"),
-    )
-
-
-SCORED = "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, model double, rare array<bigint>, times array<int>"
-NAMES = [x.split(" ")[0] for x in SCORED.split(", ")]
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, (model, rest, table) = words.value, shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            index = b["tokens"].flatten().to_numpy().astype(np.int64)
+            n = b["tokens"].value_lengths().to_numpy().astype(np.int64)
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            own = np.maximum(-T.reduce_by_text(np.minimum, index, bounds), 0)  # length of each text's own list
+            ahead = np.concatenate([[0], np.cumsum(own)])
+            index = np.where(index >= 0, index, len(table) + np.repeat(ahead[:-1], n) - 1 - index)
+            sums, counts = np.zeros((ahead[-1], states)), np.zeros(ahead[-1], dtype=np.int64)
+            found = b["found"].flatten()
+            at = np.repeat(ahead[:-1], b["found"].value_lengths().fill_null(0).to_numpy()) + found.field("at").to_numpy()
+            sums[at] = np.frombuffer(b"".join(found.field("own").to_pylist()), np.float32).reshape(-1, states)
+            counts[at] = found.field("n").to_numpy()
+            seen = np.concatenate([vocab.counts, counts])[index]
+            logs = Model(model.start, model.later, model.moves, np.concatenate([table, emissions(sums, rest, vocab, model)])).logs(index, bounds)
+            base = T.reduce_by_text(np.add, np.log10(seen + 1.0), bounds) - n * np.log10(vocab.base_denominator)
+            known = T.reduce_by_text(np.add, (seen > 0).astype(np.int64), bounds)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(known), pa.array(base), pa.array(logs / np.log(10))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    texts = settle(docs.mapInArrow(indexed, "row bigint, doc_id bigint, tokens array<int>, rare array<bigint>"), "hmm-tokens")
+    own = lexicon.mapInArrow(packed, "word bigint, n bigint, own binary")
+    met = texts.select("row", F.posexplode("rare").alias("at", "word")).join(own, "word")
+    lists = met.groupBy("row").agg(F.collect_list(F.struct("at", "n", "own")).alias("found"))
+    out = texts.drop("rare").join(lists, "row", "left").drop("row").mapInArrow(scored, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    held = F.coalesce(crc_rest("doc_id", modulus) == 2, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

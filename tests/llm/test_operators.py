@@ -246,6 +246,27 @@ def test_language_model(docs, texts, nothing):
     assert hmm.score(nothing).count() == 0
 
 
+def test_rare_words_have_emissions_of_their_own(spark):
+    import random
+
+    rng = random.Random(2)
+    text = lambda k: " ".join(f"{'xy'[k % 2]} {'xy'[k % 2]}{rng.randint(0, 30)}" for _ in range(60))
+    pair = ("x x3 x x4 x x5 x x6", "x y3 x y4 x y5 x y6")
+    held = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    df = spark.createDataFrame([(k, text(k)) for k in range(120)] + list(zip(held, pair, strict=True)), "doc_id long, text string")
+    one, other = (hmm.score(df, head=head, classes=4, states=3) for head in (5, 10_000))  # met in the join, broadcast
+    scores = {r["doc_id"]: r["score"] for r in one.collect()}
+    assert scores == pytest.approx({r["doc_id"]: r["score"] for r in other.collect()})
+    assert scores[held[0]] > scores[held[1]] + 1
+    learned = df.filter("doc_id < 1000")
+    vocab = hmm.vocabulary(hmm.token_counts(learned), 5, 4)
+    model, lexicon, rest = hmm.train(learned, vocab, 3, 2)
+    found = lexicon.toPandas()
+    assert len(found) == vocab.rest_distinct and found["n"].sum() == vocab.rest_total
+    shares = hmm.emissions(np.vstack([found[["s0", "s1", "s2"]].to_numpy(), np.zeros(3)]), rest, vocab, model)
+    assert shares.sum(axis=0) == pytest.approx(model.emits[-1])
+
+
 def test_every_round_sees_all_training_text(docs, texts, monkeypatch):
     learned = docs.filter("doc_id is not null")
     vocab = hmm.vocabulary(hmm.token_counts(learned), 40, 16)

@@ -1,7 +1,8 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-Every source's documents are shuffled by hash and their words laid end to end, cut into blocks of equal length. Slot i
-of the schedule is given to the source whose share of the cumulative targets holds the golden-ratio point frac(i * phi);
+Every source's documents are shuffled by hash and their words laid end to end, cut into blocks of equal length, shorter
+ones where a source's target would else be less than SOURCE_SLOTS blocks (one word at least). Slot i
+of the schedule is given to the source whose share of the cumulative blocks wanted holds the golden-ratio point frac(i * phi);
 the k-th slot of a source takes its block k modulo its number of blocks, so a source is never read a second time before
 it has been read once. The result is the list of pieces (slot, document, first and last word), which a writer can read
 in slot order.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, settle, text_key
 
 GOLDEN = 0.6180339887498949
-SLOTS = 1 << 20  # about how many slots a schedule has: targets are met to a few parts in a million
+SLOTS = 1 << 20  # about how many slots a schedule has, besides those of small sources
+SOURCE_SLOTS = 1024  # the least number a source has, if it has as many words: targets are met to a few blocks
 GRID = 1024
 CHUNK = 4096
 BUCKET_ROWS = 20_000
@@ -65,17 +67,17 @@ def sized(docs: DataFrame, text: str, source: str, key: str, row: Column) -> Dat
     )
 
 
-def schedule(plan: DataFrame, block_words: int, slots: int) -> DataFrame:
+def schedule(plan: DataFrame, slots: int) -> DataFrame:
     """(slot, sid, block): which block of which source each slot takes."""
     spark = plan.sparkSession
     running = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("target").over(Window.partitionBy())
-    shares = plan.withColumn("high", F.sum("target").over(running) / total).withColumn("low", F.col("high") - F.col("target") / total)
+    wanted = F.col("target") / F.col("block_words")
+    shares = plan.withColumn("high", F.sum(wanted).over(running) / F.sum(wanted).over(Window.partitionBy()))
     last = F.max("sid").over(Window.partitionBy())
     shares = (
         shares.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("sid")), F.lit(0.0)))
         .withColumn("high", F.when(F.col("sid") == last, F.lit(2.0)).otherwise(F.col("high")))
-        .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block_words)))
+        .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")))
         .withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") * GRID), F.floor(F.least(F.col("high"), F.lit(0.999999)) * GRID))))
         .select("sid", "low", "high", "blocks", "bin")
     )
@@ -96,7 +98,7 @@ def schedule(plan: DataFrame, block_words: int, slots: int) -> DataFrame:
 
 def laid_out(rows: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
     """rows with sid, bucket, seq and start: the words of the same source before each document in the shuffled order."""
-    rows = rows.join(plan.select(F.col("source").alias("its_source"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+    rows = rows.join(plan.select(F.col("source").alias("its_source"), "sid", "source_size", "target", "block_words"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("place", 7), F.lit(buckets)))
     inside = Window.partitionBy("sid", "bucket").orderBy("place", "doc_id", "row_key")
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,15 +112,18 @@ def pieces(docs: DataFrame, text: str = "text", source: str = "source", key: str
     rows = settle(sized(docs, text, source, key, F.lit("") if row is None else row), "mix-sizes")
     plan = settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), share, cap, weights), "mix-targets")
     total, n_docs = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
-    block_words = max(1, int(total // slots))
+    block_words = F.greatest(F.lit(1), F.least(F.lit(int(total // slots)), F.floor(F.col("target") / SOURCE_SLOTS))).cast("long")
+    plan = plan.withColumn("block_words", block_words)
+    slots = round(plan.agg(F.coalesce(F.sum(F.col("target") / F.col("block_words")), F.lit(0.0))).first()[0])
+    block = F.col("block_words")
     laid = settle(laid_out(rows, plan, max(16, n_docs // BUCKET_ROWS)), "mix-layout")
     cut = (
         laid.filter(F.col("size") > 0)
-        .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))))
-        .withColumn("low", F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0)))
-        .withColumn("high", F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size")))
+        .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
+        .withColumn("low", F.greatest(F.col("block") * block - F.col("start"), F.lit(0)))
+        .withColumn("high", F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")))
     )
-    out = cut.join(schedule(plan, block_words, round(total / block_words)), ["sid", "block"])
+    out = cut.join(schedule(plan, slots), ["sid", "block"])
     return laid, out.select("slot", "sid", "bucket", "seq", "doc_id", "row_key", "low", "high")
 
 

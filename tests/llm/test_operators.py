@@ -174,6 +174,17 @@ def test_mixing(docs, texts, nothing):
     assert mixing.taken(*mixing.pieces(nothing)).count() == 0
 
 
+def test_small_sources_meet_their_targets_beside_large_blocks(spark):
+    data = [(k, "w " * 999 + "w", "big") for k in range(300)] + [(1000 + k, "w " * 9 + "w", "few") for k in range(70)] + [(2000, "w " * 40, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got, target = collections.Counter(), {}
+    for r in mixing.taken(*mixing.pieces(df, slots=64)).collect():
+        got[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(got[s] - target[s]) <= max(4, 0.02 * target[s]) for s in target if s != "big")
+    assert abs(got["big"] - target["big"]) <= 0.1 * target["big"]
+
+
 def test_resample_repeats_rows(docs, texts):
     out = mixing.resample(docs)
     assert out.columns == docs.columns

@@ -10,8 +10,8 @@ For inner products the vectors are first extended by sqrt(M**2 - |v|**2), where
 by angle is the one with the largest product; queries are extended by 0.
 
 Rows and queries meet on (tree, leaf); crowded leaves are cut into blocks by hash on both sides and every pair of blocks is
-a group, so a vector that a third of all rows hold is many groups. A group returns each query's best `k` rows, which is
-all that the final ranking over groups can use.
+a group, so a vector that a third of all rows hold is many groups, and so is a vec_id with many vectors. Equal rows are
+made one before that. A group returns each query's best `k` distinct vec_ids, which is all that the final ranking over groups can use.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null, NaN or infinite components
 take no part on either side, as do rows with a null vec_id; rows of the query's own vec_id are no candidates; a vec_id on
@@ -143,13 +143,16 @@ def best(table: pa.Table, k: int) -> pa.Table:
     query = table["query"].to_numpy()
     ids, v = table["vec_id"].to_numpy(), matrix(table["v"].combine_chunks())
     q, qi, x, xi = v[query], ids[query], v[~query], ids[~query]
+    by_id = np.argsort(xi, kind="stable")
+    x, xi = x[by_id], xi[by_id]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(q) and len(x):
         near = q @ x.T
         near[qi[:, None] == xi[None, :]] = -np.inf
         slack = 1e-9 * (np.abs(near[np.isfinite(near)]).max() if np.isfinite(near).any() else 0)
-        n = min(k, len(x))
-        least = np.partition(near, len(x) - n, axis=1)[:, len(x) - n]
+        top = np.maximum.reduceat(near, np.flatnonzero(np.diff(xi, prepend=xi[0] - 1)), axis=1)  # one column for each vec_id
+        n = min(k, top.shape[1])
+        least = np.partition(top, top.shape[1] - n, axis=1)[:, top.shape[1] - n]
         for row in range(len(q)):
             at = np.flatnonzero((near[row] >= least[row] - slack) & (near[row] > -np.inf))
             exact = (x[at] * q[row]).sum(axis=1)  # summed alike for equal vectors, unlike a product of blocks
@@ -165,7 +168,7 @@ def best(table: pa.Table, k: int) -> pa.Table:
 def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf_rows: int = 128, sample_rows: int = 20_000, search_share: float = 0.14, seed: int = 11, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of df found for each row of queries."""
     spark = df.sparkSession
-    rows, asked = vectors(df, key, vector), vectors(queries, key, vector)
+    rows, asked = vectors(df, key, vector).distinct(), vectors(queries, key, vector).distinct()
     shared = spark.sparkContext.broadcast(fit(rows, trees, leaf_rows, sample_rows, seed))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +194,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf
     blocks = lambda d, n, name: d.groupBy("leaf").agg(F.ceil(F.count("*") / n).alias(name))
     crowd = settle(blocks(held, BLOCK_ROWS, "row_blocks").join(blocks(wanted, BLOCK_QUERIES, "query_blocks"), "leaf"), "forest-leaves")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("vec_id", "leaf"), F.col(n))
+    mine = lambda n: F.pmod(F.xxhash64("vec_id", "v", "leaf"), F.col(n))
     left = held.join(crowd, "leaf").select("leaf", mine("row_blocks").alias("row_block"), spread("query_blocks").alias("query_block"), F.lit(False).alias("query"), "vec_id", "v")
     right = wanted.join(crowd, "leaf").select("leaf", spread("row_blocks").alias("row_block"), mine("query_blocks").alias("query_block"), F.lit(True).alias("query"), "vec_id", "v")
     found = left.unionByName(right).groupBy("leaf", "row_block", "query_block").applyInArrow(lambda table: best(table, k), "query_id bigint, vec_id bigint, score double")

@@ -385,3 +385,17 @@ def test_neighbours(spark):
         hit += len(set(best) & {k for k, _ in got[q]})
     assert hit >= 0.9 * 300
     assert neighbours.search(df.limit(0), df).count() == 0
+
+
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6)).astype(np.float32)
+    crowd = [(60, (x[0] + k * 0.01).tolist()) for k in range(40)]  # one vec_id of many vectors near the query
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] * 3 + crowd, "vec_id long, embedding array<float>")
+    out = neighbours.search(df, df.filter("vec_id = 0"), k=20, search_share=2.0)
+    s = {k: float(x[k].astype(float) @ x[0].astype(float)) for k in range(1, 60)}
+    s[60] = max(float(np.array(v, np.float32).astype(float) @ x[0].astype(float)) for _, v in crowd)
+    expected = sorted(s, key=lambda k: -s[k])[:20]
+    assert [r["vec_id"] for r in out.orderBy("rank").collect()] == expected
+    table = lambda d: pa.table({"query": [True] + [False] * len(d), "vec_id": [99] + [k for k, _ in d], "v": [[1.0, 0.0]] + [v for _, v in d]})
+    assert neighbours.best(table([(1, [9.0, k]) for k in range(30)] + [(k, [1.0 * k, 0.0]) for k in range(2, 6)]), 3)["vec_id"].to_pylist() == [1, 5, 4]

@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 For every word length that an item has, each window of that many words of a document is compared with the items of that
-length. A window gets a 64-bit SimHash of its 5-word shingles; fingerprints are cut into BLOCKS blocks, and an item is
+length; a document with fewer words is one window, all of it. A window gets a 64-bit SimHash of its 5-word shingles; fingerprints are cut into BLOCKS blocks, and an item is
 a candidate if any block is equal, which by the pigeonhole principle finds all fingerprints within BLOCKS - 1 bits.
 Candidates within that radius are verified by the exact weighted-shingle similarity: sum of least over sum of greatest
 shingle counts, at least `threshold`.
@@ -108,6 +108,11 @@ class Items:
                 at = np.flatnonzero(total[n:] - total[:-n] >= threshold * n - 1e-9)
                 starts.append(at)
                 sizes.append(np.full(len(at), size))
+            elif size >= self.n:
+                own, n = len(hashes) - self.n + 1, size - self.n + 1
+                if own > 0 and total[-1] >= threshold * (own + n) / (1 + threshold) - 1e-9:
+                    starts.append(np.array([0]))
+                    sizes.append(np.array([size]))
             elif size <= len(hashes):
                 grams = T.gram_hashes(hashes, size)
                 for k, item_size in enumerate(self.lengths):
@@ -115,13 +120,14 @@ class Items:
                         best[k] = (1.0, int(at[0]), size)
         if starts and sum(map(len, starts)):
             start, size = np.concatenate(starts), np.concatenate(sizes)
+            span = np.minimum(size, len(hashes))
             shingles = T.gram_hashes(hashes, self.n)
-            first, last = int(start.min()), int((start + size).max()) - self.n + 1
-            prints = fingerprints(bit_sums(shingles[first:last]), start - first, start - first + size - self.n + 1)
+            first, last = int(start.min()), int((start + span).max()) - self.n + 1
+            prints = fingerprints(bit_sums(shingles[first:last]), start - first, start - first + span - self.n + 1)
             for w, k in zip(*(x.tolist() for x in self.candidates(prints, size)), strict=True):
-                s = self.similarity(shingles[start[w] : start[w] + size[w] - self.n + 1], k)
+                s = self.similarity(shingles[start[w] : start[w] + span[w] - self.n + 1], k)
                 if s >= threshold - 1e-9 and (k not in best or (-s, start[w]) < (-best[k][0], best[k][1])):
-                    best[k] = (s, int(start[w]), int(size[w]))
+                    best[k] = (s, int(start[w]), int(span[w]))
         return [(self.ids[k], at, n, s) for k, (s, at, n) in sorted(best.items())]
 
     def scan(self, column: pa.Array, threshold: float) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:

@@ -135,6 +135,16 @@ def test_decontamination(spark, docs, texts, nothing):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    item = [f"w{k}" for k in range(40)]
+    texts = [" ".join(item[:-1]), " ".join(item[1:]), " ".join(item[:33]), " ".join(item[:30]), " ".join(item), "w0 w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: (r["start"], r["n_words"], r["similarity"]) for r in decontaminate.leaks(df, bench).collect()}
+    assert found == {0: (0, 39, pytest.approx(35 / 36)), 1: (0, 39, pytest.approx(35 / 36)), 2: (0, 33, pytest.approx(29 / 36)), 4: (0, 40, 1.0)}
+    assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == {3, 5}
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(2)
     items = decontaminate.Items(list(range(200)), [" ".join(f"w{x}" for x in rng.integers(0, 999, 20)) for _ in range(200)])

@@ -11,7 +11,6 @@ import pytest
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -37,13 +36,9 @@ def spark(tmp_path_factory):
 def duck():
     import duckdb
 
+    from core_helpers import DATA
+
     c = duckdb.connect()
     for f in Path(DATA).glob("*.parquet"):
         c.execute(f"create view {f.stem} as select * from read_parquet('{f}')")
     return c
-
-
-def same_rows(df, table) -> bool:
-    names = sorted(table.column_names)
-    assert sorted(df.columns) == names
-    return sorted(map(repr, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(repr, zip(*[table[n].to_pylist() for n in names], strict=True)))

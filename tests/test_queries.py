@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA, same_rows
+from core_helpers import DATA, same_rows
 
 from peakloom import queries
 from peakloom.plans.compiler import run

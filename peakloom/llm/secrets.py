@@ -1,14 +1,20 @@
 """Secret scans: pattern spans, and grammars inferred from labelled credentials.
 
-For each label of the training credentials a prefix tree of its strings is built and its statistically compatible
-states are merged (red-blue order, Hoeffding bound on the frequencies of ends and successors), which leaves a
-probabilistic automaton. The label's common prefix is literal; after it, punctuation that the format fixes is a symbol of
-its own and every other character is one symbol, whose character classes have the label's frequencies.
-Every run of credential characters in every text is then scored: the log-likelihood under each automaton against that
-under a background of ordinary text, per character. Runs above the threshold are `grammar` spans.
-
-Defined cases: null and empty texts have no spans; positions are code points; repeated rows give repeated results;
-where two labels score alike the first in order of name is reported. A run inside a base span adds no span.
+Characters of credentials are symbols of a few classes. For each label of the training credentials the common prefix is
+literal; of the rest a prefix tree of class symbols is built, and its statistically compatible states are merged (red-blue
+order, Hoeffding bound on the frequencies of ends and successors). That leaves a probabilistic automaton with loops,
+whose states emit classes and ends with frequencies of their own, so lengths between and beyond the labelled ones are found.
+
+Candidates are, in every run of credential characters of every text: each occurrence of a label's literal prefix,
+anywhere in the run, and, for labels without a prefix, the start of each stretch of the label's own characters. A candidate's
+score is the log-likelihood of the best end, under the automaton, against a Markov chain of classes learned from
+all the given texts, mixed with a small even share; from `threshold` nats on it is a `grammar` span. There is no least length: evidence grows with it.
+Runs whose sum of each character's largest possible gain stays below the threshold are passed over, which loses none.
+
+Defined cases: null and empty texts have no spans; positions are code points; repeated rows give repeated results; of
+overlapping candidates the best score wins, then the first start, then the first label in order of name; a
+candidate that overlaps a base span adds no span; an empty table gives an empty result; a text of any length is one Python
+string and a few arrays of its bytes; a column called `found` is replaced, all others are carried.
 """
 
 from __future__ import annotations
@@ -18,90 +24,94 @@ import math
 import random
 import re
 import string
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import textops as T
 from .common import documents
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 or more: runs are maximal
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-# Publicly documented shapes of credentials, as prefix, lengths and alphabet of each part.
 BASE62 = string.ascii_letters + string.digits
+# Publicly documented shapes of credentials, as prefix, least and greatest length and alphabet of each part.
 SHAPES = {
-    "cloud-access-key": [("AKIA", 16, string.ascii_uppercase + "234567")],
-    "cloud-secret-key": [("", 40, BASE62 + "+/")],
-    "code-host-token": [("ghp_", 36, BASE62)],
-    "code-host-pat": [("glpat-", 20, BASE62 + "-_")],
-    "hex-128": [("", 32, "0123456789abcdef")],
-    "hex-160": [("", 40, "0123456789abcdef")],
-    "hex-256": [("", 64, "0123456789abcdef")],
-    "map-api-key": [("AIza", 35, BASE62 + "-_")],
-    "payment-key": [("sk_live_", 24, BASE62)],
-    "signed-token": [("eyJ", 33, BASE62), (".eyJ", 60, BASE62 + "-_"), (".", 43, BASE62 + "-_")],
-    "chat-token": [("xoxb-", 12, string.digits), ("-", 12, string.digits), ("-", 24, BASE62)],
+    "chat-token": [("xoxb-", 10, 13, string.digits), ("-", 10, 13, string.digits), ("-", 24, 32, BASE62)],
+    "cloud-access-key": [("AKIA", 12, 28, string.ascii_uppercase + "234567")],
+    "cloud-secret-key": [("", 36, 48, BASE62 + "+/")],
+    "code-host-pat": [("glpat-", 20, 40, BASE62 + "-_")],
+    "code-host-token": [("ghp_", 30, 60, BASE62)],
+    "hex-key": [("", 24, 72, "0123456789abcdef")],
+    "map-api-key": [("AIza", 30, 40, BASE62 + "-_")],
+    "package-token": [("npm_", 30, 44, BASE62)],
+    "payment-key": [("sk_live_", 20, 99, BASE62)],
+    "signed-token": [("eyJ", 20, 60, BASE62), (".eyJ", 30, 120, BASE62 + "-_"), (".", 27, 86, BASE62 + "-_")],
 }
-# Log-probabilities of character classes in ordinary words.
-BACKGROUND = {k: math.log(v) for k, v in {"h": 0.30, "l": 0.60, "U": 0.03, "d": 0.02, ".": 0.02, "-": 0.015, "/": 0.005, "_": 0.005, "=": 0.0025, "+": 0.0025}.items()}
-CLASS = {c: "h" for c in "abcdef"} | {c: "l" for c in string.ascii_lowercase[6:]} | {c: "U" for c in string.ascii_uppercase} | {c: "d" for c in string.digits}
-#: Characters of a class: a class's probability is spread over them on both sides of the ratio, so they cancel.
-FLOOR = math.log(1e-4)
+# The classes of credential characters; a class's probability is spread evenly over its characters.
+CLASSES = ("abcdef", string.ascii_lowercase[6:], string.ascii_uppercase, string.digits, ".", "-", "/", "_", "=", "+")
+KIND = np.zeros(256, dtype=np.int64)  # 0: no credential character
+for _number, _members in enumerate(CLASSES, 1):
+    KIND[np.frombuffer(_members.encode(), np.uint8)] = _number
+N_KINDS = len(CLASSES) + 1
+SPREAD = [0.0, *(math.log(len(x)) for x in CLASSES)]
+# Ordinary text, from which the background starts; it counts as PRIOR_PAIRS pairs of characters, so that few texts don't rule it.
+ORDINARY = "The quick brown foxes, some 12 of them (see Table 3-B), ran past https://www.example.org/path/index.html in 2024 and said: it is well-known that file_name.txt isn't here. "
+PRIOR_PAIRS = 100_000
+NEVER = -math.inf
+CUT = 7.0  # what it costs, in nats, to end a credential before a character that its label has too
+RARE = 0.05  # the share of the background that is spread evenly over the classes: no single step tells more than some 5 nats
 
 
 def labelled_credentials(per_label: int = 200, seed: int = 7) -> list[tuple[str, str]]:
-    """The default training set: credentials drawn from the public shapes."""
+    """The default training set: credentials drawn from the public shapes, of every length between their bounds."""
     rng = random.Random(seed)
-    return [(label, "".join(prefix + "".join(rng.choices(alphabet, k=n)) for prefix, n, alphabet in parts)) for label, parts in SHAPES.items() for _ in range(per_label)]
+    draw = lambda parts: "".join(prefix + "".join(rng.choices(alphabet, k=rng.randint(low, high))) for prefix, low, high, alphabet in parts)
+    return [(label, draw(parts)) for label, parts in SHAPES.items() for _ in range(per_label)]
+
+
+def kinds(s: str) -> list[int]:
+    return KIND[np.frombuffer(s.encode("ascii", "replace"), np.uint8)].tolist()
 
 
 class Automaton:
-    """A deterministic probabilistic automaton by state merging, and how often its label has each character class."""
+    """A literal prefix, then a deterministic probabilistic automaton over classes, by state merging."""
 
     def __init__(self, strings: list[str], alpha: float = 0.05) -> None:
         first, last = min(strings), max(strings)
         self.prefix = first[: next((i for i, (a, b) in enumerate(zip(first, last, strict=False)) if a != b), min(len(first), len(last)))]
-        rests = [s[len(self.prefix) :] for s in strings]
-        marks = {c for s in rests for c in s if c not in CLASS}
-        #: punctuation that every string has equally often is part of the format; the rest is part of random stretches
-        self.fixed = {c for c in marks if len({s.count(c) for s in rests}) == 1}
-        body = Counter(CLASS.get(c, c) for s in rests for c in s if c not in self.fixed)
-        self.classes = {c: math.log(n / body.total()) for c, n in body.items()}
-        self.next: list[dict[str, int]] = [{}]
-        self.through: list[dict[str, int]] = [{}]
+        self.to: list[dict[int, int]] = [{}]
+        self.through: list[dict[int, int]] = [{}]
         self.ends: list[int] = [0]
-        for s in rests:
-            self._insert([c if c in self.fixed else "w" for c in s])
-        self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
-        self.steps = []
-        self.stops = []
-        for node, nexts in enumerate(self.next):
+        for s in strings:
+            self._insert(kinds(s[len(self.prefix) :]))
+        self.tree_states = len(self.to)
+        self.alphabet = {k for node in self.through for k in node}
+        red = self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
+        self.states = len(red)
+        # steps[state][class]: (log-probability, next state) or None; stops[state]: log-probability of the end
+        number = {node: at for at, node in enumerate(red)}
+        self.steps: list[list[tuple[float, int] | None]] = []
+        self.stops: list[float] = []
+        for node in red:
             total = max(self._count(node), 1)
-            self.steps.append({c: (math.log(self.through[node][c] / total), to) for c, to in nexts.items()})
-            self.stops.append(math.log(self.ends[node] / total) if self.ends[node] else None)
-
-    @property
-    def states(self) -> int:
-        seen, todo = {0}, [0]
-        while todo:
-            todo += (fresh := {to for _, to in self.steps[todo.pop()].values()} - seen)
-            seen |= fresh
-        return len(seen)
-
-    def _insert(self, symbols: list[str]) -> None:
+            self.steps.append([(math.log(self.through[node][k] / total), number[self.to[node][k]]) if k in self.to[node] else None for k in range(N_KINDS)])
+            self.stops.append(math.log(self.ends[node] / total) if self.ends[node] else NEVER)
+
+    def _insert(self, symbols: list[int]) -> None:
         node = 0
-        for c in symbols:
-            if c not in self.next[node]:
-                self.next[node][c] = len(self.next)
-                self.next.append({})
+        for k in symbols:
+            if k not in self.to[node]:
+                self.to[node][k] = len(self.to)
+                self.to.append({})
                 self.through.append({})
                 self.ends.append(0)
-            self.through[node][c] = self.through[node].get(c, 0) + 1
-            node = self.next[node][c]
+            self.through[node][k] = self.through[node].get(k, 0) + 1
+            node = self.to[node][k]
         self.ends[node] += 1
 
     def _count(self, node: int) -> int:
@@ -112,16 +122,16 @@ class Automaton:
         while pairs:
             a, b = pairs.pop()
             n, m = self._count(a), self._count(b)
-            if not n or not m:
-                continue
             margin = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if margin >= 1 and min(n, m) == 1:
+                continue  # one string tells nothing, nor does what follows it
             if abs(self.ends[a] / n - self.ends[b] / m) > margin:
                 return False
-            for c in self.through[a].keys() | self.through[b].keys():
-                if abs(self.through[a].get(c, 0) / n - self.through[b].get(c, 0) / m) > margin:
+            for k in self.through[a].keys() | self.through[b].keys():
+                if abs(self.through[a].get(k, 0) / n - self.through[b].get(k, 0) / m) > margin:
                     return False
-                if c in self.next[a] and c in self.next[b]:
-                    pairs.append((self.next[a][c], self.next[b][c]))
+                if k in self.to[a] and k in self.to[b]:
+                    pairs.append((self.to[a][k], self.to[b][k]))
         return True
 
     def _fold(self, red: int, blue: int) -> None:
@@ -129,48 +139,158 @@ class Automaton:
         while pairs:
             a, b = pairs.pop()
             self.ends[a] += self.ends[b]
-            for c, n in self.through[b].items():
-                self.through[a][c] = self.through[a].get(c, 0) + n
-                if c in self.next[a]:
-                    pairs.append((self.next[a][c], self.next[b][c]))
+            for k, n in self.through[b].items():
+                self.through[a][k] = self.through[a].get(k, 0) + n
+                if k in self.to[a]:
+                    pairs.append((self.to[a][k], self.to[b][k]))
                 else:
-                    self.next[a][c] = self.next[b][c]
-
-    def _merge(self, bound: float) -> None:
-        red, edges = [0], [(0, c) for c in sorted(self.next[0])]
-        while edges:
-            parent, c = edges.pop(0)
-            blue = self.next[parent][c]
-            if blue in red:
-                continue
-            home = next((r for r in red if self._compatible(r, blue, bound)), None)
+                    self.to[a][k] = self.to[b][k]
+
+    def _merge(self, bound: float) -> list[int]:
+        """The states that are left, the first one first; the most frequented state beside them is merged or kept next."""
+        red = [0]
+        while blue := sorted({(-self._count(self.to[r][k]), at, k) for at, r in enumerate(red) for k in self.to[r] if self.to[r][k] not in red}):
+            _, at, k = blue[0]
+            node = self.to[red[at]][k]
+            home = next((r for r in red if self._compatible(r, node, bound)), None)
             if home is None:
-                red.append(blue)
-                edges += [(blue, d) for d in sorted(self.next[blue])]
+                red.append(node)
             else:
-                self.next[parent][c] = home
-                self._fold(home, blue)
-                edges += [(r, d) for r in red for d in sorted(self.next[r]) if self.next[r][d] not in red and (r, d) not in edges]
-
-    def advantage(self, run: str) -> float:
-        """Log-likelihood against the background, per character; at most 0 for a run without the common prefix."""
-        if not run.startswith(self.prefix):
-            return FLOOR
-        node, total = 0, -sum(BACKGROUND[CLASS.get(c, c)] for c in self.prefix)
-        for c in run[len(self.prefix) :]:
-            kind = CLASS.get(c, c)
-            step = self.steps[node].get(c if c in self.fixed else "w")
-            share = 0.0 if c in self.fixed else self.classes.get(kind)
-            if step is None or share is None:
-                return FLOOR
-            total += step[0] + share - BACKGROUND[kind]
-            node = step[1]
-        return FLOOR if self.stops[node] is None else (total + self.stops[node]) / len(run)
+                self.to[red[at]][k] = home
+                self._fold(home, node)
+        return red
+
+    def log_likelihood(self, s: str) -> float:
+        """Log-probability of the classes of s and its end; minus infinity where the automaton cannot make s."""
+        if not s.startswith(self.prefix):
+            return NEVER
+        state, total = 0, 0.0
+        for k in kinds(s[len(self.prefix) :]):
+            if self.steps[state][k] is None:
+                return NEVER
+            total, state = total + self.steps[state][k][0], self.steps[state][k][1]
+        return total + self.stops[state]
+
+    def best_end(self, symbols: list[int], before: int, ground: list[list[float]]) -> tuple[float, int]:
+        """The greatest log-likelihood ratio of a beginning of symbols (the prefix included), and its length."""
+        prior, total, best = before, 0.0, (NEVER, 0)
+        for k in symbols[: len(self.prefix)]:
+            total += SPREAD[k] - ground[prior][k]
+            prior = k
+        state = 0
+        for at in range(len(self.prefix), len(symbols) + 1):
+            after = symbols[at] if at < len(symbols) else 0
+            if at and (score := total + self.stops[state] - (CUT if after else 0.0)) > best[0]:
+                best = score, at
+            if not after or self.steps[state][after] is None:
+                break
+            gain, state = self.steps[state][after]
+            total += gain - ground[prior][after]
+            prior = after
+        return best
 
 
 def infer(credentials: list[tuple[str, str]]) -> dict[str, Automaton]:
-    labels = sorted({label for label, _ in credentials})
-    return {label: Automaton([s for name, s in credentials if name == label]) for label in labels}
+    return {label: Automaton([s for name, s in credentials if name == label]) for label in sorted({label for label, _ in credentials})}
+
+
+def ordinary_counts() -> np.ndarray:
+    seen = KIND[np.frombuffer(ORDINARY.encode(), np.uint8)]
+    pairs = np.bincount(seen * N_KINDS + np.roll(seen, -1), minlength=N_KINDS * N_KINDS).reshape(N_KINDS, N_KINDS)
+    return 1 + pairs * (PRIOR_PAIRS / pairs.sum())
+
+
+def background(docs: DataFrame, text: str = "text") -> list[list[float]]:
+    """Log-probabilities of each class after each class (0: none) in all texts, beside ORDINARY, add-one smoothed; one small row for each pair."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(N_KINDS * N_KINDS, dtype=np.int64)
+        for b in batches:
+            data, offsets = T.strings(b[text])
+            for at in range(0, len(data), T.CHUNK_BYTES):
+                now = KIND[data[at : at + T.CHUNK_BYTES + 1]]
+                total += np.bincount(now[:-1] * N_KINDS + now[1:], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)) // N_KINDS), pa.array(np.arange(len(total)) % N_KINDS), pa.array(total)], ["prior", "kind", "n"])
+
+    found = docs.select(text).mapInArrow(rows, "prior bigint, kind bigint, n bigint").groupBy("prior", "kind").agg(F.sum("n").alias("n")).toArrow()
+    counts = ordinary_counts()
+    counts[found["prior"].to_numpy(), found["kind"].to_numpy()] += found["n"].to_numpy()
+    return np.log((1 - RARE) * counts / counts.sum(axis=1, keepdims=True) + RARE / N_KINDS).tolist()
+
+
+class Scanner:
+    """Automata and background, and the bound by which runs are passed over."""
+
+    def __init__(self, automata: dict[str, Automaton], ground: list[list[float]], threshold: float) -> None:
+        self.automata, self.ground, self.threshold = automata, ground, threshold
+        self.bare = {label: a for label, a in automata.items() if not a.prefix}
+        self.led = {label: a for label, a in automata.items() if a.prefix}
+        most = np.full(N_KINDS, NEVER)
+        for a in self.bare.values():
+            for steps in a.steps:
+                most = np.maximum(most, [x[0] if x else NEVER for x in steps])
+        self.gains = np.maximum(most[None, :] - np.array(ground), 0.0)  # [prior, class]
+        self.gains[:, 0] = 0
+
+    def promising(self, data: np.ndarray) -> list[tuple[int, int]]:
+        """Runs, as places in data, in which a label without a prefix could reach the threshold."""
+        found = []
+        for at in range(0, len(data), T.CHUNK_BYTES):
+            now = KIND[data[at : at + T.CHUNK_BYTES + 1]]  # a run across chunks is found in parts, then widened
+            gain = np.zeros(len(now))
+            gain[0] = self.gains[0, now[0]]
+            gain[1:] = self.gains[now[:-1], now[1:]]
+            inside = np.concatenate([[False], now > 0, [False]])
+            first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+            if len(first):
+                sums = np.add.reduceat(gain, first)
+                edge = (first == 0) & (at > 0) | (last >= len(now)) & (at + len(now) < len(data))
+                keep = (sums >= self.threshold) | edge
+                found += [(at + int(s), at + int(e)) for s, e in zip(first[keep], last[keep], strict=True)]
+        out: list[tuple[int, int]] = []
+        for s, e in found:
+            while s > 0 and KIND[data[s - 1]]:
+                s -= 1
+            while e < len(data) and KIND[data[e]]:
+                e += 1
+            if not out or out[-1] != (s, e):
+                out.append((s, e))
+        return out
+
+    def spans(self, text: str, data: np.ndarray) -> list[tuple[int, int, str, str, float]]:
+        """Grammar spans of one text, given as string and as its bytes, in code points."""
+        found: list[tuple[float, int, str, int]] = []
+        shift = None if len(text) == len(data) else np.cumsum((data & 0xC0) != 0x80)
+        for s, e in self.promising(data) if self.bare else ():
+            symbols = KIND[data[s:e]].tolist()
+            base = s if shift is None else int(shift[s]) - 1
+            for label, a in self.bare.items():
+                at = 0
+                while at < len(symbols):
+                    if symbols[at] not in a.alphabet:
+                        at += 1
+                        continue
+                    stop = next((x for x in range(at, len(symbols)) if symbols[x] not in a.alphabet), len(symbols))
+                    score, n = a.best_end(symbols[at:stop], symbols[at - 1] if at else 0, self.ground)
+                    if score >= self.threshold:
+                        found.append((-score, base + at, label, base + at + n))
+                    at = stop
+        for label, a in self.led.items():
+            at = text.find(a.prefix)
+            while at >= 0:
+                stop = at + len(a.prefix)
+                while stop < len(text) and text[stop] < "\x80" and int(KIND[ord(text[stop])]) in a.alphabet:
+                    stop += 1
+                before = int(KIND[ord(text[at - 1])]) if at and text[at - 1] < "\x80" else 0
+                score, n = a.best_end(kinds(text[at:stop]), before, self.ground)
+                if score >= self.threshold:
+                    found.append((-score, at, label, at + n))
+                at = text.find(a.prefix, at + 1)
+        out: list[tuple[int, int, str, str, float]] = []
+        for score, s, label, e in sorted(found):
+            if all(e <= x[0] or x[1] <= s for x in out):
+                out.append((s, e, "grammar", label, -score))
+        return sorted(out)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -180,16 +300,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def grammar_spans(text: str, automata: dict[str, Automaton], threshold: float) -> list[tuple[int, int, str, str, float]]:
-    found = []
-    for m in RUN.finditer(text):
-        run = m.group().rstrip(".")
-        score, label = max(((a.advantage(run), label) for label, a in automata.items()), key=lambda x: x[0], default=(FLOOR, ""))
-        if score >= threshold:
-            found.append((m.start(), m.start() + len(run), "grammar", label, score))
-    return found
-
-
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
@@ -197,24 +307,27 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("label", pa.string()), ("score", pa.float64())]))
 
 
-def scan(docs: DataFrame, credentials: list[tuple[str, str]] | None = None, threshold: float = 0.5, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, credentials: list[tuple[str, str]] | None = None, threshold: float = 24.0, text: str = "text") -> DataFrame:
     """docs' columns but text, with `found`: spans (start, end, kind, label, score) of each whole text."""
     automata = infer(labelled_credentials() if credentials is None else credentials)
-    kept = [c for c in docs.columns if c != text]
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(automata, background(docs, text), threshold))  # a few automata of bounded training strings
+    kept = [c for c in docs.columns if c not in (text, "found")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "found array<struct<start:bigint,end:bigint,kind:string,label:string,score:double>>"])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = shared.value
         for b in batches:
+            data, offsets = T.strings(b[text])
             out = []
-            for value in b[text]:
-                t = value.as_py() or ""
+            for d, t in enumerate(b[text].to_pylist()):
+                t = t or ""
                 base = base_spans(t)
-                more = [x for x in grammar_spans(t, automata, threshold) if not any(s <= x[0] and x[1] <= e for s, e, _ in base)]
+                more = [x for x in scanner.spans(t, data[offsets[d] : offsets[d + 1]]) if all(x[1] <= s or e <= x[0] for s, e, _ in base)]
                 rows = [(*x, None, None) for x in base] + more
                 out.append([dict(zip(("start", "end", "kind", "label", "score"), x, strict=True)) for x in sorted(rows, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))])
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(out, FOUND)], [*kept, "found"])
 
-    return docs.mapInArrow(spans, schema)
+    return docs.select(*kept, text).mapInArrow(spans, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -227,7 +340,7 @@ def digest(found: DataFrame) -> DataFrame:
             base = [hashlib.sha256(joined([x for x in row if x[2] != "grammar"]).encode()).hexdigest() for row in spans]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *count, pa.array(base, pa.string()), pa.array([joined(row) for row in spans], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return found.mapInArrow(rows, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return found.select("doc_id", "found").mapInArrow(rows, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

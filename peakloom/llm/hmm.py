@@ -18,7 +18,7 @@ scored alike; with no training token every count is 0. Extra columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,8 @@ from .common import crc_rest, documents, settle
 
 END = np.int64(-0x61C8864680B583EB)
 SEGMENT = 128
+BLOCK = 512  # segments that are taken through the chain at a time
+SLAB = 4096  # segments after which rare tokens' sums are handed on, if they are many
 CHUNK = 1 << 22
 HELD_WORDS = 1 << 18
 UNIT = 4096  # expected counts of rare tokens are summed as whole numbers of 1 / UNIT, which take less room
@@ -116,40 +118,59 @@ class Model:
         out[order] = total
         return out
 
-    def posteriors(self, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each place's probabilities of the states (place, segment, state) and expected moves, over segments (rows of classes, -1 behind the end)."""
-        n, length = classes.shape
+    def posteriors(self, kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each place's probabilities of the states (place, segment, state) and expected moves; kinds: (place, segment), -1 behind the end."""
+        length, n = kinds.shape
         states = len(self.start)
-        real = classes >= 0
-        seen = np.where(real[:, :, None], self.emits[np.maximum(classes, 0)], 0.0)
-        alpha = np.zeros((length, n, states))
-        scale = np.ones((length, n))
-        now = np.where(first[:, None], self.start, self.later)
+        real = kinds >= 0
+        table = np.concatenate([self.emits, np.zeros((1, states))]).astype(np.float32)  # -1 is the last row
+        start, later, step = (x.astype(np.float32) for x in (self.start, self.later, self.moves))
+        seen = table[kinds]
+        alpha = np.zeros((length, n, states), dtype=np.float32)
+        scale = np.ones((length, n), dtype=np.float32)
+        now = np.where(first[:, None], start, later)
         for t in range(length):
-            now = (now if t == 0 else now @ self.moves) * seen[:, t]
+            now = (now if t == 0 else now @ step) * seen[t]
             total = now.sum(axis=1)
             scale[t] = np.where(total > 0, total, 1.0)
             now = now / scale[t][:, None]
             alpha[t] = now
         moves = np.zeros((states, states))
-        beta = real[:, length - 1].astype(float)[:, None] * np.ones(states)
-        gamma = np.empty((length, n, states))
+        beta = real[length - 1][:, None] * np.ones(states, dtype=np.float32)
+        back = np.ascontiguousarray(step.T)
         for t in range(length - 1, -1, -1):
-            gamma[t] = alpha[t] * beta
+            before = alpha[t - 1] if t else None
+            alpha[t] *= beta
             if t:
-                ahead = seen[:, t] * beta / scale[t][:, None]
-                moves += alpha[t - 1].T @ ahead
-                beta = ahead @ self.moves.T
-                beta[real[:, t - 1] & ~real[:, t]] = 1.0
-        return gamma, moves * self.moves
-
-    def expected(self, classes: np.ndarray, first: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions over segments; found: their posteriors, where known."""
-        gamma, moves = self.posteriors(classes, first) if found is None else found
-        states, mask = len(self.start), (classes >= 0).T
-        symbols = classes.T[mask]
-        emits = np.stack([np.bincount(symbols, weights=gamma[..., s][mask], minlength=len(self.emits)) for s in range(states)], axis=1)
-        return gamma[0][first].sum(axis=0), moves, emits
+                ahead = seen[t] * (beta / scale[t][:, None])
+                moves += before.T @ ahead
+                beta = ahead @ back
+                beta[real[t - 1] & ~real[t]] = 1.0
+        return alpha, moves * self.moves
+
+    def blocks(self, classes: np.ndarray, first: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Segments BLOCK at a time: which, their classes by place, posteriors and expected moves; memory does not grow with a text."""
+        for at in range(0, len(classes), BLOCK):
+            part = slice(at, at + BLOCK)
+            kinds = np.ascontiguousarray(classes[part].T)
+            yield part, kinds, *self.posteriors(kinds, first[part])
+
+    def expected(self, classes: np.ndarray, first: np.ndarray, visit: Callable[[slice, np.ndarray, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, moves and emissions over segments (rows of classes); visit gets each block's part, classes and posteriors."""
+        states = len(self.start)
+        start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros_like(self.emits)
+        for part, kinds, gamma, between in self.blocks(classes, first):
+            mask = kinds >= 0
+            symbols, found = kinds[mask].astype(np.int16 if len(emits) < 1 << 15 else np.int64), gamma[mask]
+            order = np.argsort(symbols, kind="stable")
+            ordered = symbols[order]
+            runs = np.flatnonzero(np.diff(ordered, prepend=-1))
+            emits[ordered[runs]] += np.add.reduceat(found[order], runs, axis=0, dtype=np.float64)
+            start += gamma[0][first[part]].sum(axis=0, dtype=np.float64)
+            moves += between
+            if visit:
+                visit(part, kinds, gamma)
+        return start, moves, emits
 
 
 def initial(classes: int, states: int, share: np.ndarray, seed: int) -> Model:
@@ -205,8 +226,10 @@ def sample_segments(docs: DataFrame, words: Broadcast, limit: int) -> tuple[np.n
 
 def by_word(words: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words and their rows of sums added up."""
-    words, at = np.unique(words, return_inverse=True)
-    return words, np.stack([np.bincount(at, weights=x, minlength=len(words)) for x in sums.T], axis=1)
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    runs = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    return words[runs], np.add.reduceat(sums[order], runs, axis=0, dtype=np.float64)
 
 
 def emissions(sums: np.ndarray, rest: np.ndarray, vocab: Vocabulary, model: Model) -> np.ndarray:
@@ -250,13 +273,19 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int, rounds: int, seed: in
             for b in batches:
                 for _, tokens, _, kind, bounds in sequences(b["text"], vocab, T.CHUNK_BYTES):
                     cut, first = segments(kind, bounds)
-                    both = now.posteriors(cut, first)
-                    found = np.concatenate([x.reshape(-1, states) for x in now.expected(cut, first, both)])
-                    total = found if total is None else total + found
-                    if last:
-                        of_rest = cut.T == vocab.n_classes - 1
-                        own = both[0][of_rest]
-                        held.append(by_word(segments(tokens, bounds)[0].T[of_rest], np.concatenate([np.ones((len(own), 1)), own], axis=1)))
+                    named = segments(tokens, bounds)[0] if last else None
+
+                    def of_rest(part: slice, kinds: np.ndarray, gamma: np.ndarray, named=named) -> None:
+                        rest = kinds == vocab.n_classes - 1
+                        if rest.any():
+                            own = gamma[rest]
+                            held.append(by_word(named[part].T[rest], np.concatenate([np.ones((len(own), 1), np.float32), own], axis=1)))
+
+                    for at in range(0, len(cut), SLAB):
+                        slab = slice(at, at + SLAB)
+                        visit = (lambda part, kinds, gamma, at=at: of_rest(slice(at + part.start, at + part.stop), kinds, gamma)) if last else None
+                        found = np.concatenate([x.reshape(-1, states) for x in now.expected(cut[slab], first[slab], visit)])
+                        total = found if total is None else total + found
                         if sum(len(x) for x, _ in held) > HELD_WORDS:
                             yield of_words(*merged())
                             held.clear()
@@ -278,7 +307,7 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int, rounds: int, seed: in
     return model, lexicon, rest
 
 
-def score(docs: DataFrame, head: int = 65536, classes: int = 1024, states: int = 8, rounds: int = 3, modulus: int = 7) -> DataFrame:
+def score(docs: DataFrame, head: int = 1 << 18, classes: int = 1024, states: int = 8, rounds: int = 3, modulus: int = 7) -> DataFrame:
     """docs (doc_id, text) as doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")

@@ -37,6 +37,13 @@ def test_words_split_like_the_pattern(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_texts_split_alike_in_parts():
+    text = "".join(__import__("random").Random(3).choices(["ab", " ", "c", "\n", "é"], k=4000)) + "x" * 900 + " y"
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole, parts = (textops.segment(data, np.array([0, len(data)]), size=size) for size in (10**9, 64))
+    assert all((getattr(whole, name) == getattr(parts, name)).all() for name in ("starts", "ends", "bounds", "hashes"))
+
+
 def test_substrings(docs, texts, nothing, spark):
     n = 13
     first = {}
@@ -298,6 +305,73 @@ def test_every_round_sees_all_training_text(docs, texts, monkeypatch):
     assert seen == [pytest.approx((len(known), sum(len(words(t)) + 1 for t in known)))] * 3
 
 
+def slow_posteriors(model, seq, begins):
+    """Probabilities of states and moves of one sequence, by forward and backward sums in plain Python."""
+    n, states = len(seq), range(len(model.start))
+    alpha = [[(model.start if begins else model.later)[a] * model.emits[seq[0], a] for a in states]]
+    for t in range(1, n):
+        alpha.append([sum(alpha[-1][a] * model.moves[a, b] for a in states) * model.emits[seq[t], b] for b in states])
+    beta = [[1.0] * len(states)]
+    for t in range(n - 1, 0, -1):
+        beta.insert(0, [sum(model.moves[a, b] * model.emits[seq[t], b] * beta[0][b] for b in states) for a in states])
+    total = sum(alpha[-1])
+    gamma = [[alpha[t][a] * beta[t][a] / total for a in states] for t in range(n)]
+    moves = [[sum(alpha[t][a] * model.moves[a, b] * model.emits[seq[t + 1], b] * beta[t + 1][b] for t in range(n - 1)) / total for b in states] for a in states]
+    return np.array(gamma), np.array(moves), math.log(total)
+
+
+def test_a_round_of_baum_welch_by_brute_force(docs, texts):
+    learned = docs.filter("doc_id is not null")
+    counts = {r["word"]: r["n"] for r in hmm.token_counts(learned).collect()}
+    vocab = hmm.vocabulary(hmm.token_counts(learned), 40, 16)
+    share = np.bincount(vocab.classes, weights=vocab.counts, minlength=16).astype(float)
+    share[15] = vocab.rest_total
+    share = (share + 1) / (share.sum() + 16)
+    before = hmm.initial(16, 3, share, 3)
+    start, moves, emits, own = np.zeros(3), np.zeros((3, 3)), np.zeros((16, 3)), collections.defaultdict(lambda: np.zeros(3))
+    for i, text, _ in texts:
+        if i is None:
+            continue
+        tokens = np.append(next(textops.chunks(pa.array([text]), lower=True)).hashes.view(np.int64), hmm.END)
+        kinds = vocab.lookup(tokens)[1]
+        for at in range(0, len(tokens), hmm.SEGMENT):
+            gamma, between, _ = slow_posteriors(before, kinds[at : at + hmm.SEGMENT], at == 0)
+            start += gamma[0] * (at == 0)
+            moves += between
+            for k, word, g in zip(kinds[at : at + hmm.SEGMENT], tokens[at : at + hmm.SEGMENT].tolist(), gamma, strict=True):
+                emits[k] += g
+                own[word] += g * (k == 15)
+    model, lexicon, rest = hmm.train(learned, vocab, 3, 1, sample_rounds=0)
+    expected = hmm.renewed(start, moves, emits, share)
+    for name in ("start", "later", "moves", "emits"):
+        assert np.allclose(getattr(model, name), getattr(expected, name), rtol=1e-4, atol=1e-7), name
+    for r in lexicon.collect():
+        assert r["n"] == counts[r["word"]] and np.allclose([r[f"s{k}"] / hmm.UNIT for k in range(3)], own[r["word"]], atol=0.002 * r["n"])
+    assert np.allclose(rest / hmm.UNIT, emits[15], rtol=1e-3)
+
+
+def test_scores_by_brute_force(docs, texts):
+    """The score column is the plain forward sum over each whole text under the trained tables."""
+    options = dict(head=40, classes=16, states=3)
+    learned = docs.select("doc_id", "text").filter(hmm.crc_rest("doc_id", 7) != 2)
+    vocab = hmm.vocabulary(hmm.token_counts(learned), 40, 16)
+    model, lexicon, rest = hmm.train(learned, vocab, 3, 3)
+    own = {r["word"]: np.array([[r[f"s{k}"] for k in range(3)]], dtype=float) for r in lexicon.collect()}
+    expected = []
+    for i, text, _ in texts:
+        tokens = np.append(next(textops.chunks(pa.array([text]), lower=True)).hashes.view(np.int64), hmm.END)
+        now, total = model.start, 0.0
+        for at, (word, k) in enumerate(zip(tokens.tolist(), vocab.lookup(tokens)[1], strict=True)):
+            emit = model.emits[k] if k < 15 else hmm.emissions(own.get(word, np.zeros((1, 3))), rest, vocab, model)[0]
+            now = (now if not at else now @ model.moves) * emit
+            total += math.log10(now.sum())
+            now = now / now.sum()
+        expected.append((str(i), len(tokens), total))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in hmm.score(docs, **options).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(expected)]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(expected)], rel=1e-3)
+
+
 def test_forward_recursion_sums_over_all_paths():
     import itertools
 

@@ -1,19 +1,26 @@
 """Substring dedup by relative Lempel-Ziv parsing of word sequences.
 
-A document is factored greedily against all documents with a smaller id: a factor is a longest run of words whose every
-`window`-word piece starts in such a document. Factors of at least `window` words are duplicates; as the dictionary is
-asked about every window, also those that straddle the boundary of two factors, no repeat is lost where the reference
-changes. The dictionary is built in two steps, so that the windows of unrepeated text are never shuffled:
+The reference is the first place of every distinct `window`-word sequence of the corpus: least doc_id, then least word. A
+document is factored greedily against what the reference holds of documents with a smaller id. As a sequence stands in the
+reference once, the longest match from a word on is found by going on side by side for as long as the next window
+stands next in the same reference document. A factor names its start, length, reference document and the word there. Factors
+have at least `window` words and don't overlap; windows that cross the end of one and are in the reference elsewhere are
+bridges, so no repeat is lost where the reference changes. Both are duplicate spans.
+
+The index is dealt into blocks by window hash (the partitions of a shuffle), and every document asks all blocks in which
+it has a window. It is built in two steps, so that the windows of unrepeated text are never shuffled:
 
 1. anchors: in every window the least 5-gram hash is chosen, so equal windows have equal anchors; about a fifth of the
    words start one. Only anchors found in two different contents can belong to repeated windows.
-2. windows over such anchors are indexed by hash with the least document that has them.
+2. windows over such anchors are indexed with the first place that has them.
 
 Counts use partial aggregation and keys join against unique keys, so adaptive execution can split common passages; equal
-contents are collapsed beforehand. Windows are compared by 64-bit hashes.
+contents are parsed once. Windows are compared by 128 bits of hash over their words' 64-bit hashes.
 
 Defined cases: null and empty texts have no words; a text of fewer than `window` words keeps all; rows with a null
-doc_id neither lose words nor serve as reference; rows that share a doc_id don't serve each other.
+doc_id neither lose words nor serve as reference; rows that share a doc_id don't serve each other, and a reference to such an id is
+a place in one of its rows; a repeated row is treated like the first; of equal windows in documents of one id the earliest is the
+reference; an empty table gives an empty result; other columns are not read. A text is held whole, with 24 bytes a word.
 """
 
 from __future__ import annotations
@@ -60,75 +67,98 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, content, pos, piece): place and hash of each window whose anchor is among its row's `hot` anchors."""
+    """(doc_id, content, pos, piece, twin, fresh): the windows whose anchor is among their row's `hot` ones: place, 128 bits of hash, and whether the row has them there for the first time."""
+    fields = ["doc_id", "content", "pos", "piece", "twin", "fresh"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, content, hot = b["doc_id"].to_numpy(zero_copy_only=False), b["content"].to_numpy(zero_copy_only=False), b["hot"]
             for w in T.chunks(b["text"]):
                 starts, bounds, found = window_anchors(w, window)
-                pieces = T.gram_hashes(w.hashes, window)
                 keep = np.zeros(len(starts), dtype=bool)
                 for d in range(w.n):
                     if bounds[d] < bounds[d + 1]:
                         keep[bounds[d] : bounds[d + 1]] = np.isin(found[bounds[d] : bounds[d + 1]].view(np.int64), hot[w.first + d].values.to_numpy())
                 owner = np.repeat(np.arange(w.n), np.diff(bounds))[keep]
                 at = starts[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[w.first + owner]), pa.array(content[w.first + owner]), pa.array((at - w.bounds[owner]).astype(np.int32)), pa.array(pieces[at].view(np.int64))],
-                    ["doc_id", "content", "pos", "piece"],
-                )
+                piece, twin = (T.gram_hashes(hashes, window)[at].view(np.int64) for hashes in (w.hashes, T.mix64(w.hashes + np.uint64(1))))
+                order = np.lexsort((piece, owner))  # stable: equal windows stay in order of place
+                fresh = np.ones(len(at), dtype=bool)
+                fresh[order[1:]] = (piece[order][1:] != piece[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[w.first + owner]), pa.array(content[w.first + owner]), pa.array((at - w.bounds[owner]).astype(np.int32)), pa.array(piece), pa.array(twin), pa.array(fresh)], fields)
+
+    return docs.select("doc_id", "content", "hot", "text").mapInArrow(rows, "doc_id bigint, content bigint, pos int, piece bigint, twin bigint, fresh boolean")
 
-    return docs.select("doc_id", "content", "hot", "text").mapInArrow(rows, "doc_id bigint, content bigint, pos int, piece bigint")
+
+def greedy(pos: np.ndarray, ref: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int, int, bool]]:
+    """Relative Lempel-Ziv factors of one text as (start, length, ref_doc, ref_pos, bridge), from its windows' places and those in the reference, by place.
+
+    A factor begins at the first place not yet parsed whose window is in the reference, and goes on for as long as the next
+    window stands next in the same document of the reference. The next factor begins behind it at the earliest. Windows across the end
+    of a factor that are in the reference elsewhere are bridges.
+    """
+    if not len(pos):
+        return []
+    breaks = np.ones(len(pos), dtype=bool)
+    breaks[1:] = (pos[1:] != pos[:-1] + 1) | (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(breaks)
+    out, free = [], -1
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(pos)], strict=True):
+        # windows s..e-1 stand in a row in one reference: those before `free` cross the end of the factor before them
+        begin = s + min(max(free - int(pos[s]), 0), e - s)
+        if begin > s:
+            out.append((int(pos[s]), begin - s + window - 1, int(ref[s]), int(at[s]), True))
+        if begin < e:
+            free = int(pos[begin]) + e - begin + window - 1
+            out.append((int(pos[begin]), e - begin + window - 1, int(ref[begin]), int(at[begin]), False))
+    return out
+
+
+FACTOR = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_pos", pa.int32()), ("bridge", pa.bool_())])
+FACTORS = "array<struct<start:int,length:int,ref_doc:bigint,ref_pos:int,bridge:boolean>>"
 
 
 def parse(hits: DataFrame, window: int) -> DataFrame:
-    """(doc_id, content, factors): runs of consecutive hits that name one reference, as (start, length, ref_doc)."""
-    kind = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64())])
+    """(doc_id, content, factors): the greedy parse of each text, from all its windows that are in the reference."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bounds = b["hits"].offsets.to_numpy()
-            flat = b["hits"].values
-            pos, ref = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            pos, ref = pos[bounds[0] : bounds[-1]], ref[bounds[0] : bounds[-1]]
-            bounds = bounds - bounds[0]
-            owner = np.repeat(np.arange(len(b)), np.diff(bounds))
-            order = np.lexsort((pos, owner))
-            pos, ref, owner = pos[order], ref[order], owner[order]
-            once = np.ones(len(pos), dtype=bool)  # repeated rows repeat their hits
-            once[1:] = (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1])
-            pos, ref, owner = pos[once], ref[once], owner[once]
-            new = np.ones(len(pos), dtype=bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + 1) | (ref[1:] != ref[:-1])
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(pos))) + window - 1
-            cuts = np.searchsorted(owner[first], np.arange(len(b) + 1))
-            factors = pa.StructArray.from_arrays([pa.array(pos[first].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ref[first].astype(np.int64))], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["content"], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), factors)], ["doc_id", "content", "factors"])
-
-    return hits.mapInArrow(rows, "doc_id bigint, content bigint, factors array<struct<start:int,length:int,ref_doc:bigint>>")
+            columns = [b["hits"].values.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            out = []
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                pos, ref, at = (x[s:e] for x in columns)
+                order = np.lexsort((at, ref, pos))
+                pos, ref, at = pos[order], ref[order], at[order]
+                once = np.ones(len(pos), dtype=bool)  # repeated rows repeat their hits
+                once[1:] = pos[1:] != pos[:-1]
+                out.append([dict(zip(("start", "length", "ref_doc", "ref_pos", "bridge"), f, strict=True)) for f in greedy(pos[once], ref[once], at[once], window)])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["content"], pa.array(out, pa.list_(FACTOR))], ["doc_id", "content", "factors"])
+
+    return hits.mapInArrow(rows, f"doc_id bigint, content bigint, factors {FACTORS}")
 
 
 def factors(docs: DataFrame, window: int = 13, limit: int | None = None) -> DataFrame:
     """(doc_id, content, copy_of, factors) of the documents that have any duplicate span, from docs (doc_id, text, content, check).
 
-    copy_of: the least doc_id with the same content, if it is smaller; then the whole text is one factor.
+    copy_of: the least doc_id with the same content, if it is smaller; then the whole text is one factor, and it is not parsed.
     """
     bound = {} if limit is None else {"limit": limit}
     docs = docs.filter(F.col("doc_id").isNotNull())
     same = settle(docs.groupBy("content", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "rlz-same")
     copies = docs.select("doc_id", "content", "check").join(same, ["content", "check"]).filter("doc_id > first").select("doc_id", "content", F.col("first").alias("copy_of")).distinct()
 
-    found = anchors(docs, window)
+    found = settle(anchors(docs, window), "rlz-found")
     # settled, so that both sides of the joins below are plain shuffles, whose crowded keys adaptive execution splits
     hot = settle(found.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("anchor"), "rlz-hot")
-    by_text = settle(found.join(hot, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("hot")), "rlz-anchors")
-    hot_docs = join_checked(docs, by_text, ["content"], "inner", F.size("hot") * 8 + 32, **bound)
-
-    placed = windows(hot_docs, window)
-    least = settle(placed.groupBy("piece").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last")).filter("ref_doc < last").drop("last"), "rlz-pieces")
-    hits = placed.join(least, "piece").filter("ref_doc < doc_id").groupBy("doc_id", "content").agg(F.collect_list(F.struct("pos", "ref_doc")).alias("hits"))
+    firsts = same.withColumnRenamed("check", "its_check")  # of two texts with one content hash but another check, neither is left out
+    by_text = settle(found.join(hot, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("hot")).join(firsts, "content", "left"), "rlz-anchors")
+    hot_docs = join_checked(docs, by_text, ["content"], "inner", F.size("hot") * 8 + 48, **bound).filter("first is null or check != its_check or doc_id = first")
+
+    placed = settle(windows(hot_docs, window), "rlz-windows")
+    reference = placed.groupBy("piece", "twin").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("pos", F.when(F.col("fresh"), F.col("doc_id"))).alias("ref_pos"))
+    reference = settle(reference.filter("ref_doc < last").drop("last"), "rlz-reference")
+    hits = placed.join(reference, ["piece", "twin"]).filter("ref_doc < doc_id").groupBy("doc_id", "content").agg(F.collect_list(F.struct("pos", "ref_doc", "ref_pos")).alias("hits"))
     return settle(parse(hits, window).join(copies, ["doc_id", "content"], "full_outer"), "rlz-factors")
 
 
@@ -167,7 +197,7 @@ def strip(docs: DataFrame, window: int = 13, limit: int | None = None) -> DataFr
                 removed = T.reduce_by_text(np.add, gone.astype(np.int64), w.bounds)
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(w.first, w.n), pa.array(w.counts.astype(np.int64)), pa.array(removed), pa.array(kept, pa.string()), spans.slice(w.first, w.n)], ["doc_id", "n_words", "n_removed", "kept", "factors"])
 
-    return marked.select("doc_id", "text", "copy_of", "factors").mapInArrow(rows, "doc_id bigint, n_words bigint, n_removed bigint, kept string, factors array<struct<start:int,length:int,ref_doc:bigint>>")
+    return marked.select("doc_id", "text", "copy_of", "factors").mapInArrow(rows, "doc_id bigint, n_words bigint, n_removed bigint, kept string, factors " + FACTORS)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

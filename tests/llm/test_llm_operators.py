@@ -65,11 +65,57 @@ def test_substrings(docs, texts, nothing, spark):
     assert substrings.strip(nothing).count() == 0
 
 
-def test_substring_factors_name_their_reference(docs):
+def slow_parse(texts, window):
+    """Greedy relative Lempel-Ziv parse in plain Python: {doc_id: factors} of the first row of each content."""
+    reference = {}
+    for i, t, _ in sorted((x for x in texts if x[0] is not None), key=lambda x: x[0]):
+        w = words(t)
+        for k in range(len(w) - window + 1):
+            reference.setdefault(tuple(w[k : k + window]), (i, k))
+    out = {}
+    for i, t, _ in texts:
+        if i is None or any(j is not None and j < i and u == t for j, u, _ in texts):
+            continue
+        w = words(t)
+        hit = lambda k: r if k + window <= len(w) and (r := reference[tuple(w[k : k + window])])[0] < i else None  # noqa: B023, E731
+        factors, k, covered = [], 0, set()
+        while k < len(w):
+            if (r := hit(k)) is None:
+                k += 1
+                continue
+            n = window
+            while hit(k + n - window + 1) == (r[0], r[1] + n - window + 1):
+                n += 1
+            factors.append((k, n, *r, False))
+            covered |= set(range(k, k + n - window + 1))
+            k += n
+        bridges = []
+        for k in range(len(w)):
+            if k not in covered and (r := hit(k)):
+                if bridges and bridges[-1][0] + bridges[-1][1] == k + window - 1 and (bridges[-1][2], bridges[-1][3] + k - bridges[-1][0]) == r:
+                    bridges[-1] = (*bridges[-1][:1], bridges[-1][1] + 1, *bridges[-1][2:])
+                else:
+                    bridges.append((k, window, *r, True))
+        if factors:
+            out[i] = sorted(factors + bridges)
+    return out
+
+
+def test_substring_factors_by_brute_force(spark, docs, texts):
+    rng = __import__("random").Random(9)
+    pool = [[f"p{n}w{k}" for k in range(40)] for n in range(6)]
+    part = lambda p, s: p[s : s + rng.randint(5, 20)]
+    mixed = [(100 + k, " ".join(" ".join(part(rng.choice(pool), rng.randint(0, 20))) for _ in range(5)), "a") for k in range(40)]
+    for given in ([x for x in texts if x[0] != 20], mixed):
+        df = spark.createDataFrame([(i, t) for i, t, _ in given], "doc_id long, text string").repartition(3)
+        for limit in (None, 0):
+            found = substrings.factors(substrings.keyed(df), limit=limit).filter("factors is not null").collect()
+            assert {r["doc_id"]: sorted(map(tuple, r["factors"])) for r in found} == slow_parse(given, 13)
+    assert any(f[4] for r in found for f in r["factors"]) and any(not f[4] for r in found for f in r["factors"])
     found = {r["doc_id"]: r for r in substrings.factors(substrings.keyed(docs)).collect()}
     assert found[2]["copy_of"] == 1 and found[22]["copy_of"] == 1
-    assert [(f["start"], f["length"], f["ref_doc"]) for f in found[3]["factors"]] == [(0, 60, 1), (61, 59, 1)]
-    assert [(f["start"], f["length"], f["ref_doc"]) for f in found[12]["factors"]] == [(20, 60, 10)]
+    assert [tuple(f) for f in found[3]["factors"]] == [(0, 60, 1, 0, False), (61, 59, 1, 61, False)]
+    assert [tuple(f) for f in found[12]["factors"]] == [(20, 60, 10, 20, False)]
 
 
 def test_jaccard(docs, texts, nothing):

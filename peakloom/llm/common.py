@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = f"file://{tempfile.gettempdir()}/peakloom-shared"
-    return base.rstrip("/")
+    """The folder that driver and executors share, which the session names; a local one only where all run in one process."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/peakloom-shared"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -40,6 +41,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def crc_rest(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo `modulus`; null keys get null."""
     key = F.col(key) if isinstance(key, str) else key

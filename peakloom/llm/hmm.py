@@ -1,6 +1,7 @@
 """Language-model scores: a hidden Markov model over all training tokens, beside an add-one unigram base.
 
-Tokens are the lower-cased words of a text and one end. All training tokens are counted. The `classes` - 1 most frequent
+Tokens are the lower-cased words of a text and one end. All training tokens are counted, and texts are kept as ranks of
+the `head` most frequent tokens, beside a list of each text's rarer ones. The `classes` - 1 most frequent
 tokens are classes of their own, all others share the last one while the chain is trained. States are
 trained by Baum-Welch: expected counts are summed inside each task, across partitions by a grouped aggregation, and
 renormalised; each of the `rounds` rounds takes all training documents, cut into segments of SEGMENT tokens. They start
@@ -9,11 +10,14 @@ class, from which that token gets emissions of its own: in each state, its share
 the mean token's, add-one smoothed as the base is. Scoring runs the scaled forward recursion over each whole text, many
 texts at a time, so log10 P(text) is exact under the model.
 
-Counts and emissions of the `head` most frequent tokens are broadcast (a fixed number); rarer tokens meet theirs in a
-shuffle join, once for each text they are in. Tokens are identified by 64-bit hashes.
+Counts and emissions of the `head` tokens are broadcast (a fixed number); rarer tokens meet theirs in a
+shuffle join, once for each text they are in. Tokens are identified by 64-bit hashes. Probabilities inside the training are
+single floats, their sums double ones.
 
-Defined cases: null and empty texts are one end; a null doc_id is neither learned from nor held out; repeated rows are
-scored alike; with no training token every count is 0. Extra columns are ignored.
+Defined cases: null and empty texts are one end; a null doc_id is neither learned from nor held out; repeated rows are each
+learned from and scored alike; tokens of equal count are ranked by hash; with no training token every count is 0; an empty
+table gives an empty result. Other columns are not read. A text is held whole, with some 60 bytes a token; training takes
+BLOCK segments at a time.
 """
 
 from __future__ import annotations
@@ -54,17 +58,24 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """words, ascending, with counts and classes; total and distinct: of all training tokens; the rest: of the last class."""
+    """The most frequent tokens, by rank, with their counts; total and distinct: of all training tokens; the rest: of the last class."""
 
     words: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray
     n_classes: int
     total: int
     distinct: int
     rest_total: int
     rest_distinct: int
 
+    def __post_init__(self) -> None:
+        # words in order of hash, cut by their leading bits: a look-up reads a few neighbouring places
+        self.order = np.argsort(self.words.view(np.uint64)).astype(np.int32)
+        self.sorted = self.words.view(np.uint64)[self.order]
+        self.shift = np.uint64(64 - max(1, len(self.words).bit_length() + 1))
+        self.cuts = np.searchsorted(self.sorted >> self.shift, np.arange((1 << int(64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+        self.widest = int(np.diff(self.cuts).max()) if len(self.words) else 0
+
     @property
     def base_denominator(self) -> float:
         return float(self.total + self.distinct + 1)
@@ -73,22 +84,75 @@ class Vocabulary:
     def rest_denominator(self) -> float:
         return float(self.rest_total + self.rest_distinct + 1)
 
-    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's index among words (-1: not there) and class."""
-        if not len(self.words):
-            return np.full(len(hashes), -1), np.full(len(hashes), self.n_classes - 1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        found = self.words[at] == hashes
-        return np.where(found, at, -1), np.where(found, self.classes[at], self.n_classes - 1)
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        """Each token's rank, -1 for one that is not among the words."""
+        out = np.full(len(hashes), -1, dtype=np.int32)
+        hashes = hashes.view(np.uint64)
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end = self.cuts[bucket], self.cuts[bucket + 1]
+        left = np.flatnonzero(at < end)
+        for _ in range(self.widest):
+            place = at[left]
+            same = self.sorted[place] == hashes[left]
+            out[left[same]] = self.order[place[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+    def kinds(self, ranks: np.ndarray) -> np.ndarray:
+        """The class of each rank: its own for the most frequent ones, the last for all others."""
+        return np.where((ranks < 0) | (ranks >= self.n_classes), self.n_classes - 1, ranks)
 
 
 def vocabulary(counts: DataFrame, head: int, classes: int) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
-    words, n = top["word"].to_numpy(), top["n"].to_numpy()
-    kind = np.minimum(np.arange(len(words)), classes - 1)
-    order = np.argsort(words)
-    return Vocabulary(words[order], n[order], kind[order], classes, total, distinct, int(total - n[: classes - 1].sum()), max(0, distinct - (classes - 1)))
+    words, n = (np.array(top[c].to_numpy(), dtype=np.int64) for c in ("word", "n"))
+    return Vocabulary(words, n, classes, total, distinct, int(total - n[: classes - 1].sum()), max(0, distinct - (classes - 1)))
+
+
+def tokenised(docs: DataFrame, vocab: Broadcast, modulus: int = 7) -> DataFrame:
+    """(row, doc_id, learned, tokens, rare), settled: ranks of each text's tokens as 32-bit integers; -1, -2, ... are places in its list of rare tokens."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, part = 0, TaskContext.get().partitionId()
+        for b in batches:
+            for w in T.chunks(b["text"], lower=True):
+                bounds = w.bounds + np.arange(w.n + 1)
+                tokens = np.full(bounds[-1], END)
+                tokens[np.arange(len(w.hashes)) + w.owners()] = w.hashes.view(np.int64)
+                index = vocab.value.ranks(tokens)
+                rare = np.flatnonzero(index < 0)
+                owner = np.searchsorted(bounds, rare, side="right") - 1
+                order = np.lexsort((tokens[rare], owner))
+                rare_words, owner = tokens[rare][order], owner[order]
+                new = np.ones(len(owner), dtype=bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (rare_words[1:] != rare_words[:-1])
+                first = np.flatnonzero(new)
+                cuts = np.searchsorted(owner[first], np.arange(w.n + 1))
+                index[rare[order]] = cuts[owner] - np.cumsum(new)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((np.int64(part) << 36) + number + np.arange(w.n)),
+                        b["doc_id"].slice(w.first, w.n),
+                        b["learned"].slice(w.first, w.n),
+                        pa.LargeBinaryArray.from_buffers(pa.large_binary(), w.n, [None, pa.py_buffer(np.ascontiguousarray(bounds * 4)), pa.py_buffer(index)]).cast(pa.binary()),
+                        T.lists(rare_words[first], cuts, pa.int64()),
+                    ],
+                    ["row", "doc_id", "learned", "tokens", "rare"],
+                )
+                number += w.n
+
+    learned = F.coalesce(crc_rest("doc_id", modulus) != 2, F.lit(False)).alias("learned")
+    return settle(docs.select("doc_id", "text", learned).mapInArrow(rows, "row bigint, doc_id bigint, learned boolean, tokens binary, rare array<bigint>"), "hmm-tokens")
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of a batch's tokens and the texts' bounds."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), np.int32), (offsets - offsets[0]) // 4
 
 
 @dataclass
@@ -181,16 +245,6 @@ def initial(classes: int, states: int, share: np.ndarray, seed: int) -> Model:
     return Model(even, even, moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
 
 
-def sequences(column: pa.Array, vocab: Vocabulary, size: int = CHUNK) -> Iterator[tuple[T.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of texts: words, tokens' hashes with each text's end, their indexes, classes and the texts' bounds."""
-    for w in T.chunks(column, lower=True, size=size):
-        bounds = w.bounds + np.arange(w.n + 1)
-        tokens = np.full(bounds[-1], END)
-        tokens[np.arange(len(w.hashes)) + w.owners()] = w.hashes.view(np.int64)
-        index, kind = vocab.lookup(tokens)
-        yield w, tokens, index, kind, bounds
-
-
 def segments(kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts' classes cut into rows of SEGMENT, -1 behind their ends; whether a row begins a text."""
     rows = -(-np.diff(bounds) // SEGMENT)
@@ -209,18 +263,19 @@ def renewed(start: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: np.n
     return Model(start / start.sum(), later / later.sum(), moves / moves.sum(axis=1, keepdims=True), emits / later)
 
 
-def sample_segments(docs: DataFrame, words: Broadcast, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most `limit` segments of docs, by a hash of their classes."""
+def sample_segments(tokens: DataFrame, words: Broadcast, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most `limit` segments of the training texts, by a hash of their classes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for *_, kind, bounds in sequences(b["text"], words.value, T.CHUNK_BYTES):
-                cut, first = segments(kind, bounds)
-                codes = T.mix64(T.gram_hashes(cut[:, :16].astype(np.uint64).T.reshape(16, -1), 16)[0]) if len(cut) else np.zeros(0, np.uint64)
+            if len(b):
+                index, bounds = unpacked(b["tokens"])
+                cut, first = segments(words.value.kinds(index), bounds)
+                codes = T.mix64(T.gram_hashes(cut[:, :16].astype(np.uint64).T.reshape(16, -1), 16)[0])
                 few = np.argsort(codes)[:limit]
                 yield pa.RecordBatch.from_arrays([pa.array(codes[few].view(np.int64)), pa.array([x.astype(np.int32).tobytes() for x in cut[few]], pa.binary()), pa.array(first[few])], ["code", "kinds", "first"])
 
-    found = docs.select("text").mapInArrow(rows, "code bigint, kinds binary, first boolean").orderBy("code", "kinds", "first").limit(limit).toArrow()
+    found = tokens.filter("learned").select("tokens").mapInArrow(rows, "code bigint, kinds binary, first boolean").orderBy("code", "kinds", "first").limit(limit).toArrow()
     return np.frombuffer(b"".join(found["kinds"].to_pylist()), np.int32).reshape(-1, SEGMENT).astype(np.int64), found["first"].to_numpy(zero_copy_only=False).astype(bool)
 
 
@@ -238,18 +293,18 @@ def emissions(sums: np.ndarray, rest: np.ndarray, vocab: Vocabulary, model: Mode
     return (sums / np.where(mean > 0, mean, 1.0) + 1.0) / vocab.rest_denominator * model.emits[-1]
 
 
-def train(docs: DataFrame, vocab: Vocabulary, states: int, rounds: int, seed: int = 3, sample: int = 2000, sample_rounds: int = 15) -> tuple[Model, DataFrame, np.ndarray]:
-    """Baum-Welch over docs (doc_id, text): from random parameters to a starting point on `sample` segments, then on all of docs.
+def train(tokens: DataFrame, vocab: Vocabulary, words: Broadcast, states: int, rounds: int, seed: int = 3, sample: int = 2000, sample_rounds: int = 15) -> tuple[Model, DataFrame, np.ndarray]:
+    """Baum-Welch over the training texts: from random parameters to a starting point on `sample` segments, then on all of them.
 
     Beside the model: (word, n, s0, s1, ...), count and expected counts by state (times UNIT) of the last class's tokens, and their totals by state.
     """
-    spark = docs.sparkSession
+    spark = tokens.sparkSession
     classes = vocab.n_classes
-    share = np.bincount(vocab.classes, weights=vocab.counts, minlength=classes).astype(float)
+    share = np.zeros(classes)
+    share[: min(len(vocab.counts), classes - 1)] = vocab.counts[: classes - 1]
     share[classes - 1] = vocab.rest_total
     share = (share + 1) / (share.sum() + classes)
-    words = spark.sparkContext.broadcast(vocab)
-    model, few = initial(classes, states, share, seed), sample_segments(docs, words, sample)
+    model, few = initial(classes, states, share, seed), sample_segments(tokens, words, sample)
     for _ in range(sample_rounds if len(few[0]) else 0):
         model = renewed(*model.expected(*few), share)
     schema = "item int, word bigint, n bigint, " + ", ".join(f"s{k} double, u{k} bigint" for k in range(states))
@@ -271,31 +326,40 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int, rounds: int, seed: in
             held: list[tuple[np.ndarray, np.ndarray]] = []
             merged = lambda: by_word(*(np.concatenate(x) for x in zip(*held, strict=True)))
             for b in batches:
-                for _, tokens, _, kind, bounds in sequences(b["text"], vocab, T.CHUNK_BYTES):
-                    cut, first = segments(kind, bounds)
-                    named = segments(tokens, bounds)[0] if last else None
-
-                    def of_rest(part: slice, kinds: np.ndarray, gamma: np.ndarray, named=named) -> None:
-                        rest = kinds == vocab.n_classes - 1
-                        if rest.any():
-                            own = gamma[rest]
-                            held.append(by_word(named[part].T[rest], np.concatenate([np.ones((len(own), 1), np.float32), own], axis=1)))
-
-                    for at in range(0, len(cut), SLAB):
-                        slab = slice(at, at + SLAB)
-                        visit = (lambda part, kinds, gamma, at=at: of_rest(slice(at + part.start, at + part.stop), kinds, gamma)) if last else None
-                        found = np.concatenate([x.reshape(-1, states) for x in now.expected(cut[slab], first[slab], visit)])
-                        total = found if total is None else total + found
-                        if sum(len(x) for x, _ in held) > HELD_WORDS:
-                            yield of_words(*merged())
-                            held.clear()
+                if not len(b):
+                    continue
+                index, bounds = unpacked(b["tokens"])
+                cut, first = segments(vocab.kinds(index), bounds)
+                named = None
+                if last:
+                    names = np.zeros(len(index), dtype=np.int64)
+                    names[index >= 0] = vocab.words[index[index >= 0]]
+                    rare = np.flatnonzero(index < 0)
+                    at = b["rare"].offsets.to_numpy()[np.searchsorted(bounds, rare, side="right") - 1] - b["rare"].offsets[0].as_py()
+                    names[rare] = b["rare"].flatten().to_numpy()[at - 1 - index[rare]]
+                    named = segments(names, bounds)[0]
+
+                def of_rest(part: slice, kinds: np.ndarray, gamma: np.ndarray, named=named) -> None:
+                    rest = kinds == vocab.n_classes - 1
+                    if rest.any():
+                        own = gamma[rest]
+                        held.append(by_word(named[part].T[rest], np.concatenate([np.ones((len(own), 1), np.float32), own], axis=1)))
+
+                for at in range(0, len(cut), SLAB):
+                    slab = slice(at, at + SLAB)
+                    visit = (lambda part, kinds, gamma, at=at: of_rest(slice(at + part.start, at + part.stop), kinds, gamma)) if last else None  # noqa: B023
+                    found = np.concatenate([x.reshape(-1, states) for x in now.expected(cut[slab], first[slab], visit)])
+                    total = found if total is None else total + found
+                    if sum(len(x) for x, _ in held) > HELD_WORDS:
+                        yield of_words(*merged())
+                        held.clear()
             if held:
                 yield of_words(*merged())
             if total is not None:
                 yield of_classes(total)
 
         # one row for each class and state, whatever the number of documents; in the last round one for each token too
-        rows = docs.select("text").mapInArrow(sums, schema).groupBy("item", "word").agg(*(F.sum(x).alias(x) for x in fields[2:]))
+        rows = tokens.filter("learned").select("tokens", "rare" if turn == rounds - 1 else F.lit(None).alias("rare")).mapInArrow(sums, schema).groupBy("item", "word").agg(*(F.sum(x).alias(x) for x in fields[2:]))
         if turn == rounds - 1:
             rows = settle(rows, "hmm-lexicon")
         found = rows.filter("item is not null").orderBy("item").toArrow()
@@ -311,76 +375,60 @@ def score(docs: DataFrame, head: int = 1 << 18, classes: int = 1024, states: int
     """docs (doc_id, text) as doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    learned = docs.filter(crc_rest("doc_id", modulus) != 2)
-    counts = settle(token_counts(learned), "hmm-counts")
+    counts = settle(token_counts(docs.filter(crc_rest("doc_id", modulus) != 2)), "hmm-counts")
     vocab = vocabulary(counts, head, classes)
-    model, lexicon, rest = train(learned, vocab, states, rounds)
     words = spark.sparkContext.broadcast(vocab)
+    texts = tokenised(docs, words, modulus)
+    model, lexicon, rest = train(texts, vocab, words, states, rounds)
     numbers = lambda b: np.stack([b[f"s{k}"].to_numpy() for k in range(states)], axis=1)
 
     def of_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(words.value.lookup(b["word"].to_numpy())[0] >= 0))
+            yield b.filter(pa.array(words.value.ranks(b["word"].to_numpy()) >= 0))
 
     top = lexicon.mapInArrow(of_head, lexicon.schema).toArrow()
-    table = model.emits[vocab.classes]
-    sums = np.zeros((len(table), states))
-    sums[vocab.lookup(top["word"].to_numpy())[0]] = numbers(top)
-    in_rest = vocab.classes == vocab.n_classes - 1
-    table[in_rest] = emissions(sums[in_rest], rest, vocab, model)
+    own = min(classes - 1, len(vocab.words))  # ranks that are classes of their own
+    sums = np.zeros((len(vocab.words), states))
+    sums[vocab.ranks(np.array(top["word"].to_numpy(), dtype=np.int64))] = numbers(top)
+    table = np.concatenate([model.emits[:own], emissions(sums[own:], rest, vocab, model)]).astype(np.float32)
+    del sums, top
     shared = spark.sparkContext.broadcast((model, rest, table))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(words.value.lookup(b["word"].to_numpy())[0] < 0))
+            b = b.filter(pa.array(words.value.ranks(b["word"].to_numpy()) < 0))
             yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array([x.tobytes() for x in numbers(b).astype(np.float32)], pa.binary())], ["word", "n", "own"])
 
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, number, part = words.value, 0, TaskContext.get().partitionId()
-        for b in batches:
-            for w, tokens, index, _, bounds in sequences(b["text"], vocab):
-                rare = np.flatnonzero(index < 0)
-                owner = np.repeat(np.arange(w.n), np.diff(bounds))[rare]
-                order = np.lexsort((tokens[rare], owner))
-                rare_words, owner = tokens[rare][order], owner[order]
-                new = np.ones(len(owner), dtype=bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (rare_words[1:] != rare_words[:-1])
-                first = np.flatnonzero(new)
-                cuts = np.searchsorted(owner[first], np.arange(w.n + 1))
-                index[rare[order]] = cuts[owner] - np.cumsum(new)  # -1, -2, ...: places in the text's own list
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.int64(part) << 36) + number + np.arange(w.n)), b["doc_id"].slice(w.first, w.n), T.lists(index.astype(np.int32), bounds, pa.int32()), T.lists(rare_words[first], cuts, pa.int64())],
-                    ["row", "doc_id", "tokens", "rare"],
-                )
-                number += w.n
-
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, (model, rest, table) = words.value, shared.value
         for b in batches:
             if not len(b):
                 continue
-            index = b["tokens"].flatten().to_numpy().astype(np.int64)
-            n = b["tokens"].value_lengths().to_numpy().astype(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(n)])
-            own = np.maximum(-T.reduce_by_text(np.minimum, index, bounds), 0)  # length of each text's own list
-            ahead = np.concatenate([[0], np.cumsum(own)])
+            index, bounds = unpacked(b["tokens"])
+            n = np.diff(bounds)
+            lists = np.maximum(-T.reduce_by_text(np.minimum, index, bounds), 0)  # length of each text's own list
+            ahead = np.concatenate([[0], np.cumsum(lists)])
             index = np.where(index >= 0, index, len(table) + np.repeat(ahead[:-1], n) - 1 - index)
-            sums, counts = np.zeros((ahead[-1], states)), np.zeros(ahead[-1], dtype=np.int64)
+            sums, counts = np.zeros((ahead[-1], states), dtype=np.float32), np.zeros(ahead[-1], dtype=np.int64)
             found = b["found"].flatten()
             at = np.repeat(ahead[:-1], b["found"].value_lengths().fill_null(0).to_numpy()) + found.field("at").to_numpy()
             sums[at] = np.frombuffer(b"".join(found.field("own").to_pylist()), np.float32).reshape(-1, states)
             counts[at] = found.field("n").to_numpy()
             seen = np.concatenate([vocab.counts, counts])[index]
-            logs = Model(model.start, model.later, model.moves, np.concatenate([table, emissions(sums, rest, vocab, model)])).logs(index, bounds)
+            there = np.zeros(len(table) + len(sums), dtype=bool)
+            there[index] = True
+            used, index = np.flatnonzero(there), (np.cumsum(there) - 1)[index]  # only the emissions that this batch needs
+            split = np.searchsorted(used, len(table))
+            emits = np.concatenate([table[used[:split]], emissions(sums, rest, vocab, model)[used[split:] - len(table)]])
+            logs = Model(model.start, model.later, model.moves, emits).logs(index, bounds)
             base = T.reduce_by_text(np.add, np.log10(seen + 1.0), bounds) - n * np.log10(vocab.base_denominator)
             known = T.reduce_by_text(np.add, (seen > 0).astype(np.int64), bounds)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(known), pa.array(base), pa.array(logs / np.log(10))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    texts = settle(docs.mapInArrow(indexed, "row bigint, doc_id bigint, tokens array<int>, rare array<bigint>"), "hmm-tokens")
-    own = lexicon.mapInArrow(packed, "word bigint, n bigint, own binary")
-    met = texts.select("row", F.posexplode("rare").alias("at", "word")).join(own, "word")
+    rare = lexicon.mapInArrow(packed, "word bigint, n bigint, own binary")
+    met = texts.select("row", F.posexplode("rare").alias("at", "word")).join(rare, "word")
     lists = met.groupBy("row").agg(F.collect_list(F.struct("at", "n", "own")).alias("found"))
-    out = texts.drop("rare").join(lists, "row", "left").drop("row").mapInArrow(scored, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = texts.select("row", "doc_id", "tokens").join(lists, "row", "left").drop("row").mapInArrow(scored, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     held = F.coalesce(crc_rest("doc_id", modulus) == 2, F.lit(False)).alias("held_out")
     return out.select("doc_id", held, "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -7,10 +7,14 @@ bounded labelled sample gives the latent axes. The labelled latent vectors are b
 floats, known beforehand); each batch of documents is multiplied with them in blocks, so every cosine is exact, and the
 k nearest vote with weight max(cosine, 0)**sharpness.
 
+A document of the sample is scored like any other, from its text alone, so its own label is among its votes, as are
+those of its copies; held-out documents' labels are in no vote.
+
 Defined cases: null and empty texts have only event terms and are scored like any other; a null doc_id is never
 learned from and not held out; a doc_id labelled more than once takes the mean label; repeated rows are scored alike;
-nearest neighbours that tie are taken in the order of the sample (by hash of doc_id). With no labelled row every
-score is 0.5. Columns other than doc_id and text are not read.
+nearest neighbours that tie (cosines are rounded to 2**-20) are taken in the order of the sample (by hash of doc_id). With no
+labelled row every score is 0.5; an empty table gives an empty result. Columns other than doc_id and text are not read; `score`
+replaces those called held_out, score or predicted, `keep` hands on all. A long text is held whole, with some 30 bytes a word.
 """
 
 from __future__ import annotations
@@ -22,15 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textops as T
-from .common import crc_rest, documents
+from .common import crc_rest, documents, quoted
 
-TRIGRAMS = 1024
+TRIGRAMS = 2048
 BINS = 24
 EVENTS = 10
 TERMS = TRIGRAMS + EVENTS * BINS
 ROWS_AT_ONCE = 512
+STEPS = np.float32(1 << 20)
+SPARE, ITERATIONS = 24, 8  # of the subspace iteration
 
 
 def trigram_terms(w: T.Words) -> np.ndarray:
@@ -40,7 +47,7 @@ def trigram_terms(w: T.Words) -> np.ndarray:
         return out
     low = T._LOWER[w.data].astype(np.uint32)
     code = low[:-2] + (low[1:-1] << np.uint32(8)) + (low[2:] << np.uint32(16))
-    code = (code * np.uint32(2654435761)) >> np.uint32(22)
+    code = (code * np.uint32(2654435761)) >> np.uint32(21)
     for d in range(w.n):
         out[d] = np.bincount(code[w.offsets[d] : max(w.offsets[d], w.offsets[d + 1] - 2)], minlength=TRIGRAMS)
     return out
@@ -136,31 +143,45 @@ class Model:
         y = self.weigh(x) @ self.axes
         return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
 
+    def votes(self, near: np.ndarray) -> np.ndarray:
+        """Scores from rows of cosines: the k largest vote; of equal ones the first in order of the sample."""
+        k = min(self.neighbours, near.shape[1])
+        near = np.rint(near * STEPS) / STEPS  # so that equal labelled rows tie, whatever the order in which a product was summed
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+        chosen, level = near > least, near == least
+        short = k - chosen.sum(axis=1)
+        many = np.flatnonzero(level.sum(axis=1) != short)  # rows where not all that tie can vote
+        level[many] &= np.cumsum(level[many], axis=1) <= short[many, None]
+        rows, columns = np.nonzero(chosen | level)  # k in each row
+        weights = np.maximum(near[rows, columns].astype(np.float64), 1e-6).reshape(len(near), k) ** self.sharpness
+        return (weights * self.labels[columns].reshape(len(near), k)).sum(axis=1) / weights.sum(axis=1)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not len(self.vectors):
             return np.full(len(x), 0.5)
-        out, k = np.empty(len(x)), min(self.neighbours, len(self.vectors))
+        out = np.empty(len(x))
         for at in range(0, len(x), ROWS_AT_ONCE):
-            near = self.latent(x[at : at + ROWS_AT_ONCE]) @ self.vectors.T
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            votes = np.maximum(np.take_along_axis(near, best, axis=1).astype(np.float64), 1e-6) ** self.sharpness
-            out[at : at + ROWS_AT_ONCE] = (votes * self.labels[best]).sum(axis=1) / votes.sum(axis=1)
+            out[at : at + ROWS_AT_ONCE] = self.votes(self.latent(x[at : at + ROWS_AT_ONCE]) @ self.vectors.T)
         return np.clip(out, 0, 1)
 
 
-def fit(x: np.ndarray, labels: np.ndarray, rank: int = 48, neighbours: int = 25, sharpness: float = 8.0, event_weight: float = 1.5) -> Model:
-    """Latent axes and labelled vectors from the sample's term rows (half floats), a block of rows at a time."""
+def fit(x: np.ndarray, labels: np.ndarray, rank: int = 48, neighbours: int = 25, sharpness: float = 8.0, event_weight: float = 1.5, seed: int = 5) -> Model:
+    """Latent axes and labelled vectors from the sample's term rows (half floats), a block of rows at a time.
+
+    The axes are the leading right singular vectors, by subspace iteration: no terms x terms matrix is held.
+    """
     blocks = [slice(at, at + ROWS_AT_ONCE) for at in range(0, len(x), ROWS_AT_ONCE)]
     seen = sum(((x[b] > 0).sum(axis=0) for b in blocks), np.zeros(TERMS, dtype=np.int64))
     idf = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + np.float32(0.5)
     model = Model(idf, np.zeros((TERMS, 0), np.float32), np.zeros((0, 0), np.float32), labels.astype(np.float64), neighbours, sharpness, event_weight)
     if len(x):
-        products = np.zeros((TERMS, TERMS), dtype=np.float32)
-        for b in blocks:
-            weighed = model.weigh(x[b].astype(np.float32))
-            products += weighed.T @ weighed
-        model.axes = np.ascontiguousarray(np.linalg.eigh(products)[1][:, : -rank - 1 : -1])
-        model.vectors = np.concatenate([model.latent(x[b].astype(np.float32)) for b in blocks])
+        weighed = [model.weigh(x[b].astype(np.float32)) for b in blocks]
+        basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(TERMS, rank + SPARE)).astype(np.float32))[0]
+        for _ in range(ITERATIONS):
+            basis = np.linalg.qr(sum(w.T @ (w @ basis) for w in weighed))[0]
+        small = sum((y := w @ basis).T @ y for w in weighed)
+        model.axes = np.ascontiguousarray(basis @ np.linalg.eigh(small)[1][:, : -rank - 1 : -1])
+        model.vectors = np.concatenate([(y := w @ model.axes) / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9) for w in weighed])
     return model
 
 
@@ -190,21 +211,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows:
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 4096, threshold: float = 0.7, key: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
-    """docs' columns with held_out, score and predicted; sample_rows bounds what is learned from and broadcast."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(*labelled_sample(docs, labels, label, sample_rows, key, text), **options))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
+    """docs' columns with held_out, score and predicted (columns of these names are replaced); sample_rows bounds what is learned from and broadcast."""
+    docs = docs.select(*(quoted(c) for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, label, sample_rows, key, text), **options))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            parts = [model.scores(x) for _, x in terms(b[text])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores_of(b[text], shared.value))], [*b.schema.names, "score"])
 
     held_out = F.coalesce(crc_rest(key, 4) == 2, F.lit(False))
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(scored, schema).withColumns({"held_out": held_out, "predicted": (F.col("score") >= threshold).cast("int")})
 
 
+def keep(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 4096, threshold: float = 0.7, key: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
+    """The rows of docs that score at least threshold, with their columns as they are, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, label, sample_rows, key, text), **options))
+    place = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(scores_of(b.column(place), shared.value) >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
+def scores_of(column: pa.Array, model: Model) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(model.scores(x) for _, x in terms(column))])
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")

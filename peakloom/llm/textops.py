@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 21
+HASH_BYTES = 1 << 16
 
 _U = np.uint64
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -80,24 +81,28 @@ class Words:
         return np.repeat(np.arange(self.n), self.counts)
 
 
-def pieces(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Parts of one long text, of about size bytes, that begin at separators: no word is cut."""
-    start = 0
-    while start < len(data):
-        end = start + size
-        while end < len(data) and not (spaces := _IS_SPACE[data[end : end + size]]).any():
-            end += size
-        end = min(len(data), end + int(spaces.argmax())) if end < len(data) else len(data)
-        yield start, end
-        start = end
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """The words' hashes, HASH_BYTES at a time, which stay in a processor's cache; a longer word is a part of its own."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    table = _BYTE_HASH[_LOWER] if lower else _BYTE_HASH
+    first = 0
+    while first < len(starts):
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, low + HASH_BYTES, side="right")))
+        high = ends[last - 1]
+        at = starts[first:last] - low
+        weights = table[data[low:high]]
+        weights[_IS_SPACE[data[low:high]]] = 0
+        position = np.arange(high - low) - np.repeat(at, np.diff(np.append(at, high - low)))
+        position[position >= (longest := int((ends[first:last] - starts[first:last]).max()))] = 0
+        weights *= powers(longest)[position]
+        out[first:last] = np.add.reduceat(weights, at)
+        first = last
+    return mix64(out)
 
 
-def segment(data: np.ndarray, offsets: np.ndarray, first: int = 0, lower: bool = False, size: int = CHUNK_BYTES) -> Words:
+def segment(data: np.ndarray, offsets: np.ndarray, first: int = 0, lower: bool = False) -> Words:
     n = len(data)
-    if n > 2 * size and len(offsets) == 2:  # one long text: its bytes are weighed in parts
-        parts = [(at, segment(data[at:end], np.array([0, end - at]), first, lower, end - at)) for at, end in pieces(data, size)]
-        starts, ends = (np.concatenate([getattr(w, name) + at for at, w in parts]) for name in ("starts", "ends"))
-        return Words(first, data, offsets, starts, ends, np.array([0, len(starts)]), np.concatenate([w.hashes for _, w in parts]))
     spaces = _IS_SPACE[data]
     head = np.ones(n + 1, dtype=bool)
     head[1:n] = spaces[: n - 1]
@@ -108,17 +113,7 @@ def segment(data: np.ndarray, offsets: np.ndarray, first: int = 0, lower: bool =
     inner = offsets[1:] - 1
     tail[inner[inner >= 0]] = True
     ends = np.flatnonzero(tail & ~spaces) + 1
-    bounds = np.searchsorted(starts, offsets)
-    if len(starts):
-        weights = _BYTE_HASH[_LOWER[data]] if lower else _BYTE_HASH[data]
-        weights[spaces] = 0
-        lengths = np.diff(np.append(starts, n))
-        position = np.arange(starts[0], n) - np.repeat(starts, lengths)
-        position[position >= (longest := int((ends - starts).max()))] = 0
-        hashes = mix64(np.add.reduceat(weights[starts[0] :] * powers(longest)[position], starts - starts[0]))
-    else:
-        hashes = np.zeros(0, dtype=np.uint64)
-    return Words(first, data, offsets, starts, ends, bounds, hashes)
+    return Words(first, data, offsets, starts, ends, np.searchsorted(starts, offsets), hash_words(data, starts, ends, lower))
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[Words]:
@@ -126,7 +121,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
     n, first = len(offsets) - 1, 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
-        yield segment(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, lower, size)
+        yield segment(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, lower)
         first = last
 
 

@@ -37,11 +37,13 @@ def test_words_split_like_the_pattern(texts):
     assert len(set(seen.values())) == len(seen)
 
 
-def test_long_texts_split_alike_in_parts():
+def test_long_texts_hash_alike_in_parts(monkeypatch):
     text = "".join(__import__("random").Random(3).choices(["ab", " ", "c", "\n", "é"], k=4000)) + "x" * 900 + " y"
     data = np.frombuffer(text.encode(), np.uint8)
-    whole, parts = (textops.segment(data, np.array([0, len(data)]), size=size) for size in (10**9, 64))
-    assert all((getattr(whole, name) == getattr(parts, name)).all() for name in ("starts", "ends", "bounds", "hashes"))
+    whole = textops.segment(data, np.array([0, len(data)]))
+    monkeypatch.setattr(textops, "HASH_BYTES", 64)
+    parts = textops.segment(data, np.array([0, len(data)]))
+    assert (whole.hashes == parts.hashes).all() and len(whole.hashes) == len(words(text))
 
 
 def test_substrings(docs, texts, nothing, spark):
@@ -320,6 +322,22 @@ def test_language_model(docs, texts, nothing):
     assert hmm.score(nothing).count() == 0
 
 
+def trained(learned, vocab, states, rounds, **options):
+    words = learned.sparkSession.sparkContext.broadcast(vocab)
+    return hmm.train(hmm.tokenised(learned, words), vocab, words, states, rounds, **options)
+
+
+def test_ranks_by_brute_force():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 50, 3000):
+        hashes = rng.integers(-(2**63), 2**63, n)
+        vocab = hmm.Vocabulary(hashes, np.ones(n, int), 4, n, n, 0, 0)
+        place = {h: k for k, h in enumerate(hashes.tolist())}
+        asked = np.concatenate([hashes[::-1], rng.integers(-(2**63), 2**63, 100), hashes[:1] + 1])
+        assert vocab.ranks(asked).tolist() == [place.get(h, -1) for h in asked.tolist()]
+        assert vocab.kinds(np.array([-1, 0, 2, 3, 4, 99])).tolist() == [3, 0, 2, 3, 3, 3]
+
+
 def test_rare_words_have_emissions_of_their_own(spark):
     import random
 
@@ -332,22 +350,26 @@ def test_rare_words_have_emissions_of_their_own(spark):
     scores = {r["doc_id"]: r["score"] for r in one.collect()}
     assert scores == pytest.approx({r["doc_id"]: r["score"] for r in other.collect()})
     assert scores[held[0]] > scores[held[1]] + 1
-    learned = df.filter("doc_id < 1000")
+    learned = df.filter(hmm.crc_rest("doc_id", 7) != 2)
     vocab = hmm.vocabulary(hmm.token_counts(learned), 5, 4)
-    model, lexicon, rest = hmm.train(learned, vocab, 3, 2)
+    model, lexicon, rest = trained(learned, vocab, 3, 2)
     found = lexicon.toPandas()
     assert len(found) == vocab.rest_distinct and found["n"].sum() == vocab.rest_total
     shares = hmm.emissions(np.vstack([found[["s0", "s1", "s2"]].to_numpy(), np.zeros(3)]), rest, vocab, model)
     assert shares.sum(axis=0) == pytest.approx(model.emits[-1])
 
 
+def is_learned(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 != 2
+
+
 def test_every_round_sees_all_training_text(docs, texts, monkeypatch):
-    learned = docs.filter("doc_id is not null")
+    learned = docs.filter(hmm.crc_rest("doc_id", 7) != 2)
     vocab = hmm.vocabulary(hmm.token_counts(learned), 40, 16)
     seen, renewed = [], hmm.renewed
     monkeypatch.setattr(hmm, "renewed", lambda start, moves, emits, share: seen.append((start.sum(), emits.sum())) or renewed(start, moves, emits, share))
-    hmm.train(learned, vocab, 3, 3, sample_rounds=0)
-    known = [t for i, t, _ in texts if i is not None]
+    trained(learned, vocab, 3, 3, sample_rounds=0)
+    known = [t for i, t, _ in texts if is_learned(i)]
     assert seen == [pytest.approx((len(known), sum(len(words(t)) + 1 for t in known)))] * 3
 
 
@@ -367,19 +389,18 @@ def slow_posteriors(model, seq, begins):
 
 
 def test_a_round_of_baum_welch_by_brute_force(docs, texts):
-    learned = docs.filter("doc_id is not null")
+    learned = docs.filter(hmm.crc_rest("doc_id", 7) != 2)
     counts = {r["word"]: r["n"] for r in hmm.token_counts(learned).collect()}
     vocab = hmm.vocabulary(hmm.token_counts(learned), 40, 16)
-    share = np.bincount(vocab.classes, weights=vocab.counts, minlength=16).astype(float)
-    share[15] = vocab.rest_total
+    share = np.append(vocab.counts[:15], vocab.rest_total).astype(float)
     share = (share + 1) / (share.sum() + 16)
     before = hmm.initial(16, 3, share, 3)
     start, moves, emits, own = np.zeros(3), np.zeros((3, 3)), np.zeros((16, 3)), collections.defaultdict(lambda: np.zeros(3))
     for i, text, _ in texts:
-        if i is None:
+        if not is_learned(i):
             continue
         tokens = np.append(next(textops.chunks(pa.array([text]), lower=True)).hashes.view(np.int64), hmm.END)
-        kinds = vocab.lookup(tokens)[1]
+        kinds = vocab.kinds(vocab.ranks(tokens))
         for at in range(0, len(tokens), hmm.SEGMENT):
             gamma, between, _ = slow_posteriors(before, kinds[at : at + hmm.SEGMENT], at == 0)
             start += gamma[0] * (at == 0)
@@ -387,7 +408,7 @@ def test_a_round_of_baum_welch_by_brute_force(docs, texts):
             for k, word, g in zip(kinds[at : at + hmm.SEGMENT], tokens[at : at + hmm.SEGMENT].tolist(), gamma, strict=True):
                 emits[k] += g
                 own[word] += g * (k == 15)
-    model, lexicon, rest = hmm.train(learned, vocab, 3, 1, sample_rounds=0)
+    model, lexicon, rest = trained(learned, vocab, 3, 1, sample_rounds=0)
     expected = hmm.renewed(start, moves, emits, share)
     for name in ("start", "later", "moves", "emits"):
         assert np.allclose(getattr(model, name), getattr(expected, name), rtol=1e-4, atol=1e-7), name
@@ -401,13 +422,13 @@ def test_scores_by_brute_force(docs, texts):
     options = dict(head=40, classes=16, states=3)
     learned = docs.select("doc_id", "text").filter(hmm.crc_rest("doc_id", 7) != 2)
     vocab = hmm.vocabulary(hmm.token_counts(learned), 40, 16)
-    model, lexicon, rest = hmm.train(learned, vocab, 3, 3)
+    model, lexicon, rest = trained(learned, vocab, 3, 3)
     own = {r["word"]: np.array([[r[f"s{k}"] for k in range(3)]], dtype=float) for r in lexicon.collect()}
     expected = []
     for i, text, _ in texts:
         tokens = np.append(next(textops.chunks(pa.array([text]), lower=True)).hashes.view(np.int64), hmm.END)
         now, total = model.start, 0.0
-        for at, (word, k) in enumerate(zip(tokens.tolist(), vocab.lookup(tokens)[1], strict=True)):
+        for at, (word, k) in enumerate(zip(tokens.tolist(), vocab.kinds(vocab.ranks(tokens)), strict=True)):
             emit = model.emits[k] if k < 15 else hmm.emissions(own.get(word, np.zeros((1, 3))), rest, vocab, model)[0]
             now = (now if not at else now @ model.moves) * emit
             total += math.log10(now.sum())
@@ -575,6 +596,48 @@ def test_quality(spark, nothing):
     assert {r["score"] for r in quality.score(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_votes_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-2, 3, (90, 4)).astype(np.float32)  # many equal rows
+    vectors[(vectors == 0).all(axis=1)] = 1
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = rng.integers(0, 2, 90).astype(float)
+    model = quality.Model(np.zeros(0), np.zeros((0, 0)), vectors, labels, 25, 8.0, 1.5)
+    asked = vectors[:40] + rng.normal(size=(40, 4)).astype(np.float32) * (np.arange(40) % 2)[:, None]
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    for got, q in zip(model.votes(asked @ vectors.T), asked, strict=True):
+        cosines = [float(np.rint(np.float32((q.astype(float) * v).sum()) * quality.STEPS) / quality.STEPS) for v in vectors]
+        best = sorted(range(90), key=lambda k: (-cosines[k], k))[:25]
+        weights = [max(cosines[k], 1e-6) ** 8 for k in best]
+        assert got == pytest.approx(sum(w * labels[k] for w, k in zip(weights, best, strict=True)) / sum(weights), abs=2e-3)
+
+
+def test_quality_of_whole_documents_by_brute_force(spark, docs, texts):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in sorted({i for i, _, _ in texts if i is not None})], "doc_id long, quality int")
+    model = quality.fit(*quality.labelled_sample(docs, labels, "quality", 4096, "doc_id", "text"))
+    got = collections.defaultdict(set)
+    for r in quality.score(docs, labels).collect():
+        got[(r["doc_id"], r["text"])].add(r["score"])
+    for i, t, _ in texts:
+        x = next(quality.terms(pa.array([t])))[1]
+        cosines = np.rint((model.latent(x) @ model.vectors.T)[0] * quality.STEPS) / quality.STEPS
+        best = sorted(range(len(cosines)), key=lambda k: (-cosines[k], k))[:25]
+        weights = np.maximum(cosines[best].astype(float), 1e-6) ** 8
+        assert all(s == pytest.approx((weights * model.labels[best]).sum() / weights.sum(), abs=1e-3) for s in got[(i, t)])
+    exact = np.linalg.svd(np.concatenate([model.weigh(x) for t in texts for _, x in quality.terms(pa.array([t[1]]))]), full_matrices=False)
+    assert len(exact[1]) >= 48
+
+
+def test_quality_hands_on_clashing_columns(spark):
+    data = [(k, "fine words here in a row" if k % 2 else "x | x | x", k, "h", 3) for k in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, score long, held_out string, predicted int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns and {(r["doc_id"], r["score"], r["held_out"], r["predicted"]) for r in kept.collect()} == {(k, k, "h", 3) for k in range(60) if k % 2}
+    out = quality.score(docs, labels)
+    assert sorted(out.columns) == ["doc_id", "held_out", "predicted", "score", "text"] and all(0 <= r["score"] <= 1 for r in out.collect())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).astype(np.float32)

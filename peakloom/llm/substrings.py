@@ -15,7 +15,7 @@ it has a window. It is built in two steps, so that the windows of unrepeated tex
 2. windows over such anchors are indexed with the first place that has them.
 
 Counts use partial aggregation and keys join against unique keys, so adaptive execution can split common passages; equal
-contents are parsed once. Windows are compared by 128 bits of hash over their words' 64-bit hashes.
+contents are parsed once. Windows are compared by 96 bits of hash over their words' 64-bit hashes.
 
 Defined cases: null and empty texts have no words; a text of fewer than `window` words keeps all; rows with a null
 doc_id neither lose words nor serve as reference; rows that share a doc_id don't serve each other, and a reference to such an id is
@@ -67,7 +67,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, content, pos, piece, twin, fresh): the windows whose anchor is among their row's `hot` ones: place, 128 bits of hash, and whether the row has them there for the first time."""
+    """(doc_id, content, pos, piece, twin, fresh): the windows whose anchor is among their row's `hot` ones: place, 96 bits of hash, and whether the row has them there for the first time."""
     fields = ["doc_id", "content", "pos", "piece", "twin", "fresh"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +81,14 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
                         keep[bounds[d] : bounds[d + 1]] = np.isin(found[bounds[d] : bounds[d + 1]].view(np.int64), hot[w.first + d].values.to_numpy())
                 owner = np.repeat(np.arange(w.n), np.diff(bounds))[keep]
                 at = starts[keep]
-                piece, twin = (T.gram_hashes(hashes, window)[at].view(np.int64) for hashes in (w.hashes, T.mix64(w.hashes + np.uint64(1))))
+                piece = T.gram_hashes(w.hashes, window)[at].view(np.int64)
+                twin = (T.gram_hashes(T.mix64(w.hashes + np.uint64(1)), window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 order = np.lexsort((piece, owner))  # stable: equal windows stay in order of place
                 fresh = np.ones(len(at), dtype=bool)
                 fresh[order[1:]] = (piece[order][1:] != piece[order][:-1]) | (owner[order][1:] != owner[order][:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[w.first + owner]), pa.array(content[w.first + owner]), pa.array((at - w.bounds[owner]).astype(np.int32)), pa.array(piece), pa.array(twin), pa.array(fresh)], fields)
 
-    return docs.select("doc_id", "content", "hot", "text").mapInArrow(rows, "doc_id bigint, content bigint, pos int, piece bigint, twin bigint, fresh boolean")
+    return docs.select("doc_id", "content", "hot", "text").mapInArrow(rows, "doc_id bigint, content bigint, pos int, piece bigint, twin int, fresh boolean")
 
 
 def greedy(pos: np.ndarray, ref: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int, int, bool]]:

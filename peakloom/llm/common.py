@@ -46,6 +46,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores before it as make it differ from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 def crc_rest(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo `modulus`; null keys get null."""
     key = F.col(key) if isinstance(key, str) else key

@@ -8,29 +8,38 @@ shingle counts, at least `threshold`.
 
 Windows that cannot reach the threshold are passed over before they are fingerprinted: similarity s needs a share
 of s of the window's shingles to be some item's shingles, which one running sum decides. The items are a stated
-query set; they go to the workers in blocks of at most ITEM_BYTES, each a pass over the documents.
+query set; they go to the workers in blocks of at most ITEM_BYTES of text, each a broadcast of about four times that and a pass
+over the documents.
+
+All fingerprints within the radius are found. That a pair of similarity 0.8 lies within it is no theorem: over 3,000 random pairs of
+items of 20 to 80 words and windows with similarity 0.8 or more the test measures a recall of 1.
 
 Defined cases: words are lower-cased; an item of 1 to 4 words has one shingle, all its words; an empty or null item and
-an empty or null text match nothing; repeated documents are reported each; of windows that tie the first is reported.
-Extra columns of the documents are carried by `clean` and ignored by `leaks`.
+an empty or null text match nothing; repeated documents are reported each; an item that is listed twice is reported twice; of
+windows that tie the first is reported, then the shortest; an empty table on either side gives no leak. Ids may be of any type and null.
+Other columns of the documents are carried by `clean`, whatever their names, and ignored by `leaks`. A long text is held whole with some
+40 bytes a word; fingerprints are made of SLAB shingles at a time.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import textops as T
 from .common import documents
 
 BITS = 64
 BLOCKS = 21
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 8 << 20  # of text: some four times as much is broadcast at a time
+SLAB = 1 << 15  # shingles whose bits are summed at a time, besides one item's length
 _CUTS = np.linspace(0, BITS, BLOCKS + 1).astype(int)
 
 
@@ -54,7 +63,7 @@ def block_keys(prints: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Items:
     """Items of a benchmark: shingles, fingerprints and the multi-index over them."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], n: int = 5) -> None:
+    def __init__(self, ids: list, texts: list[str | None], n: int = 5) -> None:
         self.n = n
         words = next(T.chunks(pa.array(texts, pa.string()), lower=True, size=1 << 62), None)
         self.ids, self.shingles, self.lengths = [], [], []
@@ -64,7 +73,7 @@ class Items:
                 self.ids.append(item)
                 self.lengths.append(len(hashes))
                 self.shingles.append(T.gram_hashes(hashes, min(n, len(hashes))))
-        self.counts = [Counter(s.tolist()) for s in self.shingles]
+        self.distinct = [np.unique(s, return_counts=True) for s in self.shingles]
         self.sizes = sorted(set(self.lengths))
         self.known = np.unique(np.concatenate(self.shingles)) if self.ids else np.zeros(0, np.uint64)
         self.maybe = np.zeros(1 << 20, dtype=bool)
@@ -93,8 +102,11 @@ class Items:
         return window[near], item[near]
 
     def similarity(self, shingles: np.ndarray, item: int) -> float:
-        own, other = Counter(shingles.tolist()), self.counts[item]
-        least = sum(min(c, other[s]) for s, c in own.items())
+        """Sum of least over sum of greatest shingle counts."""
+        own, n = np.unique(shingles, return_counts=True)
+        other, m = self.distinct[item]
+        at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+        least = int(np.minimum(n, m[at])[other[at] == own].sum())
         return least / (len(shingles) + len(self.shingles[item]) - least)
 
     def find(self, hashes: np.ndarray, hit: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
@@ -120,14 +132,21 @@ class Items:
                         best[k] = (1.0, int(at[0]), size)
         if starts and sum(map(len, starts)):
             start, size = np.concatenate(starts), np.concatenate(sizes)
+            order = np.argsort(start, kind="stable")
+            start, size = start[order], size[order]
             span = np.minimum(size, len(hashes))
             shingles = T.gram_hashes(hashes, self.n)
-            first, last = int(start.min()), int((start + span).max()) - self.n + 1
-            prints = fingerprints(bit_sums(shingles[first:last]), start - first, start - first + span - self.n + 1)
-            for w, k in zip(*(x.tolist() for x in self.candidates(prints, size)), strict=True):
-                s = self.similarity(shingles[start[w] : start[w] + span[w] - self.n + 1], k)
-                if s >= threshold - 1e-9 and (k not in best or (-s, start[w]) < (-best[k][0], best[k][1])):
-                    best[k] = (s, int(start[w]), int(span[w]))
+            at = 0
+            while at < len(start):
+                part = slice(at, int(np.searchsorted(start, start[at] + SLAB)))
+                first, last = int(start[at]), int((start[part] + span[part]).max()) - self.n + 1
+                prints = fingerprints(bit_sums(shingles[first:last]), start[part] - first, start[part] - first + span[part] - self.n + 1)
+                for w, k in zip(*(x.tolist() for x in self.candidates(prints, size[part])), strict=True):
+                    begin, n = int(start[at + w]), int(span[at + w])
+                    s = self.similarity(shingles[begin : begin + n - self.n + 1], k)
+                    if s >= threshold - 1e-9 and (k not in best or (-s, begin, n) < (-best[k][0], *best[k][1:])):
+                        best[k] = (s, begin, n)
+                at = part.stop
         return [(self.ids[k], at, n, s) for k, (s, at, n) in sorted(best.items())]
 
     def scan(self, column: pa.Array, threshold: float) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
@@ -146,44 +165,44 @@ class Items:
                     yield w.first + int(d), found
 
 
-def item_blocks(benchmark: DataFrame, n: int, limit: int = ITEM_BYTES) -> list[Items]:
-    """The query set, cut into blocks of at most `limit` bytes of text, each collected for itself."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text")
+def item_blocks(benchmark: DataFrame, n: int, limit: int = ITEM_BYTES) -> list[Broadcast]:
+    """The query set, cut into blocks of at most `limit` bytes of text (a longer item is one for itself), each broadcast."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", "text")
     count = max(1, -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]) // limit))
     out = []
     for k in range(count):
         table = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").toArrow()
-        out.append(Items(table["item_id"].to_pylist(), table["text"].to_pylist(), n))
+        out.append(spark.sparkContext.broadcast(Items(table["item_id"].to_pylist(), table["text"].to_pylist(), n)))
     return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, start, n_words, similarity): each document's best window for each item it holds."""
+    """(doc_id, item_id, start, n_words, similarity): each document's best window for each item it holds; ids keep their types."""
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("item_id", benchmark.schema["item_id"].dataType), StructField("start", LongType()), StructField("n_words", LongType()), StructField("similarity", DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
     out = None
-    for items in item_blocks(benchmark, n):
+    for shared in item_blocks(benchmark, n):
 
-        def rows(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def rows(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(b["doc_id"][row].as_py(), *leak) for row, leak_list in items.scan(b["text"], threshold) for leak in leak_list]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True) if found else [[]] * 5, KINDS, strict=True)], NAMES)
+                found = [(b["doc_id"][row].as_py(), *leak) for row, leak_list in shared.value.scan(b["text"], threshold) for leak in leak_list]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True) if found else [[]] * 5, kinds, strict=True)], schema.names)
 
-        part = docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, item_id bigint, start bigint, n_words bigint, similarity double")
+        part = docs.select("doc_id", "text").mapInArrow(rows, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-NAMES = ["doc_id", "item_id", "start", "n_words", "similarity"]
-KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the rows that hold an item; no row moves."""
-    for items in item_blocks(benchmark, n):
+    place = docs.columns.index("text")
+    for shared in item_blocks(benchmark, n):
 
-        def rows(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def rows(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(len(b), dtype=bool)
-                keep[[row for row, _ in items.scan(b["text"], threshold)]] = False
+                keep[[row for row, _ in shared.value.scan(b.column(place), threshold)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(rows, docs.schema)

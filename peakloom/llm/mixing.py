@@ -13,7 +13,8 @@ of equal bins, an equi-join, and blocks meet slots on (source, block).
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; a null source is a source, sorted last;
 a repeated row is a document of its own; documents whose hashes tie are ordered by doc_id and then content; an empty
-table gives an empty result. Extra columns are ignored by `pieces`; `resample` carries them.
+table gives an empty result. Other columns are ignored by `pieces`; `resample` carries them, whatever their names and types. A text is
+only counted, by Spark's own functions, so its length needs no more memory than the text itself.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, settle, text_key
+from .common import WORD, documents, quoted, settle, text_key, unused
 
 GOLDEN = 0.6180339887498949
 SLOTS = 1 << 20  # about how many slots a schedule has, besides those of small sources
@@ -62,7 +63,7 @@ def sized(docs: DataFrame, text: str, source: str, key: str, row: Column) -> Dat
         F.col(key).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(key), F.lit(17)).alias("place"),
+        F.xxhash64(F.col(key), F.lit(17), F.col(text)).alias("place"),  # with the text, as many rows may have one doc_id or none
         row.alias("row_key"),
     )
 
@@ -136,13 +137,15 @@ def taken(laid: DataFrame, cut: DataFrame) -> DataFrame:
 def resample(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options: object) -> DataFrame:
     """docs with every row as many times as the mix takes it, to the nearest whole number: at most one document of each
     source, the one where its last slot ends, is rounded."""
-    docs = docs.withColumn("row_key", F.concat(text_key(F.col(text)), F.xxhash64(*[c for c in docs.columns]).cast("string")))
+    row_key, twin, copies, copy = unused(docs, "row_key", "twin", "copies", "copy")
+    plain = [F.to_json(F.struct(quoted(f.name))) if "map<" in f.dataType.simpleString() else quoted(f.name) for f in docs.schema]  # maps have no hash
+    known = docs.withColumn(row_key, F.concat(text_key(quoted(text)), F.xxhash64(*plain).cast("string")))
     n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    among = Window.partitionBy("row_key").orderBy(F.col("copies").desc())
-    counts = taken(*pieces(docs, text, source, key, F.col("row_key"), **options)).withColumn("copies", n)
-    counts = counts.withColumn("twin", F.row_number().over(among)).filter("copies > 0").select("row_key", "twin", "copies")
-    twins = docs.withColumn("twin", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
-    return twins.join(counts, ["row_key", "twin"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[c for c in docs.columns if c != "row_key"])
+    counts = taken(*pieces(known, text, source, key, F.col(row_key), **options)).select(F.col("row_key").alias(row_key), n.alias(copies))
+    counts = counts.withColumn(twin, F.row_number().over(Window.partitionBy(row_key).orderBy(F.col(copies).desc()))).filter(F.col(copies) > 0)
+    twins = known.withColumn(twin, F.row_number().over(Window.partitionBy(row_key).orderBy(row_key)))
+    many = twins.join(counts, [row_key, twin]).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return many.select(*(quoted(c) for c in docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

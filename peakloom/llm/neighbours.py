@@ -3,9 +3,13 @@
 Trees are fitted on a bounded sample: a node splits its sample vectors at the median of their products with a random
 direction, the difference of two of its own vectors. Every row is then indexed: it falls into one leaf of each tree. A query walks
 all trees through one priority queue, ordered by the largest distance by which the path had to cross a split, and takes
-the first leaves until these held `search_share` of the sample, counted over all trees. Candidates are the rows of these
+the first leaves until these held a set share of the sample, counted over all trees. Candidates are the rows of these
 leaves; they are reranked by the exact inner product in double precision.
 
+The share is measured, not set: for `trial_queries` vectors of the sample, their `k` nearest in the sample are found exhaustively, and
+the share is the least at which the walks have met `target_recall` of them. So clustered vectors visit few leaves, and
+vectors without any structure, of which no tree can pass over many, visit about as many rows as there are.
+
 For inner products the vectors are first extended by sqrt(M**2 - |v|**2), where M is the largest norm, so that the nearest
 by angle is the one with the largest product; queries are extended by 0.
 
@@ -13,13 +17,16 @@ Rows and queries meet on (tree, leaf); crowded leaves are cut into blocks by has
 a group, so a vector that a third of all rows hold is many groups, and so is a vec_id with many vectors. Equal rows are
 made one before that. A group returns each query's best `k` distinct vec_ids, which is all that the final ranking over groups can use.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null, NaN or infinite components
-take no part on either side, as do rows with a null vec_id; rows of the query's own vec_id are no candidates; a vec_id on
-several rows is one candidate with its best product; ties go to the smaller vec_id. An empty table gives an empty result.
+Defined cases: vectors that are null, zero, or hold null, NaN or infinite components
+take no part on either side, as do rows with a null vec_id; vectors have products with those of their own length only, and each length
+has a forest; rows of the query's own vec_id are no candidates; a vec_id on several rows is one candidate with its best
+product, and as a query one with all its vectors; ties go to the smaller vec_id; other columns are not read. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,7 +102,7 @@ class Forest:
         return np.concatenate([x, extra[:, None]], axis=1)
 
     def search(self, x: np.ndarray, search_share: float) -> list[tuple[int, int]]:
-        """The (tree, leaf) pairs that one extended query visits."""
+        """The (tree, leaf) pairs that one extended query visits, in order."""
         products = [t.directions @ x - t.thresholds for t in self.trees]
         queue = [(0.0, k, 0 if len(t.thresholds) else -1) for k, t in enumerate(self.trees)]
         heapq.heapify(queue)
@@ -112,21 +119,38 @@ class Forest:
         return out
 
 
+    def share_for(self, x: np.ndarray, k: int, target: float, trials: int) -> float:
+        """The least search share at which the k nearest of `trials` rows of x, among x, are found with this recall."""
+        chosen = np.linspace(0, len(x) - 1, min(trials, len(x))).astype(int)
+        leaves = [t.leaves(self.extend(x, False)) for t in self.trees]
+        met = []
+        for i in chosen:
+            near = x @ x[i]
+            near[i] = -np.inf
+            best = np.argpartition(-near, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)] if len(x) > 1 else np.zeros(0, int)
+            visits = self.search(self.extend(x[i : i + 1], True)[0], np.inf)
+            before = np.concatenate([[0], np.cumsum([self.trees[tree].share[leaf] for tree, leaf in visits])[:-1]]) / len(self.trees)
+            first = [np.full(len(t.share), np.inf) for t in self.trees]
+            for (tree, leaf), at in zip(visits, before, strict=True):
+                first[tree][leaf] = at
+            met.append(np.min([f[own[best]] for f, own in zip(first, leaves, strict=True)], axis=0))
+        met = np.sort(np.concatenate(met)) if met else np.zeros(0)
+        return float(met[max(0, int(np.ceil(target * len(met))) - 1)]) + 1e-9 if len(met) else 1.0
+
+
 def vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(vec_id, v) of the rows that take part; floats stay floats until they are multiplied, to halve what is shuffled."""
     v = F.col(vector) if df.schema[vector].dataType == ArrayType(FloatType()) else F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    out = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(fine)
-    width = out.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return out.filter(F.size("v") == (width["n"] if width else 0))
+    return df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(fine)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def fit(rows: DataFrame, trees: int, leaf_rows: int, sample_rows: int, seed: int) -> Forest:
-    """A forest from at most sample_rows vectors, by hash of vec_id; M is taken over all rows."""
+def fit(rows: DataFrame, trees: int, leaf_rows: int, sample_rows: int, seed: int, k: int, target_recall: float, trials: int) -> tuple[Forest, float]:
+    """A forest from at most sample_rows vectors, by hash of vec_id, and its search share; M is taken over all rows."""
     norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 0.0
     sample = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks())
     sample = np.unique(sample, axis=0)  # copies would fill leaves that no plane can split
@@ -135,7 +159,7 @@ def fit(rows: DataFrame, trees: int, leaf_rows: int, sample_rows: int, seed: int
     if len(sample):
         extended = forest.extend(sample, False)
         forest.trees = [grow(extended, leaf_rows, rng) for _ in range(trees)]
-    return forest
+    return forest, forest.share_for(sample, k, target_recall, trials) if len(sample) else 0.0
 
 
 def best(table: pa.Table, k: int) -> pa.Table:
@@ -165,11 +189,20 @@ def best(table: pa.Table, k: int) -> pa.Table:
     return pa.table(dict(zip(("query_id", "vec_id", "score"), cat, strict=True)))
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf_rows: int = 128, sample_rows: int = 20_000, search_share: float = 0.14, seed: int = 11, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf_rows: int = 64, sample_rows: int = 20_000, target_recall: float = 0.95, trial_queries: int = 150, seed: int = 11, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of df found for each row of queries."""
-    spark = df.sparkSession
     rows, asked = vectors(df, key, vector).distinct(), vectors(queries, key, vector).distinct()
-    shared = spark.sparkContext.broadcast(fit(rows, trees, leaf_rows, sample_rows, seed))
+    widths = [r["n"] for r in asked.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # one, or a few
+    parts = [_search(rows.filter(F.size("v") == n), asked.filter(F.size("v") == n), k, trees, leaf_rows, sample_rows, target_recall, trial_queries, seed) for n in widths]
+    once = functools.reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return once.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, trees: int, leaf_rows: int, sample_rows: int, target_recall: float, trial_queries: int, seed: int) -> DataFrame:
+    """(query_id, vec_id, score) of each group's best, for vectors of one length."""
+    forest, search_share = fit(rows, trees, leaf_rows, sample_rows, seed, k, target_recall, trial_queries)
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
@@ -183,7 +216,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for b in batches:
-            if len(b) and forest.trees and len(b["v"][0]) == forest.width:
+            if len(b) and forest.trees:
                 x = forest.extend(matrix(b["v"]), True)
                 found = [[leaf + (tree << 32) for tree, leaf in forest.search(row, search_share)] for row in x]
                 yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], pa.array(found, pa.list_(pa.int64()))], ["vec_id", "v", "leaves"])
@@ -197,10 +230,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf
     mine = lambda n: F.pmod(F.xxhash64("vec_id", "v", "leaf"), F.col(n))
     left = held.join(crowd, "leaf").select("leaf", mine("row_blocks").alias("row_block"), spread("query_blocks").alias("query_block"), F.lit(False).alias("query"), "vec_id", "v")
     right = wanted.join(crowd, "leaf").select("leaf", spread("row_blocks").alias("row_block"), mine("query_blocks").alias("query_block"), F.lit(True).alias("query"), "vec_id", "v")
-    found = left.unionByName(right).groupBy("leaf", "row_block", "query_block").applyInArrow(lambda table: best(table, k), "query_id bigint, vec_id bigint, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.unionByName(right).groupBy("leaf", "row_block", "query_block").applyInArrow(lambda table: best(table, k), "query_id bigint, vec_id bigint, score double")
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,14 @@ read, so a lost executor or a second attempt leaves at most an unread file. File
 pyarrow's file systems.
 
 Defined cases: null and empty texts are one id, the end; null doc_ids come first; rows that share a doc_id are ordered by
-content; a damaged record raises. Extra columns are ignored.
+content, repeated rows are records of their own; an empty table gives an empty index; a damaged record raises. Other columns are
+ignored. A long text is held whole, with its ids and its record.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -71,7 +73,8 @@ class Encoder:
     """Byte-level BPE by the tokenizers library; the ids of pre-tokens, which recur, are kept.
 
     A text's ids are those of its pre-tokens, one after the other, as merges never cross them. Texts with unusual
-    characters or a special token's string go to the library whole.
+    characters or a special token's string go to the library whole, and so do all texts where the tokenizer is no byte-level BPE
+    with the usual pattern and no normaliser.
     """
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
@@ -83,6 +86,16 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], self.kind).tobytes()
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        #: whether PRE_TOKEN splits as this tokenizer does; texts go to any other one whole
+        self.splits = (
+            made.get("normalizer") is None
+            and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+            and made["model"].get("type") == "BPE"
+            and not any(made["model"].get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+            and len(made["model"]["vocab"]) > 256
+        )
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a byte-level token has a character for each byte
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -119,7 +132,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, with the end, as bytes."""
         out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, t in enumerate(texts) if UNUSUAL.search(t) is None and not any(s in t for s in self.special)]
+        plain = [i for i, t in enumerate(texts) if self.splits and UNUSUAL.search(t) is None and not any(s in t for s in self.special)]
         odd = sorted(set(range(len(texts))) - set(plain))
         for i, ids in zip(odd, self._raw([texts[i] for i in odd]), strict=True):
             out[i] = ids + self.end

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from peakloom.llm import textops as T
 from peakloom.llm import decontaminate, hmm, jaccard, licenses, mixing, neighbours, quality, records, secrets, substrings, textops
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,6 +209,38 @@ def test_hamming_blocks_find_all_within_radius():
     assert {(k, k) for k in range(200)} <= set(zip(window.tolist(), item.tolist(), strict=True))
 
 
+def test_fingerprints_find_all_similar_windows():
+    """Recall of the radius over pairs whose shingle similarity reaches the threshold."""
+    rng = np.random.default_rng(11)
+    pairs = far = 0
+    while pairs < 3000:
+        item = rng.integers(0, 5000, int(rng.integers(20, 81)))
+        other = item.copy()
+        for _ in range(int(rng.integers(0, 5))):
+            other[rng.integers(0, len(other))] = rng.integers(0, 5000)
+        a, b = (T.gram_hashes(textops.mix64(x.astype(np.uint64)), 5) for x in (item, other))
+        least = len(set(a.tolist()) & set(b.tolist()))
+        if least / (len(a) + len(b) - least) >= 0.8:
+            pairs += 1
+            x, y = (decontaminate.fingerprints(decontaminate.bit_sums(s), np.array([0]), np.array([len(s)]))[0] for s in (a, b))
+            far += int(np.bitwise_count(x ^ y)) >= decontaminate.BLOCKS
+    assert far == 0
+
+
+def test_decontamination_of_long_texts_and_odd_columns(spark, monkeypatch):
+    item = " ".join(f"w{k}" for k in range(30))
+    filler = " ".join(f"v{k % 977}" for k in range(3000))
+    monkeypatch.setattr(decontaminate, "SLAB", 50)
+    long = f"{filler} {item} {filler} {item}"
+    items = decontaminate.Items(["a", "b"], [item, "w1 w2 w3 w4 w5 w6 w7 w8"], 5)
+    assert list(items.scan(pa.array([long, None, ""]), 0.8)) == [(0, [("a", 3000, 30, 1.0), ("b", 3001, 8, 1.0)])]
+    df = spark.createDataFrame([("x", long, {"k": 1}, 2), (None, filler, None, 3)], "doc_id string, text string, item_id map<string,int>, similarity int")
+    bench = spark.createDataFrame([("q-1", item)], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.leaks(df, bench).collect()] == [("x", "q-1", 3000, 30, 1.0)]
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns and [(r["doc_id"], r["similarity"]) for r in kept.collect()] == [(None, 3)]
+
+
 def test_mixing(docs, texts, nothing):
     sizes = collections.Counter()
     for _, t, s in texts:
@@ -259,6 +292,19 @@ def test_resample_repeats_rows(docs, texts):
     assert any(n == 2 * there[k] for k, n in counts.items()) and not any(not words(t) for _, t in counts)
 
 
+def test_resample_of_odd_columns_and_one_doc_id(spark, nothing):
+    data = [(None, f"some words of text {k}", "s", {"a": k}, 7, k, "t") for k in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, m map<string,int>, copies int, twin int, row_key string")
+    out = mixing.resample(df)
+    assert out.columns == df.columns
+    found = collections.Counter((r["text"], r["copies"], r["twin"], r["row_key"], r["m"]["a"]) for r in out.collect())
+    assert set(found.values()) <= {1, 2} and all(t == f"some words of text {k}" and c == 7 and a == k for t, c, k, _, a in found)
+    assert abs(found.total() - 600) <= 1
+    laid, _ = mixing.pieces(df)
+    assert laid.groupBy("bucket").count().count() > 8  # rows without a doc_id are not one bucket
+    assert mixing.resample(nothing).count() == 0
+
+
 def test_schedule_is_spread_evenly(docs):
     _, cut = mixing.pieces(docs)
     slots = sorted({(r["slot"], r["sid"]) for r in cut.select("slot", "sid").collect()})
@@ -308,6 +354,17 @@ def test_encoder_equals_the_library(monkeypatch):
         assert [np.frombuffer(x, "<u2")[:-1].tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), records.Encoder(path)
+    assert not e.splits and records.Encoder(public_tokenizers.path("byte_bpe_50k.json")).splits
+    texts = ["Some Words, it's 12", "", "  a  b", "x\n\ny"]
+    assert [np.frombuffer(x, e.kind)[:-1].tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_language_model(docs, texts, nothing):
     tokens = [[*words(t, True), None] for _, t, _ in texts]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _, _ in texts]
@@ -578,6 +635,66 @@ def test_licenses(spark, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_versions_and_kin_are_told_apart(spark):
+    texts = {
+        "gpl-2.0-notice": "x y This work is licensed under the GNU General Public License, version 2. z",
+        "gpl-3.0-notice": "x y This work is licensed under the GNU General Public License, version 3. z",
+        "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0. More",
+        "cc-by-4.0-notice": "Licensed under CC BY 4.0. More",
+        "cc-by-nc-sa-4.0-notice": "Licensed under CC BY-NC-SA 4.0. More",
+        "agpl-3.0-header": licenses.TEMPLATES["agpl-3.0-header"],
+        "gpl-2.0-header": licenses.TEMPLATES["gpl-2.0-header"],
+        "bsd-3-clause": "Copyright 2020\n" + licenses.TEMPLATES["bsd-3-clause"].replace(" ", "\n  "),
+        "mit": licenses.TEMPLATES["mit"],
+        "none": "This work is licensed under the GNU General Public License, version 9.",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    found = collections.defaultdict(list)
+    for r in licenses.scan(df).collect():
+        found[r["doc_id"]].append(r["template"])
+    assert [found[k] for k in range(len(texts))] == [[n] if n != "none" else [] for n in texts]
+
+
+def full_alignment(template, words):
+    """Matched words of the best local alignment without a band."""
+    best, before = (0, 0), [(0, 0)] * (len(words) + 1)
+    for want in template:
+        now = [(0, 0)]
+        for j, word in enumerate(words):
+            s, m = before[j]
+            cell = (s + 2, m + 1) if word == want else (s - 1, m)
+            cell = max(cell, (before[j + 1][0] - 1, before[j + 1][1]), (now[j][0] - 1, now[j][1]), key=lambda x: x[0])
+            now.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, now[-1], key=lambda x: x[0])
+        before = now
+    return best[1]
+
+
+def test_licences_by_brute_force(spark):
+    """Whatever a full alignment of every template with every text finds, the index and the band find."""
+    rng = __import__("random").Random(12)
+    names = ["apache-2.0-header", "isc-grant", "mit-grant", "zlib", "gpl-3.0-header", "mpl-2.0-notice"]
+    data = []
+    for k in range(60):
+        w = licenses.TEMPLATES[rng.choice(names)].split()
+        for _ in range(rng.randint(0, len(w) // 2)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice([["other"], [], [w[at], "extra"]])
+        data.append((k, " ".join(["fore"] * rng.randint(0, 9) + w + ["aft"] * rng.randint(0, 9))))
+    chosen = {n: licenses.TEMPLATES[n] for n in names}
+    got = {(r["doc_id"], r["template"]): r["coverage"] for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string"), chosen).collect()}
+    assert 20 < len(got)
+    for k, text in data:
+        for n in names:
+            template, words_ = licenses.words_of(chosen[n].encode()), licenses.words_of(text.encode())
+            share = full_alignment(template, words_) / len(template)
+            plain = not licenses.decisive(n, template)  # others may lack their version
+            if share >= 0.8 and plain:
+                assert got[k, n] == pytest.approx(share, abs=0.05)
+            elif share < 0.8:
+                assert (k, n) not in got
+
+
 def test_quality(spark, nothing):
     import random
 
@@ -642,7 +759,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).astype(np.float32)
     x[100:160] = x[100]
-    data = [(k, v.tolist()) for k, v in enumerate(x)] + [(700, None), (701, [0.0] * 8), (702, [float("nan")] + [1.0] * 7), (703, [1.0, None] + [1.0] * 6), (704, [1.0]), (None, x[3].tolist()), (5, x[5].tolist())]
+    data = [(k, v.tolist()) for k, v in enumerate(x)] + [(700, None), (701, [0.0] * 8), (702, [float("nan")] + [1.0] * 7), (703, [1.0, None] + [1.0] * 6), (704, [1.0]), (705, [2.0]), (720, [3.0]), (None, x[3].tolist()), (5, x[5].tolist())]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     out = neighbours.search(df, df.filter("vec_id % 20 = 0"), k=10)
     got = collections.defaultdict(list)
@@ -656,7 +773,30 @@ def test_neighbours(spark):
         assert all(v == pytest.approx(s[k]) for k, v in got[q])
         hit += len(set(best) & {k for k, _ in got[q]})
     assert hit >= 0.9 * 300
-    assert neighbours.search(df.limit(0), df).count() == 0
+    assert got[720] == [(705, 6.0), (704, 3.0)]  # of its own length
+    assert neighbours.search(df.limit(0), df).count() == 0 and neighbours.search(df, df.limit(0)).count() == 0
+
+
+def test_clustered_vectors_visit_few_leaves():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = np.concatenate([c + rng.normal(size=(50, 16)) for c in centres])
+    for data, low, high in ((x, 0.0, 0.12), (rng.normal(size=(2000, 16)), 0.0, 1.0)):
+        forest = neighbours.Forest([], float(np.linalg.norm(data, axis=1).max()), 16)
+        forest.trees = [neighbours.grow(forest.extend(data, False), 32, rng) for _ in range(8)]
+        share = forest.share_for(data, 20, 0.95, 100)
+        assert low < share < high
+        leaves = [t.leaves(forest.extend(data, False)) for t in forest.trees]
+        found = 0
+        for i in range(5, 2000, 41):
+            near = data @ data[i]
+            near[i] = -np.inf
+            best = np.argsort(-near)[:20]
+            seen = np.zeros(len(data), dtype=bool)
+            for tree, leaf in forest.search(forest.extend(data[i : i + 1], True)[0], share):
+                seen |= leaves[tree] == leaf
+            found += seen[best].sum()
+        assert found >= 0.9 * 20 * len(range(5, 2000, 41))
 
 
 def test_neighbours_of_repeated_rows(spark):
@@ -664,7 +804,7 @@ def test_neighbours_of_repeated_rows(spark):
     x = rng.normal(size=(60, 6)).astype(np.float32)
     crowd = [(60, (x[0] + k * 0.01).tolist()) for k in range(40)]  # one vec_id of many vectors near the query
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] * 3 + crowd, "vec_id long, embedding array<float>")
-    out = neighbours.search(df, df.filter("vec_id = 0"), k=20, search_share=2.0)
+    out = neighbours.search(df, df.filter("vec_id = 0"), k=20, target_recall=1.0)
     s = {k: float(x[k].astype(float) @ x[0].astype(float)) for k in range(1, 60)}
     s[60] = max(float(np.array(v, np.float32).astype(float) @ x[0].astype(float)) for _, v in crowd)
     expected = sorted(s, key=lambda k: -s[k])[:20]

@@ -18,7 +18,6 @@ ignored. A long text is held whole, with its ids and its record.
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 import struct
@@ -38,7 +37,7 @@ END_ID = 0
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 TEXTS_AT_ONCE = 128
 #: Pre-tokens are cached for texts of these characters only, whose classes are the same in every Unicode version.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
@@ -79,22 +78,21 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], self.kind).tobytes()
-        made = json.loads(self.tokenizer.to_str())
-        before = made.get("pre_tokenizer") or {}
+        before, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         #: whether PRE_TOKEN splits as this tokenizer does; texts go to any other one whole
         self.splits = (
-            made.get("normalizer") is None
-            and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
-            and made["model"].get("type") == "BPE"
-            and not any(made["model"].get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
-            and len(made["model"]["vocab"]) > 256
+            self.tokenizer.normalizer is None
+            and isinstance(before, pre_tokenizers.ByteLevel)
+            and (before.add_prefix_space, before.use_regex) == (False, True)
+            and isinstance(model, models.BPE)
+            and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix)
         )
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a byte-level token has a character for each byte

@@ -63,9 +63,15 @@ def neutral_loss(precursor: Column, mz: Column, least: float = 0.01) -> Column:
     return F.when(loss > least, loss)
 
 
-def grade(overlap: Column, share: Column, correlation: Column) -> Column:
-    """A to D of a screening hit by matched peaks, matched intensity share and correlation."""
-    return F.when((overlap >= 5) & (share >= 0.8) & (correlation >= 0.8), "A").when((overlap >= 3) & (share >= 0.5), "B").when(overlap >= 2, "C").otherwise("D")
+def grade(overlap: Column, total: Column, correlation: Column) -> Column:
+    """A to D of a screening hit by matched features, their summed motif intensities and correlation; null for none of them."""
+    good = (overlap >= 3) & (total >= 0.9)
+    return (
+        F.when(good & (correlation >= 0.7), "A")
+        .when(good & (correlation >= 0.5), "B")
+        .when((overlap >= 2) & (total >= 0.5) & (correlation >= 0.3), "C")
+        .when((overlap >= 2) & (total >= 0.8), "D")
+    )
 
 
 def quality_bin(score: Column) -> Column:
@@ -83,3 +89,24 @@ def stable_digest(seed: int, value: Column) -> Column:
 def natural_number(name: Column) -> Column:
     """The number inside names such as motif_12, for ordering."""
     return F.regexp_extract(name, r"(\d+)", 1).cast("bigint")
+
+
+def word_feature(text: Column) -> Column:
+    """(kind, value) of a word: 0 for fragments, 1 for losses, 2 for anything else; the mass on a logarithmic scale on which 2000 is 1."""
+    mass = word_mass(text)
+    kind = F.when(mass.isNull(), 2).when(F.lower(text).startswith("frag@"), 0).otherwise(1)
+    return F.struct(kind.alias("kind"), F.coalesce(F.log1p(mass) / F.log1p(F.lit(2000.0)), F.lit(0.0)).alias("value"))
+
+
+def accuracy(digits: int) -> float:
+    """Half a unit of the last digit."""
+    return 10.0**-digits / 2
+
+
+def document_key(words: Column) -> Column:
+    """The md5 of a document's words put together."""
+    return F.md5(F.array_join(words, "").cast("binary"))
+
+
+def listed(values: Column) -> Column:
+    return F.array_join(values.cast("array<string>"), ", ")

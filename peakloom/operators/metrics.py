@@ -53,16 +53,31 @@ def matched_topics(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int,
 
 
 def group_split(sizes: dict[str, int], shares: dict[str, float], seed: int) -> dict[str, str]:
-    """A split for each group: large groups first, each to the split that is furthest below its share."""
+    """A split for each group, large groups first, ties by digest.
+
+    A group goes where it overshoots the wanted number by the least share of it, then where the largest share is still
+    missing, then by digest. One pass in order of size: groups are counted before they come here.
+    """
     total = sum(sizes.values())
-    want = {s: share * total / sum(shares.values()) for s, share in shares.items()}
+    want = {s: share * total for s, share in shares.items()}
+    have = dict.fromkeys(shares, 0)
+    digest = lambda text: hashlib.sha256(f"{seed}\0{text}".encode()).hexdigest()
     out = {}
-    for g in sorted(sizes, key=lambda g: (-sizes[g], hashlib.sha256(f"{seed}\0{g}".encode()).hexdigest())):
-        out[g] = max(want, key=lambda s: want[s])
-        want[out[g]] -= sizes[g]
+    for g in sorted(sizes, key=lambda g: (-sizes[g], digest(g))):
+        over = {s: max(have[s] + sizes[g] - want[s], 0.0) / max(want[s], 1.0) for s in want}
+        missing = {s: (want[s] - have[s]) / max(want[s], 1.0) for s in want}
+        out[g] = min(want, key=lambda s: (over[s], -missing[s], digest(f"{g}\0{s}")))  # noqa: B023
+        have[out[g]] += sizes[g]
     return out
 
 
+def split_by_group(records: DataFrame, group: str, shares: dict[str, float], seed: int) -> DataFrame:
+    """records with `split`, whole groups in one split; one row for each group is collected, as the choice goes from group to group."""
+    sizes = {r[group]: r["n"] for r in records.groupBy(group).agg(F.count("*").alias("n")).toLocalIterator()}
+    chosen = records.sparkSession.createDataFrame(list(group_split(sizes, shares, seed).items()), f"{group} {records.schema[group].dataType.simpleString()}, split string")
+    return records.join(chosen, group)
+
+
 def leakage(records: DataFrame, key: str, split: str = "split") -> DataFrame:
     """The keys that more than one split holds, with how many do."""
     return records.groupBy(key).agg(F.countDistinct(split).alias("splits")).filter("splits > 1")

@@ -40,12 +40,28 @@ def vocabulary(corpus: DataFrame, min_cf: int = 1, min_df: int = 1, drop_top: in
 
 
 def completion_split(peaks: DataFrame, seed: int, share: float = 0.5) -> DataFrame:
-    """peaks with `observed`: the first round(share * n) of a scan by digest, at least one and not all."""
+    """peaks with `observed`: the first round(share * n) of a scan by digest, at least one and not all; a scan of one peak is an error."""
     scan = Window.partitionBy("scan")
     n = F.count("*").over(scan)
     first = F.greatest(F.least(F.rint(n * share), n - 1), F.lit(1))
-    key = stable_digest(seed, F.concat_ws(":", "scan", F.col("peak_idx").cast("string")))
-    return peaks.withColumn("observed", F.row_number().over(scan.orderBy(key)) <= first)
+    key = stable_digest(seed, F.concat("scan", F.char(F.lit(0)), F.col("peak_idx").cast("string")))
+    few = F.raise_error(F.concat(F.lit("completion needs two peaks of scan "), "scan"))
+    return peaks.withColumn("observed", F.when(n < 2, few.cast("boolean")).otherwise(F.row_number().over(scan.orderBy(key)) <= first))
+
+
+def renormalised(observed: DataFrame, digits: int = 2) -> DataFrame:
+    """(scan, peak_idx, w, n, word, loss): observed peaks by their own maximum, with at least one repetition; loss words only above 0.01."""
+    w = F.col("frag_intens") / F.max("frag_intens").over(Window.partitionBy("scan"))
+    loss = neutral_loss(F.col("precmz"), F.col("frag_mz"))
+    return observed.withColumn("w", w).select("scan", "peak_idx", "w", F.greatest(repetitions(F.col("w")), F.lit(1)).alias("n"), word("frag", F.col("frag_mz"), digits).alias("word"), F.when(loss.isNotNull(), word("loss", loss, digits)).alias("loss"))
+
+
+def limited(peaks: DataFrame, least: float = 1.0, top: int = 1000) -> DataFrame:
+    """Peaks (scan, mz, i) with m/z and intensity of at least `least`, and of MS2 scans the `top` most intense; ms_level where there is one."""
+    kept = peaks.filter((F.col("mz") >= least) & (F.col("i") >= least))
+    rank = F.row_number().over(Window.partitionBy("scan").orderBy(F.desc("i"), F.desc("mz")))
+    ms2 = F.col("ms_level") == 2 if "ms_level" in peaks.columns else F.lit(True)
+    return kept.withColumn("_rank", rank).filter(~ms2 | (F.col("_rank") <= top)).drop("_rank")
 
 
 def previous_ms1(scans: DataFrame) -> DataFrame:

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from .topics import FLOOR
 
 
-def mixture_diagnostics(theta: DataFrame) -> DataFrame:
-    """One row: topics that dominate a document, quantiles of the largest share, median of exp(entropy) in topics."""
+def mixture_diagnostics(theta: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """One row: topics that dominate a document, quantiles of the largest share, median of exp(entropy), and how many documents and topics have a share of at least `threshold`."""
     p = F.when(F.col("p") == 0, FLOOR).otherwise(F.col("p"))
     docs = theta.groupBy("doc").agg(F.max(F.struct("p", (-F.col("topic")).alias("t"))).alias("b"), F.exp(F.sum(-p * F.log(p))).alias("wide"))
     quantile = lambda c, q: F.percentile(c, F.lit(q))
-    return docs.agg(
+    shape = docs.agg(
         F.countDistinct("b.t").alias("dominant_topics"), quantile("b.p", 0.5).alias("max_median"), quantile("b.p", 0.95).alias("max_p95"),
-        F.max("b.p").alias("max_max"), quantile("wide", 0.5).alias("wide_median"),
+        F.max("b.p").alias("max_max"), quantile("wide", 0.5).alias("wide_median"), F.count(F.when(F.col("b.p") >= threshold, 1)).alias("crossing_docs"),
     )
+    topics = theta.filter(F.col("p") >= threshold).agg(F.countDistinct("topic").alias("crossing_topics"))
+    return shape.crossJoin(topics)  # one row each
 
 
 def across_seeds(rows: DataFrame, *by: str, value: str = "value") -> DataFrame:
@@ -58,10 +60,15 @@ def histogram(rows: DataFrame, value: Column, edges: list[float]) -> DataFrame:
 
 
 def frequent(rows: DataFrame, doc: str, item: str, least: float = 0.005) -> DataFrame:
-    """(item, n): items in at least that share of all documents."""
+    """(item, n): items in more documents than that share of all, rounded down; `in_order` lists them."""
     counts = rows.select(doc, item).distinct().groupBy(item).agg(F.count("*").alias("n"))
     total = rows.agg(F.countDistinct(doc).alias("_d"))
-    return counts.crossJoin(total).filter(F.col("n") >= F.col("_d") * least).drop("_d")  # the total is one row
+    return counts.crossJoin(total).filter(F.col("n") > F.floor(F.col("_d") * least)).drop("_d")  # the total is one row
+
+
+def in_order(counts: DataFrame, item: str, n: str = "n") -> DataFrame:
+    """Counts with the most common item first; ties by item."""
+    return counts.orderBy(F.desc(n), item)
 
 
 def first_places(corpus: DataFrame) -> DataFrame:

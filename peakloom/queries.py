@@ -2,47 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import sketches
 from .operators import lda, metrics, network, peaks, screening, similarity, summaries, topics
 from .plans.compiler import run, run_many
-from .sources.adapters import MS1_SQL, MS2_SQL, WORDS_SQL, beta, ms1_peaks, ms2_peaks, theta
+from .registry import ORACLES, PEAKS, QUERIES, THETA, named, q6, r6, register
+from .sources.adapters import WORDS_SQL, beta, ms1_peaks, ms2_peaks, theta
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-PEAKS = f"with ms2 as ({MS2_SQL}), ms1 as ({MS1_SQL})"
-THETA = "with cells as (select vec_id as id, unnest(range(64))::int as topic, abs(unnest(embedding)::double) as e from embeddings), theta as (select id as doc, topic, e / sum(e) over (partition by id) as p from cells), beta as (select topic, id as word, e / sum(e) over (partition by topic) as p from cells)"
 FLAGSHIP = "QUERY scaninfo(MS2DATA) WHERE MS2PROD=178.03:TOLERANCEMZ=0.5"
 
 
-def r6(c: Column | str) -> Column:
-    """Rounded alike in both engines."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
-
-
-def q6(sql: str) -> str:
-    return f"floor(({sql}) * 1e6 + 0.5e0) / 1e6"
-
-
-def named(name: str) -> str:
-    return f"{q6(name)} as {name}"
-
-
-def register(name: str, sql: str | None = None):
-    def keep(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
 def peak_query(name: str, query: str, columns: list[str] | None, sql: str, ms1: bool = False) -> None:
     """Register a query of the peak language; columns: what is compared."""
 
@@ -180,14 +151,13 @@ def corpus_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "completion_split",
     f"""{PEAKS}, p as (select scan, row_number() over (partition by scan order by frag_mz, frag_intens, loss_mz) as peak_idx from ms2),
-    r as (select scan, peak_idx, count(*) over (partition by scan) as n, row_number() over (partition by scan order by sha256('42' || chr(0) || scan || ':' || peak_idx::varchar)) as k from p)
-    select scan, peak_idx::int as peak_idx, k <= greatest(least(round_even(n * 0.5e0, 0), n - 1), 1) as observed from r""",
+    r as (select scan, peak_idx, count(*) over (partition by scan) as n, row_number() over (partition by scan order by sha256('42' || chr(0) || scan || chr(0) || peak_idx::varchar)) as k from p)
+    select scan, peak_idx::int as peak_idx, k <= greatest(least(round_even(n * 0.5e0, 0), n - 1), 1) as observed from r where n > 1""",
 )
 def completion_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     numbered = ms2_peaks(spark, sf_dir).withColumn("peak_idx", F.row_number().over(Window.partitionBy("scan").orderBy("frag_mz", "frag_intens", "loss_mz")))
-    return peaks.completion_split(numbered, 42).select("scan", "peak_idx", "observed")
+    several = numbered.withColumn("n", F.count("*").over(Window.partitionBy("scan"))).filter("n > 1")
+    return peaks.completion_split(several, 42).select("scan", "peak_idx", "observed")
 
 
 @register("theta_entropy", f"{THETA} select {q6('avg(h)')} as entropy from (select doc, sum(-p * ln(case when p = 0 then 1e-12 else p end)) as h from theta group by doc)")
@@ -318,25 +288,27 @@ def lda_fit_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lda.infer(docs, model)
 
 
-# motifs: scans of charge 1; spectra: scans of charge 2
-SIDES = f"""{PEAKS}, m as (select scan as motif, frag_mz as feature, max(frag_intens) as mi from ms2 where charge = 1 group by 1, 2),
-    s as (select scan as spectrum, frag_mz as peak, frag_intens as si from ms2 where charge = 2),
-    b as (select *, floor(feature / 0.005e0)::bigint + k as bin from m, (values (-1), (0), (1)) v(k)),
-    f as (select motif, spectrum, feature, mi, min(struct_pack(peak := peak, si := si)) as f from s join b on floor(peak / 0.005e0)::bigint = bin where abs(peak - feature) <= 0.005e0 group by all)"""
+# motifs: scans of charge 1; spectra: scans of charge 2; every fragment's and every loss's intensity as a share of the scan's sum, so that the sums have limits to meet
+SIDES = f"""{PEAKS}, w as (select scan, charge, frag_mz, loss_mz, frag_intens / sum(frag_intens) over (partition by scan) as i from ms2),
+    kinds as (select scan, charge, 'frag' as kind, 0.005e0 as margin, frag_mz as mz, i from w union all select scan, charge, 'loss', 0.01e0, loss_mz, i from w where loss_mz is not null),
+    m as (select scan as motif, kind, margin, mz as feature, max(i) as mi from kinds where charge = 1 group by 1, 2, 3, 4),
+    s as (select scan as spectrum, kind, mz as peak, i as si from kinds where charge = 2),
+    b as (select *, floor(feature / margin)::bigint + k as bin from m, (values (-1), (0), (1)) v(k)),
+    f as (select motif, spectrum, b.kind, feature, mi, min(struct_pack(peak := peak, si := si)) as f from s join b on s.kind = b.kind and floor(peak / margin)::bigint = bin where abs(peak - feature) <= margin group by all)"""
 
 
 @register(
     "screen_overlap",
-    f"""{SIDES}, t as (select motif, sum(mi) as total from m group by motif),
-    g as (select motif, spectrum, count(*) as n, sum(mi) as matched, max(mi) > min(mi) and max(f.si) > min(f.si) as varied, corr(mi, f.si) as r from f group by motif, spectrum),
-    x as (select motif, spectrum, n, matched / total as share, case when varied then r else 0 end as r from g join t using (motif))
-    select motif, spectrum, n, {named('share')}, {named('r')}, case when n >= 5 and share >= 0.8e0 and r >= 0.8e0 then 'A' when n >= 3 and share >= 0.5e0 then 'B' when n >= 2 then 'C' else 'D' end as grade from x""",
+    f"""{SIDES}, g as (select motif, spectrum, count(*) as n, sum(mi) as total, max(mi) > min(mi) and max(f.si) > min(f.si) as varied, corr(mi, f.si) as r from f group by motif, spectrum),
+    x as (select motif, spectrum, n, total, case when varied then r else 0 end as r from g)
+    select motif, spectrum, n, {named('total')}, {named('r')}, case when n >= 3 and total >= 0.9e0 and r >= 0.7e0 then 'A' when n >= 3 and total >= 0.9e0 and r >= 0.5e0 then 'B' when n >= 2 and total >= 0.5e0 and r >= 0.3e0 then 'C' when n >= 2 and total >= 0.8e0 then 'D' end as grade from x""",
 )
 def screen_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = ms2_peaks(spark, sf_dir)
-    side = lambda charge, name: table.filter(F.col("charge") == charge).select(F.col("scan").alias(name), F.col("frag_mz").alias("mz"), F.col("frag_intens").alias("i"))
+    table = ms2_peaks(spark, sf_dir).withColumn("i", F.col("frag_intens") / F.sum("frag_intens").over(Window.partitionBy("scan")))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_mz").alias("mz")) for k in ("frag", "loss")])
+    side = lambda charge, name: table.filter(F.col("charge") == charge).select(F.col("scan").alias(name), "i", F.inline(kinds)).filter("mz is not null")
     out = screening.overlap_screen(side(1, "motif"), side(2, "spectrum"))
-    return out.select("motif", "spectrum", "n", r6("share").alias("share"), r6("r").alias("r"), "grade")
+    return out.select("motif", "spectrum", "n", r6("total").alias("total"), r6("r").alias("r"), "grade")
 
 
 @register(
@@ -371,8 +343,6 @@ def spectra_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc, word, peak_idx, {named('delta')} from (select *, row_number() over (partition by doc, word order by delta, peak_idx) as k from h where delta <= 0.5e0) where k = 1""",
 )
 def word_nearest_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     table = ms2_peaks(spark, sf_dir)
     place = F.row_number().over(Window.partitionBy("scan").orderBy("frag_mz", "frag_intens", "loss_mz"))
     numbered = table.select(F.col("scan").alias("doc"), place.alias("peak_idx"), F.col("frag_mz").alias("mz"), F.col("precmz").alias("precursor"))
@@ -385,7 +355,7 @@ def word_nearest_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "screen_top_hits",
     f"""{THETA}, k as (select topic, doc, p, row_number() over (partition by topic order by p desc, doc) as rank from theta)
-    select topic, string_agg('set|' || doc || '(' || printf('%.2f', p * 100e0) || ')', ', ' order by rank) as text from k where rank <= 3 group by topic""",
+    select topic, string_agg('set|' || doc || '(' || printf('%.2f', p * 100e0) || ')', '; ' order by rank) as text from k where rank <= 3 group by topic""",
 )
 def screen_top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = theta(spark, sf_dir).select(F.col("topic").alias("motif"), F.lit("set").alias("set"), F.col("doc").alias("id"), (F.col("p") * 100).alias("score"))
@@ -396,10 +366,10 @@ def screen_top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     "mixture_diagnostics",
     f"""{THETA}, d as (select doc, max(p) as m, exp(sum(-p * ln(case when p = 0 then 1e-12 else p end))) as wide from theta group by doc),
     b as (select count(distinct topic) as n from (select topic, row_number() over (partition by doc order by p desc, topic) as k from theta) where k = 1)
-    select (select n from b) as dominant_topics, {q6('quantile_cont(m, 0.5)')} as max_median, {q6('quantile_cont(m, 0.95)')} as max_p95, {q6('max(m)')} as max_max, {q6('quantile_cont(wide, 0.5)')} as wide_median from d""",
+    select (select n from b) as dominant_topics, {q6('quantile_cont(m, 0.5)')} as max_median, {q6('quantile_cont(m, 0.95)')} as max_p95, {q6('max(m)')} as max_max, {q6('quantile_cont(wide, 0.5)')} as wide_median, count(*) filter (m >= 0.05e0) as crossing_docs, (select count(distinct topic) from theta where p >= 0.05e0) as crossing_topics from d""",
 )
 def mixture_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.mixture_diagnostics(theta(spark, sf_dir)).select("dominant_topics", *(r6(c).alias(c) for c in ("max_median", "max_p95", "max_max", "wide_median")))
+    return summaries.mixture_diagnostics(theta(spark, sf_dir)).select("dominant_topics", *(r6(c).alias(c) for c in ("max_median", "max_p95", "max_max", "wide_median")), "crossing_docs", "crossing_topics")
 
 
 @register(
@@ -461,7 +431,7 @@ def precursor_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "feature_frequency",
-    f"{PEAKS}, r as (select distinct scan, floor(frag_mz) as item from ms2) select item::bigint as item, count(*) as n from r group by item having count(*) >= (select count(distinct scan) from ms2) * 0.005e0",
+    f"{PEAKS}, r as (select distinct scan, floor(frag_mz) as item from ms2) select item::bigint as item, count(*) as n from r group by item having count(*) > floor((select count(distinct scan) from ms2) * 0.005e0)",
 )
 def feature_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.frequent(ms2_peaks(spark, sf_dir).select("scan", F.floor("frag_mz").alias("item")), "scan", "item")

@@ -1,23 +1,26 @@
 """Spectra and motif files as peak tables, and back.
 
 Text formats are split into blocks by Spark's reader and parsed with SQL functions; mzML and mzXML, which are XML with encoded
-arrays, are parsed a file at a time in Arrow batches.
+arrays, are parsed spectrum by spectrum into Arrow batches. Scans of different files are different scans.
 """
 
 from __future__ import annotations
 
 import base64
-import struct
+import io
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 READERS = {}
-PEAK = r"(?m)^[ \t]*([0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)[ \t,;:]+([0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
+NUMBER = r"[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?|[0-9]+\."
+PEAK = rf"(?m)(?:^|;)[ \t]*({NUMBER})[ \t,:]+({NUMBER})"  # several on a line are parted by semicolons
 
 
 def reader(*suffixes: str):
@@ -28,12 +31,21 @@ def reader(*suffixes: str):
     return keep
 
 
-def read_spectra(spark: SparkSession, path: str) -> DataFrame:
-    """Peak rows of any known format, by suffix."""
-    suffix = "." + path.lower().rpartition(".")[2]
+def read_spectra(spark: SparkSession, source: str | DataFrame | list[dict]) -> DataFrame:
+    """Peak rows of a table, of spectra in memory (dicts with mz and intensities, and scan, precmz, rt, charge, polarity), or of any known format, by suffix."""
+    if isinstance(source, DataFrame):
+        return source
+    if isinstance(source, list):
+        return spectra_in_memory(spark, source)
+    suffix = "." + source.lower().rpartition(".")[2]
     if suffix not in READERS:
-        raise ValueError(f"unknown format: {path}")
-    return READERS[suffix](spark, path)
+        raise ValueError(f"unknown format: {source}")
+    return READERS[suffix](spark, source)
+
+
+def spectra_in_memory(spark: SparkSession, spectra: list[dict]) -> DataFrame:
+    rows = [(str(x.get("scan", k + 1)), x.get("precmz"), x.get("rt"), int(x.get("charge", 1)), int(x.get("polarity", 0)), n, float(m), float(i)) for k, x in enumerate(spectra) for n, (m, i) in enumerate(zip(x["mz"], x["intensities"], strict=True))]
+    return with_norms(spark.createDataFrame(rows, "scan string, precmz double, rt double, charge int, polarity int, peak_idx int, frag_mz double, frag_intens double").filter("frag_intens > 0"))
 
 
 def _field(block: Column, name: str) -> Column:
@@ -50,20 +62,35 @@ def _peaks(df: DataFrame) -> DataFrame:
 
 
 def with_norms(df: DataFrame) -> DataFrame:
-    scan = Window.partitionBy("scan")
+    scan = Window.partitionBy(*(c for c in ("file", "scan") if c in df.columns))
     return df.withColumns({"i_norm": F.col("frag_intens") / F.max("frag_intens").over(scan), "i_tic_norm": F.col("frag_intens") / F.sum("frag_intens").over(scan)})
 
 
-def _blocks(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    return spark.read.text(path, lineSep=separator).select(F.col("value").alias("block"), F.monotonically_increasing_id().alias("n"))
+def _rows(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(file, value, n): a file's rows with their places from 1, whatever the splits it is read in.
+
+    Places inside a split are ranked there; what stands in the splits before is a sum over a file's few splits.
+    """
+    read = spark.read.text(path, **options).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value", F.monotonically_increasing_id().alias("id"))
+    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = read.groupBy("file", "split").agg(F.count("*").alias("rows")).select("file", "split", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "split").orderBy("id"))
+    return read.withColumn("n", place).join(before, ["file", "split"]).select("file", "value", (F.col("n") + F.col("before")).alias("n"))
+
+
+def _named(df: DataFrame, name: Column) -> Column:
+    """A scan's name: of several files, with its file's."""
+    own = F.coalesce(name, F.col("n").cast("string"))
+    return F.concat_ws(":", F.regexp_extract("file", r"([^/]+)$", 1), own) if len(df.inputFiles()) > 1 else own
 
 
 @reader(".mgf")
 def read_mgf(spark: SparkSession, path: str) -> DataFrame:
-    """Spectra between BEGIN IONS and END IONS; without SCANS a spectrum is named by its place in the file's order."""
-    blocks = _blocks(spark, path, "END IONS").filter(F.col("block").contains("BEGIN IONS"))
-    named = blocks.select(
-        F.coalesce(_field(F.col("block"), "SCANS"), (F.col("n") + 1).cast("string")).alias("scan"),
+    """Spectra between BEGIN IONS and END IONS; without SCANS a spectrum is named by its place in its file."""
+    rows = _rows(spark, path, lineSep="END IONS").withColumnRenamed("value", "block").filter(F.col("block").contains("BEGIN IONS"))
+    named = rows.select(
+        "file",
+        _named(rows, _field(F.col("block"), "SCANS")).alias("scan"),
         F.regexp_extract(_field(F.col("block"), "PEPMASS"), r"^([0-9.]+)", 1).try_cast("double").alias("precmz"),
         (_field(F.col("block"), "RTINSECONDS").try_cast("double") / 60).alias("rt"),
         F.coalesce(F.regexp_extract(_field(F.col("block"), "CHARGE"), r"(\d+)", 1).try_cast("int"), F.lit(1)).alias("charge"),
@@ -80,13 +107,24 @@ def polarity(text: Column) -> Column:
 
 @reader(".msp")
 def read_msp(spark: SparkSession, path: str) -> DataFrame:
-    """Compounds separated by blank lines."""
-    blocks = _blocks(spark, path, "\n\n").filter(F.lower("block").contains("num peaks"))
+    """Compounds parted by blank lines, with any line ends; several peaks of a line are parted by semicolons, quoted notes are left out."""
+    lines = _rows(spark, path)
+    blank = (F.trim("value") == "").cast("int")
+    # blocks are counted like rows: inside chunks of lines, then over a file's chunks
+    lines = lines.withColumn("chunk", F.floor(F.col("n") / 100_000))
+    ahead = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("file", "chunk").agg(F.sum(blank).alias("k")).select("file", "chunk", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("before"))
+    inside = F.sum(blank).over(Window.partitionBy("file", "chunk").orderBy("n"))
+    numbered = lines.withColumn("k", inside).join(before, ["file", "chunk"]).select("file", "n", "value", (F.col("k") + F.col("before")).alias("k")).filter(F.trim("value") != "")
+    block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n")
+    blocks = numbered.groupBy("file", "k").agg(F.min("n").alias("n"), block.alias("block")).filter(F.lower("block").contains("num peaks"))
+    blocks = blocks.withColumn("n", F.col("k") + 1)
     named = blocks.select(
-        F.coalesce(_field(F.col("block"), "NAME"), (F.col("n") + 1).cast("string")).alias("scan"),
+        "file",
+        _named(lines, _field(F.col("block"), "NAME")).alias("scan"),
         _field(F.col("block"), "PRECURSOR_?MZ").try_cast("double").alias("precmz"),
         polarity(_field(F.col("block"), "ION_?MODE")).alias("polarity"),
-        F.regexp_replace("block", r"(?m)^[^\n]*[A-Za-z][^\n]*:[^\n]*$", "").alias("block"),
+        F.regexp_replace(F.regexp_replace("block", r'"[^"\n]*"', ""), r"(?m)^[^\n]*[A-Za-z][^\n]*:[^\n]*$", "").alias("block"),
     )
     return _peaks(named)
 
@@ -101,87 +139,134 @@ def read_columns(spark: SparkSession, path: str) -> DataFrame:
 
 
 @reader(".json")
-def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of library spectra with peaks_json; entries of over a million characters are passed over."""
-    rows = spark.read.schema("spectrum_id string, peaks_json string, Precursor_MZ string").json(path, multiLine=True)
-    peaks = rows.filter(F.length("peaks_json") <= 1_000_000).select(F.col("spectrum_id").alias("scan"), F.col("Precursor_MZ").try_cast("double").alias("precmz"), F.posexplode(F.from_json("peaks_json", "array<array<double>>")).alias("peak_idx", "p"))
+def read_library(spark: SparkSession, path: str, limit: int | None = 1_000_000) -> DataFrame:
+    """A JSON array of library spectra with peaks_json; entries of over `limit` characters are passed over (None: none), see left_out."""
+    rows = spark.read.schema(LIBRARY).json(path, multiLine=True)
+    kept = rows if limit is None else rows.filter(F.length("peaks_json") <= limit)
+    peaks = kept.select(F.col("spectrum_id").alias("scan"), F.col("Precursor_MZ").try_cast("double").alias("precmz"), F.posexplode(F.from_json("peaks_json", "array<array<double>>")).alias("peak_idx", "p"))
     return with_norms(peaks.select("scan", "precmz", "peak_idx", F.col("p")[0].alias("frag_mz"), F.col("p")[1].alias("frag_intens")).filter("frag_intens > 0"))
 
 
-RAW = "scan string, ms_level int, mz double, i double, rt double, polarity int, precmz double, charge int, n bigint"
-RAW_KINDS = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int64()]
+LIBRARY = "spectrum_id string, peaks_json string, Precursor_MZ string"
+
+
+def left_out(spark: SparkSession, path: str, limit: int = 1_000_000) -> int:
+    """How many entries read_library passes over for their length."""
+    return spark.read.schema(LIBRARY).json(path, multiLine=True).filter(F.length("peaks_json") > limit).count()
 
 
-def _floats(text: str, precision: int, packed: bool, order: str) -> list[float]:
+RAW = "scan string, ms_level int, mz double, i double, rt double, polarity int, precmz double, charge int, mobility double, n bigint"
+RAW_KINDS = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.int64()]
+ROWS_AT_ONCE = 1 << 16
+MOBILITY = ("product ion mobility", "ion mobility drift time", "inverse reduced ion mobility")
+
+
+def _floats(text: str | None, precision: int, packed: bool, order: str) -> np.ndarray:
     raw = base64.b64decode(text or "")
     raw = zlib.decompress(raw) if packed and raw else raw
-    size = precision // 8
-    return list(struct.unpack(f"{order}{len(raw) // size}{'d' if size == 8 else 'f'}", raw))
+    return np.frombuffer(raw, f"{order}f{precision // 8}").astype(float)
+
 
+def _tag(e: ET.Element) -> str:
+    return e.tag.rpartition("}")[2]
 
-def _mzml(content: bytes) -> Iterator[tuple]:
+
+def _mzml(file) -> Iterator[tuple]:
+    """Spectra with an MS level, one at a time: scan, level, m/z, intensities, minutes, polarity, precursor, charge, mobility, place."""
     n = 0
-    for spectrum in ET.fromstring(content).iter():
-        if not spectrum.tag.endswith("}spectrum") and spectrum.tag != "spectrum":
+    for _, e in ET.iterparse(file, events=("end",)):
+        if _tag(e) != "spectrum":
             continue
         n += 1
-        local = [(e.tag.rpartition("}")[2], e) for e in spectrum.iter()]
-        params = {e.get("name"): e for tag, e in local if tag == "cvParam"}
-        if "ms level" not in params:
-            continue
-        time = params.get("scan start time")
-        rt = float(time.get("value")) / (60 if time.get("unitName") == "second" else 1) if time is not None else None
-        charge = int(params["charge state"].get("value")) if "charge state" in params else 0
-        precursor = float(params["selected ion m/z"].get("value")) if "selected ion m/z" in params else None
-        mode = 1 if "positive scan" in params else 2 if "negative scan" in params else 0
-        scan = spectrum.get("id", "").rpartition("scan=")[2].split(" ")[0] or str(n)
-        arrays = {}
-        for tag, e in local:
-            if tag == "binaryDataArray":
-                names = {p.get("name") for p in e.iter() if p.tag.endswith("cvParam")}
-                text = next((b.text for b in e.iter() if b.tag.endswith("binary")), "")
+        params = {p.get("name"): p for p in e.iter() if _tag(p) == "cvParam"}
+        if "ms level" in params:
+            time = params.get("scan start time")
+            value = lambda name: float(params[name].get("value")) if name in params else None  # noqa: B023, E731
+            arrays = {}
+            for a in (x for x in e.iter() if _tag(x) == "binaryDataArray"):
+                names = {p.get("name") for p in a.iter() if _tag(p) == "cvParam"}
+                text = next((b.text for b in a.iter() if _tag(b) == "binary"), None)
                 arrays["mz" if "m/z array" in names else "i"] = _floats(text, 64 if "64-bit float" in names else 32, "zlib compression" in names, "<")
-        for mz, i in zip(arrays.get("mz", []), arrays.get("i", []), strict=False):
-            if i > 0:
-                yield scan, int(params["ms level"].get("value")), mz, i, rt, mode, precursor, charge, n
+            yield (
+                e.get("id", "").rpartition("scan=")[2].split(" ")[0] or str(n), int(params["ms level"].get("value")), arrays.get("mz", np.zeros(0)), arrays.get("i", np.zeros(0)),
+                float(time.get("value")) / (60 if time.get("unitName") == "second" else 1) if time is not None else None,
+                1 if "positive scan" in params else 2 if "negative scan" in params else 0,
+                value("selected ion m/z"), int(value("charge state") or 0), next((v for v in map(value, MOBILITY) if v is not None), None), n,
+            )
+        e.clear()
+
+
+def _mzxml(file) -> Iterator[tuple]:
+    """Scans, which may hold scans; one is whole when its own peaks have ended."""
+    n, open_scans = 0, []
+    for event, e in ET.iterparse(file, events=("start", "end")):
+        tag = _tag(e)
+        if event == "start":
+            if tag == "scan":
+                n += 1
+                open_scans.append((n, e.attrib, {}))
+            continue
+        if tag == "precursorMz" and open_scans:
+            open_scans[-1][2]["precursor"] = (float(e.text), int(e.get("precursorCharge", 0)))
+        elif tag == "peaks" and open_scans:
+            place, scan, own = open_scans[-1]
+            values = _floats(e.text, int(e.get("precision", 32)), e.get("compressionType") == "zlib", ">")
+            precursor, charge = own.get("precursor", (None, 0))
+            rt = float(scan.get("retentionTime", "PT0S").strip("PTS") or 0) / 60
+            yield scan.get("num"), int(scan.get("msLevel")), values[::2], values[1::2], rt, {"+": 1, "-": 2}.get(scan.get("polarity"), 0), precursor, charge, None, place
+        elif tag == "scan":
+            open_scans.pop()
+        if tag in ("peaks", "scan"):
+            e.clear()
 
 
-def _mzxml(content: bytes) -> Iterator[tuple]:
-    n = 0
-    for scan in ET.fromstring(content).iter():
-        if scan.tag.rpartition("}")[2] != "scan":
-            continue
-        n += 1
-        own = {e.tag.rpartition("}")[2]: e for e in scan if e.tag.rpartition("}")[2] in ("peaks", "precursorMz")}
-        rt = float(scan.get("retentionTime", "PT0S").strip("PTS") or 0) / 60
-        precursor = own.get("precursorMz")
-        charge = int(precursor.get("precursorCharge", 0)) if precursor is not None else 0
-        peaks = own.get("peaks")
-        values = _floats(peaks.text, int(peaks.get("precision", 32)), peaks.get("compressionType") == "zlib", ">") if peaks is not None else []
-        mode = {"+": 1, "-": 2}.get(scan.get("polarity"), 0)
-        for mz, i in zip(values[::2], values[1::2], strict=False):
-            if i > 0:
-                yield scan.get("num"), int(scan.get("msLevel")), mz, i, rt, mode, float(precursor.text) if precursor is not None else None, charge, n
+def _opened(path: str, content: bytes | None):
+    """A file by pyarrow's file systems where they know its scheme, so that it is read piece by piece; else what Spark has read."""
+    return io.BytesIO(content) if content is not None else fs.FileSystem.from_uri(path)[0].open_input_stream(fs.FileSystem.from_uri(path)[1])
 
 
 @reader(".mzml", ".mzxml")
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Peaks of every level with ms1scan, the last MS1 scan that had a peak."""
+def read_raw(spark: SparkSession, path: str, least: float = 0.0, top: int | None = None) -> DataFrame:
+    """Peaks of every level with ms1scan, the last MS1 scan that had a peak.
+
+    least: peaks with an m/z or intensity below it are left out; top: of MS2 scans the most intense peaks that stay. Files are read
+    spectrum by spectrum.
+    """
     parse = _mzxml if path.lower().endswith("mzxml") else _mzml
     names = [c.split(" ")[0] for c in RAW.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content, name in zip(b["content"].to_pylist(), b["path"].to_pylist(), strict=True):
-                found = list(zip(*parse(content), strict=True)) or [[]] * len(names)
-                arrays = [pa.array(x, k) for x, k in zip(found, RAW_KINDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([name] * len(arrays[0]), pa.string())], [*names, "file"])
+        def table(held: list[tuple], name: str) -> pa.RecordBatch:
+            sizes = [len(x[2]) for x in held]
+            flat = [np.concatenate([x[k] for x in held]) if k in (2, 3) else pa.array([x[k] for x in held], kind).take(pa.array(np.repeat(np.arange(len(held)), sizes))) for k, kind in enumerate(RAW_KINDS)]
+            return pa.RecordBatch.from_arrays([*(pa.array(x) if isinstance(x, np.ndarray) else x for x in flat), pa.array([name] * sum(sizes), pa.string())], [*names, "file"])
 
-    peaks = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, RAW + ", file string")
+        for b in batches:
+            for name, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                held, n = [], 0
+                with _opened(name, content) as file:
+                    for scan, level, mz, i, *rest in parse(file):
+                        keep = np.flatnonzero((i[: len(mz)] > 0) & (mz[: len(i)] >= least) & (i[: len(mz)] >= least))
+                        if top is not None and level == 2 and len(keep) > top:
+                            keep = np.sort(keep[np.argsort(i[keep], kind="stable")[-top:]])
+                        held.append((scan, level, mz[keep], i[keep], *rest))
+                        n += len(keep)
+                        if n >= ROWS_AT_ONCE:
+                            yield table(held, name)
+                            held, n = [], 0
+                if n:
+                    yield table(held, name)
+
+    files = spark.read.format("binaryFile").load(path)
+    peaks = files.select("path", F.lit(None).cast("binary").alias("content") if _all_known(files) else "content").mapInArrow(rows, RAW + ", file string")
     before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     return peaks.withColumn("ms1scan", F.last(F.when(F.col("ms_level") == 1, F.col("scan")), True).over(before))
 
 
+def _all_known(files: DataFrame) -> bool:
+    return all(p.partition(":")[0] in ("file", "hdfs", "s3", "gs", "abfs", "abfss") for p in files.inputFiles())
+
+
 def read_m2m(spark: SparkSession, path: str) -> DataFrame:
     """Motif text files: #KEY value headers, then fragment_<mz>,<p> and loss_<mz>,<p>."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value")

@@ -36,3 +36,28 @@ def test_splits_do_not_leak(spark):
     assert abs(sum(sizes[g] for g in sizes if split[g] == "train") / sum(sizes.values()) - 0.8) < 0.05
     df = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "train")], "k string, split string")
     assert [r["k"] for r in metrics.leakage(df, "k").collect()] == ["a"]
+
+
+def test_group_split_by_brute_force(spark):
+    """The rule step by step: least relative overshoot, then most missing, then digest."""
+    import hashlib
+    import random
+
+    digest = lambda text: hashlib.sha256(f"5\0{text}".encode()).hexdigest()
+    for seed in range(30):
+        rng = random.Random(seed)
+        sizes = {f"g{k}": rng.randint(1, 30) for k in range(rng.randint(1, 25))}
+        shares = {"train": 0.7, "validation": 0.15, "test": 0.15}
+        have, want = dict.fromkeys(shares, 0), {s: x * sum(sizes.values()) for s, x in shares.items()}
+        expected = {}
+        for g in sorted(sizes, key=lambda g: (-sizes[g], digest(g))):
+            ranked = []
+            for s in shares:
+                over = have[s] + sizes[g] - want[s]
+                ranked.append((max(over, 0.0) / max(want[s], 1.0), -(want[s] - have[s]) / max(want[s], 1.0), digest(f"{g}\0{s}"), s))
+            expected[g] = min(ranked)[3]
+            have[expected[g]] += sizes[g]
+        assert metrics.group_split(sizes, shares, 5) == expected
+    rows = spark.createDataFrame([(g, k) for g, n in sizes.items() for k in range(n)], "g string, k int")
+    out = metrics.split_by_group(rows, "g", shares, 5).collect()
+    assert len(out) == sum(sizes.values()) and all(r["split"] == expected[r["g"]] for r in out)

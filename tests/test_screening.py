@@ -16,11 +16,25 @@ def test_overlap_screen_takes_the_first_match(spark):
     motifs = frame(spark, [("m", 100.0, 0.5), ("m", 200.0, 1.0), ("m", 300.0, 0.5)], "motif string, mz double, i double")
     spectra = frame(spark, [("s", 99.998, 5.0), ("s", 100.001, 50.0), ("s", 200.0, 10.0), ("t", 900.0, 1.0)], "spectrum string, mz double, i double")
     r = screening.overlap_screen(motifs, spectra).collect()
-    assert [(x["motif"], x["spectrum"], x["n"], x["share"], x["grade"]) for x in r] == [("m", "s", 2, 0.75, "C")]
+    assert [(x["motif"], x["spectrum"], x["n"], x["total"], x["grade"]) for x in r] == [("m", "s", 2, 1.5, "C")]
     assert r[0]["r"] == pytest.approx(1.0)
     assert screening.overlap_screen(motifs, spectra.limit(0)).count() == 0
     level = screening.overlap_screen(motifs, frame(spark, [("s", 100.0, 5.0), ("s", 200.0, 5.0)], "spectrum string, mz double, i double")).first()
-    assert (level["n"], level["r"]) == (2, 0.0)
+    assert (level["n"], level["r"], level["grade"]) == (2, 0.0, "D")
+    one = screening.overlap_screen(motifs, frame(spark, [("s", 100.0, 5.0)], "spectrum string, mz double, i double")).first()
+    assert (one["n"], one["grade"]) == (1, None)
+    kinds = "motif string, kind string, mz double, i double"
+    m = frame(spark, [("m", "frag", 100.0, 0.4), ("m", "loss", 18.01, 0.6), ("m", "loss", 44.0, 0.1)], kinds)
+    s = frame(spark, [("s", "frag", 18.01, 1.0), ("s", "loss", 18.018, 3.0), ("s", "frag", 100.004, 2.0), ("s", "loss", 44.011, 1.0)], kinds.replace("motif", "spectrum"))
+    assert [(x["n"], x["total"], x["grade"]) for x in screening.overlap_screen(m, s).collect()] == [(2, 1.0, "C")]
+
+
+def test_grades(spark):
+    from peakloom.functions.scalars import grade
+
+    cases = [(3, 0.9, 0.7, "A"), (3, 0.9, 0.69, "B"), (3, 0.9, 0.5, "B"), (3, 0.9, 0.49, "C"), (3, 0.89, 0.9, "C"), (2, 0.5, 0.3, "C"), (2, 0.8, 0.2, "D"), (2, 0.79, 0.2, None), (1, 5.0, 1.0, None), (9, 0.4, 1.0, None)]
+    df = frame(spark, cases, "n int, t double, r double, want string")
+    assert all(r["g"] == r["want"] for r in df.withColumn("g", grade(F.col("n"), F.col("t"), F.col("r"))).collect())
 
 
 def test_near_is_complete(spark):

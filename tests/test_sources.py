@@ -1,5 +1,6 @@
 import base64
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,62 @@ def test_mzml(spark, tmp_path):
     assert [(r["scan"], r["ms_level"], r["mz"], r["rt"], r["ms1scan"], r["precmz"], r["charge"]) for r in rows] == [("1", 1, 500.0, 1.0, "1", None, 0), ("2", 2, 100.0, 1.0, "1", 300.5, 2)]
 
 
+def test_files_are_told_apart_and_places_cross_splits(spark, tmp_path):
+    block = "BEGIN IONS\n{}PEPMASS=200\n{} {}\nEND IONS\n"
+    (tmp_path / "a.mgf").write_text(block.format("SCANS=1\n", 100, 1))
+    (tmp_path / "b.mgf").write_text(block.format("SCANS=1\n", 100, 100).replace("\n", "\r\n"))
+    both = readers.read_mgf(spark, str(tmp_path / "*.mgf")).collect()
+    assert {(r["scan"], r["i_norm"], r["precmz"]) for r in both} == {("a.mgf:1", 1.0, 200.0), ("b.mgf:1", 1.0, 200.0)}
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "c.mgf").write_text("".join(block.format("", k + 1, 5) for k in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.read_mgf(spark, str(tmp_path / "long" / "c.mgf"))
+        assert spark.read.text(str(tmp_path / "long" / "c.mgf"), lineSep="END IONS").rdd.getNumPartitions() > 1
+        assert all(r["scan"] == str(int(r["frag_mz"])) for r in rows.collect()) and rows.count() == 400
+        (tmp_path / "d.msp").write_text("".join(f"Name: n{k}\r\nNum Peaks: 2\r\n{k + 1} 1; {k + 2} 2;\r\n\r\n" for k in range(200)))
+        rows = readers.read_msp(spark, str(tmp_path / "d.msp")).collect()
+        assert len(rows) == 400 and all(r["frag_mz"] - 1 - int(r["scan"][1:]) in (0, 1) for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_msp_notes_and_unnamed(spark, tmp_path):
+    (tmp_path / "a.msp").write_text('Num Peaks: 2\n50.5 10 "y1 3.5"\n60.5\t20\n\n\nName: B\nIon_mode: negative\nNum Peaks: 1\n70 5\n')
+    assert {(r["scan"], r["frag_mz"], r["frag_intens"], r["polarity"]) for r in readers.read_msp(spark, str(tmp_path / "a.msp")).collect()} == {("1", 50.5, 10.0, 0), ("1", 60.5, 20.0, 0), ("B", 70.0, 5.0, 2)}
+
+
+def test_spectra_in_memory(spark):
+    df = readers.read_spectra(spark, [{"scan": 4, "precmz": 200.0, "mz": [50.0, 60.0], "intensities": [1.0, 2.0]}, {"mz": [70.0], "intensities": [0.0]}])
+    assert [(r["scan"], r["frag_mz"], r["i_norm"]) for r in df.orderBy("frag_mz").collect()] == [("4", 50.0, 0.5), ("4", 60.0, 1.0)]
+    assert readers.read_spectra(spark, df) is df
+
+
+def test_mzxml_nested_and_options(spark, tmp_path):
+    data = lambda *x: base64.b64encode(struct.pack(f">{len(x)}f", *x)).decode()
+    (tmp_path / "a.mzXML").write_text(
+        f'<mzXML><msRun><scan num="1" msLevel="1" polarity="+" retentionTime="PT60S"><peaks precision="32">{data(500, 9, 400, 0)}</peaks>'
+        f'<scan num="2" msLevel="2" polarity="-" retentionTime="PT90S"><precursorMz precursorCharge="2">300.5</precursorMz><peaks precision="32">{data(100, 5, 0.5, 7, 101, 0.5, 102, 6, 103, 8)}</peaks></scan></scan></msRun></mzXML>'
+    )
+    rows = readers.read_raw(spark, str(tmp_path / "a.mzXML")).orderBy("n", "mz").collect()
+    assert [(r["scan"], r["ms_level"], r["mz"], r["rt"], r["polarity"], r["precmz"], r["charge"], r["ms1scan"]) for r in rows][:2] == [("1", 1, 500.0, 1.0, 1, None, 0, "1"), ("2", 2, 0.5, 1.5, 2, 300.5, 2, "1")]
+    assert len(rows) == 6
+    few = readers.read_raw(spark, str(tmp_path / "a.mzXML"), least=1.0, top=2).orderBy("n", "mz").collect()
+    assert [r["mz"] for r in few] == [500.0, 102.0, 103.0]
+
+
+def test_mobility_two_files_and_library_limit(spark, tmp_path):
+    array = lambda k, v: f'<binaryDataArray><cvParam name="64-bit float"/><cvParam name="zlib compression"/><cvParam name="{k}"/><binary>{base64.b64encode(zlib.compress(struct.pack(f"<{len(v)}d", *v))).decode()}</binary></binaryDataArray>'
+    text = f'<mzML><run><spectrum id="controllerType=0 scan=3"><cvParam name="ms level" value="2"/><cvParam name="selected ion m/z" value="5.5"/><cvParam name="product ion mobility" value="0.75"/>{array("m/z array", [1.0])}{array("intensity array", [2.0])}</spectrum></run></mzML>'
+    for name in "ab":
+        (tmp_path / f"{name}.mzML").write_text(text)
+    rows = readers.read_raw(spark, str(tmp_path / "*.mzML")).collect()
+    assert [(r["scan"], r["mobility"], r["ms1scan"]) for r in rows] == [("3", 0.75, None)] * 2 and len({r["file"] for r in rows}) == 2
+    (tmp_path / "l.json").write_text('[{"spectrum_id": "s", "peaks_json": "[[10.5, 2.0]]"}, {"spectrum_id": "t", "peaks_json": "[[1.5, 2.0], [2.5, 1.0]]"}]')
+    assert {r["scan"] for r in readers.read_library(spark, str(tmp_path / "l.json"), limit=15).collect()} == {"s"}
+    assert readers.left_out(spark, str(tmp_path / "l.json"), 15) == 1 and {r["scan"] for r in readers.read_library(spark, str(tmp_path / "l.json"), limit=None).collect()} == {"s", "t"}
+
+
 def test_motif_text_and_store(spark, tmp_path):
     (tmp_path / "m.m2m").write_text("#NAME motif_1\n#ANNOTATION sugar\nfragment_100.1234,0.5\nloss_18.01,0.25\n")
     rows = readers.read_m2m(spark, str(tmp_path / "m.m2m"))

@@ -46,12 +46,47 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 
 def matched_topics(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, float]]:
     """(topic, topic, cosine) of the one-to-one matching of two topic-word tables with the largest sum of cosines."""
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     cosine = unit(left) @ unit(right).T
     pairs = assignment(-cosine) if len(left) <= len(right) else [(i, j) for j, i in assignment(-cosine.T)]
     return sorted((i, j, float(cosine[i, j])) for i, j in pairs)
 
 
+def topic_agreement(left: np.ndarray, right: np.ndarray, top: int) -> dict[str, object]:
+    """The matching with means and medians of its cosines and of the Jaccard similarity of top words, ties to the earlier word."""
+    matched = matched_topics(left, right)
+    words = lambda x: [set(row.tolist()) for row in np.argsort(-x, axis=1, kind="stable")[:, :top]]
+    a, b = words(left), words(right)
+    alike = [len(a[i] & b[j]) / len(a[i] | b[j]) if a[i] | b[j] else 1.0 for i, j, _ in matched]
+    cosines = [c for *_, c in matched]
+    return {
+        "pairs": [(i, j) for i, j, _ in matched], "cosine_mean": float(np.mean(cosines)), "cosine_median": float(np.median(cosines)),
+        "jaccard_mean": float(np.mean(alike)), "jaccard_median": float(np.median(alike)),
+    }
+
+
+def agreement_rows(tables: dict[tuple[str, int], np.ndarray], top: int) -> list[dict[str, object]]:
+    """Agreements of topic tables by (method, seed): all pairs of seeds of a method, then all pairs of methods of a seed."""
+    out = []
+    for kind, same, other in (("cross_seed", 0, 1), ("between_methods", 1, 0)):
+        keys = sorted(tables, key=lambda k: (k[same], k[other]))  # noqa: B023
+        for x in range(len(keys)):
+            for y in range(x + 1, len(keys)):
+                if keys[x][same] == keys[y][same]:
+                    found = topic_agreement(tables[keys[x]], tables[keys[y]], top)
+                    out.append({"comparison": kind, "left": keys[x], "right": keys[y], **{k: v for k, v in found.items() if k != "pairs"}})
+    return out
+
+
+def distance_summary(distances: DataFrame) -> DataFrame:
+    """One row of mixture_distances' result: mean, median and the worse twentieth of both."""
+    at = lambda c, q: F.percentile(c, F.lit(q))
+    return distances.agg(
+        F.avg("cosine").alias("cosine_mean"), at("cosine", 0.5).alias("cosine_median"), at("cosine", 0.05).alias("cosine_p05"),
+        F.avg("js").alias("js_mean"), at("js", 0.5).alias("js_median"), at("js", 0.95).alias("js_p95"),
+    )
+
+
 def group_split(sizes: dict[str, int], shares: dict[str, float], seed: int) -> dict[str, str]:
     """A split for each group, large groups first, ties by digest.
 

@@ -18,6 +18,22 @@ def clean(peaks: DataFrame, low_mz: float = 0.0, high_mz: float = 1000.0, low: f
     return ranked.filter(F.col("rank") <= top).withColumn("n_peaks", F.count("*").over(scan)).filter(F.col("n_peaks") >= least)
 
 
+def strict_clean(peaks: DataFrame, low_mz: float = 0.0, high_mz: float = 1000.0, low: float = 0.001, high: float = 1.0, top: int = 500, least: int = 3) -> DataFrame:
+    """As `clean`, but a peak that is not finite, has no positive m/z or a negative intensity is an error; peaks are numbered by m/z.
+
+    peaks (scan, peak_idx, frag_mz, frag_intens); of equally intense peaks the earlier ones stay.
+    """
+    scan = Window.partitionBy("scan")
+    sound = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    fine = sound("frag_mz") & sound("frag_intens") & (F.col("frag_mz") > 0) & (F.col("frag_intens") >= 0)
+    checked = peaks.withColumn("frag_mz", F.when(fine, F.col("frag_mz")).otherwise(F.raise_error(F.concat(F.lit("unsound peak in scan "), "scan")).cast("double")))
+    out = checked.withColumn("w", F.col("frag_intens") / F.max("frag_intens").over(scan))
+    out = out.filter(F.col("frag_mz").between(low_mz, high_mz) & F.col("w").between(low, high))
+    ranked = out.withColumn("_rank", F.row_number().over(scan.orderBy(F.desc("w"), "peak_idx"))).filter(F.col("_rank") <= top).drop("_rank")
+    several = ranked.withColumn("n_peaks", F.count("*").over(scan)).filter(F.col("n_peaks") >= least)
+    return several.withColumn("peak_idx", F.row_number().over(scan.orderBy("frag_mz", "peak_idx")))
+
+
 def words(peaks: DataFrame, digits: int = 2, losses: bool = False) -> DataFrame:
     """(scan, word, n): a fragment's word as often as a hundred times its relative intensity; losses take their own peak's."""
     scan = Window.partitionBy("scan")

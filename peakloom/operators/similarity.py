@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK = 4096  # rows of a library
+QUERY_BLOCK = 1024
 
 
 def unit(v: Column) -> Column:
@@ -19,31 +20,46 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(clean, lambda x: x / norm)).otherwise(clean)
 
 
-def cosine_top(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, id, score, rank): the k rows of library (id, v) with the largest cosine for each of queries (query, v).
+def _by_blocks(library: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(query, id, score) of what `pick` takes of each block of products, queries (query, v) by library (id, v).
 
-    Queries go to the workers in blocks of BLOCK; each block is one pass with exact products, each batch returns its k best.
+    Both sides are cut into blocks by hash, and each pair of blocks is a group: exact products, no block on the driver, and a side is
+    copied once for each block of the other.
     """
-    queries = queries.select("query", unit(F.col("v")).alias("v"))
-    count = max(1, -(-queries.count() // BLOCK))
-    out = None
-    for part in range(count):
-        block = queries.filter(F.pmod(F.xxhash64("query"), F.lit(count)) == part).toArrow()
-        names, q = block["query"].to_numpy(), np.array(block["v"].to_pylist(), dtype=float)
-
-        def best(batches: Iterator[pa.RecordBatch], names=names, q=q) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if len(b) and len(q):
-                    score = q @ np.array(b["v"].to_pylist(), dtype=float).T
-                    n = min(k, len(b))
-                    at = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    ids = b["id"].to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(ids[at.reshape(-1)]), pa.array(np.take_along_axis(score, at, axis=1).reshape(-1))], ["query", "id", "score"])
-
-        found = library.select("id", unit(F.col("v")).alias("v")).mapInArrow(best, "query bigint, id bigint, score double")
-        out = found if out is None else out.unionByName(found)
+    q = queries.select(F.col("query").cast("bigint").alias("key"), unit(F.col("v")).alias("v"))
+    x = library.select(F.col("id").cast("bigint").alias("key"), unit(F.col("v")).alias("v"))
+    n_q, n_x = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-library.count() // BLOCK))
+    own = lambda n: F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q = q.select("key", "v", F.lit(True).alias("asked"), own(n_q).alias("a"), every(n_x).alias("b"))
+    x = x.select("key", "v", F.lit(False).alias("asked"), own(n_x).alias("b"), every(n_q).alias("a"))
+
+    def block(table: pa.Table) -> pa.Table:
+        asked, keys = table["asked"].to_numpy(), table["key"].to_numpy()
+        flat = table["v"].combine_chunks()
+        v = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+        score = v[asked] @ v[~asked].T
+        row, column = pick(score) if score.size else (np.zeros(0, int), np.zeros(0, int))
+        return pa.table({"query": keys[asked][row], "id": keys[~asked][column], "score": score[row, column] if score.size else np.zeros(0)})
+
+    return q.unionByName(x).groupBy("a", "b").applyInArrow(block, "query bigint, id bigint, score double")
+
+
+def cosine_top(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, score, rank): the k rows of library (id, v) with the largest cosine for each of queries (query, v), ties to the smaller id."""
+
+    def pick(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = min(k, score.shape[1])
+        least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+        return np.nonzero(score >= least[:, None] - 1e-12)  # those that tie too: the ranking settles them
+
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return _by_blocks(library, queries, pick).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def cosine_pairs(library: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(query, id, score) of all pairs with a cosine of at least `least`."""
+    return _by_blocks(library, queries, lambda score: np.nonzero(score >= least))
 
 
 def unique_hits(hits: DataFrame, molecules: DataFrame, n: int) -> DataFrame:
@@ -68,18 +84,25 @@ def containment(query: Column, other: Column) -> Column:
     return F.when(F.size(query) > 0, F.size(F.array_intersect(query, other)) / F.size(query)).otherwise(F.lit(0.0))
 
 
+def by_rarity(sets: DataFrame, key: str, ranks: DataFrame) -> DataFrame:
+    """(key, set): each set's positions with the rarest first; ranks (pos, n) of all sets together."""
+    cells = sets.select(key, F.explode("set").alias("pos")).join(ranks, "pos")
+    return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "pos"))), lambda x: x["pos"]).alias("set"))
+
+
 def screen(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, score): pairs of left (a, set) and right (b, set) with Tanimoto similarity of at least `least`.
 
-    Sets meet on their rarest common positions: a pair reaches s only if a prefix of either set of size
-    n - ceil(s * n) + 1 shares a position, so only these are joined.
+    Sets meet on their rarest common positions: in one order of all positions, rarest first, a pair reaches s only if the
+    first n - ceil(s * n) + 1 of either set share a position, so only these are joined. Adaptive execution splits positions that many have.
     """
     prefix = lambda s: F.slice(s, 1, F.greatest(F.size(s) - F.ceil(F.size(s) * least).cast("int") + 1, F.lit(1)))
-    a = left.select("a", F.array_sort("set").alias("sa")).filter(F.size("sa") > 0)
-    b = right.select("b", F.array_sort("set").alias("sb")).filter(F.size("sb") > 0)
+    ranks = left.select(F.explode("set").alias("pos")).unionAll(right.select(F.explode("set").alias("pos"))).groupBy("pos").agg(F.count("*").alias("n"))
+    a = by_rarity(left, "a", ranks).withColumnRenamed("set", "sa")
+    b = by_rarity(right, "b", ranks).withColumnRenamed("set", "sb")
     a, b = a.withColumn("pa", prefix(F.col("sa"))), b.withColumn("pb", prefix(F.col("sb")))
     pairs = a.withColumn("k", F.explode("pa")).join(b.withColumn("k", F.explode("pb")), "k")
-    pairs = pairs.filter(F.element_at(F.array_intersect("pa", "pb"), 1) == F.col("k"))  # once, at the least common position
+    pairs = pairs.filter(F.element_at(F.array_intersect("pa", "pb"), 1) == F.col("k"))  # once, at the rarest common position
     sized = pairs.filter((F.size("sa") >= F.size("sb") * least) & (F.size("sb") >= F.size("sa") * least))
     return sized.select("a", "b", tanimoto(F.col("sa"), F.col("sb")).alias("score")).filter(F.col("score") >= least)
 

@@ -89,10 +89,42 @@ def unknown_words(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return marked.groupBy("doc").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("n"))), F.lit(0)).alias("unknown"))
 
 
-def feature_counts(documents: DataFrame, theta: DataFrame, topic: object, low: float, high: float = 1.0) -> DataFrame:
-    """(word, docs): in how many documents whose share of a topic is in the inclusive range a word occurs."""
+def feature_counts(documents: DataFrame, theta: DataFrame, topic: object, low: float, high: float = 1.0, beta: DataFrame | None = None, beta_range: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """(word, docs): in how many documents whose share of a topic is in the inclusive range a word occurs.
+
+    With beta (topic, word, p), only words whose p in the topic is in its inclusive range, and that occur at all.
+    """
     passing = theta.filter((F.col("topic") == F.lit(topic)) & F.col("p").between(low, high)).select("doc")
-    return documents.join(passing, "doc", "left_semi").groupBy("word").agg(F.countDistinct("doc").alias("docs"))
+    kept = documents.join(passing, "doc", "left_semi")
+    if beta is not None:
+        kept = kept.join(beta.filter((F.col("topic") == F.lit(topic)) & F.col("p").between(*beta_range)).select("word").distinct(), "word", "left_semi")
+    return kept.groupBy("word").agg(F.countDistinct("doc").alias("docs"))
+
+
+def library_spectra(spectra: DataFrame) -> DataFrame:
+    """Spectra fit for a library: MS2, positive mode, with a structure; (ms_level, ionmode, smiles, ...)."""
+    return spectra.filter((F.col("ms_level") == 2) & (F.lower(F.trim("ionmode")) == "positive") & (F.trim("smiles") != ""))
+
+
+def row_ledger(rows: DataFrame, size: int) -> DataFrame:
+    """(start, end, sha256) of rows (n from 0 on, value): a digest for each `size` rows, in order of n."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n")
+    return rows.groupBy(F.floor(F.col("n") / size).alias("_k")).agg(F.min("n").alias("start"), (F.max("n") + 1).alias("end"), F.count("*").alias("rows"), F.sha2(text, 256).alias("sha256")).drop("_k")
+
+
+def ledger_faults(rows: DataFrame, ledger: DataFrame, size: int) -> DataFrame:
+    """Ranges (start, end, fault) of a ledger that don't hold: a gap or overlap before them, or other rows than were recorded."""
+    before = F.lag("end", 1, 0).over(Window.orderBy("start"))  # a row for each range
+    now = row_ledger(rows, size).select("start", F.col("end").alias("_end"), F.col("sha256").alias("_now"))
+    checked = ledger.withColumn("_before", before).join(now, "start", "full_outer")
+    fault = F.when(F.col("end").isNull(), "missing").when(F.col("_before") != F.col("start"), "gap").when(~F.col("_now").eqNullSafe(F.col("sha256")) | (F.col("_end") != F.col("end")), "changed")
+    return checked.select("start", F.coalesce("end", "_end").alias("end"), fault.alias("fault")).filter("fault is not null")
+
+
+def document_spectra(documents: DataFrame, spectra: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc, spectrum): the spectrum of each document's key; documents (doc, key), keys (place, spectrum, key), of equal keys the last place."""
+    last = keys.groupBy("key").agg(F.max(F.struct("place", "spectrum")).alias("b")).select("key", F.col("b.spectrum").alias("spectrum"))
+    return documents.join(last, "key").select("doc", "spectrum").join(spectra, "spectrum")
 
 
 def violations(rows: DataFrame, key: str, mz: str = "mz", values: str = "values") -> DataFrame:

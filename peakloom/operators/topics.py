@@ -45,12 +45,14 @@ def degrees(theta: DataFrame, overlaps: DataFrame, p: tuple[float, float], o: tu
 
 
 def likelihood(counts: DataFrame, theta: DataFrame, beta: DataFrame) -> DataFrame:
-    """Negative log-likelihood for each token of known words, and the share of tokens of unknown ones."""
-    known = counts.join(beta.select("word").distinct(), "word", "left_semi")
+    """One row: negative log-likelihood for each token of known words, tokens of known and unknown ones, the share of unknown ones, documents with a known word, all documents."""
+    marked = counts.join(beta.select("word").distinct().withColumn("_known", F.lit(1)), "word", "left")
+    known = marked.filter("_known = 1").drop("_known")
     cells = known.join(theta.withColumnsRenamed({"p": "t"}), "doc").join(beta, ["topic", "word"])
     tokens = cells.groupBy("doc", "word").agg(F.max("n").alias("n"), F.sum(F.col("t") * F.col("p")).alias("p"))
     scored = tokens.agg(F.sum(-F.col("n") * F.log(F.greatest("p", F.lit(FLOOR)))).alias("nll"), F.sum("n").alias("tokens"))
-    return scored.crossJoin(counts.agg(F.sum("n").alias("total"))).select((F.col("nll") / F.col("tokens")).alias("nll"), (1 - F.col("tokens") / F.col("total")).alias("unknown"))  # one row each
+    whole = marked.agg(F.sum("n").alias("total"), F.countDistinct(F.when(F.col("_known") == 1, F.col("doc"))).alias("eligible"), F.countDistinct("doc").alias("documents"))
+    return scored.crossJoin(whole).select((F.col("nll") / F.col("tokens")).alias("nll"), "tokens", (F.col("total") - F.col("tokens")).alias("unknown_tokens"), (1 - F.col("tokens") / F.col("total")).alias("unknown"), "eligible", "documents")  # one row each
 
 
 def active(theta: DataFrame, least: float) -> DataFrame:
@@ -65,7 +67,7 @@ def diversity(beta: DataFrame, n: int = 10) -> DataFrame:
 
 
 def npmi(beta: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:
-    """(topic, npmi): mean over pairs of a topic's top words by co-occurrence in docs (doc, word); -1 if they never meet."""
+    """(topic, npmi, undefined): mean over pairs of a topic's top words by co-occurrence in docs (doc, word); pairs that never meet count as -1 and are counted."""
     top = top_words(beta, n).select("topic", "word", "rank")
     pairs = top.alias("a").join(top.alias("b"), (F.col("a.topic") == F.col("b.topic")) & (F.col("a.rank") < F.col("b.rank"))).select("a.topic", F.col("a.word").alias("v"), F.col("b.word").alias("w"))
     wanted = docs.join(top.select("word").distinct(), "word", "left_semi").distinct()
@@ -76,7 +78,37 @@ def npmi(beta: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:
     cells = pairs.join(both, ["v", "w"], "left").join(single.withColumnsRenamed({"word": "v", "c": "cv"}), "v", "left").join(single.withColumnsRenamed({"word": "w", "c": "cw"}), "w", "left").crossJoin(total)
     joint = F.col("c") / F.col("d")
     value = F.log(joint / (F.col("cv") / F.col("d") * F.col("cw") / F.col("d"))) / -F.log(joint)
-    return cells.groupBy("topic").agg(F.avg(F.when(F.col("c").isNull(), -1.0).when(joint == 1, 1.0).otherwise(value)).alias("npmi"))
+    return cells.groupBy("topic").agg(F.avg(F.when(F.col("c").isNull(), -1.0).when(joint == 1, 1.0).otherwise(value)).alias("npmi"), F.count(F.when(F.col("c").isNull(), 1)).alias("undefined"))
+
+
+def npmi_summary(rows: DataFrame) -> DataFrame:
+    """One row of npmi's result: mean and median over topics, and the pairs that never meet."""
+    return rows.agg(F.avg("npmi").alias("mean"), F.percentile("npmi", F.lit(0.5)).alias("median"), F.sum("undefined").alias("undefined"))
+
+
+def word_evidence(cells: DataFrame, word_topic: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc, topic, p): word_topic (word, topic, p) averaged over each document's words (doc, word, n), as shares; documents without words are even."""
+    found = cells.join(word_topic, "word").groupBy("doc", "topic").agg(F.sum(F.col("n") * F.col("p")).alias("s"))
+    every = documents.select("doc").distinct().join(cells.groupBy("doc").agg(F.sum("n").alias("_total")), "doc", "left").crossJoin(F.broadcast(word_topic.select("topic").distinct()))  # a row for each topic
+    rows = every.join(found, ["doc", "topic"], "left").withColumn("s", F.when(F.coalesce("_total", F.lit(0)) > 0, F.coalesce("s", F.lit(0.0))).otherwise(1.0))
+    total = F.sum("s").over(Window.partitionBy("doc"))
+    return rows.select("doc", "topic", (F.col("s") / F.greatest(total, F.lit(FLOOR))).alias("p"))
+
+
+def of_document(theta: DataFrame, doc: object, least: float = 0.01) -> DataFrame:
+    """A document's topics of at least that share, the largest first."""
+    return theta.filter((F.col("doc") == F.lit(doc)) & (F.col("p") >= least)).orderBy(F.desc("p"), "topic")
+
+
+def exported(theta: DataFrame, beta: DataFrame, phi: DataFrame | None = None, least: tuple[float, float, float] = (1e-2, 1e-3, 1e-2)) -> dict[str, DataFrame]:
+    """theta and beta above, and phi from, their limits: what a viewer is given."""
+    out = {"theta": theta.filter(F.col("p") > least[0]), "beta": beta.filter(F.col("p") > least[1])}
+    return out if phi is None else out | {"phi": phi.filter(F.col("p") >= least[2])}
+
+
+def with_metadata(theta: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Documents' topics beside what is known of them: inner, on doc."""
+    return theta.join(metadata, "doc")
 
 
 def shares(peaks: DataFrame, theta: DataFrame, beta: DataFrame, tol: float = 0.02) -> DataFrame:

@@ -348,7 +348,13 @@ def test_encoder_equals_the_library(monkeypatch):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, e = Tokenizer.from_file(path), records.Encoder(path)
-    monkeypatch.setattr(records, "CACHE_PIECES", 8)
+    monkeypatch.setattr(records, "CACHE_PIECES", 60)
+    monkeypatch.setattr(records, "RECENT_PIECES", 9)
+    rng = __import__("random").Random(4)
+    parts = ["a", "b", "'", "'s", "'re", "'ll", "'d", " ", "  ", "\n", "\t", "1", "½", ".", "!?", "é", "ñ", "ª", "\xa0", "日", "S'", "'S", "\r\n", "ɏ", "ɐ", "\x7f", "\x0b", "\xad", "<|endoftext|>"]
+    made = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(900)]
+    for at in range(0, 900, 9):
+        assert [np.frombuffer(x, "<u2")[:-1].tolist() for x in e.encode(made[at : at + 9])] == [t.encode(x, add_special_tokens=False).ids for x in made[at : at + 9]]
     texts = ["a b  \n\n x", "it's 12 ½ ²x ñandú they'll", "<|endoftext|> hi", "日本 語 x", "\x1c\x85 z", "a­b", " ", "", "  a  b", "x\r\n\r\n y", "AbC dé fG" * 50]
     for _ in range(3):
         assert [np.frombuffer(x, "<u2")[:-1].tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = (1 << 31) - 1
@@ -47,3 +47,9 @@ def merged(a: Column, b: Column) -> Column:
 def folded(shingles: Column, length: int) -> Column:
     """The positions that hashes set in a fingerprint of that length, ascending."""
     return F.array_sort(F.array_distinct(F.transform(shingles, lambda s: shingle_hash(s) % F.lit(length))))
+
+
+def merged_all(sketches: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, sketch): the sketch of all sets of a key together, the least value at each position."""
+    cells = sketches.select(key, F.posexplode(column).alias("_pos", "_value")).groupBy(key, "_pos").agg(F.min("_value").alias("_value"))
+    return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_value"))), lambda x: x["_value"]).alias(column))

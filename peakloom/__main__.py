@@ -9,13 +9,13 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .operators import checkpoints, lda, peaks, topics
+from .operators import checkpoints, lda, motifs, network, peaks, topics
 from .plans.compiler import run_many
 from .plans.describe import describe
 from .sources.readers import read_spectra
 from .sources.sinks import results_table, run_folder
 
-DEFAULTS = {"topics": 20, "iterations": 20, "digits": 2, "min_cf": 1, "min_df": 2, "low_mz": 0.0, "high_mz": 2000.0, "low": 0.01, "top": 1000, "least": 5, "top_words": 10, "vocabulary_limit": 2_000_000}
+DEFAULTS = {"topics": 20, "iterations": 20, "digits": 2, "min_cf": 1, "min_df": 2, "low_mz": 0.0, "high_mz": 2000.0, "low": 0.01, "top": 1000, "least": 5, "top_words": 10, "motif_words": 50, "vocabulary_limit": 2_000_000}
 
 
 def merged(base: dict, over: dict) -> dict:
@@ -50,11 +50,16 @@ def topic_run(spark: SparkSession, path: str, folder: str, options: dict) -> Non
     found = checkpoints.restore(f"{folder}/model")
     model = lda.fit(docs, words, options["topics"], options["iterations"], start=found[1] if found else None, after=lambda m: checkpoints.save(m, f"{folder}/model", len(m.history)), learn_alpha=True)
     lda.infer(docs, model).write.parquet(f"{folder}/theta")
-    beta = model.lam / model.lam.sum(axis=1, keepdims=True)
-    rows = [(k, words[w], float(beta[k, w])) for k in range(len(beta)) for w in beta[k].argsort()[::-1][: options["top_words"]]]
-    topics.top_words(spark.createDataFrame(rows, "topic int, word string, p double"), options["top_words"]).write.json(f"{folder}/top_words")
+    lda.table(spark, model).write.parquet(f"{folder}/beta")
+    beta = spark.read.parquet(f"{folder}/beta")
+    best = topics.top_words(beta, options["top_words"])
+    best.write.json(f"{folder}/top_words")
+    motifs.motif_spectra(topics.top_words(beta, options["motif_words"]), options["digits"]).write.parquet(f"{folder}/motifs")
+    for name, part in topics.exported(spark.read.parquet(f"{folder}/theta"), beta).items():
+        part.write.parquet(f"{folder}/viewer/{name}")
+    network.write_graphml(network.feature_edges(motifs.network_features(spark.read.parquet(f"{folder}/motifs"))), f"{folder}/network.graphml")
     with open(os.path.join(folder, "run.json"), "w") as f:
-        json.dump({"options": options, "history": model.history}, f)
+        json.dump({"options": options, "history": model.history, "checks": model.checks}, f)
 
 
 def main(arguments: list[str] | None = None) -> int:

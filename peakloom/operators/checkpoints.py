@@ -30,7 +30,7 @@ def save(model: TopicModel, folder: str, generation: int, keep: int = 2) -> None
     data = buffer.getvalue()
     with system.open_output_stream(f"{root}/gen-{generation}.npz") as f:
         f.write(data)
-    manifest = {"generation": generation, "sha256": hashlib.sha256(data).hexdigest(), "words": model.words}
+    manifest = {"generation": generation, "sha256": hashlib.sha256(data).hexdigest(), "words": model.words, "checks": model.checks}
     with system.open_output_stream(f"{root}/gen-{generation}.json") as f:
         f.write(json.dumps(manifest).encode())
     for old in _generations(system, root)[:-keep]:
@@ -51,5 +51,5 @@ def restore(folder: str) -> tuple[int, TopicModel] | None:
             continue
         if hashlib.sha256(data).hexdigest() == manifest["sha256"]:
             arrays = np.load(io.BytesIO(data))
-            return generation, TopicModel(arrays["lam"], arrays["alpha"], manifest["words"], arrays["history"].tolist())
+            return generation, TopicModel(arrays["lam"], arrays["alpha"], manifest["words"], arrays["history"].tolist(), manifest.get("checks", []))
     return None

@@ -1,7 +1,8 @@
 """Latent Dirichlet allocation by variational Bayes, and inference with frozen topics.
 
-Documents stay distributed as (doc, words array, counts array); only the topic-word table is broadcast, whose size is
-topics times vocabulary, and expected counts come back as one grouped aggregation for each step.
+Documents stay distributed as (doc, words array, counts array), and a batch of them is inferred at once. The topic-word table, topics
+times vocabulary, is held by the driver and broadcast; its size is checked against TABLE_CELLS. Expected counts come back as
+one grouped aggregation for each step.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Values in the place of a word's number: the bound, the number of documents, expected log shares by topic.
-BOUND, DOCUMENTS, LOG_THETA = -1, -2, -3
+#: Values in the place of a word's number: the bound, the number of documents, expected log shares by topic, tokens, summed entropies of documents.
+BOUND, DOCUMENTS, LOG_THETA, TOKENS, ENTROPY = -1, -2, -3, -4, -5
+TABLE_CELLS = 100_000_000
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -81,98 +83,192 @@ def newton_alpha(alpha: np.ndarray, mean_log: np.ndarray, steps: int = 20, least
     return alpha
 
 
-def local_step(counts: np.ndarray, log_beta: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, steps: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    """(gamma, expected topic counts): counts (w), log_beta (topics x w)."""
-    weighed = np.zeros_like(log_beta)
+def local_steps(ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray, log_beta: np.ndarray, alpha: np.ndarray, steps: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """(gamma (documents x topics), expected topic counts (cells x topics)) of documents with cells bounds[d]..bounds[d + 1].
+
+    log_beta: words x topics. Each document starts from an even spread of its tokens, and rests when its gamma moves by less than tol.
+    """
+    sizes = np.diff(bounds)
+    total = np.add.reduceat(np.append(counts, 0.0), bounds[:-1]) * (sizes > 0)
+    gamma = alpha + total[:, None] / len(alpha)
+    weighed = np.zeros((len(ids), len(alpha)))
+    active, beta = np.flatnonzero(sizes > 0), log_beta[ids]
     for _ in range(steps):
-        score = expected_log(gamma)[:, None] + log_beta
-        phi = np.exp(score - score.max(axis=0))
-        weighed = phi / phi.sum(axis=0) * counts
-        new = alpha + weighed.sum(axis=1)
-        moved = np.abs(new - gamma).sum() / np.abs(gamma).sum()
-        gamma = new
-        if moved < tol:
+        if not len(active):
             break
+        n = sizes[active]
+        ends = np.cumsum(n)
+        cells = np.arange(ends[-1]) + np.repeat(bounds[active] - (ends - n), n)
+        score = np.repeat(expected_log(gamma[active]), n, axis=0) + beta[cells]
+        phi = np.exp(score - score.max(axis=1, keepdims=True))
+        phi *= (counts[cells] / phi.sum(axis=1))[:, None]
+        weighed[cells] = phi
+        new = alpha + np.add.reduceat(phi, ends - n, axis=0)
+        moved = np.abs(new - gamma[active]).sum(axis=1) / np.abs(gamma[active]).sum(axis=1)
+        gamma[active] = new
+        active = active[moved >= tol]
     return gamma, weighed
 
 
+def document_bounds(ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray, log_beta: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+    """The evidence lower bound of each document, with the best topics of its words summed out."""
+    log_theta = expected_log(gamma)
+    score = np.repeat(log_theta, np.diff(bounds), axis=0) + log_beta[ids]
+    top = score.max(axis=1, initial=-np.inf)
+    token = counts * (top + np.log(np.exp(score - top[:, None]).sum(axis=1)))
+    tokens = np.add.reduceat(np.append(token, 0.0), bounds[:-1]) * (np.diff(bounds) > 0)
+    prior = math.lgamma(alpha.sum()) - log_gamma(alpha).sum() - log_gamma(gamma.sum(axis=1)) + log_gamma(gamma).sum(axis=1)
+    return prior + ((alpha - gamma) * log_theta).sum(axis=1) + tokens
+
+
 @dataclass
 class TopicModel:
     lam: np.ndarray  # topics x words
     alpha: np.ndarray
     words: list[str]
     history: list[float] = field(default_factory=list)
+    #: for each epoch: log_likelihood and perplexity of a token, mean entropies of documents and topics
+    checks: list[dict[str, float]] = field(default_factory=list)
+
+    @property
+    def beta(self) -> np.ndarray:
+        return self.lam / self.lam.sum(axis=1, keepdims=True)
 
 
 def bags(corpus: DataFrame, words: DataFrame) -> DataFrame:
     """(doc, ids, counts) from (doc, word, n) and (word, id)."""
-    return corpus.join(F.broadcast(words), "word").groupBy("doc").agg(F.collect_list("id").alias("ids"), F.collect_list("n").alias("counts"))
+    cells = corpus.join(words, "word").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("c"))
+    return cells.select("doc", F.transform("c", lambda x: x["id"]).alias("ids"), F.transform("c", lambda x: x["n"]).alias("counts"))
+
+
+def _cells(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bounds = np.concatenate([[0], np.cumsum(b["ids"].value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
+    return b["ids"].flatten().to_numpy(), b["counts"].flatten().to_numpy().astype(float), bounds
+
+
+def _entropies(p: np.ndarray) -> np.ndarray:
+    return -(p * np.log(np.where(p == 0, 1e-12, p))).sum(axis=1)
+
+
+def _inferred(docs: DataFrame, model: TopicModel, steps: int, tol: float, values: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.Array], name: str, kind: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(expected_log(model.lam).T), model.alpha))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_beta, alpha = shared.value
+        for b in batches:
+            if len(b):
+                ids, counts, bounds = _cells(b)
+                gamma, _ = local_steps(ids, counts, bounds, log_beta, alpha, steps, tol)
+                yield pa.RecordBatch.from_arrays([b["doc"], values(ids, counts, bounds, log_beta, gamma)], ["doc", name])
+
+    return docs.select("doc", "ids", "counts").mapInArrow(rows, f"doc {docs.schema['doc'].dataType.simpleString()}, {name} {kind}")
 
 
-def _steps(model: TopicModel, steps: int, tol: float, totals: bool):
-    log_beta, topics = expected_log(model.lam), len(model.alpha)
+def _step(docs: DataFrame, model: TopicModel, steps: int, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(topic, word, n): expected counts and the sums that BOUND and the others name, one row for each task and cell before they are summed."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(expected_log(model.lam).T), model.alpha))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, score, seen, log_theta = np.zeros_like(log_beta), 0.0, 0.0, np.zeros(topics)
+        log_beta, alpha = shared.value
+        topics = len(alpha)
+        total, sums, log_theta = np.zeros_like(log_beta), dict.fromkeys((BOUND, DOCUMENTS, TOKENS, ENTROPY), 0.0), np.zeros(topics)
         for b in batches:
-            out = []
-            for ids, counts in zip(b["ids"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                n = np.array(counts, dtype=float)
-                gamma, weighed = local_step(n, log_beta[:, ids], model.alpha, model.alpha + n.sum() / topics, steps, tol)
-                if totals:
-                    np.add.at(total.T, ids, weighed.T)
-                    theta = np.exp(expected_log(gamma))
-                    seen, log_theta = seen + 1, log_theta + expected_log(gamma)
-                    score += float((n * np.log(np.maximum(theta @ np.exp(log_beta[:, ids]), 1e-300))).sum())
-                else:
-                    out.append(gamma / gamma.sum())
-            if not totals and out:
-                flat = np.stack(out)
-                yield pa.RecordBatch.from_arrays([b["doc"], pa.array(list(flat), pa.list_(pa.float64()))], ["doc", "theta"])
-        if totals:
-            at, word = np.nonzero(total > 1e-8)
-            topic = np.concatenate([at, [-1, -1], np.arange(topics)]).astype(np.int32)
-            kind = np.concatenate([word, [BOUND, DOCUMENTS], np.full(topics, LOG_THETA)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(kind), pa.array(np.concatenate([total[at, word], [score, seen], log_theta]))], ["topic", "word", "n"])
-
-    return rows
-
-
-def fit(docs: DataFrame, words: list[str], topics: int, epochs: int = 10, steps: int = 30, alpha: float = 0.1, eta: float = 0.01, tol: float = 1e-4, patience: int = 2, seed: int = 1, start: TopicModel | None = None, after: Callable[[TopicModel], None] | None = None, learn_alpha: bool = False) -> TopicModel:
-    """Batch variational Bayes over bags; stops when the bound per epoch changes by less than tol, `patience` times in a row.
-
-    start: a model to go on from, whose epochs count; after: called with the model at the end of each epoch.
+            if not len(b):
+                continue
+            ids, counts, bounds = _cells(b)
+            gamma, weighed = local_steps(ids, counts, bounds, log_beta, alpha, steps, tol)
+            order = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            if len(first):
+                total[ids[order][first]] += np.add.reduceat(weighed[order], first, axis=0)
+            spread = expected_log(gamma)
+            log_theta += spread.sum(axis=0)
+            p = (np.repeat(np.exp(spread), np.diff(bounds), axis=0) * np.exp(log_beta[ids])).sum(axis=1)
+            for key, value in ((BOUND, (counts * np.log(np.maximum(p, 1e-300))).sum()), (DOCUMENTS, len(b)), (TOKENS, counts.sum()), (ENTROPY, _entropies(gamma / gamma.sum(axis=1, keepdims=True)).sum())):
+                sums[key] += float(value)
+        word, at = np.nonzero(total > 1e-8)
+        topic = np.concatenate([at, np.full(len(sums), -1), np.arange(topics)]).astype(np.int32)
+        kind = np.concatenate([word, list(sums), np.full(topics, LOG_THETA)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(kind), pa.array(np.concatenate([total[word, at], list(sums.values()), log_theta]))], ["topic", "word", "n"])
+
+    found = docs.select("ids", "counts").mapInArrow(rows, "topic int, word int, n double").groupBy("topic", "word").agg(F.sum("n").alias("n")).toArrow()
+    return tuple(found[c].to_numpy() for c in ("topic", "word", "n"))
+
+
+def settled(values: list[float], threshold: float, window: int) -> bool:
+    """Whether the last `window` relative changes are all below the threshold, once there are more values than that."""
+    changes = [abs(b - a) / max(abs(a), 1e-12) for a, b in zip(values, values[1:], strict=False)]
+    return len(values) > window and all(c < threshold for c in changes[-window:])
+
+
+def fit(docs: DataFrame, words: list[str], topics: int, epochs: int = 10, steps: int = 30, alpha: float = 0.1, eta: float = 0.01, tol: float = 1e-4, patience: int = 2, seed: int = 1, start: TopicModel | None = None, after: Callable[[TopicModel], None] | None = None, learn_alpha: bool = False, criterion: str = "bound", limit: int = TABLE_CELLS) -> TopicModel:
+    """Batch variational Bayes over bags; stops when the criterion changes by less than tol from epoch to epoch, `patience` times in a row.
+
+    criterion: "bound", or one of the series in `checks`. start: a model to go on from, whose epochs count; after: called with the
+    model at the end of each epoch. A table of more than `limit` cells is an error: fewer topics or words are needed.
     """
+    if topics * len(words) > limit:
+        raise ValueError(f"{topics} topics of {len(words)} words are more than {limit} cells")
     rng = np.random.default_rng(seed)
     model = start or TopicModel(rng.gamma(100.0, 0.01, (topics, len(words))), np.full(topics, alpha), words)
     if model.words != words or len(model.alpha) != topics:
         raise ValueError("the model to go on from has other words or topics")
-    calm = 0
     for _ in range(epochs - len(model.history)):
-        # topics x words values at most, summed before they reach the driver
-        found = docs.mapInArrow(_steps(model, steps, 1e-3, True), "topic int, word int, n double").groupBy("topic", "word").agg(F.sum("n").alias("n")).toArrow()
-        at, word, n = (found[c].to_numpy() for c in ("topic", "word", "n"))
+        at, word, n = _step(docs, model, steps, 1e-3)
         lam = np.full_like(model.lam, eta)
         cell = word >= 0
         lam[at[cell], word[cell]] += n[cell]
-        if learn_alpha:
+        sums = {int(w): float(v) for w, v in zip(word[~cell], n[~cell], strict=True) if w != LOG_THETA}
+        documents, tokens = max(sums.get(DOCUMENTS, 0.0), 1.0), max(sums.get(TOKENS, 0.0), 1.0)
+        if learn_alpha and sums.get(DOCUMENTS):
             per_topic = {int(k): float(v) for k, w, v in zip(at, word, n, strict=True) if w == LOG_THETA}
-            documents = float(n[word == DOCUMENTS].sum())
-            if documents:
-                model.alpha = newton_alpha(model.alpha, np.array([per_topic.get(k, 0.0) for k in range(topics)]) / documents)
+            model.alpha = newton_alpha(model.alpha, np.array([per_topic.get(k, 0.0) for k in range(topics)]) / documents)
         model.lam = lam
-        model.history.append(float(n[word == BOUND].sum()))
+        model.history.append(sums.get(BOUND, 0.0))
+        per_token = model.history[-1] / tokens
+        model.checks.append({"log_likelihood": per_token, "perplexity": math.exp(min(-per_token, 700.0)), "entropy_doc": sums.get(ENTROPY, 0.0) / documents, "entropy_topic": float(_entropies(model.beta).mean())})
         if after is not None:
             after(model)
-        if len(model.history) > 1:
-            change = abs(model.history[-1] - model.history[-2]) / max(abs(model.history[-2]), 1e-12)
-            calm = calm + 1 if change < tol else 0
-            if calm >= patience:
-                break
+        if settled(model.history if criterion == "bound" else [c[criterion] for c in model.checks], tol, patience):
+            break
     return model
 
 
 def infer(docs: DataFrame, model: TopicModel, steps: int = 30, tol: float = 1e-4) -> DataFrame:
     """(doc, topic, p) of bags under frozen topics."""
-    out = docs.mapInArrow(_steps(model, steps, tol, False), f"doc {docs.schema['doc'].dataType.simpleString()}, theta array<double>")
-    return out.select("doc", F.posexplode("theta").alias("topic", "p"))
+    shares = lambda ids, counts, bounds, log_beta, gamma: pa.ListArray.from_arrays(pa.array(np.arange(len(gamma) + 1) * gamma.shape[1], pa.int32()), pa.array((gamma / gamma.sum(axis=1, keepdims=True)).reshape(-1)))
+    return _inferred(docs, model, steps, tol, shares, "theta", "array<double>").select("doc", F.posexplode("theta").alias("topic", "p"))
+
+
+def evidence(docs: DataFrame, model: TopicModel, steps: int = 30, tol: float = 1e-4) -> DataFrame:
+    """(doc, bound): each bag's evidence lower bound under frozen topics."""
+    alpha = model.alpha
+    return _inferred(docs, model, steps, tol, lambda ids, counts, bounds, log_beta, gamma: pa.array(document_bounds(ids, counts, bounds, log_beta, alpha, gamma)), "bound", "double")
+
+
+def table(spark: SparkSession, model: TopicModel) -> DataFrame:
+    """(topic, word, p): the topic-word table of a model."""
+    topics, words = model.beta.shape
+    return spark.createDataFrame(pa.table({"topic": np.repeat(np.arange(topics, dtype=np.int32), words), "word": pa.array(model.words).take(pa.array(np.tile(np.arange(words), topics))), "p": model.beta.reshape(-1)}))
+
+
+def sweep(docs: DataFrame, words: list[str], counts: list[int], score: Callable[[TopicModel], float], **options: object) -> list[dict[str, float]]:
+    """For each number of topics: the score of a model, its last log-likelihood and perplexity."""
+    out = []
+    for topics in counts:
+        model = fit(docs, words, topics, **options)
+        out.append({"topics": topics, "score": score(model), **{k: model.checks[-1][k] for k in ("log_likelihood", "perplexity")}})
+    return out
+
+
+def synthetic_corpus(spark: SparkSession, documents: int, tokens: int = 40, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """((doc, word, n), topics x words): documents of three topics of six words each among 18, mostly of one topic, for trials of inference."""
+    beta = np.full((3, 18), 0.2 / 12)
+    for k in range(3):
+        beta[k, 6 * k : 6 * k + 6] = 0.8 / 6
+    rng = np.random.default_rng(seed)
+    rows = []
+    for d in range(documents):
+        n = rng.multinomial(tokens, rng.dirichlet(np.full(3, 0.3)) @ beta)
+        rows += [(d, f"w{w:02d}", int(c)) for w, c in enumerate(n) if c]
+    return spark.createDataFrame(rows, "doc bigint, word string, n bigint"), beta

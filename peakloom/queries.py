@@ -119,10 +119,43 @@ peak_query(
 )
 
 
-@register("ql_variable")
-def ql_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = "QUERY scaninfo(MS2DATA) WHERE MS2PROD=X:TOLERANCEMZ=0.1 AND MS2PROD=X+100:TOLERANCEMZ=0.1 AND X=range(min=200,max=300)"
-    return run(query, None, ms2_peaks(spark, sf_dir)).select("scan", "comment", r6("i").alias("i"))
+XS = """xs as (select distinct frag_mz as x from ms2 where {where}), g as (select min(x) as x from xs union all select (select min(xs.x) from xs where xs.x >= g.x + 0.05e0) from g where g.x is not null), c as (select x from g where x is not null)"""
+
+
+def variable_query(name: str, query: str, where: str, pairs: str) -> None:
+    """Register a query with the variable X: candidates are thinned greedily, and of a scan's candidates with one whole part the least stays."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(query, None, ms2_peaks(spark, sf_dir)).select("scan", "comment", r6("i").alias("i"))
+
+    QUERIES[name] = f
+    ORACLES[name] = f"{PEAKS.replace('with ms2', 'with recursive ms2', 1)}, {XS.format(where=where)}, pairs as ({pairs}), f as (select scan, min(x) as x from pairs group by scan, floor(x)) select f.scan, f.x as comment, {q6('sum(frag_intens)')} as i from f join ms2 using (scan) group by 1, 2"
+
+
+variable_query(
+    "ql_variable",
+    "QUERY scaninfo(MS2DATA) WHERE MS2PROD=X:TOLERANCEMZ=0.1 AND MS2PROD=X+100:TOLERANCEMZ=0.1 AND X=range(min=200,max=300)",
+    "frag_mz between 200 and 300",
+    f"select distinct a.scan, c.x from c join ms2 a on {band('a.frag_mz', 'c.x')} join ms2 b on b.scan = a.scan and {band('b.frag_mz', '(c.x + 100)')}",
+)
+variable_query(
+    "ql_variable_massdefect",
+    "QUERY scaninfo(MS2DATA) WHERE MS2PROD=X:TOLERANCEMZ=0.1 AND MS2NL=2*(X-100)+50:TOLERANCEMZ=1 AND X=massdefect(min=0.2,max=0.21)",
+    "frag_mz - floor(frag_mz) between 0.2e0 and 0.21e0",
+    f"select distinct a.scan, c.x from c join ms2 a on {band('a.frag_mz', 'c.x')} join ms2 b on b.scan = a.scan and {band('b.loss_mz', '(2e0 * (c.x - 100) + 50)', '1e0')}",
+)
+peak_query("ql_ms1_of_ms2", "QUERY scannum(MS1DATA) WHERE MS2PROD=178.03:TOLERANCEMZ=0.5", None, f"select distinct scan from ms1 where scan in (select ms1scan from ms2 where {HIT})", ms1=True)
+peak_query("ql_ms2_of_ms1", "query scannum(MS2DATA) where MS1MZ=2050:TOLERANCEMZ=50:INTENSITYPERCENT=99.9", None, f"select distinct scan from ms2 where ms1scan in (select scan from ms1 where {band('mz', '2050', '50')} and i_norm > 0.99e0)", ms1=True)
+peak_query("ql_scaninfo_norms", FLAGSHIP, ["scan", "ms1scan", named("i_norm_ms1")], f"select scan, max(ms1scan) as ms1scan, {q6('max(n.i_norm)')} as i_norm_ms1 from ms2 left join (select scan as s1, max(i_norm) as i_norm from ms1 group by 1) n on s1 = ms1scan where scan in (select scan from ms2 where {HIT}) group by scan", ms1=True)
+peak_query("ql_filter_ms1", "QUERY MS1DATA WHERE RTMAX=5 FILTER MS1MZ=(2000 OR 3000):TOLERANCEMZ=40", ["scan", named("mz"), named("i")], f"select scan, {q6('mz')} as mz, {q6('i')} as i from ms1 where rt < 5 and ({band('mz', '2000', '40')} or {band('mz', '3000', '40')})", ms1=True)
+peak_query("ql_ms1_massdefect", "QUERY scannum(MS1DATA, TOLERANCE=0.5) WHERE MS1MZ=2050:TOLERANCEMZ=50:MASSDEFECT=massdefect(min=0.3,max=0.6)", None, f"select distinct scan from ms1 where {band('mz', '2050', '50')} and mz - floor(mz) > 0.3e0 and mz - floor(mz) < 0.6e0", ms1=True)
+peak_query("ql_nothing", "QUERY scaninfo(MS2DATA) WHERE MS2PROD=99999:TOLERANCEMZ=0.1", ["scan", named("i")], f"select scan, {q6('sum(frag_intens)')} as i from ms2 where false group by scan")
+peak_query("ql_arithmetic", "QUERY scannum(MS2DATA) WHERE MS2PROD=2*(100-10.985)+(0.5*0)/3:TOLERANCEMZ=0.5", None, f"select distinct scan from ms2 where {band('frag_mz', '178.03e0', '0.5e0')}")
+
+
+@register("ql_mobility", f"{PEAKS} select distinct scan from ms2 where rt between 3 and 5.5 and {HIT}")
+def ql_mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run("QUERY scannum(MS2DATA) WHERE MOBILITY=range(min=3,max=5.5) AND MS2PROD=178.03:TOLERANCEMZ=0.5", None, ms2_peaks(spark, sf_dir).withColumn("mobility", F.col("rt")))
 
 
 @register(
@@ -283,7 +316,7 @@ def lda_fit_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = peaks.vocabulary(corpus.withColumnRenamed("doc", "scan"), 1, 2).orderBy("word").select("word")
     words = [r["word"] for r in vocabulary.toLocalIterator()]  # whole m/z units: about a thousand
     ids = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, id int")
-    docs = lda.bags(corpus, ids).cache()
+    docs = lda.bags(corpus, ids)
     model = lda.fit(docs, words, topics=10, epochs=4)
     return lda.infer(docs, model)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars, sketches
-from .operators import annotation, metrics, motifs, network, peaks, screening, similarity, summaries, topics
+from .operators import annotation, lda, metrics, motifs, network, peaks, screening, similarity, summaries, topics
 from .registry import PEAKS, THETA, named, q6, r6, register
 from .sources.adapters import beta, ms2_peaks, theta
 
@@ -566,3 +566,41 @@ def call_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def array_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ms2_peaks(spark, sf_dir).filter("charge = 1").groupBy(F.col("ms1scan").alias("key")).agg(F.collect_list(F.col("frag_mz") - 200).alias("mz"), F.collect_list("frag_mz").alias("values"))
     return summaries.violations(rows, "key")
+
+
+def digamma_sql(x: str) -> str:
+    """Six steps of the recurrence, then the asymptotic series."""
+    y = f"({x} + 6)"
+    r = f"(1 / ({y} * {y}))"
+    return f"(ln({y}) - 0.5e0 / {y} - {r} * (1 / 12e0 - {r} * (1 / 120e0 - {r} * (1 / 252e0 - {r} / 240e0))) - " + " - ".join(f"1 / ({x} + {k})" for k in range(6)) + ")"
+
+
+#: Topic k gives word w the weight 1 + (7 w + 3 k) % 5; documents are scans, words are hundreds of m/z.
+LDA_WORDS, LDA_TOPICS = 60, 3
+LDA_SQL = f"""{PEAKS}, n as (select scan as doc, floor(frag_mz / 100e0)::int as w, count(*)::double as n from ms2 where frag_mz < {LDA_WORDS * 100} group by 1, 2), l as (select k, w, (1 + (w * 7 + k * 3) % 5)::double as lam from range({LDA_TOPICS}) a(k), range({LDA_WORDS}) b(w)),
+    b as (select k, w, {digamma_sql('lam')} - {digamma_sql('(sum(lam) over (partition by k))')} as eb from l), d as (select doc, sum(n) as total from n group by doc),
+    s as (select n.doc, n.w, k, n.n, exp(eb) as e from n join b using (w)), phi as (select doc, w, k, n * e / sum(e) over (partition by doc, w) as c from s)"""
+
+
+def fixed_topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lda.TopicModel]:
+    import numpy as np
+
+    w, k = np.arange(LDA_WORDS), np.arange(LDA_TOPICS)[:, None]
+    model = lda.TopicModel((1 + (w * 7 + k * 3) % 5).astype(float), np.full(LDA_TOPICS, 0.1), [str(x) for x in w])
+    cells = ms2_peaks(spark, sf_dir).filter(F.col("frag_mz") < LDA_WORDS * 100).groupBy(F.col("scan").alias("doc"), F.floor(F.col("frag_mz") / 100.0).cast("int").alias("id")).agg(F.count("*").alias("n"))
+    listed = cells.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("c"))
+    return listed.select("doc", F.col("c.id").alias("ids"), F.col("c.n").alias("counts")), model
+
+
+@register("lda_expectation", f"{LDA_SQL}, g as (select doc, k, 0.1e0 + sum(c) as g from phi group by 1, 2) select doc, k::int as topic, {q6('g / sum(g) over (partition by doc)')} as p from g")
+def lda_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixtures after one step under given topics; the even start gives every topic one expected log share, which cancels."""
+    docs, model = fixed_topics(spark, sf_dir)
+    return lda.infer(docs, model, steps=1).select("doc", "topic", r6("p").alias("p"))
+
+
+@register("lda_maximisation", f"{LDA_SQL}, t as (select k, w, sum(c) as c from phi group by 1, 2) select k::int as topic, w::varchar as word, {q6('(0.01e0 + coalesce(c, 0)) / sum(0.01e0 + coalesce(c, 0)) over (partition by k)')} as p from l left join t using (k, w)")
+def lda_maximisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic-word table after one round over all documents from given topics."""
+    docs, model = fixed_topics(spark, sf_dir)
+    return lda.table(spark, lda.fit(docs, model.words, LDA_TOPICS, epochs=1, steps=1, start=model)).select("topic", "word", r6("p").alias("p"))

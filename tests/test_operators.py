@@ -3,18 +3,67 @@ import math
 import numpy as np
 import pytest
 
-from peakloom.operators import lda, network, peaks, similarity, topics
+from peakloom.operators import lda, metrics, network, peaks, similarity, topics
 
 
 def test_digamma():
     assert lda.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525890], abs=1e-9)
 
 
-def test_local_step_keeps_mass():
-    counts = np.array([2.0, 1.0])
-    gamma, weighed = lda.local_step(counts, np.array([[0.0, -2.0], [-2.0, 0.0]]), np.full(2, 0.5), np.ones(2), 50, 1e-9)
-    assert weighed.sum(axis=0) == pytest.approx(counts)
-    assert gamma.sum() == pytest.approx(1.0 + counts.sum())
+def slow_step(counts, log_beta, alpha, gamma, steps, tol):
+    """One document's coordinate ascent, as its formulas say; log_beta: topics x words."""
+    weighed = np.zeros_like(log_beta)
+    for _ in range(steps):
+        score = lda.expected_log(gamma)[:, None] + log_beta
+        phi = np.exp(score - score.max(axis=0))
+        weighed = phi / phi.sum(axis=0) * counts
+        new = alpha + weighed.sum(axis=1)
+        moved = np.abs(new - gamma).sum() / np.abs(gamma).sum()
+        gamma = new
+        if moved < tol:
+            break
+    return gamma, weighed
+
+
+def test_batches_of_documents_by_brute_force():
+    rng = np.random.default_rng(2)
+    log_beta, alpha = lda.expected_log(rng.gamma(2.0, 1.0, (4, 30))), rng.uniform(0.1, 1, 4)
+    sizes = [3, 0, 1, 12, 7]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    ids, counts = rng.integers(0, 30, bounds[-1]), rng.integers(1, 9, bounds[-1]).astype(float)
+    gamma, weighed = lda.local_steps(ids, counts, bounds, np.ascontiguousarray(log_beta.T), alpha, 40, 1e-4)
+    bound = lda.document_bounds(ids, counts, bounds, np.ascontiguousarray(log_beta.T), alpha, gamma)
+    for d, n in enumerate(sizes):
+        at = slice(bounds[d], bounds[d + 1])
+        g, w = slow_step(counts[at], log_beta[:, ids[at]], alpha, alpha + counts[at].sum() / 4, 40 if n else 0, 1e-4)
+        assert gamma[d] == pytest.approx(g) and weighed[at].T == pytest.approx(w)
+        assert weighed[at].sum(axis=1) == pytest.approx(counts[at])
+        spread = lda.expected_log(g)
+        tokens = sum(c * math.log(sum(math.exp(spread[k] + log_beta[k, i]) for k in range(4))) for c, i in zip(counts[at], ids[at], strict=True))
+        prior = math.lgamma(alpha.sum()) - sum(map(math.lgamma, alpha)) - math.lgamma(g.sum()) + sum(map(math.lgamma, g)) + float(((alpha - g) * spread).sum())
+        assert bound[d] == pytest.approx(prior + tokens)
+
+
+def test_topics_of_a_synthetic_corpus(spark):
+    corpus, truth = lda.synthetic_corpus(spark, 120)
+    words = [f"w{k:02d}" for k in range(18)]
+    ids = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, id int")
+    docs = lda.bags(corpus, ids).cache()
+    model = lda.fit(docs, words, 3, epochs=25, criterion="perplexity", tol=1e-3, seed=3)
+    assert len(model.checks) == len(model.history) and model.checks[-1]["perplexity"] < min(18, model.checks[0]["perplexity"])
+    assert all(c["perplexity"] == pytest.approx(math.exp(-c["log_likelihood"])) and 0 < c["entropy_doc"] < math.log(3) + 1e-9 for c in model.checks)
+    found = metrics.topic_agreement(truth, model.beta, 6)
+    assert found["cosine_mean"] > 0.95 and found["jaccard_mean"] > 0.9
+    rows = lda.sweep(docs, words, [2, 3], lambda m: metrics.topic_agreement(truth[: len(m.lam)], m.beta, 6)["cosine_mean"], epochs=5)
+    assert [r["topics"] for r in rows] == [2, 3]
+    assert lda.table(spark, model).groupBy("topic").agg({"p": "sum"}).collect()[0][1] == pytest.approx(1)
+    assert lda.evidence(docs, model).filter("bound is null or isnan(bound)").count() == 0
+    with pytest.raises(ValueError):
+        lda.fit(docs, words, 3, limit=10)
+
+
+def test_settled():
+    assert not lda.settled([1.0, 1.0, 1.0], 0.01, 3) and lda.settled([5.0, 1.0, 1.0, 1.0, 1.001], 0.01, 3) and not lda.settled([1.0, 1.0, 1.0, 2.0], 0.01, 3)
 
 
 def test_lda_separates_two_topics(spark):

@@ -78,22 +78,34 @@ def row_filter(df: DataFrame, conditions: tuple[Condition, ...], is_ms2: bool) -
 
 
 def keep_scans(df: DataFrame, conditions: list[Condition], x: Column | None, keys: list[str], strict_ms2: bool) -> DataFrame:
-    """df's rows of the scans that meet every condition."""
-    window = Window.partitionBy(*keys)
+    """df's rows of the scans that meet every condition.
+
+    The peaks that match any condition, a filter that reaches the scan of the table, are summed up by scan with partial aggregates
+    of the few columns they need; rows then meet the scans that are left in a semi join, or, where all conditions exclude, an
+    anti join with those that fail.
+    """
+    if not conditions:
+        return df
+    alternatives, values, tests = [], {}, {}
     register: dict[str, Column] = {}
-    flags = []
     for k, c in enumerate(sorted(conditions, key=lambda c: not c.reference)):
         found = [F.coalesce(h, F.lit(False)) for h in hits(c, x, strict_ms2)]
+        if strict_ms2:  # these look at a scan's whole peaks, so they are columns before anything is left out
+            df = df.withColumns({f"_hit{k}_{j}": h for j, h in enumerate(found)})
+            found = [F.col(f"_hit{k}_{j}") for j in range(len(found))]
         any_hit = found[0]
         for h in found[1:]:
             any_hit = any_hit | h
-        keep = F.max(any_hit).over(window)
+        alternatives.append(any_hit)
+        values[f"_any{k}"] = F.max(any_hit)
+        keep = F.col(f"_any{k}")
         intensity = COLUMNS[c.field][1]
         if "CARDINALITY" in c.ranges and len(found) > 1:
-            n = sum((F.max(h.cast("int")).over(window) for h in found), F.lit(0))
-            keep = keep & n.between(*c.ranges["CARDINALITY"])
+            values |= {f"_one{k}_{j}": F.max(h.cast("int")) for j, h in enumerate(found)}
+            keep = keep & sum((F.col(f"_one{k}_{j}") for j in range(len(found))), F.lit(0)).between(*c.ranges["CARDINALITY"])
         if c.match is not None and intensity is not None:
-            total = F.sum(F.when(any_hit, F.col(intensity))).over(window)
+            values[f"_sum{k}"] = F.sum(F.when(any_hit, F.col(intensity)))
+            total = F.col(f"_sum{k}")
             if c.reference:
                 if not isinstance(c.match, Variable):
                     raise QueryError("INTENSITYMATCHREFERENCE needs INTENSITYMATCH=Y")
@@ -101,13 +113,15 @@ def keep_scans(df: DataFrame, conditions: list[Condition], x: Column | None, key
             else:
                 wanted, p = column(c.match, register), c.numbers.get("INTENSITYMATCHPERCENT", 0.0) / 100
                 keep = keep & F.coalesce((total > wanted * (1 - p)) & (total < wanted * (1 + p)), F.lit(False))
-        flags.append((f"_keep{k}", ~keep if c.excluded else keep))
-    if not flags:
-        return df
-    out = df.withColumns(dict(flags))
-    for name, _ in flags:
-        out = out.filter(F.col(name))
-    return out.drop(*(name for name, _ in flags))
+        tests[k] = ~keep if c.excluded else keep
+    matching, all_met = alternatives[0], tests[0]
+    for k in range(1, len(alternatives)):
+        matching, all_met = matching | alternatives[k], all_met & tests[k]
+    seen = df.filter(matching).groupBy(*keys).agg(*(v.alias(name) for name, v in values.items()))
+    df = df.drop(*(c for c in df.columns if c.startswith("_hit")))
+    if all(c.excluded for c in conditions):
+        return df.join(seen.filter(~all_met).select(*keys), keys, "left_anti")
+    return df.join(seen.filter(all_met).select(*keys), keys, "left_semi")
 
 
 def other_scan(ms1: DataFrame, original: DataFrame, c: Condition) -> DataFrame:

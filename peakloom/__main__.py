@@ -9,11 +9,11 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .operators import checkpoints, lda, motifs, network, peaks, topics
+from .operators import checkpoints, lda, motifs, network, peaks, runs, topics
 from .plans.compiler import run_many
 from .plans.describe import describe
 from .sources.readers import read_spectra
-from .sources.sinks import results_table, run_folder
+from .sources.sinks import results_table, run_folder, write_text
 
 DEFAULTS = {"topics": 20, "iterations": 20, "digits": 2, "min_cf": 1, "min_df": 2, "low_mz": 0.0, "high_mz": 2000.0, "low": 0.01, "top": 1000, "least": 5, "top_words": 10, "motif_words": 50, "vocabulary_limit": 2_000_000}
 
@@ -58,8 +58,7 @@ def topic_run(spark: SparkSession, path: str, folder: str, options: dict) -> Non
     for name, part in topics.exported(spark.read.parquet(f"{folder}/theta"), beta).items():
         part.write.parquet(f"{folder}/viewer/{name}")
     network.write_graphml(network.feature_edges(motifs.network_features(spark.read.parquet(f"{folder}/motifs"))), f"{folder}/network.graphml")
-    with open(os.path.join(folder, "run.json"), "w") as f:
-        json.dump({"options": options, "history": model.history, "checks": model.checks}, f)
+    write_text(spark, f"{folder}/run.json", json.dumps(runs.manifest(spark, options, path) | {"history": model.history, "checks": model.checks}))
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -70,6 +69,7 @@ def main(arguments: list[str] | None = None) -> int:
     q.add_argument("query")
     q.add_argument("--output", required=True)
     q.add_argument("--format", choices=("csv", "tsv", "json", "parquet"), default="csv")
+    q.add_argument("--original-path", help="where the file came from")
     d = commands.add_parser("describe", help="say a query in words")
     d.add_argument("query")
     t = commands.add_parser("topics", help="find topics in a file of spectra")
@@ -86,14 +86,14 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("peakloom").getOrCreate()
     if args.command == "query":
         ms1, ms2 = tables(spark, args.file)
-        results_table(run_many(args.query, ms1, ms2), args.output, args.format)
+        results_table(run_many(args.query, ms1, ms2), args.output, args.format, args.file, args.original_path)
         return 0
     options = DEFAULTS
     if args.config:
         with open(args.config) as f:
             options = merged(options, json.load(f))
     options = merged(options, {k: v for k, v in (("topics", args.n_topics), ("iterations", args.n_iterations)) if v is not None})
-    topic_run(spark, args.file, run_folder(args.output_folder, args.run_name or os.path.splitext(os.path.basename(args.file))[0]), options)
+    topic_run(spark, args.file, run_folder(args.output_folder, args.run_name or os.path.splitext(os.path.basename(args.file))[0], spark), options)
     return 0
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
+import hashlib
 import json
 import os
 import re
@@ -51,8 +53,20 @@ def cached(spark: SparkSession, source: str, folder: str, read) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def results_table(results: DataFrame, path: str, kind: str = "csv") -> None:
-    """Query results with whole numbers in the scan columns where they are numbers, and a band of 10 around `comment`."""
+LONG_NAME = 80
+
+
+def safe_path(path: str) -> str:
+    """path, its last part cut to its last 80 characters behind a prefix of its own if it is longer."""
+    folder, _, name = path.rpartition("/")
+    if len(name) <= LONG_NAME:
+        return path
+    short = f"{hashlib.md5(name.encode()).hexdigest()}_{name[-LONG_NAME:]}"
+    return f"{folder}/{short}" if folder else short
+
+
+def results_table(results: DataFrame, path: str, kind: str = "csv", filename: str | None = None, original_path: str | None = None) -> None:
+    """Query results with whole numbers in the scan columns where they are numbers, a band of 10 around `comment`, and the names of their file."""
     out = results
     for c in WHOLE:
         if c in out.columns:
@@ -60,7 +74,10 @@ def results_table(results: DataFrame, path: str, kind: str = "csv") -> None:
     if "comment" in out.columns:
         x = F.col("comment").try_cast("double")
         out = out.withColumns({"mz_lower": x - 10, "mz_upper": x + 10})
-    write_table(out, path, kind)
+    for name, value in (("filename", filename and filename.rpartition("/")[2]), ("original_path", original_path)):
+        if value is not None:
+            out = out.withColumn(name, F.lit(value))
+    write_table(out, safe_path(path), kind)
 
 
 def extracted(peaks: DataFrame, results: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -112,22 +129,69 @@ def read_bundle(content: bytes | str) -> dict[str, list[dict]]:
     return json.loads(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
 
 
-def run_folder(base: str, name: str) -> str:
-    """A new folder base/name, or name_1, name_2, ... if there is one."""
+def run_folder(base: str, name: str, spark: SparkSession | None = None) -> str:
+    """A new folder base/name, or name_1, name_2, ... if there is one; with a session, on the file system of base, which all machines see."""
     for k in range(1 << 20):
-        path = os.path.join(base, name if k == 0 else f"{name}_{k}")
-        try:
-            os.makedirs(path)
+        path = f"{base.rstrip('/')}/{name if k == 0 else f'{name}_{k}'}"
+        if spark is None:
+            try:
+                os.makedirs(path)
+                return path
+            except FileExistsError:
+                continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            system.mkdirs(folder)
             return path
-        except FileExistsError:
-            continue
     raise FileExistsError(name)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on the file system of its path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def library_rows(database: str, table: str, key: str, keys: list) -> list[tuple]:
     """Rows of a SQLite library by key, in the order of keys; missing ones are left out."""
+    return [rows[0] for rows in _looked_up(database, table, key, keys) if rows]
+
+
+def _looked_up(database: str, table: str, key: str, keys: list) -> list[list[tuple]]:
+    """The rows of each key, several hundred keys a statement."""
     if not re.fullmatch(r"\w+", table) or not re.fullmatch(r"\w+", key):
         raise ValueError("names of tables and columns are words")
-    with sqlite3.connect(f"file:{database}?mode=ro", uri=True) as c:
-        found = (c.execute(f"select * from {table} where {key} = ?", (k,)).fetchone() for k in keys)
-        return [r for r in found if r is not None]
+    found: dict[object, list[tuple]] = {}
+    with contextlib.closing(sqlite3.connect(f"file:{database}?mode=ro", uri=True)) as c:
+        for at in range(0, len(keys), KEYS_AT_ONCE):
+            part = keys[at : at + KEYS_AT_ONCE]
+            cursor = c.execute(f"select {key}, * from {table} where {key} in ({', '.join('?' * len(part))})", part)
+            for k, *row in cursor:
+                found.setdefault(k, []).append(tuple(row))
+    return [found.get(k, []) for k in keys]
+
+
+KEYS_AT_ONCE = 500
+
+
+def library_join(keys: DataFrame, column: str, database: str, table: str, key: str, columns: str) -> DataFrame:
+    """keys joined with the rows of a SQLite library, by id, formula or any other column; columns: the library's own, as a schema.
+
+    Each task asks the file, which all machines must see, for its own keys.
+    """
+    names = [c.split(" ")[0] for c in columns.split(", ")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema), columns])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _looked_up(database, table, key, b[column].to_pylist())
+            at = pa.array([k for k, hits in enumerate(found) for _ in hits], pa.int64())
+            flat = [row for hits in found for row in hits]
+            yield pa.RecordBatch.from_arrays([*(x.take(at) for x in b.columns), *(pa.array([row[k] for row in flat]) if flat else pa.nulls(0) for k in range(len(names)))], [*b.schema.names, *names])
+
+    return keys.mapInArrow(rows, schema)

@@ -72,10 +72,10 @@ def text_key(text: Column) -> Column:
 BROADCAST_BYTES = 48 << 20
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", row_bytes: Column | int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Join whose right side is broadcast only if its measured size is below limit; else both sides are shuffled.
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", row_bytes: Column | int = 64, limit: int | None = None) -> DataFrame:
+    """Join whose right side is broadcast only if its measured size is below limit (BROADCAST_BYTES); else both sides are shuffled.
 
     `small` should be settled: its size is summed here. Beyond the limit adaptive execution splits skewed keys.
     """
     size = small.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
-    return big.join(F.broadcast(small) if size <= limit else small.hint("merge"), on, how)
+    return big.join(F.broadcast(small) if size <= (BROADCAST_BYTES if limit is None else limit) else small.hint("merge"), on, how)

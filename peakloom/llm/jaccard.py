@@ -8,7 +8,9 @@ of documents it is linked to and one edge of a spanning forest. A pair that shar
 
 Defined cases: n-grams are of lower-cased words; a text of 1 to n - 1 words has one n-gram, all its words; empty and null
 texts have none and are never linked; a row with a null doc_id is returned with a null class_id and no links; rows that
-share a doc_id are documents of their own; a class is named by its least doc_id. Extra columns are ignored.
+share a doc_id are documents of their own, and so are repeated rows, which are linked; a pair at the threshold itself is linked; a
+class is named by its least doc_id; an empty table gives an empty result. Other columns are ignored by `links` and handed on by
+`representatives`. A long text is held whole, with some 40 bytes a word. Sets and nodes are compared by 64-bit hashes of their n-grams.
 """
 
 from __future__ import annotations

@@ -144,7 +144,6 @@ def factors(docs: DataFrame, window: int = 13, limit: int | None = None) -> Data
 
     copy_of: the least doc_id with the same content, if it is smaller; then the whole text is one factor, and it is not parsed.
     """
-    bound = {} if limit is None else {"limit": limit}
     docs = docs.filter(F.col("doc_id").isNotNull())
     same = settle(docs.groupBy("content", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "rlz-same")
     copies = docs.select("doc_id", "content", "check").join(same, ["content", "check"]).filter("doc_id > first").select("doc_id", "content", F.col("first").alias("copy_of")).distinct()
@@ -154,7 +153,7 @@ def factors(docs: DataFrame, window: int = 13, limit: int | None = None) -> Data
     hot = settle(found.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("anchor"), "rlz-hot")
     firsts = same.withColumnRenamed("check", "its_check")  # of two texts with one content hash but another check, neither is left out
     by_text = settle(found.join(hot, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("hot")).join(firsts, "content", "left"), "rlz-anchors")
-    hot_docs = join_checked(docs, by_text, ["content"], "inner", F.size("hot") * 8 + 48, **bound).filter("first is null or check != its_check or doc_id = first")
+    hot_docs = join_checked(docs, by_text, ["content"], "inner", F.size("hot") * 8 + 48, limit).filter("first is null or check != its_check or doc_id = first")
 
     placed = settle(windows(hot_docs, window), "rlz-windows")
     reference = placed.groupBy("piece", "twin").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("pos", F.when(F.col("fresh"), F.col("doc_id"))).alias("ref_pos"))
@@ -171,7 +170,7 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 def strip(docs: DataFrame, window: int = 13, limit: int | None = None) -> DataFrame:
     """docs (doc_id, text) as doc_id, n_words, n_removed, kept (what is left, joined by one space) and factors."""
     docs = keyed(docs.select("doc_id", "text"))
-    marked = join_checked(docs, factors(docs, window, limit), ["doc_id", "content"], "left", 48 + 16 * F.coalesce(F.greatest(F.size("factors"), F.lit(0)), F.lit(0)), **({} if limit is None else {"limit": limit}))
+    marked = join_checked(docs, factors(docs, window, limit), ["doc_id", "content"], "left", 48 + 16 * F.coalesce(F.greatest(F.size("factors"), F.lit(0)), F.lit(0)), limit)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

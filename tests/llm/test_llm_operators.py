@@ -159,6 +159,23 @@ def test_jaccard_blocks_and_kept_documents(docs, monkeypatch, spark, texts):
     assert ids.count(1) == 1 and not {2, 3, 22, 8} & set(ids) and {4, 5, 6, 7, 9, 21, 23} <= set(ids) and ids.count(20) == 2
 
 
+def test_joins_beyond_the_broadcast_limit(docs, monkeypatch, tmp_path):
+    """Where nothing may be broadcast the results are the same."""
+    from peakloom.llm import common
+
+    def results():
+        return (
+            rows(jaccard.links(docs), "doc_id", "class_id", "n_links"),
+            rows(jaccard.representatives(docs), "doc_id", "text"),
+            rows(records.encode(docs), "doc_id", "start", "n_tokens", "ids_crc32"),
+            rows(substrings.strip(docs), "doc_id", "n_removed", "kept"),
+        )
+
+    broadcast = results()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert results() == broadcast
+
+
 def test_banding_reaches_its_recall():
     assert 1 - (1 - 0.8**5) ** jaccard.banding(0.8, 0.999, 5) >= 0.999
 

@@ -69,7 +69,7 @@ def text_key(text: Column) -> Column:
 
 
 #: The largest table that is broadcast, as bytes of rows; anything larger goes through a shuffle join.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", row_bytes: Column | int = 64, limit: int | None = None) -> DataFrame:

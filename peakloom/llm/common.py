@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,18 @@ def crc_rest(key: str | Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def least_hashed(df: DataFrame, hashed: Column, limit: int, *ties: str) -> DataFrame:
+    """The rows of df with the `limit` least values of a 64-bit hash, ties by other columns.
+
+    Rows beyond a cut that leaves some more than `limit` are dropped where they are, so that no task is handed `limit` rows of every
+    partition. Keys that many rows share may leave fewer.
+    """
+    n = df.count()
+    wanted = limit + 6 * math.sqrt(limit) + 50
+    kept = df.filter(hashed < F.lit(int(-(1 << 63) + (wanted / n) * 2.0**64))) if n > 2 * wanted else df
+    return kept.orderBy(hashed, *ties).limit(limit)
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text's content; null and empty texts share one key."""
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))

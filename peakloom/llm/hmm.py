@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import crc_rest, documents, settle
+from .common import crc_rest, documents, least_hashed, settle
 
 END = np.int64(-0x61C8864680B583EB)
 SEGMENT = 128
@@ -41,6 +41,7 @@ BLOCK = 512  # segments that are taken through the chain at a time
 SLAB = 4096  # segments after which rare tokens' sums are handed on, if they are many
 CHUNK = 1 << 22
 HELD_WORDS = 1 << 18
+EXACT = 4096  # counts up to it have a level of their own
 UNIT = 4096  # expected counts of rare tokens are summed as whole numbers of 1 / UNIT, which take less room
 
 
@@ -106,9 +107,27 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, head: int, classes: int) -> Vocabulary:
+    """The `head` most frequent tokens, ties by hash.
+
+    A histogram of counts (exact ones to EXACT, then steps of a fixed ratio) tells the count at which they end, so only they, and of that
+    count only as many as are needed, are gathered: no task sorts `head` rows of every partition.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    level = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(EXACT + 1 + F.floor(F.log(F.col("n") / EXACT) * 64)).cast("long")
+    sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # some thousands of rows at most
+    above, last = 0, 0
+    for last in sorted(sizes, reverse=True):
+        if above + sizes[last] >= head:
+            break
+        above += sizes[last]
+    wanted = head - above
+    edge = counts.filter(level == last)
+    if last <= EXACT and sizes.get(last, 0) > 2 * wanted:  # all of one count: the least hashes, which are spread evenly
+        edge = least_hashed(edge, F.col("word"), wanted)
+    top = counts.filter(level > last).unionByName(edge).select("word", "n").toArrow()
     words, n = (np.array(top[c].to_numpy(), dtype=np.int64) for c in ("word", "n"))
+    order = np.lexsort((words, -n))[:head]
+    words, n = words[order], n[order]
     return Vocabulary(words, n, classes, total, distinct, int(total - n[: classes - 1].sum()), max(0, distinct - (classes - 1)))
 
 
@@ -264,18 +283,22 @@ def renewed(start: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: np.n
 
 
 def sample_segments(tokens: DataFrame, words: Broadcast, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most `limit` segments of the training texts, by a hash of their classes."""
+    """At most `limit` segments of the training texts, by a hash of their classes; each task hands on those below a cut that leaves about twice as many."""
+    learned = tokens.filter("learned").select("tokens")
+    there = learned.agg(F.coalesce(F.sum(F.ceil(F.octet_length("tokens") / (4 * SEGMENT))), F.lit(0))).first()[0]
+    cut = np.uint64(min(2.0**64 - 1025, 2 * limit / max(there, 1) * 2.0**64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
                 index, bounds = unpacked(b["tokens"])
-                cut, first = segments(words.value.kinds(index), bounds)
-                codes = T.mix64(T.gram_hashes(cut[:, :16].astype(np.uint64).T.reshape(16, -1), 16)[0])
+                pieces, first = segments(words.value.kinds(index), bounds)
+                codes = T.mix64(T.gram_hashes(pieces[:, :16].astype(np.uint64).T.reshape(16, -1), 16)[0])
                 few = np.argsort(codes)[:limit]
-                yield pa.RecordBatch.from_arrays([pa.array(codes[few].view(np.int64)), pa.array([x.astype(np.int32).tobytes() for x in cut[few]], pa.binary()), pa.array(first[few])], ["code", "kinds", "first"])
+                few = few[codes[few] <= cut]
+                yield pa.RecordBatch.from_arrays([pa.array(codes[few].view(np.int64)), pa.array([x.astype(np.int32).tobytes() for x in pieces[few]], pa.binary()), pa.array(first[few])], ["code", "kinds", "first"])
 
-    found = tokens.filter("learned").select("tokens").mapInArrow(rows, "code bigint, kinds binary, first boolean").orderBy("code", "kinds", "first").limit(limit).toArrow()
+    found = learned.mapInArrow(rows, "code bigint, kinds binary, first boolean").orderBy("code", "kinds", "first").limit(limit).toArrow()
     return np.frombuffer(b"".join(found["kinds"].to_pylist()), np.int32).reshape(-1, SEGMENT).astype(np.int64), found["first"].to_numpy(zero_copy_only=False).astype(bool)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import settle, tune
+from .common import least_hashed, settle, tune
 
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
@@ -152,7 +152,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 def fit(rows: DataFrame, trees: int, leaf_rows: int, sample_rows: int, seed: int, k: int, target_recall: float, trials: int) -> tuple[Forest, float]:
     """A forest from at most sample_rows vectors, by hash of vec_id, and its search share; M is taken over all rows."""
     norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 0.0
-    sample = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks())
+    sample = matrix(least_hashed(rows, F.xxhash64("vec_id"), sample_rows, "vec_id").select("v").toArrow()["v"].combine_chunks())
     sample = np.unique(sample, axis=0)  # copies would fill leaves that no plane can split
     rng = np.random.default_rng(seed)
     forest = Forest([], norm, sample.shape[1])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textops as T
-from .common import crc_rest, documents, quoted
+from .common import crc_rest, documents, least_hashed, quoted
 
 TRIGRAMS = 2048
 BINS = 24
@@ -187,14 +187,13 @@ def fit(x: np.ndarray, labels: np.ndarray, rank: int = 48, neighbours: int = 25,
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Term rows and labels of at most sample_rows labelled documents whose crc32 remainder is not 2, by hash of key."""
-    chosen = (
+    known = (
         labels.filter(crc_rest("doc_id", 4) != 2)
         .groupBy("doc_id")
         .agg(F.avg(F.col(label)).alias("label"))
         .filter(F.col("label").isNotNull())
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_rows)
     )
+    chosen = least_hashed(known, F.xxhash64("doc_id"), sample_rows, "doc_id")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -418,6 +418,29 @@ def test_ranks_by_brute_force():
         assert vocab.kinds(np.array([-1, 0, 2, 3, 4, 99])).tolist() == [3, 0, 2, 3, 3, 3]
 
 
+def test_vocabulary_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    words = rng.integers(-(2**63), 2**63, 5000)
+    for counts in (rng.integers(1, 5, 5000), rng.zipf(1.3, 5000) % 100_000 + 1, np.full(5000, 7000)):
+        df = spark.createDataFrame(pa.table({"word": words, "n": counts}))
+        order = sorted(range(5000), key=lambda k: (-counts[k], words[k]))
+        for head in (0, 1, 40, 1700, 5000, 9000):
+            got = hmm.vocabulary(df, head, 16)
+            assert got.words.tolist() == [words[k] for k in order[:head]] and got.counts.tolist() == [counts[k] for k in order[:head]]
+            assert (got.total, got.distinct) == (counts.sum(), 5000)
+
+
+def test_least_hashed_is_a_prefix_of_the_order(spark):
+    from pyspark.sql import functions as F
+
+    from peakloom.llm.common import least_hashed
+
+    df = spark.range(20_000)
+    got = [r["id"] for r in least_hashed(df, F.xxhash64("id"), 50, "id").collect()]
+    assert got == [r["id"] for r in df.orderBy(F.xxhash64("id")).limit(50).collect()]
+    assert least_hashed(df.limit(30), F.xxhash64("id"), 50, "id").count() == 30 and least_hashed(df.limit(0), F.xxhash64("id"), 5).count() == 0
+
+
 def test_rare_words_have_emissions_of_their_own(spark):
     import random
 

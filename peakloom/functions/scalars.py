@@ -110,3 +110,8 @@ def document_key(words: Column) -> Column:
 
 def listed(values: Column) -> Column:
     return F.array_join(values.cast("array<string>"), ", ")
+
+
+def normal_key(name: Column) -> Column:
+    """A metadata key without outer blanks, in lower case."""
+    return F.lower(F.trim(name))

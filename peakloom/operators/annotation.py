@@ -145,3 +145,10 @@ def word_vectors(documents: DataFrame, size: int = 300, iterations: int = 10, wi
 
     model = Word2Vec(vectorSize=size, maxIter=iterations, windowSize=window, minCount=least, seed=seed, inputCol="words", outputCol="v").fit(documents)
     return model.getVectors().select("word", vector_to_array("vector").alias("v"))
+
+
+def reference_library(spectra: DataFrame, vectors: DataFrame, digits: int = 2, power: float = 0.5, **cleaning: float) -> DataFrame:
+    """(doc, v): spectra cleaned, turned into words weighted by relative intensity, and embedded."""
+    from .peaks import clean, words
+
+    return embedded(words(clean(spectra, **cleaning), digits).select(F.col("scan").alias("doc"), "word", (F.col("n") / 100).alias("w")), vectors, power)

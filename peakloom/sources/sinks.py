@@ -37,6 +37,16 @@ def write_motifs(motifs: DataFrame, path: str) -> None:
     grouped_motifs(motifs).write.json(path)
 
 
+def write_tables(folder: str, **tables: DataFrame) -> None:
+    """Named tables, such as ms1 and ms2 of a motif store, side by side under a folder."""
+    for name, df in tables.items():
+        df.write.parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def read_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
+
+
 STORE = "scan string, motif_id string, annotation string, frag_mz array<double>, frag_intens array<double>, loss_mz array<double>, loss_intens array<double>"
 
 

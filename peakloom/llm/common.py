@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/peakloom-shared"
+        return f"file://{tempfile.gettempdir()}/peakloom-shared"
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 

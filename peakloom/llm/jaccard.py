@@ -29,7 +29,8 @@ from .graph import components
 
 BLOCK_NODES = 1024
 BLOCK_GRAMS = 1 << 21
-COLUMNS_AT_ONCE = 4096
+COLUMNS_AT_ONCE = 1024
+ROWS_AT_ONCE = 128
 
 
 def banding(threshold: float, recall: float, rows: int) -> int:
@@ -97,7 +98,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def overlaps(grams: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    """n x n counts of common grams, from one (gram, owner) entry for each member of each set."""
+    """n x n counts of common grams, from one (gram, owner) entry for each member of each set; single floats hold such counts exactly."""
     order = np.argsort(grams, kind="stable")
     grams, owners = grams[order], owners[order]
     new = np.ones(len(grams), dtype=bool)
@@ -106,7 +107,7 @@ def overlaps(grams: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     shared = np.bincount(column, minlength=1)[column] > 1 if len(column) else new
     column, owners = column[shared], owners[shared]
     _, column = np.unique(column, return_inverse=True)
-    out = np.zeros((n, n), dtype=np.float64)
+    out = np.zeros((n, n), dtype=np.float32)
     width = int(column.max()) + 1 if len(column) else 0
     for at in range(0, width, COLUMNS_AT_ONCE):
         low, high = np.searchsorted(column, [at, at + COLUMNS_AT_ONCE])
@@ -116,16 +117,26 @@ def overlaps(grams: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def alike(common: np.ndarray, counts: np.ndarray, threshold: float, side: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """Pairs i < j of sets whose overlap reaches the threshold, some rows at a time; side: only pairs of different sides."""
+    for at in range(0, len(counts), ROWS_AT_ONCE):
+        mine = common[at : at + ROWS_AT_ONCE].astype(np.float64)
+        union = counts[at : at + ROWS_AT_ONCE, None] + counts[None, :] - mine
+        near = mine >= threshold * union - 1e-9
+        near &= np.arange(at, at + len(mine))[:, None] < np.arange(len(counts))[None, :]
+        if side is not None:
+            near &= side[at : at + ROWS_AT_ONCE, None] != side[None, :]
+        for i, j in np.argwhere(near).tolist():
+            yield at + i, j
+
+
 def verified(table: pa.Table, threshold: float) -> pa.Table:
     """A group's links: (node, near, links), near being the least node linked with it, over any path, in this group."""
     node, size, side = (table[c].to_numpy() for c in ("node", "size", "side"))
     grams = table["grams"].combine_chunks()
     counts = np.diff(grams.offsets.to_numpy())
     common = overlaps(grams.flatten().to_numpy(), np.repeat(np.arange(len(node)), counts), len(node))
-    union = counts[:, None] + counts[None, :] - common
-    alike = (common >= threshold * union - 1e-9) & (np.arange(len(node))[:, None] < np.arange(len(node))[None, :])
-    if table["low"][0].as_py() != table["high"][0].as_py():
-        alike &= side[:, None] != side[None, :]
+    within = table["low"][0].as_py() == table["high"][0].as_py()
     bucket = table["bucket"][0].as_py()
     mine = [frozenset(x) for x in table["buckets"].to_pylist()]
     links, root = np.zeros(len(node), dtype=np.int64), list(range(len(node)))
@@ -136,7 +147,7 @@ def verified(table: pa.Table, threshold: float) -> pa.Table:
             x = root[x]
         return x
 
-    for i, j in np.argwhere(alike).tolist():
+    for i, j in alike(common, counts, threshold, None if within else side):
         if len(mine[i]) == 1 or len(mine[j]) == 1 or min(mine[i] & mine[j]) == bucket:
             links[i] += size[j]
             links[j] += size[i]

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+pa.set_memory_pool(pa.system_memory_pool())  # what a worker has freed goes back to the machine, rather than stay with the worker
+
 CHUNK_BYTES = 1 << 21
 HASH_BYTES = 1 << 16
 

@@ -82,14 +82,9 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-#: The largest table that is broadcast, as bytes of rows; anything larger goes through a shuffle join.
-BROADCAST_BYTES = 8 << 20
+def shuffled_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join of tables that grow with the documents: never a broadcast, at any size, so one plan holds from small inputs to large ones.
 
-
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", row_bytes: Column | int = 64, limit: int | None = None) -> DataFrame:
-    """Join whose right side is broadcast only if its measured size is below limit (BROADCAST_BYTES); else both sides are shuffled.
-
-    `small` should be settled: its size is summed here. Beyond the limit adaptive execution splits skewed keys.
+    `small` has unique keys, so adaptive execution can split keys that crowd on the big side.
     """
-    size = small.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
-    return big.join(F.broadcast(small) if size <= (BROADCAST_BYTES if limit is None else limit) else small.hint("merge"), on, how)
+    return big.join(small.hint("merge"), on, how)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import documents, join_checked, settle
+from .common import documents, settle, shuffled_join
 from .graph import components
 
 BLOCK_NODES = 1024
@@ -179,7 +179,7 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
     members = settle(members.join(nodes.select("node", "rep", "size"), "node"), "jaccard-members")
 
     wanted = members.select(F.col("rep").alias("doc_id"), "node")
-    texts = join_checked(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner")
+    texts = shuffled_join(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner")
     sets = full_sets(texts, n).groupBy("node").agg(F.first("grams").alias("grams"))
     block = F.pmod(F.xxhash64("node"), F.col("held.blocks"))
     grouped = (
@@ -194,7 +194,7 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
     named = nodes.select("node", "rep", "size").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     by_node = settle(named.join(names, "root").select("node", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-classes")
-    out = join_checked(signed.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("node") != 0), F.col("node")).alias("node")), by_node, ["node"])
+    out = shuffled_join(signed.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("node") != 0), F.col("node")).alias("node")), by_node, ["node"])
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
@@ -203,12 +203,12 @@ def representatives(docs: DataFrame, **options: float) -> DataFrame:
     found = settle(links(docs, **options), "jaccard-result").distinct()
     twice = settle(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard-twice")
     gone = settle(found.filter("doc_id <> class_id").select("doc_id").distinct(), "jaccard-gone")
-    kept = join_checked(docs, gone, ["doc_id"], "left_anti")
+    kept = shuffled_join(docs, gone, ["doc_id"], "left_anti")
     if twice.isEmpty():
         return kept
     # rows that share a doc_id: one of each content stays
-    again = join_checked(kept, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return join_checked(kept, twice, ["doc_id"], "left_anti").unionByName(again)
+    again = shuffled_join(kept, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return shuffled_join(kept, twice, ["doc_id"], "left_anti").unionByName(again)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

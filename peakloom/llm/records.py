@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import documents, fresh_dir, join_checked, settle
+from .common import documents, fresh_dir, settle, shuffled_join
 
 END_ID = 0
 MASK_DELTA = 0xA282EAD8
@@ -351,7 +351,7 @@ def digest(index: DataFrame, folder: str) -> DataFrame:
 
     dealt = index.repartition(count, "shard").sortWithinPartitions("shard", "ordinal")
     found = dealt.mapInArrow(rows, "shard string, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint")
-    return join_checked(found, bases, ["shard"], "inner", 128).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return shuffled_join(found, bases, ["shard"], "inner").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import documents, join_checked, settle
+from .common import documents, settle, shuffled_join
 
 ANCHOR = 5
 
@@ -139,7 +139,7 @@ def parse(hits: DataFrame, window: int) -> DataFrame:
     return hits.mapInArrow(rows, f"doc_id bigint, content bigint, factors {FACTORS}")
 
 
-def factors(docs: DataFrame, window: int = 13, limit: int | None = None) -> DataFrame:
+def factors(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, content, copy_of, factors) of the documents that have any duplicate span, from docs (doc_id, text, content, check).
 
     copy_of: the least doc_id with the same content, if it is smaller; then the whole text is one factor, and it is not parsed.
@@ -153,7 +153,7 @@ def factors(docs: DataFrame, window: int = 13, limit: int | None = None) -> Data
     hot = settle(found.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("anchor"), "rlz-hot")
     firsts = same.withColumnRenamed("check", "its_check")  # of two texts with one content hash but another check, neither is left out
     by_text = settle(found.join(hot, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("hot")).join(firsts, "content", "left"), "rlz-anchors")
-    hot_docs = join_checked(docs, by_text, ["content"], "inner", F.size("hot") * 8 + 48, limit).filter("first is null or check != its_check or doc_id = first")
+    hot_docs = shuffled_join(docs, by_text, ["content"], "inner").filter("first is null or check != its_check or doc_id = first")
 
     placed = settle(windows(hot_docs, window), "rlz-windows")
     reference = placed.groupBy("piece", "twin").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("pos", F.when(F.col("fresh"), F.col("doc_id"))).alias("ref_pos"))
@@ -167,10 +167,10 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"content": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "check": F.hash(F.coalesce(F.col(text), F.lit("")))})
 
 
-def strip(docs: DataFrame, window: int = 13, limit: int | None = None) -> DataFrame:
+def strip(docs: DataFrame, window: int = 13) -> DataFrame:
     """docs (doc_id, text) as doc_id, n_words, n_removed, kept (what is left, joined by one space) and factors."""
     docs = keyed(docs.select("doc_id", "text"))
-    marked = join_checked(docs, factors(docs, window, limit), ["doc_id", "content"], "left", 48 + 16 * F.coalesce(F.greatest(F.size("factors"), F.lit(0)), F.lit(0)), limit)
+    marked = shuffled_join(docs, factors(docs, window), ["doc_id", "content"], "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -63,8 +63,7 @@ def test_substrings(docs, texts, nothing, spark):
             if i is not None and first[tuple(w[k : k + n])] < i:
                 gone |= set(range(k, k + n))
         expected.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-    for limit in (None, 0):  # broadcast and shuffled
-        assert rows(substrings.strip(docs, limit=limit), "doc_id", "n_words", "n_removed", "kept") == sorted(expected, key=repr)
+    assert rows(substrings.strip(docs), "doc_id", "n_words", "n_removed", "kept") == sorted(expected, key=repr)
     assert substrings.strip(nothing).count() == 0
 
 
@@ -111,9 +110,8 @@ def test_substring_factors_by_brute_force(spark, docs, texts):
     mixed = [(100 + k, " ".join(" ".join(part(rng.choice(pool), rng.randint(0, 20))) for _ in range(5)), "a") for k in range(40)]
     for given in ([x for x in texts if x[0] != 20], mixed):
         df = spark.createDataFrame([(i, t) for i, t, _ in given], "doc_id long, text string").repartition(3)
-        for limit in (None, 0):
-            found = substrings.factors(substrings.keyed(df), limit=limit).filter("factors is not null").collect()
-            assert {r["doc_id"]: sorted(map(tuple, r["factors"])) for r in found} == slow_parse(given, 13)
+        found = substrings.factors(substrings.keyed(df)).filter("factors is not null").collect()
+        assert {r["doc_id"]: sorted(map(tuple, r["factors"])) for r in found} == slow_parse(given, 13)
     assert any(f[4] for r in found for f in r["factors"]) and any(not f[4] for r in found for f in r["factors"])
     found = {r["doc_id"]: r for r in substrings.factors(substrings.keyed(docs)).collect()}
     assert found[2]["copy_of"] == 1 and found[22]["copy_of"] == 1
@@ -159,23 +157,6 @@ def test_jaccard_blocks_and_kept_documents(docs, monkeypatch, spark, texts):
     assert ids.count(1) == 1 and not {2, 3, 22, 8} & set(ids) and {4, 5, 6, 7, 9, 21, 23} <= set(ids) and ids.count(20) == 2
 
 
-def test_joins_beyond_the_broadcast_limit(docs, monkeypatch, tmp_path):
-    """Where nothing may be broadcast the results are the same."""
-    from peakloom.llm import common
-
-    def results():
-        return (
-            rows(jaccard.links(docs), "doc_id", "class_id", "n_links"),
-            rows(jaccard.representatives(docs), "doc_id", "text"),
-            rows(records.encode(docs), "doc_id", "start", "n_tokens", "ids_crc32"),
-            rows(substrings.strip(docs), "doc_id", "n_removed", "kept"),
-        )
-
-    broadcast = results()
-    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
-    assert results() == broadcast
-
-
 def test_banding_reaches_its_recall():
     assert 1 - (1 - 0.8**5) ** jaccard.banding(0.8, 0.999, 5) >= 0.999
 

@@ -240,6 +240,24 @@ def infer(docs: DataFrame, model: TopicModel, steps: int = 30, tol: float = 1e-4
     return _inferred(docs, model, steps, tol, shares, "theta", "array<double>").select("doc", F.posexplode("theta").alias("topic", "p"))
 
 
+def responsibilities(docs: DataFrame, model: TopicModel, steps: int = 30, tol: float = 1e-4, least: float = 1e-2) -> DataFrame:
+    """(doc, id, topic, p): the shares of topics in each document's words under frozen topics, from `least` on."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(expected_log(model.lam).T), model.alpha))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_beta, alpha = shared.value
+        for b in batches:
+            if len(b):
+                ids, counts, bounds = _cells(b)
+                _, weighed = local_steps(ids, counts, bounds, log_beta, alpha, steps, tol)
+                p = weighed / counts[:, None]
+                cell, topic = np.nonzero(p >= least)
+                owner = np.searchsorted(bounds, cell, side="right") - 1
+                yield pa.RecordBatch.from_arrays([b["doc"].take(pa.array(owner)), pa.array(ids[cell].astype(np.int32)), pa.array(topic.astype(np.int32)), pa.array(p[cell, topic])], ["doc", "id", "topic", "p"])
+
+    return docs.select("doc", "ids", "counts").mapInArrow(rows, f"doc {docs.schema['doc'].dataType.simpleString()}, id int, topic int, p double")
+
+
 def evidence(docs: DataFrame, model: TopicModel, steps: int = 30, tol: float = 1e-4) -> DataFrame:
     """(doc, bound): each bag's evidence lower bound under frozen topics."""
     alpha = model.alpha

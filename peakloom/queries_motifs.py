@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import scalars, sketches
 from .operators import annotation, lda, metrics, motifs, network, peaks, screening, similarity, summaries, topics
 from .registry import PEAKS, THETA, named, q6, r6, register
+from .sources import readers, sinks
 from .sources.adapters import beta, ms2_peaks, theta
 
 
@@ -604,3 +605,31 @@ def lda_maximisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The topic-word table after one round over all documents from given topics."""
     docs, model = fixed_topics(spark, sf_dir)
     return lda.table(spark, lda.fit(docs, model.words, LDA_TOPICS, epochs=1, steps=1, start=model)).select("topic", "word", r6("p").alias("p"))
+
+
+@register("lda_responsibilities", f"{LDA_SQL} select doc, w::int as word, k::int as topic, {q6('c / n')} as p from (select phi.*, n.n from phi join n using (doc, w)) where c / n >= 0.2e0")
+def lda_responsibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = fixed_topics(spark, sf_dir)
+    return lda.responsibilities(docs, model, steps=1, least=0.2).select("doc", F.col("id").alias("word"), "topic", r6("p").alias("p"))
+
+
+@register(
+    "motif_store_rows",
+    f"{SIDES} select scan as motif_id, count(*)::int as n, count(*) filter (kind = 'frag')::int as fragments, {q6('sum(mz)')} as total from sd where charge = 1 group by scan",
+)
+def motif_store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motifs as rows of arrays, and back."""
+    rows = sides(numbered(spark, sf_dir).filter("charge = 1"), F.col("scan").alias("motif_id"), "motifset", "peak_idx")
+    ms2 = motifs.motif_tables(rows)[1].withColumn("annotation", F.lit(None).cast("string"))
+    again = readers.exploded_motifs(readers.grouped_motifs(ms2))
+    return again.groupBy("motif_id").agg(F.count("*").cast("int").alias("n"), F.count("frag_mz").cast("int").alias("fragments"), r6(F.sum(F.coalesce("frag_mz", "loss_mz"))).alias("total"))
+
+
+@register(
+    "extracted_scans",
+    f"{PEAKS}, w as (select distinct 'f' as file, scan from ms2 where frag_mz > 900), n as (select scan, row_number() over (order by scan::bigint, scan) as new_scan from w) select scan, new_scan::int as new_scan, count(*)::int as peaks, {q6('min(frag_mz)')} as low from n join ms2 using (scan) where new_scan <= 50 group by 1, 2",
+)
+def extracted_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ms2_peaks(spark, sf_dir).withColumn("file", F.lit("f"))
+    out = sinks.extracted(rows, rows.filter("frag_mz > 900").select("file", "scan"), 50)
+    return out.select("scan", "new_scan", F.size("peaks").alias("peaks"), r6(F.col("peaks")[0]["mz"]).alias("low"))

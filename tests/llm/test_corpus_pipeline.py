@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from peakloom.llm import decontaminate, jaccard, mixing, quality
+from peakloom.llm.common import settle
 from peakloom.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def test_stages_follow_each_other(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:3]:
-        after = stage(spark, kept, DATA).cache()
+        after = settle(stage(spark, kept, DATA), name)
         assert after.columns == docs.columns and after.count() <= kept.count(), name
         kept = after
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
@@ -79,7 +80,7 @@ def test_first_three_stages_by_brute_force(spark):
                         del kept[i]
                         break
     for name, stage in corpus_pipeline.STAGES[:3]:
-        docs = stage(spark, docs, DATA)
+        docs = settle(stage(spark, docs, DATA), name)
     assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == sorted(kept)
 
 

@@ -25,7 +25,6 @@ reference; an empty table gives an empty result; other columns are not read. A t
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

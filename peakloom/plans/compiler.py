@@ -188,7 +188,7 @@ def restrict(q: Query, ms1: DataFrame | None, ms2: DataFrame, conditions: tuple[
         if c.subquery is not None:
             mz = COLUMNS[c.field][0]
             side = ms1 if c.field == "MS1MZ" else ms2
-            found = band_join(side.filter(floor_of(c, strict_ms2)), mz, sub_values(c, original, ms2), c, F.col("_target")).select("scan").distinct()
+            found = band_join(side.withColumn("_floor", floor_of(c, strict_ms2)).filter("_floor"), mz, sub_values(c, original, ms2), c, F.col("_target")).select("scan").distinct()
             side = side.join(found, "scan", "left_anti" if c.excluded else "left_semi")
             ms1, ms2 = (side, ms2) if c.field == "MS1MZ" else (ms1, side)
     charged = any(c.field == "CHARGE" for c in conditions)
@@ -266,6 +266,25 @@ def candidates(q: Query, ms1: DataFrame | None, ms2: DataFrame) -> DataFrame:
     return out.select("x", "reach", "stretch").groupBy("stretch").applyInArrow(greedy, "x double")
 
 
+def met(side: DataFrame, conditions: list[Condition], xs: DataFrame, strict_ms2: bool) -> DataFrame:
+    """(x, scan) where all conditions have a peak: conditions of one column and tolerance share one join, and one aggregation takes all."""
+    groups: dict[tuple, list[tuple[int, Condition]]] = {}
+    for k, c in enumerate(conditions):
+        groups.setdefault((COLUMNS[c.field][0], c.numbers.get("TOLERANCEPPM"), c.numbers.get("TOLERANCEMZ")), []).append((k, c))
+    found = None
+    side = side.withColumns({f"_floor{k}": floor_of(c, strict_ms2) for k, c in enumerate(conditions)})
+    for (mz, *_), members in groups.items():
+        x = F.col("x")
+        wanted = F.array(*(F.struct(F.lit(k).alias("_k"), column(v, {"X": x}).cast("double").alias("_target")) for k, c in members for v in c.values))
+        base = F.lit(False)
+        for k, c in members:
+            base = F.when(F.col("_k") == k, F.col(f"_floor{k}")).otherwise(base)
+        part = band_join(side, mz, xs.select("x", F.inline(wanted)), members[0][1], F.col("_target")).filter(base).select("x", "scan", "_k")
+        found = part if found is None else found.unionByName(part)
+    every = (1 << len(conditions)) - 1
+    return found.groupBy("x", "scan").agg(F.bit_or(F.expr("shiftleft(1, _k)")).alias("_met")).filter(F.col("_met") == every).select("x", "scan")
+
+
 def with_variable(q: Query, ms1: DataFrame | None, ms2: DataFrame, strict_ms2: bool) -> tuple[DataFrame | None, DataFrame]:
     """Both levels' rows for each candidate and scan that meets the conditions with X, tagged `comment` = x."""
     xs = candidates(q, ms1, ms2)
@@ -276,13 +295,8 @@ def with_variable(q: Query, ms1: DataFrame | None, ms2: DataFrame, strict_ms2: b
         """(x, scan) pairs that meet the conditions."""
         pairs = scans
         plain = [c for c in conditions if not c.excluded and c.match is None and "CARDINALITY" not in c.ranges]
-        for c in plain:
-            mz = COLUMNS[c.field][0]
-            found = None
-            for v in c.values:
-                part = band_join(side.filter(floor_of(c, strict_ms2)), mz, xs, c, column(v, {"X": F.col("x")})).select("x", "scan").distinct()
-                found = part if found is None else found.unionByName(part)
-            pairs = found.distinct() if pairs is None else pairs.join(found.distinct(), ["x", "scan"], "left_semi")
+        if plain:
+            pairs = met(side, plain, xs, strict_ms2)
         rest = [c for c in conditions if c not in plain]
         if rest:
             if pairs is None:

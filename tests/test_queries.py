@@ -37,6 +37,15 @@ def test_variable_takes_candidates_greedily(motifs):
     assert [(r["scan"], r["comment"]) for r in out] == [("1", 178.03)]
 
 
+def test_strict_limits_look_at_whole_scans(motifs):
+    strict = lambda q: scans(run(q, None, motifs, strict_ms2=True))
+    assert strict("QUERY scannum(MS2DATA) WHERE MS2PROD=250:TOLERANCEMZ=0.1:INTENSITYPERCENT=79") == ["1"]
+    assert strict("QUERY scannum(MS2DATA) WHERE MS2PROD=250:TOLERANCEMZ=0.1:INTENSITYPERCENT=81") == []
+    assert strict("QUERY scannum(MS2DATA) WHERE MS2PROD=X:TOLERANCEMZ=0.1:INTENSITYPERCENT=90 AND MS2PROD=X+71.97:TOLERANCEMZ=0.1:INTENSITYPERCENT=79") == ["1"]
+    assert strict("QUERY scannum(MS2DATA) WHERE MS2PROD=X:TOLERANCEMZ=0.1:INTENSITYPERCENT=90 AND MS2PROD=X+71.97:TOLERANCEMZ=0.1:INTENSITYPERCENT=81") == []
+    assert strict("QUERY scannum(MS2DATA) WHERE MS2PROD=178.03:TOLERANCEMZ=0.1:EXCLUDED AND MS2PROD=200:TOLERANCEMZ=0.1:INTENSITYTICPERCENT=40") == ["2"]
+
+
 def test_empty_tables(spark, motifs):
     empty = motifs.limit(0)
     assert run("QUERY scaninfo(MS2DATA) WHERE MS2PROD=100", None, empty).count() == 0

@@ -40,7 +40,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends here, and no lost executor reruns it."""
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing still to be computed reads, and let Spark drop the shuffles of the steps behind them.
+
+    Only for tables all of whose readers are settled themselves: a lost executor then needs none of them.
+    """
+    spark = tables[0].sparkSession
+    for table in tables:
+        place = spark._jvm.org.apache.hadoop.fs.Path(table.settled_path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    spark._jvm.System.gc()  # Spark's cleaner removes shuffle files once their owners are collected
 
 
 def quoted(name: str) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import documents, settle, shuffled_join
+from .common import discard, documents, settle, shuffled_join
 
 ANCHOR = 5
 
@@ -152,13 +152,17 @@ def factors(docs: DataFrame, window: int = 13) -> DataFrame:
     hot = settle(found.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("anchor"), "rlz-hot")
     firsts = same.withColumnRenamed("check", "its_check")  # of two texts with one content hash but another check, neither is left out
     by_text = settle(found.join(hot, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("hot")).join(firsts, "content", "left"), "rlz-anchors")
+    discard(found, hot)
     hot_docs = shuffled_join(docs, by_text, ["content"], "inner").filter("first is null or check != its_check or doc_id = first")
 
     placed = settle(windows(hot_docs, window), "rlz-windows")
+    discard(by_text)
     reference = placed.groupBy("piece", "twin").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("pos", F.when(F.col("fresh"), F.col("doc_id"))).alias("ref_pos"))
     reference = settle(reference.filter("ref_doc < last").drop("last"), "rlz-reference")
     hits = placed.join(reference, ["piece", "twin"]).filter("ref_doc < doc_id").groupBy("doc_id", "content").agg(F.collect_list(F.struct("pos", "ref_doc", "ref_pos")).alias("hits"))
-    return settle(parse(hits, window).join(copies, ["doc_id", "content"], "full_outer"), "rlz-factors")
+    out = settle(parse(hits, window).join(copies, ["doc_id", "content"], "full_outer"), "rlz-factors")
+    discard(placed, reference, same)
+    return out
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -37,6 +37,7 @@ from .common import crc_rest, documents, least_hashed, settle
 
 END = np.int64(-0x61C8864680B583EB)
 SEGMENT = 128
+TOKENS = 1 << 18  # that are worked on at a time, or one text's
 BLOCK = 512  # segments that are taken through the chain at a time
 SLAB = 4096  # segments after which rare tokens' sums are handed on, if they are many
 CHUNK = 1 << 22
@@ -137,7 +138,7 @@ def tokenised(docs: DataFrame, vocab: Broadcast, modulus: int = 7) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, part = 0, TaskContext.get().partitionId()
         for b in batches:
-            for w in T.chunks(b["text"], lower=True):
+            for w in T.chunks(b["text"], lower=True, size=T.CHUNK_BYTES // 2):
                 bounds = w.bounds + np.arange(w.n + 1)
                 tokens = np.full(bounds[-1], END)
                 tokens[np.arange(len(w.hashes)) + w.owners()] = w.hashes.view(np.int64)
@@ -174,6 +175,17 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), np.int32), (offsets - offsets[0]) // 4
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into rows of about TOKENS tokens in all, one row at least: arrays stay small beside a worker."""
+    for b in batches:
+        ends = np.cumsum(np.diff(np.frombuffer(b["tokens"].buffers()[1], np.int32)[b["tokens"].offset : b["tokens"].offset + len(b) + 1].astype(np.int64)) // 4) if len(b) else np.zeros(0, np.int64)
+        at = 0
+        while at < len(b):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 @dataclass
 class Model:
     start: np.ndarray  # states
@@ -289,7 +301,7 @@ def sample_segments(tokens: DataFrame, words: Broadcast, limit: int) -> tuple[np
     cut = np.uint64(min(2.0**64 - 1025, 2 * limit / max(there, 1) * 2.0**64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if len(b):
                 index, bounds = unpacked(b["tokens"])
                 pieces, first = segments(words.value.kinds(index), bounds)
@@ -348,9 +360,7 @@ def train(tokens: DataFrame, vocab: Vocabulary, words: Broadcast, states: int, r
             now, vocab, total = shared.value, words.value, None
             held: list[tuple[np.ndarray, np.ndarray]] = []
             merged = lambda: by_word(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            for b in batches:
-                if not len(b):
-                    continue
+            for b in slices(batches):
                 index, bounds = unpacked(b["tokens"])
                 cut, first = segments(vocab.kinds(index), bounds)
                 named = None
@@ -424,9 +434,7 @@ def score(docs: DataFrame, head: int = 1 << 18, classes: int = 1024, states: int
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, (model, rest, table) = words.value, shared.value
-        for b in batches:
-            if not len(b):
-                continue
+        for b in slices(batches):
             index, bounds = unpacked(b["tokens"])
             n = np.diff(bounds)
             lists = np.maximum(-T.reduce_by_text(np.minimum, index, bounds), 0)  # length of each text's own list

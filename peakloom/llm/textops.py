@@ -9,6 +9,8 @@ text is weighed in parts, which leaves 24 bytes a word of it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-pa.set_memory_pool(pa.system_memory_pool())  # what a worker has freed goes back to the machine, rather than stay with the worker
+# What a worker has freed goes back to the machine, rather than stay with the worker: arrays of 1 MB or more are mapped one by one.
+pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(OSError, AttributeError):  # another C library has its own ways
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
 
 CHUNK_BYTES = 1 << 21
 HASH_BYTES = 1 << 16

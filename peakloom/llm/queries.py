@@ -13,6 +13,7 @@ from .records import op9_records
 from .runs import op11_runs
 from .secrets import op3_secrets
 from .substrings import OP10_SQL, op10_substrings
+from .token_counts import op12_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_secrets, op4_mixing, op5_neighbours, op6_jaccard, op7_hmm, op8_licenses, op9_records, op10_substrings, op11_runs)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_secrets, op4_mixing, op5_neighbours, op6_jaccard, op7_hmm, op8_licenses, op9_records, op10_substrings, op11_runs, op12_token_counts)}
 ORACLES = {"op10_substrings": OP10_SQL}

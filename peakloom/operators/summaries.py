@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
 from .topics import FLOOR
 
 
@@ -74,7 +75,7 @@ def in_order(counts: DataFrame, item: str, n: str = "n") -> DataFrame:
 def first_places(corpus: DataFrame) -> DataFrame:
     """(word, place): words in order of first appearance; corpus (doc, pos, word), documents in order of doc."""
     first = corpus.groupBy("word").agg(F.min(F.struct("doc", "pos")).alias("f"))
-    return first.select("word", F.row_number().over(Window.orderBy("f")).alias("place"))  # a row for each word
+    return numbered(first, "f", name="_n").select("word", (F.col("_n") + 1).cast("int").alias("place"))
 
 
 def curated(spectra: DataFrame, key: str, *order: str) -> DataFrame:

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import defect, half_bin, tolerance, within
+from ..operators.ordered import cover
 from .language import Condition, Expression, Number, Query, QueryError, Variable, parse, parse_many
 
 COLUMNS = {"MS2PROD": ("frag_mz", "frag_intens"), "MS2NL": ("loss_mz", "loss_intens"), "MS2PREC": ("precmz", None), "MS1MZ": ("mz", "i")}
@@ -209,24 +208,8 @@ def trim(df: DataFrame, filters: tuple[Condition, ...], level: int) -> DataFrame
     return df
 
 
-def greedy(table: pa.Table) -> pa.Table:
-    """One stretch of candidates, ascending: each one kept hides those within its reach."""
-    order = np.argsort(table["x"].to_numpy(), kind="stable")
-    x, reach = table["x"].to_numpy()[order], table["reach"].to_numpy()[order]
-    kept, high = [], -np.inf
-    for value, far in zip(x.tolist(), reach.tolist(), strict=True):
-        if value >= high:
-            kept.append(value)
-            high = value + far
-    return pa.table({"x": pa.array(kept, pa.float64())})
-
-
 def candidates(q: Query, ms1: DataFrame | None, ms2: DataFrame) -> DataFrame:
-    """(x): the m/z values that the free variable takes.
-
-    Greedy thinning is sequential, but a gap wider than any reach starts afresh whatever lies before it; stretches
-    between such gaps are independent groups.
-    """
+    """(x): the m/z values that the free variable takes: of all that occur, those that a greedy pass by their tolerance keeps."""
     parts, ppm, da = [], None, None
     for c in q.where:
         if not c.has_x:
@@ -250,20 +233,7 @@ def candidates(q: Query, ms1: DataFrame | None, ms2: DataFrame) -> DataFrame:
         if c.field == "X":
             for kind, (low, high) in c.ranges.items():
                 out = out.filter((x if kind == "range" else defect(x)).between(low, high))
-    out = out.distinct().withColumn("reach", half_bin(x, ppm, da)).withColumn("cell", F.floor(x / 10))
-    # the last value of each cell of 10 units reaches at most into the next: previous values are found within cells and their edges
-    ordered = Window.partitionBy("cell").orderBy("x")
-    edges = Window.orderBy("cell")
-    last = out.groupBy("cell").agg(F.max_by("x", "x").alias("last"), F.max("reach").alias("far"))
-    last = last.select(F.lead("cell").over(edges).alias("cell"), F.col("last").alias("before_last"), F.col("far").alias("before_far")).filter("cell is not null")
-    out = out.join(last, "cell", "left")
-    before = F.coalesce(F.lag("x").over(ordered), F.col("before_last"))
-    far = F.coalesce(F.lag("reach").over(ordered), F.col("before_far"))
-    out = out.withColumn("fresh", F.when(before.isNull() | (x - before > F.greatest(far, F.lit(1e-9))), 1).otherwise(0))
-    starts = F.sum("fresh").over(ordered)
-    carried = out.groupBy("cell").agg(F.sum("fresh").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(edges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = out.withColumn("stretch", starts).join(carried.select("cell", "ahead"), "cell").withColumn("stretch", F.col("stretch") + F.col("ahead"))
-    return out.select("x", "reach", "stretch").groupBy("stretch").applyInArrow(greedy, "x double")
+    return cover(out.withColumn("reach", half_bin(x, ppm, da)))
 
 
 def met(side: DataFrame, conditions: list[Condition], xs: DataFrame, strict_ms2: bool) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars, sketches
-from .operators import annotation, lda, metrics, motifs, network, peaks, screening, similarity, summaries, topics
+from .operators import annotation, lda, metrics, motifs, network, ordered, peaks, screening, similarity, summaries, topics
 from .registry import PEAKS, THETA, named, q6, r6, register
 from .sources import readers, sinks
 from .sources.adapters import beta, ms2_peaks, theta
@@ -399,8 +399,8 @@ def library_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     "with r as (select row_number() over (order by o_orderkey) - 1 as n, o_orderkey::varchar || ':' || o_orderstatus as value from orders) select min(n) as start, max(n) + 1 as \"end\", count(*) as rows, sha256(string_agg(value, chr(10) order by n)) as sha256 from r group by n // 400",
 )
 def row_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select((F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("bigint").alias("n"), F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), "o_orderstatus").alias("value"))
-    return summaries.row_ledger(rows, 400)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), "o_orderstatus").alias("value"))
+    return summaries.row_ledger(ordered.numbered(rows, "o_orderkey"), 400)
 
 
 @register("word_features", f"{PEAKS}, w as (select distinct floor(frag_mz) as mz, scan::bigint % 3 as k from ms2) select distinct k::int as kind, case when k = 2 then 0 else {q6('ln(1 + mz) / ln(2001e0)')} end as value, mz from w")

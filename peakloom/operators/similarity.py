@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096  # rows of a library
+BLOCK = 4096  # rows of one side of a block of pairs
 QUERY_BLOCK = 1024
+SHARED_BYTES = 64 << 20  # a side up to this size goes to all tasks
+DENSE_BITS = 1 << 16  # fingerprints of more positions are compared as sets
 
 
 def unit(v: Column) -> Column:
@@ -20,29 +23,104 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(clean, lambda x: x / norm)).otherwise(clean)
 
 
-def _by_blocks(library: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(query, id, score) of what `pick` takes of each block of products, queries (query, v) by library (id, v).
+Picked = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    Both sides are cut into blocks by hash, and each pair of blocks is a group: exact products, no block on the driver, and a side is
-    copied once for each block of the other.
+
+def matched(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Picked], names: tuple[str, str, str], width: int, cells: list[tuple[int, int]] | None = None) -> DataFrame:
+    """What `kernel` picks of each block of pairs: left and right (key, part, data), data of `width` bytes, as (left key, right key, score).
+
+    kernel gets two blocks' keys and bytes and returns rows, columns and scores. If the smaller side takes up to SHARED_BYTES, by its
+    measured number of rows, it goes to all tasks, sorted by part, and the other side is read where it lies, BLOCK rows of ascending
+    part at a time. Else both sides are dealt into `cells`, pairs of parts that may match (all of them by default), each a group of two parts,
+    and a row is copied once for each part that its own may match.
     """
-    q = queries.select(F.col("query").cast("bigint").alias("key"), unit(F.col("v")).alias("v"))
-    x = library.select(F.col("id").cast("bigint").alias("key"), unit(F.col("v")).alias("v"))
-    n_q, n_x = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-library.count() // BLOCK))
-    own = lambda n: F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    q = q.select("key", "v", F.lit(True).alias("asked"), own(n_q).alias("a"), every(n_x).alias("b"))
-    x = x.select("key", "v", F.lit(False).alias("asked"), own(n_x).alias("b"), every(n_q).alias("a"))
+    spark, kinds = left.sparkSession, f"{names[0]} bigint, {names[1]} bigint, {names[2]} double"
+    counts = left.count(), right.count()
+    small = 0 if counts[0] < counts[1] else 1
+
+    def batch(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> pa.Table | None:
+        row, column, score = kernel(*a, *b)
+        return pa.table({names[0]: a[0][row], names[1]: b[0][column], names[2]: score.astype(float)}) if len(row) else None
+
+    if counts[small] * (width + 16) <= SHARED_BYTES:
+        partners = None if cells is None else _partners(cells, small)
+        shared = spark.sparkContext.broadcast(_sorted(((left, right)[small]).toArrow(), width))
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, parts, data = shared.value
+            for b in batches:
+                own = _sorted(pa.Table.from_batches([b]), width)
+                for first in range(0, len(own[0]), QUERY_BLOCK):
+                    at = slice(first, first + QUERY_BLOCK)
+                    low, high = (0, len(keys)) if partners is None else _stretch(parts, own[1][at], partners)
+                    for start in range(low, high, BLOCK):
+                        other = slice(start, min(start + BLOCK, high))
+                        mine, theirs = (own[0][at], own[2][at]), (keys[other], data[other])
+                        if (found := batch(theirs, mine) if small == 0 else batch(mine, theirs)) is not None:
+                            yield from found.to_batches()
+
+        return (left, right)[1 - small].select("key", "part", "data").mapInArrow(rows, kinds)
+
+    every = [(r["a"], r["b"]) for r in left.select(F.col("part").alias("a")).distinct().crossJoin(right.select(F.col("part").alias("b")).distinct()).collect()] if cells is None else cells  # parts, not rows
+    table = spark.createDataFrame(every, "a bigint, b bigint")
+    dealt = [side.join(F.broadcast(table), F.col("part") == F.col(own)).select("key", "data", "a", "b", F.lit(k).alias("side")) for k, (side, own) in enumerate(((left, "a"), (right, "b")))]
+
+    def block(group: pa.Table) -> pa.Table:
+        a, b = (_sorted(group.filter(pa.compute.equal(group["side"], k)).append_column("part", pa.array(np.zeros(n, np.int64))), width) for k, n in enumerate(np.bincount(group["side"].to_numpy(), minlength=2)))
+        found = batch((a[0], a[2]), (b[0], b[2])) if len(a[0]) and len(b[0]) else None
+        return found if found is not None else pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    return dealt[0].unionByName(dealt[1]).groupBy("a", "b").applyInArrow(block, kinds)
+
+
+def _sorted(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, parts and rows of bytes, by part."""
+    parts = table["part"].to_numpy()
+    order = np.argsort(parts, kind="stable")
+    data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8).reshape(len(parts), width)
+    return table["key"].to_numpy()[order], parts[order], data[order]
+
+
+def _partners(cells: list[tuple[int, int]], side: int) -> dict[int, tuple[int, int]]:
+    """For each part of the other side the least and the greatest part of this one that it may match."""
+    out: dict[int, tuple[int, int]] = {}
+    for pair in cells:
+        own, other = pair[side], pair[1 - side]
+        low, high = out.get(other, (own, own))
+        out[other] = (min(low, own), max(high, own))
+    return out
+
+
+def _stretch(parts: np.ndarray, asked: np.ndarray, partners: dict[int, tuple[int, int]]) -> tuple[int, int]:
+    found = [partners[p] for p in np.unique(asked).tolist() if p in partners]
+    if not found:
+        return 0, 0
+    return int(np.searchsorted(parts, min(f[0] for f in found))), int(np.searchsorted(parts, max(f[1] for f in found), side="right"))
 
-    def block(table: pa.Table) -> pa.Table:
-        asked, keys = table["asked"].to_numpy(), table["key"].to_numpy()
-        flat = table["v"].combine_chunks()
-        v = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
-        score = v[asked] @ v[~asked].T
-        row, column = pick(score) if score.size else (np.zeros(0, int), np.zeros(0, int))
-        return pa.table({"query": keys[asked][row], "id": keys[~asked][column], "score": score[row, column] if score.size else np.zeros(0)})
 
-    return q.unionByName(x).groupBy("a", "b").applyInArrow(block, "query bigint, id bigint, score double")
+def packed(vectors: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, part, data): unit vectors as bytes, dealt by hash into parts of about QUERY_BLOCK to BLOCK rows."""
+    parts = max(1, -(-vectors.count() // BLOCK))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1) if len(b) else np.zeros((0, width))
+            yield pa.RecordBatch.from_arrays([b["key"], b["part"], pa.array([x.tobytes() for x in v], pa.binary())], ["key", "part", "data"])
+
+    own = F.col(key).cast("bigint")
+    return vectors.select(own.alias("key"), F.pmod(F.xxhash64(own, F.lit(7)), F.lit(parts)).alias("part"), unit(F.col("v")).alias("v")).mapInArrow(rows, "key bigint, part bigint, data binary")
+
+
+def _cosines(library: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(query, id, score) of what `pick` takes of each block of exact products, queries (query, v) by library (id, v)."""
+    width = max((r[0] for side in (library, queries) for r in side.select(F.size("v")).limit(1).collect()), default=1)
+
+    def kernel(asked: np.ndarray, q: np.ndarray, keys: np.ndarray, x: np.ndarray) -> Picked:
+        score = q.view(np.float64) @ x.view(np.float64).T
+        row, column = pick(score)
+        return row, column, score[row, column]
+
+    return matched(packed(queries, "query", width), packed(library, "id", width), kernel, ("query", "id", "score"), 8 * width)
 
 
 def cosine_top(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -54,12 +132,12 @@ def cosine_top(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return np.nonzero(score >= least[:, None] - 1e-12)  # those that tie too: the ranking settles them
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return _by_blocks(library, queries, pick).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return _cosines(library, queries, pick).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def cosine_pairs(library: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """(query, id, score) of all pairs with a cosine of at least `least`."""
-    return _by_blocks(library, queries, lambda score: np.nonzero(score >= least))
+    return _cosines(library, queries, lambda score: np.nonzero(score >= least))
 
 
 def unique_hits(hits: DataFrame, molecules: DataFrame, n: int) -> DataFrame:
@@ -90,7 +168,74 @@ def by_rarity(sets: DataFrame, key: str, ranks: DataFrame) -> DataFrame:
     return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "pos"))), lambda x: x["pos"]).alias("set"))
 
 
+def size_parts(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """For each size of a fingerprint, from the number of rows that have it: its first part and its number of parts.
+
+    Parts go by size and have about BLOCK rows: rare sizes that follow each other share one, a frequent size is dealt over several.
+    """
+    out, part, rows = {}, 0, 0
+    for size in sorted(counts):
+        if rows and rows + counts[size] > BLOCK:
+            part, rows = part + 1, 0
+        several = -(-counts[size] // BLOCK)
+        out[size] = (part, several)
+        part, rows = (part + several, 0) if several > 1 else (part, rows + counts[size])
+    return out
+
+
+def bit_rows(sets: DataFrame, key: str, width: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """((key, part, data), sizes of each part as (least, greatest)): sets as rows of bits, in parts by size."""
+    counts = {r["size"]: r["rows"] for r in sets.groupBy(F.size("set").alias("size")).agg(F.count("*").alias("rows")).collect()}  # width + 1 at most
+    places = size_parts(counts)
+    spans: dict[int, tuple[int, int]] = {}
+    for size, (part, several) in places.items():
+        for p in range(part, part + several):
+            spans[p] = (min(size, spans.get(p, (size, 0))[0]), max(size, spans.get(p, (0, size))[1]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b["set"].value_lengths().fill_null(0).to_numpy()
+            flags = np.zeros((len(b), width), dtype=np.uint8)
+            flags[np.repeat(np.arange(len(b)), sizes), b["set"].flatten().to_numpy()] = 1
+            first, several = (np.array([places[n][k] for n in sizes.tolist()], dtype=np.int64) for k in (0, 1))
+            part = first + b["key"].to_numpy() % np.maximum(several, 1)
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(part), pa.array([x.tobytes() for x in np.packbits(flags, axis=1)], pa.binary())], ["key", "part", "data"])
+
+    return sets.select(F.col(key).cast("bigint").alias("key"), "set").mapInArrow(rows, "key bigint, part bigint, data binary"), spans
+
+
+def tanimotos(least: float) -> Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Picked]:
+    """Pairs of rows of bits with a Tanimoto similarity of at least `least`, by counting common bits a word at a time."""
+
+    def kernel(keys_a: np.ndarray, a: np.ndarray, keys_b: np.ndarray, b: np.ndarray) -> Picked:
+        a, b = (np.ascontiguousarray(x).view(np.uint64) for x in (a, b))
+        both = np.zeros((len(a), len(b)), dtype=np.int32)
+        for k in range(a.shape[1]):
+            both += np.bitwise_count(a[:, k, None] & b[None, :, k])
+        union = np.bitwise_count(a).sum(axis=1, dtype=np.int32)[:, None] + np.bitwise_count(b).sum(axis=1, dtype=np.int32) - both
+        score = np.where(union > 0, both / np.maximum(union, 1), 0.0)
+        row, column = np.nonzero(score >= least)
+        return row, column, score[row, column]
+
+    return kernel
+
+
 def screen(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, score): pairs of left (a, set) and right (b, set) with Tanimoto similarity of at least `least`, for whole-number keys.
+
+    Fingerprints of up to DENSE_BITS positions become rows of bits, in blocks of like size: a pair of blocks is left out where the smaller
+    size is below `least` times the larger one for all their rows, as a pair's similarity is at most that ratio. Wider ones are compared as sets.
+    """
+    top = left.select(F.array_max("set").alias("top")).unionAll(right.select(F.array_max("set"))).agg(F.max("top")).first()[0]
+    if top is not None and top >= DENSE_BITS:
+        return screen_sets(left, right, least)
+    width = -(-((top or 0) + 1) // 64) * 64
+    (a, spans_a), (b, spans_b) = bit_rows(left, "a", width), bit_rows(right, "b", width)
+    cells = [(i, j) for i, (low, high) in spans_a.items() for j, (below, above) in spans_b.items() if high >= least * below and above >= least * low]
+    return matched(a, b, tanimotos(least), ("a", "b", "score"), width // 8, cells)
+
+
+def screen_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, score): pairs of left (a, set) and right (b, set) with Tanimoto similarity of at least `least`.
 
     Sets meet on their rarest common positions: in one order of all positions, rarest first, a pair reaches s only if the

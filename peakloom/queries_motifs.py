@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars, sketches
-from .operators import annotation, lda, metrics, motifs, network, ordered, peaks, screening, similarity, summaries, topics
+from .operators import annotation, lda, metrics, motifs, network, ordered, peaks, screening, similarity, summaries, topic_table, topics
 from .registry import PEAKS, THETA, named, q6, r6, register
 from .sources import readers, sinks
 from .sources.adapters import beta, ms2_peaks, theta
@@ -607,6 +607,28 @@ def lda_maximisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lda.table(spark, lda.fit(docs, model.words, LDA_TOPICS, epochs=1, steps=1, start=model)).select("topic", "word", r6("p").alias("p"))
 
 
+def fixed_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, topic_table.TopicTable]:
+    """The same documents as cells and the same topics as rows by word."""
+    docs, model = fixed_topics(spark, sf_dir)
+    rows = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(model.lam.T)], "id bigint, v array<double>")
+    cells = docs.select("doc", F.inline(F.arrays_zip("ids", "counts"))).toDF("doc", "id", "n")
+    return cells, topic_table.given(rows, len(model.words), model.alpha)
+
+
+@register("topic_table_expectation", f"{LDA_SQL}, g as (select doc, k, 0.1e0 + sum(c) as g from phi group by 1, 2) select doc, k::int as topic, {q6('g / sum(g) over (partition by doc)')} as p from g")
+def topic_table_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lda_expectation's mixtures where the topic-word table is partitioned by word."""
+    return topic_table.infer(*fixed_table(spark, sf_dir), steps=1).select("doc", "topic", r6("p").alias("p"))
+
+
+@register("topic_table_maximisation", f"{LDA_SQL}, t as (select k, w, sum(c) as c from phi group by 1, 2) select k::int as topic, w::varchar as word, {q6('(0.01e0 + coalesce(c, 0)) / sum(0.01e0 + coalesce(c, 0)) over (partition by k)')} as p from l left join t using (k, w)")
+def topic_table_maximisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lda_maximisation's table where it is partitioned by word."""
+    cells, model = fixed_table(spark, sf_dir)
+    words = spark.range(model.vocabulary).select("id", F.col("id").cast("string").alias("word"))
+    return topic_table.table(topic_table.fit(cells, model, epochs=1, steps=1), words).select("topic", "word", r6("p").alias("p"))
+
+
 @register("lda_responsibilities", f"{LDA_SQL} select doc, w::int as word, k::int as topic, {q6('c / n')} as p from (select phi.*, n.n from phi join n using (doc, w)) where c / n >= 0.2e0")
 def lda_responsibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, model = fixed_topics(spark, sf_dir)

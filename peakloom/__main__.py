@@ -10,6 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators import checkpoints, lda, motifs, network, peaks, runs, topics
+from .operators.shared import settle
 from .plans.compiler import run_many
 from .plans.describe import describe
 from .sources.readers import read_spectra
@@ -46,7 +47,7 @@ def topic_run(spark: SparkSession, path: str, folder: str, options: dict) -> Non
         raise ValueError("the vocabulary is larger than vocabulary_limit: raise min_cf or min_df, or lower digits")
     words = [r["word"] for r in chosen.toLocalIterator()]
     ids = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, id int")
-    docs = lda.bags(corpus, ids)
+    docs = settle(lda.bags(corpus, ids).repartition(spark.sparkContext.defaultParallelism), "bags")
     found = checkpoints.restore(f"{folder}/model")
     model = lda.fit(docs, words, options["topics"], options["iterations"], start=found[1] if found else None, after=lambda m: checkpoints.save(m, f"{folder}/model", len(m.history)), learn_alpha=True)
     lda.infer(docs, model).write.parquet(f"{folder}/theta")

@@ -1,8 +1,8 @@
 """Latent Dirichlet allocation by variational Bayes, and inference with frozen topics.
 
 Documents stay distributed as (doc, words array, counts array), and a batch of them is inferred at once. The topic-word table, topics
-times vocabulary, is held by the driver and broadcast; its size is checked against TABLE_CELLS. Expected counts come back as
-one grouped aggregation for each step.
+times vocabulary, is held by the driver and broadcast; its size is checked against TABLE_CELLS, and `topic_table` trains larger ones. Expected
+counts come back as sums of whole vectors by word.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .vectors import arrays, matrix, vector_sums
+
 #: Values in the place of a word's number: the bound, the number of documents, expected log shares by topic, tokens, summed entropies of documents.
 BOUND, DOCUMENTS, LOG_THETA, TOKENS, ENTROPY = -1, -2, -3, -4, -5
 TABLE_CELLS = 100_000_000
@@ -164,14 +166,14 @@ def _inferred(docs: DataFrame, model: TopicModel, steps: int, tol: float, values
     return docs.select("doc", "ids", "counts").mapInArrow(rows, f"doc {docs.schema['doc'].dataType.simpleString()}, {name} {kind}")
 
 
-def _step(docs: DataFrame, model: TopicModel, steps: int, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(topic, word, n): expected counts and the sums that BOUND and the others name, one row for each task and cell before they are summed."""
+def _step(docs: DataFrame, model: TopicModel, steps: int, tol: float) -> dict[int, np.ndarray]:
+    """By word: expected counts by topic; and the sums that BOUND and the others name, single ones in the first place."""
     shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(expected_log(model.lam).T), model.alpha))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_beta, alpha = shared.value
         topics = len(alpha)
-        total, sums, log_theta = np.zeros_like(log_beta), dict.fromkeys((BOUND, DOCUMENTS, TOKENS, ENTROPY), 0.0), np.zeros(topics)
+        total, seen, sums, log_theta = np.zeros_like(log_beta), np.zeros(len(log_beta), dtype=bool), dict.fromkeys((BOUND, DOCUMENTS, TOKENS, ENTROPY), 0.0), np.zeros(topics)
         for b in batches:
             if not len(b):
                 continue
@@ -181,18 +183,19 @@ def _step(docs: DataFrame, model: TopicModel, steps: int, tol: float) -> tuple[n
             first = np.flatnonzero(np.diff(ids[order], prepend=-1))
             if len(first):
                 total[ids[order][first]] += np.add.reduceat(weighed[order], first, axis=0)
+                seen[ids[order][first]] = True
             spread = expected_log(gamma)
             log_theta += spread.sum(axis=0)
             p = (np.repeat(np.exp(spread), np.diff(bounds), axis=0) * np.exp(log_beta[ids])).sum(axis=1)
             for key, value in ((BOUND, (counts * np.log(np.maximum(p, 1e-300))).sum()), (DOCUMENTS, len(b)), (TOKENS, counts.sum()), (ENTROPY, _entropies(gamma / gamma.sum(axis=1, keepdims=True)).sum())):
                 sums[key] += float(value)
-        word, at = np.nonzero(total > 1e-8)
-        topic = np.concatenate([at, np.full(len(sums), -1), np.arange(topics)]).astype(np.int32)
-        kind = np.concatenate([word, list(sums), np.full(topics, LOG_THETA)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(kind), pa.array(np.concatenate([total[word, at], list(sums.values()), log_theta]))], ["topic", "word", "n"])
+        single = np.zeros((len(sums), topics))
+        single[:, 0] = list(sums.values())
+        word = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([word, list(sums), [LOG_THETA]]).astype(np.int64)), arrays(np.concatenate([total[word], single, log_theta[None]]))], ["id", "v"])
 
-    found = docs.select("ids", "counts").mapInArrow(rows, "topic int, word int, n double").groupBy("topic", "word").agg(F.sum("n").alias("n")).toArrow()
-    return tuple(found[c].to_numpy() for c in ("topic", "word", "n"))
+    found = vector_sums(docs.select("ids", "counts").mapInArrow(rows, "id bigint, v array<double>"), "id").toArrow()
+    return dict(zip(found["id"].to_pylist(), matrix(found["v"]), strict=True))
 
 
 def settled(values: list[float], threshold: float, window: int) -> bool:
@@ -205,7 +208,7 @@ def fit(docs: DataFrame, words: list[str], topics: int, epochs: int = 10, steps:
     """Batch variational Bayes over bags; stops when the criterion changes by less than tol from epoch to epoch, `patience` times in a row.
 
     criterion: "bound", or one of the series in `checks`. start: a model to go on from, whose epochs count; after: called with the
-    model at the end of each epoch. A table of more than `limit` cells is an error: fewer topics or words are needed.
+    model at the end of each epoch. A table of more than `limit` cells is an error: `topic_table` takes those.
     """
     if topics * len(words) > limit:
         raise ValueError(f"{topics} topics of {len(words)} words are more than {limit} cells")
@@ -214,15 +217,15 @@ def fit(docs: DataFrame, words: list[str], topics: int, epochs: int = 10, steps:
     if model.words != words or len(model.alpha) != topics:
         raise ValueError("the model to go on from has other words or topics")
     for _ in range(epochs - len(model.history)):
-        at, word, n = _step(docs, model, steps, 1e-3)
+        found = _step(docs, model, steps, 1e-3)
         lam = np.full_like(model.lam, eta)
-        cell = word >= 0
-        lam[at[cell], word[cell]] += n[cell]
-        sums = {int(w): float(v) for w, v in zip(word[~cell], n[~cell], strict=True) if w != LOG_THETA}
+        word = np.array([w for w in found if w >= 0], dtype=np.int64)
+        if len(word):
+            lam[:, word] += np.array([found[w] for w in word.tolist()]).T
+        sums = {w: float(v[0]) for w, v in found.items() if w < 0}
         documents, tokens = max(sums.get(DOCUMENTS, 0.0), 1.0), max(sums.get(TOKENS, 0.0), 1.0)
         if learn_alpha and sums.get(DOCUMENTS):
-            per_topic = {int(k): float(v) for k, w, v in zip(at, word, n, strict=True) if w == LOG_THETA}
-            model.alpha = newton_alpha(model.alpha, np.array([per_topic.get(k, 0.0) for k in range(topics)]) / documents)
+            model.alpha = newton_alpha(model.alpha, found[LOG_THETA] / documents)
         model.lam = lam
         model.history.append(sums.get(BOUND, 0.0))
         per_token = model.history[-1] / tokens

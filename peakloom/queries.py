@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import sketches
 from .operators import lda, metrics, network, peaks, screening, similarity, summaries, topics
 from .plans.compiler import run, run_many
+from .operators.shared import settle
 from .registry import ORACLES, PEAKS, QUERIES, THETA, named, q6, r6, register
 from .sources.adapters import WORDS_SQL, beta, ms1_peaks, ms2_peaks, theta
 
@@ -316,7 +317,7 @@ def lda_fit_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = peaks.vocabulary(corpus.withColumnRenamed("doc", "scan"), 1, 2).orderBy("word").select("word")
     words = [r["word"] for r in vocabulary.toLocalIterator()]  # whole m/z units: about a thousand
     ids = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, id int")
-    docs = lda.bags(corpus, ids)
+    docs = settle(lda.bags(corpus, ids).repartition(spark.sparkContext.defaultParallelism), "bags")  # read by each epoch, whose work is in the arrays: as many parts as cores
     model = lda.fit(docs, words, topics=10, epochs=4)
     return lda.infer(docs, model)
 

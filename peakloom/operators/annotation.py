@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .screening import clustered_hits, selected_hits
 from .similarity import containment, cosine_top, unique_hits, unit
+from .vectors import weighted_means
 
 PROTON = 1.007276470  # fixed value: mass of a proton
 
@@ -29,13 +30,6 @@ def masked_spectra(motifs: DataFrame, masks: tuple[float, float] = (-1.0, -1.0))
     return frags.select("motif", F.col("at").alias("variant"), without("frags", masks[0]).alias("frags"), "losses").unionByName(losses.select("motif", (F.col("at") + F.size("frags")).alias("variant"), "frags", without("losses", masks[1]).alias("losses")))
 
 
-def embedded(cells: DataFrame, vectors: DataFrame, power: float = 0.5) -> DataFrame:
-    """(doc, v): word vectors (word, v) averaged with weights w**power over cells (doc, word, w); words without a vector take no part."""
-    rows = cells.join(vectors, "word").select("doc", F.pow("w", F.lit(float(power))).alias("w"), F.posexplode("v").alias("pos", "x"))
-    means = rows.groupBy("doc", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("value"))
-    return means.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("v"))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -151,4 +145,4 @@ def reference_library(spectra: DataFrame, vectors: DataFrame, digits: int = 2, p
     """(doc, v): spectra cleaned, turned into words weighted by relative intensity, and embedded."""
     from .peaks import clean, words
 
-    return embedded(words(clean(spectra, **cleaning), digits).select(F.col("scan").alias("doc"), "word", (F.col("n") / 100).alias("w")), vectors, power)
+    return weighted_means(words(clean(spectra, **cleaning), digits).select(F.col("scan").alias("doc"), "word", (F.col("n") / 100).alias("w")), vectors, power)

@@ -10,6 +10,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vectors import weighted_means
+
 BLOCK = 4096  # rows of one side of a block of pairs
 QUERY_BLOCK = 1024
 SHARED_BYTES = 64 << 20  # a side up to this size goes to all tasks
@@ -265,6 +267,5 @@ def masked(motifs: DataFrame, mask: float = -1.0) -> DataFrame:
 
 
 def mean_embedding(cells: DataFrame, vectors: DataFrame, power: float = 0.5) -> DataFrame:
-    """(doc, pos, value): word vectors averaged with weights n**power; cells (doc, word, n), vectors (word, v)."""
-    rows = cells.join(vectors, "word").select("doc", F.pow("n", F.lit(power)).alias("w"), F.posexplode("v").alias("pos", "x"))
-    return rows.groupBy("doc", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("value"))
+    """(doc, pos, value): word vectors (word, v) averaged with weights n**power over cells (doc, word, n)."""
+    return weighted_means(cells.withColumnRenamed("n", "w"), vectors, power).select("doc", F.posexplode("v").alias("pos", "value"))

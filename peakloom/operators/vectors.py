@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +91,46 @@ def places(wanted: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), dtype=bool)
     at = order[np.minimum(np.searchsorted(known, wanted, sorter=order), len(known) - 1)]
     return at, known[at] == wanted
+
+
+#: Rows of one block, about, and how many of them are weighed at a time.
+BLOCK_ROWS, AT_ONCE = 100_000, 8192
+
+
+def weighted_means(cells: DataFrame, vectors: DataFrame, power: float = 0.5) -> DataFrame:
+    """(doc, v): vectors (word, v) averaged over cells (doc, word, w) with weights w**power; words without a vector take no part.
+
+    Blocks of whole documents fetch the vectors of their distinct words and hand on one vector a document. A document of more than BLOCK_ROWS
+    cells is dealt over several blocks, whose sums are added up.
+    """
+    kind = f"doc {cells.schema['doc'].dataType.simpleString()}, v array<double>"
+    sizes = cells.groupBy("doc").agg(F.count("*").alias("cells"))
+    total, most = sizes.agg(F.sum("cells"), F.max("cells")).first()
+    blocks = max(1, -(-(total or 0) // BLOCK_ROWS))
+    part = F.lit(0)
+    split = (most or 0) > BLOCK_ROWS
+    if split:
+        large = sizes.filter(F.col("cells") > BLOCK_ROWS).select(F.col("doc").alias("_doc"), F.ceil(F.col("cells") / BLOCK_ROWS).alias("_parts"))
+        cells = cells.join(large.hint("merge"), F.col("doc").eqNullSafe(F.col("_doc")), "left")
+        part = F.coalesce(F.pmod(F.xxhash64("word"), F.col("_parts")), F.lit(0))
+    rows = cells.select("doc", "word", F.pow("w", F.lit(float(power))).alias("w"), F.pmod(F.xxhash64("doc", part), F.lit(blocks)).alias("block"))
+
+    def work(own: pa.Table, fetched: pa.Table) -> pa.Table:
+        coded = own["doc"].combine_chunks().dictionary_encode(null_encoding="encode")
+        found = pc.index_in(own["word"], value_set=fetched["word"].combine_chunks()).combine_chunks()
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        at, weight, owner = found.drop_null().to_numpy(), own["w"].to_numpy()[known], coded.indices.to_numpy()[known]
+        v = matrix(fetched["v"])
+        sums = np.zeros((len(coded.dictionary), (v.shape[1] if len(v) else 0) + 1))
+        order = np.argsort(owner, kind="stable")
+        for first in range(0, len(order), AT_ONCE):
+            chosen = order[first : first + AT_ONCE]
+            starts = np.flatnonzero(np.diff(owner[chosen], prepend=-1))
+            w = weight[chosen]
+            sums[owner[chosen][starts]] += np.add.reduceat(np.column_stack([v[at[chosen]] * w[:, None], w]), starts, axis=0)
+        there = np.bincount(owner, minlength=len(sums)) > 0
+        return pa.table({"doc": coded.dictionary.filter(pa.array(there)), "v": arrays(sums[there])})
+
+    sums = meet(rows, vectors, "word", work, kind)
+    sums = vector_sums(sums, "doc") if split else sums
+    return sums.select("doc", F.transform(F.slice("v", F.lit(1), F.size("v") - 1), lambda x: x / F.element_at("v", -1)).alias("v"))

@@ -655,3 +655,32 @@ def extracted_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ms2_peaks(spark, sf_dir).withColumn("file", F.lit("f"))
     out = sinks.extracted(rows, rows.filter("frag_mz > 900").select("file", "scan"), 50)
     return out.select("scan", "new_scan", F.size("peaks").alias("peaks"), r6(F.col("peaks")[0]["mz"]).alias("low"))
+
+
+@register(
+    "mean_embeddings",
+    f"""{PEAKS}, c as (select scan as doc, floor(frag_mz)::bigint % 700 as word, count(*) as n from ms2 group by 1, 2), e as (select vec_id as word, unnest(range(64))::int as pos, unnest(embedding)::double as x from embeddings),
+    m as (select doc, pos, sum(sqrt(n::double) * x) / sum(sqrt(n::double)) as v from c join e using (word) group by 1, 2) select doc, {q6('sum(v)')} as total, {q6('sqrt(sum(v * v))')} as norm, {q6('max(v) filter (pos = 63)')} as last from m group by doc""",
+)
+def mean_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = ms2_peaks(spark, sf_dir).groupBy(F.col("scan").alias("doc"), (F.floor("frag_mz") % 700).alias("word")).agg(F.count("*").alias("n"))
+    words = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").cast("array<double>").alias("v"))
+    means = similarity.mean_embedding(cells, words)
+    return means.groupBy("doc").agg(r6(F.sum("value")).alias("total"), r6(F.sqrt(F.sum(F.col("value") * F.col("value")))).alias("norm"), r6(F.max(F.when(F.col("pos") == 63, F.col("value")))).alias("last"))
+
+
+@register(
+    "greedy_cosine_pairs",
+    f"""{PEAKS}, p as (select scan, charge, frag_mz as mz, frag_intens as i, row_number() over (partition by scan order by frag_mz, frag_intens) as k from ms2), norms as (select scan, sqrt(sum(i * i)) as norm from p group by scan),
+    wide as (select *, unnest([floor(mz / 0.2e0)::bigint - 1, floor(mz / 0.2e0)::bigint, floor(mz / 0.2e0)::bigint + 1]) as bin from p where charge = 2),
+    m as (select a.scan as a, b.scan as b, a.k as i, b.k as j, a.i * b.i as product from (select *, floor(mz / 0.2e0)::bigint as bin from p where charge = 1) a join wide b using (bin) where abs(a.mz - b.mz) <= 0.1e0),
+    l as (select a, b, list({{'total': product, 'n': 1, 'i': [i], 'j': [j]}} order by product desc, i, j) as found from m group by a, b),
+    s as (select a, b, list_reduce(found, lambda done, x: case when list_has_any(done.i, x.i) or list_has_any(done.j, x.j) then done
+      else {{'total': done.total + x.total, 'n': done.n + x.n, 'i': list_concat(done.i, x.i), 'j': list_concat(done.j, x.j)}} end) as g from l)
+    select a, b, {q6('g.total / (x.norm * y.norm)')} as score, g.n::int as n from s join norms x on x.scan = a join norms y on y.scan = b where g.total / (x.norm * y.norm) >= 0.6e0""",
+)
+def greedy_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a singly and a doubly charged spectrum whose greedy cosine is at least 0.6."""
+    spectra = ms2_peaks(spark, sf_dir).select("scan", "charge", F.col("frag_mz").alias("mz"), F.col("frag_intens").alias("i"))
+    side = lambda charge, name: spectra.filter(F.col("charge") == charge).select(F.col("scan").alias(name), "mz", "i")
+    return screening.greedy_search(side(1, "a"), side(2, "b"), 0.6).select("a", "b", r6("score").alias("score"), "n")

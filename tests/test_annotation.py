@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions import scalars
 from peakloom.operators import annotation, metrics, motifs, network, screening, similarity, summaries
+from peakloom.operators.vectors import weighted_means
 from peakloom.sources import readers, sinks
 
 
@@ -43,7 +44,7 @@ def test_annotation_chain_by_brute_force(spark):
 def test_embeddings_and_matrices(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, v array<double>")
     cells = spark.createDataFrame([("d", "a", 4.0), ("d", "b", 1.0), ("d", "zz", 9.0), ("e", "zz", 1.0)], "doc string, word string, w double")
-    assert [(r["doc"], [round(x, 9) for x in r["v"]]) for r in annotation.embedded(cells, vectors).collect()] == [("d", [round(2 / 3, 9), round(1 / 3, 9)])]
+    assert [(r["doc"], [round(x, 9) for x in r["v"]]) for r in weighted_means(cells, vectors).collect()] == [("d", [round(2 / 3, 9), round(1 / 3, 9)])]
     scores = spark.createDataFrame([(1, 7, 0.5), (2, 7, 0.25), (1, 8, 0.1)], "query int, id int, score double")
     assert [(r["id"], r["1"], r["2"]) for r in annotation.wide_scores(scores, [1, 2]).orderBy("id").collect()] == [(7, 0.5, 0.25), (8, 0.1, None)]
     docs = spark.createDataFrame([(k, ["frag@1", "frag@2"] if k % 2 else ["loss@1", "loss@2"]) for k in range(30)], "doc int, words array<string>")

@@ -123,3 +123,54 @@ def test_sketches(spark):
     s = df.select(*(sketches.minhash(sketches.lingo(F.col(c)), maps).alias(c) for c in "ab"))
     r = s.select(sketches.distance(F.col("a"), F.col("b")).alias("d"), (sketches.merged(F.col("a"), F.col("b")) == sketches.merged(F.col("b"), F.col("a"))).alias("m")).collect()
     assert r[0]["d"] == 0 and r[1]["d"] > 0.9 and r[2]["d"] == 0 and all(x["m"] for x in r)
+
+
+def one_by_one(p, q, margin):
+    """Greedy matching of one pair, match after match."""
+    found = sorted((-x * y, i, j) for i, (a, x) in enumerate(p) for j, (b, y) in enumerate(q) if abs(a - b) <= margin)
+    left, right, total = set(), set(), 0.0
+    for product, i, j in found:
+        if i not in left and j not in right:
+            left.add(i)
+            right.add(j)
+            total -= product
+    norm = math.sqrt(sum(x * x for _, x in p) * sum(y * y for _, y in q))
+    return total / norm if norm else 0.0, len(left)
+
+
+def test_greedy_cosines_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    spectra = [sorted((float(m), float(i)) for m, i in zip(np.round(rng.choice([10, 10.5, 11, 30], n) + rng.uniform(0, 0.4, n), 2), rng.integers(0, 5, n), strict=True)) for n in rng.integers(1, 9, 60)]
+    left = frame(spark, [(k, m, i) for k, s in enumerate(spectra[:30]) for m, i in s], "a int, mz double, i double")
+    right = frame(spark, [(k, m, i) for k, s in enumerate(spectra[30:]) for m, i in s], "b int, mz double, i double")
+    expected = {(a, b): one_by_one(spectra[a], spectra[30 + b], 0.1) for a in range(30) for b in range(30)}
+    pairs = frame(spark, list(expected), "a int, b int")
+    got = {(r["a"], r["b"]): (r["score"], r["n"]) for r in screening.greedy_cosine(pairs, left, right).collect()}
+    assert got.keys() == expected.keys() and all(got[k] == (pytest.approx(s, abs=1e-12), n) for k, (s, n) in expected.items())
+    for least in (0.05, 0.5, 0.8, 0.95):
+        kept = {k for k, (s, _) in expected.items() if s >= least}
+        assert {(r["a"], r["b"]) for r in screening.greedy_search(left, right, least).collect()} == kept
+        near = screening.near_pairs(left, right, least).count()
+        assert len(kept) <= near <= 900 and (least < 0.9 or near < 500)
+    assert screening.greedy_search(left.limit(0), right, 0.5).count() == 0 and screening.greedy_search(left, right.limit(0), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("block, held", [(100_000, 1 << 22), (60, 1 << 22), (7, 30)])
+def test_mean_embeddings_in_blocks(spark, monkeypatch, block, held):
+    from peakloom.operators import similarity, vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(vectors, "AT_ONCE", 16)
+    monkeypatch.setattr(vectors, "HELD", held)
+    rng = np.random.default_rng(4)
+    table = {f"w{k}": rng.normal(size=5) for k in range(40)}
+    cells = [(f"d{d}" if d else None, f"w{w}", int(rng.integers(1, 9))) for d in range(12) for w in rng.choice(50, 6 if d else 45, replace=False)]  # one document is long, ten words have no vector
+    got = {}
+    for r in similarity.mean_embedding(frame(spark, cells, "doc string, word string, n int"), frame(spark, [(w, v.tolist()) for w, v in table.items()], "word string, v array<double>")).collect():
+        got.setdefault(r["doc"], {})[r["pos"]] = r["value"]
+    for doc in {d for d, _, _ in cells}:
+        own = [(table[w], math.sqrt(n)) for d, w, n in cells if d == doc and w in table]
+        assert (doc in got) == bool(own)
+        if own:
+            assert [got[doc][k] for k in range(5)] == pytest.approx(sum(v * n for v, n in own) / sum(n for _, n in own))
+    assert vectors.weighted_means(frame(spark, [], "doc string, word string, w double"), frame(spark, [], "word string, v array<double>")).count() == 0

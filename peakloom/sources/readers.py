@@ -1,23 +1,24 @@
 """Spectra and motif files as peak tables, and back.
 
 Text formats are split into blocks by Spark's reader and parsed with SQL functions; mzML and mzXML, which are XML with encoded
-arrays, are parsed spectrum by spectrum into Arrow batches. Scans of different files are different scans.
+arrays, are cut by it into spectra, and these are parsed into Arrow batches. Scans of different files are different scans.
 """
 
 from __future__ import annotations
 
 import base64
-import io
+import re
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .elements import json_objects
+
 READERS = {}
 NUMBER = r"[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?|[0-9]+\."
 PEAK = rf"(?m)(?:^|;)[ \t]*({NUMBER})[ \t,:]+({NUMBER})"  # several on a line are parted by semicolons
@@ -138,26 +139,35 @@ def read_columns(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumns({"i_norm": F.col("i") / F.max("i").over(scan), "i_tic_norm": F.col("i") / F.sum("i").over(scan)})
 
 
+LIBRARY = "spectrum_id string, peaks_json string, Precursor_MZ string"
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    return json_objects(spark, path).select(F.from_json("text", LIBRARY).alias("e")).select("e.*")
+
+
 @reader(".json")
-def read_library(spark: SparkSession, path: str, limit: int | None = 1_000_000) -> DataFrame:
-    """A JSON array of library spectra with peaks_json; entries of over `limit` characters are passed over (None: none), see left_out."""
-    rows = spark.read.schema(LIBRARY).json(path, multiLine=True)
+def read_library(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """A JSON array of library spectra with peaks_json, read by as many tasks as it has splits.
+
+    Where a limit is given, entries of more characters are passed over; left_out tells how many.
+    """
+    rows = _entries(spark, path)
     kept = rows if limit is None else rows.filter(F.length("peaks_json") <= limit)
     peaks = kept.select(F.col("spectrum_id").alias("scan"), F.col("Precursor_MZ").try_cast("double").alias("precmz"), F.posexplode(F.from_json("peaks_json", "array<array<double>>")).alias("peak_idx", "p"))
     return with_norms(peaks.select("scan", "precmz", "peak_idx", F.col("p")[0].alias("frag_mz"), F.col("p")[1].alias("frag_intens")).filter("frag_intens > 0"))
 
 
-LIBRARY = "spectrum_id string, peaks_json string, Precursor_MZ string"
-
+def left_out(spark: SparkSession, path: str, limit: int) -> int:
+    """How many entries read_library passes over under a limit."""
+    return _entries(spark, path).filter(F.length("peaks_json") > limit).count()
 
-def left_out(spark: SparkSession, path: str, limit: int = 1_000_000) -> int:
-    """How many entries read_library passes over for their length."""
-    return spark.read.schema(LIBRARY).json(path, multiLine=True).filter(F.length("peaks_json") > limit).count()
 
-
-RAW = "scan string, ms_level int, mz double, i double, rt double, polarity int, precmz double, charge int, mobility double, n bigint"
-RAW_KINDS = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.int64()]
-ROWS_AT_ONCE = 1 << 16
+#: Of one spectrum; ms1: the last MS1 scan with a peak up to it, in its split; place: its number in its split.
+SPECTRUM = "scan string, ms_level int, mz array<double>, i array<double>, rt double, polarity int, precmz double, charge int, mobility double, place bigint, ms1 struct<scan:string,place:bigint>, file string, split bigint"
+SPECTRUM_NAMES = [c.split(" ")[0] for c in SPECTRUM.split(", ")]
+SPECTRUM_KINDS = [pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.int64(), pa.struct([("scan", pa.string()), ("place", pa.int64())]), pa.string(), pa.int64()]
+PEAKS_AT_ONCE = 1 << 16
 MOBILITY = ("product ion mobility", "ion mobility drift time", "inverse reduced ion mobility")
 
 
@@ -171,100 +181,99 @@ def _tag(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2]
 
 
-def _mzml(file) -> Iterator[tuple]:
-    """Spectra with an MS level, one at a time: scan, level, m/z, intensities, minutes, polarity, precursor, charge, mobility, place."""
-    n = 0
-    for _, e in ET.iterparse(file, events=("end",)):
-        if _tag(e) != "spectrum":
-            continue
-        n += 1
-        params = {p.get("name"): p for p in e.iter() if _tag(p) == "cvParam"}
-        if "ms level" in params:
-            time = params.get("scan start time")
-            value = lambda name: float(params[name].get("value")) if name in params else None  # noqa: B023, E731
-            arrays = {}
-            for a in (x for x in e.iter() if _tag(x) == "binaryDataArray"):
-                names = {p.get("name") for p in a.iter() if _tag(p) == "cvParam"}
-                text = next((b.text for b in a.iter() if _tag(b) == "binary"), None)
-                arrays["mz" if "m/z array" in names else "i"] = _floats(text, 64 if "64-bit float" in names else 32, "zlib compression" in names, "<")
-            yield (
-                e.get("id", "").rpartition("scan=")[2].split(" ")[0] or str(n), int(params["ms level"].get("value")), arrays.get("mz", np.zeros(0)), arrays.get("i", np.zeros(0)),
-                float(time.get("value")) / (60 if time.get("unitName") == "second" else 1) if time is not None else None,
-                1 if "positive scan" in params else 2 if "negative scan" in params else 0,
-                value("selected ion m/z"), int(value("charge state") or 0), next((v for v in map(value, MOBILITY) if v is not None), None), n,
-            )
-        e.clear()
-
-
-def _mzxml(file) -> Iterator[tuple]:
-    """Scans, which may hold scans; one is whole when its own peaks have ended."""
-    n, open_scans = 0, []
-    for event, e in ET.iterparse(file, events=("start", "end")):
-        tag = _tag(e)
-        if event == "start":
-            if tag == "scan":
-                n += 1
-                open_scans.append((n, e.attrib, {}))
-            continue
-        if tag == "precursorMz" and open_scans:
-            open_scans[-1][2]["precursor"] = (float(e.text), int(e.get("precursorCharge", 0)))
-        elif tag == "peaks" and open_scans:
-            place, scan, own = open_scans[-1]
-            values = _floats(e.text, int(e.get("precision", 32)), e.get("compressionType") == "zlib", ">")
-            precursor, charge = own.get("precursor", (None, 0))
-            rt = float(scan.get("retentionTime", "PT0S").strip("PTS") or 0) / 60
-            yield scan.get("num"), int(scan.get("msLevel")), values[::2], values[1::2], rt, {"+": 1, "-": 2}.get(scan.get("polarity"), 0), precursor, charge, None, place
-        elif tag == "scan":
-            open_scans.pop()
-        if tag in ("peaks", "scan"):
-            e.clear()
-
-
-def _opened(path: str, content: bytes | None):
-    """A file by pyarrow's file systems where they know its scheme, so that it is read piece by piece; else what Spark has read."""
-    return io.BytesIO(content) if content is not None else fs.FileSystem.from_uri(path)[0].open_input_stream(fs.FileSystem.from_uri(path)[1])
+Spectrum = tuple[str | None, int, np.ndarray, np.ndarray, float | None, int, float | None, int, float | None]
+
+
+def _mzml(text: str) -> Spectrum | None:
+    """One spectrum with an MS level: scan, level, m/z, intensities, minutes, polarity, precursor, charge, mobility."""
+    e = ET.fromstring(text)
+    params = {p.get("name"): p for p in e.iter() if _tag(p) == "cvParam"}
+    if "ms level" not in params:
+        return None
+    time = params.get("scan start time")
+    value = lambda name: float(params[name].get("value")) if name in params else None
+    arrays = {}
+    for a in (x for x in e.iter() if _tag(x) == "binaryDataArray"):
+        names = {p.get("name") for p in a.iter() if _tag(p) == "cvParam"}
+        data = next((b.text for b in a.iter() if _tag(b) == "binary"), None)
+        arrays["mz" if "m/z array" in names else "i"] = _floats(data, 64 if "64-bit float" in names else 32, "zlib compression" in names, "<")
+    return (
+        e.get("id", "").rpartition("scan=")[2].split(" ")[0] or None, int(params["ms level"].get("value")), arrays.get("mz", np.zeros(0)), arrays.get("i", np.zeros(0)),
+        float(time.get("value")) / (60 if time.get("unitName") == "second" else 1) if time is not None else None,
+        1 if "positive scan" in params else 2 if "negative scan" in params else 0,
+        value("selected ion m/z"), int(value("charge state") or 0), next((v for v in map(value, MOBILITY) if v is not None), None),
+    )
+
+
+def _mzxml(text: str) -> Spectrum | None:
+    """One scan up to the end of its peaks, before the scans it holds."""
+    e = ET.fromstring(text)
+    own = {_tag(x): x for x in e}
+    peaks, precursor = own["peaks"], own.get("precursorMz")
+    values = _floats(peaks.text, int(peaks.get("precision", 32)), peaks.get("compressionType") == "zlib", ">")
+    mz, charge = (float(precursor.text), int(precursor.get("precursorCharge", 0))) if precursor is not None else (None, 0)
+    rt = float(e.get("retentionTime", "PT0S").strip("PTS") or 0) / 60
+    return e.get("num"), int(e.get("msLevel")), values[::2], values[1::2], rt, {"+": 1, "-": 2}.get(e.get("polarity"), 0), mz, charge, None
+
+
+#: By format: what spectra are cut at, how one begins, what closes it again, and its parser.
+RAW = {"mzml": ("</spectrum>", re.compile(r"<spectrum\s"), "</spectrum>", _mzml), "mzxml": ("</peaks>", re.compile(r"<scan\s"), "</peaks></scan>", _mzxml)}
 
 
 @reader(".mzml", ".mzxml")
 def read_raw(spark: SparkSession, path: str, least: float = 0.0, top: int | None = None) -> DataFrame:
     """Peaks of every level with ms1scan, the last MS1 scan that had a peak.
 
-    least: peaks with an m/z or intensity below it are left out; top: of MS2 scans the most intense peaks that stay. Files are read
-    spectrum by spectrum.
+    least: peaks with an m/z or intensity below it are left out; top: of MS2 scans the most intense peaks that stay. A file is read by as many
+    tasks as it has splits: Spark's text reader cuts it behind each spectrum's data. In a split spectra come in order; what goes
+    over its edge, how many there were and the last MS1 scan, is put together from one row for each split.
     """
-    parse = _mzxml if path.lower().endswith("mzxml") else _mzml
-    names = [c.split(" ")[0] for c in RAW.split(", ")]
+    between, begin, end, parse = RAW[path.lower().rpartition(".")[2]]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(held: list[tuple], name: str) -> pa.RecordBatch:
-            sizes = [len(x[2]) for x in held]
-            flat = [np.concatenate([x[k] for x in held]) if k in (2, 3) else pa.array([x[k] for x in held], kind).take(pa.array(np.repeat(np.arange(len(held)), sizes))) for k, kind in enumerate(RAW_KINDS)]
-            return pa.RecordBatch.from_arrays([*(pa.array(x) if isinstance(x, np.ndarray) else x for x in flat), pa.array([name] * sum(sizes), pa.string())], [*names, "file"])
-
+        own, place, ms1 = None, 0, None
+        held, n = [], 0
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), SPECTRUM_KINDS, strict=True)], SPECTRUM_NAMES)
         for b in batches:
-            for name, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                held, n = [], 0
-                with _opened(name, content) as file:
-                    for scan, level, mz, i, *rest in parse(file):
-                        keep = np.flatnonzero((i[: len(mz)] > 0) & (mz[: len(i)] >= least) & (i[: len(mz)] >= least))
-                        if top is not None and level == 2 and len(keep) > top:
-                            keep = np.sort(keep[np.argsort(i[keep], kind="stable")[-top:]])
-                        held.append((scan, level, mz[keep], i[keep], *rest))
-                        n += len(keep)
-                        if n >= ROWS_AT_ONCE:
-                            yield table(held, name)
-                            held, n = [], 0
-                if n:
-                    yield table(held, name)
-
-    files = spark.read.format("binaryFile").load(path)
-    peaks = files.select("path", F.lit(None).cast("binary").alias("content") if _all_known(files) else "content").mapInArrow(rows, RAW + ", file string")
-    before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return peaks.withColumn("ms1scan", F.last(F.when(F.col("ms_level") == 1, F.col("scan")), True).over(before))
-
-
-def _all_known(files: DataFrame) -> bool:
-    return all(p.partition(":")[0] in ("file", "hdfs", "s3", "gs", "abfs", "abfss") for p in files.inputFiles())
+            for file, split, text in zip(*(b[c].to_pylist() for c in ("file", "split", "value")), strict=True):
+                if (file, split) != own:
+                    own, place, ms1 = (file, split), 0, None
+                start = [m.start() for m in begin.finditer(text)]
+                if not start:
+                    continue  # what follows the last spectrum
+                place += 1
+                if (found := parse(text[start[-1] :] + end)) is None:
+                    found, peaks = (None, None, [], [], None, None, None, None, None), 0
+                else:
+                    scan, level, mz, i, *rest = found
+                    keep = np.flatnonzero((i[: len(mz)] > 0) & (mz[: len(i)] >= least) & (i[: len(mz)] >= least))
+                    if top is not None and level == 2 and len(keep) > top:
+                        keep = np.sort(keep[np.argsort(i[keep], kind="stable")[-top:]])
+                    found, peaks = (scan, level, mz[keep], i[keep], *rest), len(keep)
+                    if level == 1 and peaks:
+                        ms1 = {"scan": scan, "place": place}
+                held.append((*found, place, ms1, file, split))
+                n += peaks
+                if n >= PEAKS_AT_ONCE or len(held) >= PEAKS_AT_ONCE:
+                    yield table()
+                    held, n = [], 0
+        if held:
+            yield table()
+
+    text = spark.read.text(path, lineSep=between).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    spectra = text.mapInArrow(rows, SPECTRUM)
+    ends = spectra.groupBy("file", "split").agg(F.max("place").alias("places"), F.max_by("ms1", "place").alias("last"))
+    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("before", F.coalesce(F.sum("places").over(ahead), F.lit(0)))
+    name = lambda s, place: F.coalesce(s, (F.col("before") + place).cast("string"))
+    ends = ends.withColumn("last", F.when(F.col("last").isNotNull(), name(F.col("last.scan"), F.col("last.place")))).withColumn("ahead", F.last("last", True).over(ahead))
+    placed = spectra.join(F.broadcast(ends.select("file", "split", "before", "ahead")), ["file", "split"])  # a row for each split
+    peaks = placed.select(
+        name(F.col("scan"), F.col("place")).alias("scan"), "ms_level", F.inline(F.arrays_zip("mz", "i")).alias("mz", "i"), "rt", "polarity", "precmz", "charge", "mobility",
+        (F.col("before") + F.col("place")).alias("n"), "file",
+        F.coalesce(F.when(F.col("ms1").isNotNull(), name(F.col("ms1.scan"), F.col("ms1.place"))), F.col("ahead")).alias("ms1scan"),
+    )
+    return peaks
 
 
 def read_m2m(spark: SparkSession, path: str) -> DataFrame:

@@ -1,10 +1,13 @@
 import base64
+import json
+import random
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from peakloom.sources import readers
+from peakloom.sources import elements, readers
 
 
 def test_mgf_round_trip(spark, tmp_path):
@@ -104,3 +107,64 @@ def test_motif_text_and_store(spark, tmp_path):
     assert nested.select(F.size("frag_mz")).first()[0] == 2
     assert sorted(map(repr, readers.exploded_motifs(nested).select(*rows.columns).collect())) != []
     assert readers.exploded_motifs(nested).filter("frag_mz is null").count() == 1
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_raw_file_is_read_by_several_tasks(spark, tmp_path, small_splits):
+    rng = random.Random(6)
+    array = lambda k, v: f'<binaryDataArray><cvParam name="64-bit float"/><cvParam name="{k}"/><binary>{base64.b64encode(struct.pack(f"<{len(v)}d", *v)).decode()}</binary></binaryDataArray>'
+    spectra, scans, expected, last = [], [], [], None
+    for n in range(1, 161):
+        level = 1 if rng.random() < 0.04 else 2
+        peaks = [(rng.randint(50, 900) / 2, rng.randint(0, 3)) for _ in range(rng.randint(0, 6))]
+        name = f"scan={n + 1000}" if n % 3 else ""  # without a number it goes by its place
+        spectra.append(f'<spectrum index="{n}" id="{name}">\n<cvParam name="ms level" value="{level}"/>{array("m/z array", [m for m, _ in peaks])}{array("intensity array", [i for _, i in peaks])}</spectrum>')
+        flat = [float(x) for p in peaks for x in p]
+        scans.append(f'<scan num="{n + 1000}" msLevel="{level}"><peaks precision="32">{base64.b64encode(struct.pack(f">{len(flat)}f", *flat)).decode()}</peaks></scan>')
+        kept = [(m, i) for m, i in peaks if i > 0]
+        own = str(n + 1000) if n % 3 else str(n)
+        last = own if level == 1 and kept else last
+        expected += [(n, own, level, m, float(i), last) for m, i in kept]
+    (tmp_path / "a.mzML").write_text(f'<?xml version="1.0"?><indexedmzML><mzML><run><spectrumList count="160">{"".join(spectra)}</spectrumList></run></mzML><indexList><index name="spectrum"/></indexList></indexedmzML>')
+    df = readers.read_raw(spark, str(tmp_path / "a.mzML"))
+    assert spark.read.text(str(tmp_path / "a.mzML"), lineSep="</spectrum>").rdd.getNumPartitions() > 8
+    got = [(r["n"], r["scan"], r["ms_level"], r["mz"], r["i"], r["ms1scan"]) for r in df.collect()]
+    assert sorted(got) == sorted(expected) and len({e[-1] for e in expected}) > 3
+    (tmp_path / "b.mzXML").write_text(f"<mzXML><msRun>{''.join(scans)}</msRun></mzXML>")
+    parted = {(r["n"], r["mz"], r["i"], r["ms1scan"] and int(r["ms1scan"]) - 1000) for r in readers.read_raw(spark, str(tmp_path / "b.mzXML")).collect()}
+    place = {name: n for n, name, *_ in expected}
+    assert parted == {(n, m, i, ms1 and place[ms1]) for n, _, _, m, i, ms1 in expected}
+
+
+def test_library_entries_cross_splits(spark, tmp_path, small_splits):
+    rng = random.Random(7)
+    words = ["a", '"', "\\", "}", "{", "]", "[", ",", "é", "\n", "}{", '\\"', "日"]
+    entries = []
+    for k in range(120):
+        peaks = [[rng.randint(1, 9) / 2, rng.randint(1, 5)] for _ in range(rng.choice([1, 3, 900 if k % 40 == 5 else 6]))]  # some are longer than a split
+        entries.append({"spectrum_id": f"s{k}", "note": "".join(rng.choices(words, k=rng.randint(0, 30))), "peaks_json": json.dumps(peaks), "more": {"x": [{"y": "}"}]}, "Precursor_MZ": str(k)})
+    want = sorted((e["spectrum_id"], float(e["Precursor_MZ"]), len(json.loads(e["peaks_json"]))) for e in entries)
+    for name, text in {"compact": json.dumps(entries), "indented": json.dumps(entries, indent=2, ensure_ascii=False), "lines": "\n".join(map(json.dumps, entries)), "one": json.dumps(entries[0])}.items():
+        path = str(tmp_path / f"{name}.json")
+        (tmp_path / f"{name}.json").write_text(text)
+        rows = readers.read_library(spark, path).groupBy("scan", "precmz").count().collect()
+        assert sorted(map(tuple, rows)) == (want if name != "one" else want[:1]), name
+        if name != "one":
+            assert spark.read.text(path, lineSep="}").rdd.getNumPartitions() > 5
+    objects = [json.loads(r["text"]) for r in elements.json_objects(spark, str(tmp_path / "*.json")).collect()]
+    assert sorted(x["spectrum_id"] for x in objects) == sorted([e["spectrum_id"] for e in entries] * 3 + ["s0"]) and all(x in entries for x in objects)
+    (tmp_path / "empty.json").write_text("[]")
+    assert readers.read_library(spark, str(tmp_path / "empty.json")).count() == 0
+
+
+def test_a_long_library_entry_is_read(spark, tmp_path):
+    peaks = json.dumps([[100.5, 1.0]] * 100_000)
+    (tmp_path / "a.json").write_text(json.dumps([{"spectrum_id": "long", "peaks_json": peaks}, {"spectrum_id": "short", "peaks_json": "[[1.5, 2.0]]"}]))
+    assert len(peaks) > 1_000_000 and readers.read_spectra(spark, str(tmp_path / "a.json")).count() == 100_001
+    assert readers.left_out(spark, str(tmp_path / "a.json"), 1_000_000) == 1

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def mixture_distances(left: DataFrame, right: DataFrame) -> DataFrame:
     """(doc, cosine, js) of two theta tables (doc, topic, p); js: Jensen-Shannon divergence in nats. A missing row is 0."""
@@ -106,11 +110,91 @@ def group_split(sizes: dict[str, int], shares: dict[str, float], seed: int) -> d
     return out
 
 
+class Slots:
+    """Where the groups of one size go, in order, from what the splits have before them.
+
+    A split's next group of that size has a key, its overshoot and then what is missing less; the greedy rule takes the least key of all splits.
+    A split's keys only rise, so the rule takes all splits' slots in the order of their keys, and how many each has taken after any
+    number of groups is found by bisection. Slots of equal keys go by digest, which the groups decide.
+    """
+
+    def __init__(self, shares: list[float], total: int, have: list[int], size: int, seed: int) -> None:
+        self.want, self.have, self.size, self.seed = [share * total for share in shares], have, size, seed
+
+    def key(self, split: int, taken: int) -> tuple[float, float]:
+        want, have = self.want[split], self.have[split] + taken * self.size
+        return max(have + self.size - want, 0.0) / max(want, 1.0), -((want - have) / max(want, 1.0))
+
+    def below(self, key: tuple[float, float], most: int) -> list[int]:
+        """How many slots of each split, at most `most`, have a lesser key."""
+        return [bisect.bisect_left(range(most), key, key=lambda k, s=s: self.key(s, k)) for s in range(len(self.want))]
+
+    def after(self, n: int) -> tuple[int, list[int]]:
+        """The greatest number of groups, at most n, after which no slots of equal keys are open, and what each split has taken then."""
+        best = [0] * len(self.want)
+        for s in range(len(self.want)):
+            low = bisect.bisect_right(range(n + 1), n, key=lambda k, s=s: sum(self.below(self.key(s, k), n + 1))) - 1
+            if low >= 0:
+                best = max(best, self.below(self.key(s, low), n + 1), key=sum)
+        return sum(best), best
+
+    def deal(self, taken: list[int], groups: list[str], names: list[str]) -> list[int]:
+        """The splits of the groups that come next, one by one; `taken` goes on."""
+        out = []
+        for g in groups:
+            keys = [self.key(s, k) for s, k in enumerate(taken)]
+            tied = [s for s, k in enumerate(keys) if k == min(keys)]
+            chosen = tied[0] if len(tied) == 1 else min(tied, key=lambda s: hashlib.sha256(f"{self.seed}\0{g}\0{names[s]}".encode()).hexdigest())  # noqa: B023
+            out.append(chosen)
+            taken[chosen] += 1
+        return out
+
+
+CHUNK = 10_000
+
+
 def split_by_group(records: DataFrame, group: str, shares: dict[str, float], seed: int) -> DataFrame:
-    """records with `split`, whole groups in one split; one row for each group is collected, as the choice goes from group to group."""
-    sizes = {r[group]: r["n"] for r in records.groupBy(group).agg(F.count("*").alias("n")).toLocalIterator()}
-    chosen = records.sparkSession.createDataFrame(list(group_split(sizes, shares, seed).items()), f"{group} {records.schema[group].dataType.simpleString()}, split string")
-    return records.join(chosen, group)
+    """records with `split`, whole groups in one split, as group_split deals them; rows without a group go.
+
+    Groups are ranked by size and digest without coming to the driver. It sees one row for each different size, of which
+    there are at most the square root of twice the records, and the last few groups of each, and works out what the splits have when a size
+    begins. Chunks of groups of one size are then dealt apart, each from the state that bisection finds for its first rank.
+    """
+    names, few = list(shares), max(len(shares) - 1, 1)
+    kind = records.schema[group].dataType.simpleString()
+    sizes = records.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"))
+    ranked = numbered(sizes.withColumn("d", F.sha2(F.concat(F.lit(f"{seed}\0"), F.col("g").cast("string")), 256)), F.desc("n"), "d", name="rank")
+    runs = sorted((-r["n"], r["groups"], r["first"]) for r in ranked.groupBy("n").agg(F.count("*").alias("groups"), F.min("rank").alias("first")).collect())
+    total = sum(-n * c for n, c, _ in runs)
+    spark = records.sparkSession
+    listed = F.broadcast(spark.createDataFrame([(-n, c, f) for n, c, f in runs], "n bigint, groups bigint, first bigint"))
+    placed = ranked.join(listed, "n").withColumn("r", F.col("rank") - F.col("first"))
+    last: dict[int, list[str]] = {}
+    for r in sorted(placed.filter(F.col("r") >= F.col("groups") - few).select("n", "r", F.col("g").cast("string").alias("g")).collect()):
+        last.setdefault(r["n"], []).append(r["g"])
+    have, states = [0] * len(names), {}
+    for n, count, _ in runs:
+        states[-n] = list(have)
+        slots = Slots(list(shares.values()), total, list(have), -n, seed)
+        done, taken = (0, [0] * len(names)) if count <= few else slots.after(count)
+        slots.deal(taken, last[-n][len(last[-n]) - (count - done) :] if count > done else [], names)
+        have = [h + k * -n for h, k in zip(have, taken, strict=True)]
+    shared = spark.sparkContext.broadcast(states)
+
+    def dealt(table: pa.Table) -> pa.Table:
+        table = table.sort_by("r")
+        n, chunk, ranks, groups = table["n"][0].as_py(), table["chunk"][0].as_py(), table["r"].to_pylist(), table["name"].to_pylist()
+        slots = Slots(list(shares.values()), total, shared.value[n], n, seed)
+        begin, taken = slots.after(chunk * CHUNK)
+        at = ranks.index(begin)  # at most a few groups before the chunk
+        split = slots.deal(taken, groups[at:], names)
+        own = [k for k in range(at, len(ranks)) if ranks[k] >= chunk * CHUNK]
+        return pa.table({"g": table["g"].take(pa.array(own)), "split": [names[split[k - at]] for k in own]})
+
+    chunks = F.sequence(F.floor(F.col("r") / CHUNK), F.floor((F.col("r") + few) / CHUNK))  # the last few before a chunk are seen there too
+    rows = placed.select("g", F.col("g").cast("string").alias("name"), "n", "r", F.explode(chunks).alias("chunk")).filter(F.col("chunk") * CHUNK < F.col("groups"))
+    chosen = rows.groupBy("n", "chunk").applyInArrow(dealt, f"g {kind}, split string").withColumnRenamed("g", group)
+    return records.join(chosen.hint("merge"), group)
 
 
 def leakage(records: DataFrame, key: str, split: str = "split") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import itertools
 import math
 
@@ -61,3 +63,35 @@ def test_group_split_by_brute_force(spark):
     rows = spark.createDataFrame([(g, k) for g, n in sizes.items() for k in range(n)], "g string, k int")
     out = metrics.split_by_group(rows, "g", shares, 5).collect()
     assert len(out) == sum(sizes.values()) and all(r["split"] == expected[r["g"]] for r in out)
+
+
+SPLITS = [{"train": 0.7, "validation": 0.15, "test": 0.15}, {"train": 0.5, "test": 0.5}, {"a": 0.31, "b": 0.3, "c": 0.2, "d": 0.19}, {"all": 1.0}]
+
+
+@pytest.mark.parametrize("shares", SPLITS)
+def test_slots_are_those_of_the_greedy_rule(shares):
+    rng = random.Random(len(shares))
+    for _ in range(60):
+        have = [rng.randint(0, 40) for _ in shares]
+        total, size, n = sum(have) + rng.randint(1, 300), rng.randint(1, 9), rng.randint(0, 40)
+        slots = metrics.Slots(list(shares.values()), total, have, size, 3)
+        groups = [f"g{rng.random()}" for _ in range(n)]
+        taken = [0] * len(shares)
+        whole = slots.deal(taken, groups, list(shares))
+        for k in range(n + 1):
+            begin, state = slots.after(k)
+            assert begin <= k < begin + len(shares) and [whole[:begin].count(s) for s in range(len(shares))] == state
+            assert slots.deal(state, groups[begin:], list(shares)) == whole[begin:]
+
+
+@pytest.mark.parametrize("shares", SPLITS)
+@pytest.mark.parametrize("chunk", [10_000, 7, 1])
+def test_groups_are_split_apart_as_one_after_the_other(spark, shares, chunk, monkeypatch):
+    monkeypatch.setattr(metrics, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    sizes = {f"g{k}": rng.choice([1, 1, 1, 2, 2, 3, 5, 30 + k % 4]) for k in range(90)}
+    rows = spark.createDataFrame([(g, k) for g, n in sizes.items() for k in range(n)] + [(None, 0)], "g string, k int").repartition(5)
+    out = metrics.split_by_group(rows, "g", shares, 3).collect()
+    assert len(out) == sum(sizes.values())
+    assert {r["g"]: r["split"] for r in out} == metrics.group_split(sizes, shares, 3)
+    assert metrics.split_by_group(rows.limit(0), "g", shares, 3).count() == 0

@@ -58,7 +58,7 @@ def topic_run(spark: SparkSession, path: str, folder: str, options: dict) -> Non
     motifs.motif_spectra(topics.top_words(beta, options["motif_words"]), options["digits"]).write.parquet(f"{folder}/motifs")
     phi = lda.responsibilities(docs, model).join(ids, "id").select("doc", "word", "topic", "p")
     topics.overlap(beta, phi).write.parquet(f"{folder}/overlap")
-    for name, part in topics.exported(spark.read.parquet(f"{folder}/theta"), beta, phi).items():
+    for name, part in topics.exported(spark.read.parquet(f"{folder}/theta"), beta, phi, gamma=lda.gammas(docs, model)).items():
         part.write.parquet(f"{folder}/viewer/{name}")
     network.write_graphml(network.feature_edges(motifs.network_features(spark.read.parquet(f"{folder}/motifs"))), f"{folder}/network.graphml")
     write_text(spark, f"{folder}/run.json", json.dumps(runs.manifest(spark, options, path) | {"history": model.history, "checks": model.checks}))

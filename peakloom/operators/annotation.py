@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .screening import clustered_hits, selected_hits
-from .similarity import containment, cosine_top, unique_hits, unit
+from ..functions.scalars import fixed_word
+from ..plans.compiler import run
+from .ordered import numbered
+from .similarity import containment, cosine_pairs, cosine_top, unique_hits, unit
 from .vectors import weighted_means
 
 PROTON = 1.007276470  # fixed value: mass of a proton
@@ -146,3 +149,49 @@ def reference_library(spectra: DataFrame, vectors: DataFrame, digits: int = 2, p
     from .peaks import clean, words
 
     return weighted_means(words(clean(spectra, **cleaning), digits).select(F.col("scan").alias("doc"), "word", (F.col("n") / 100).alias("w")), vectors, power)
+
+
+REFERENCE = ("motifset", "motif_id", "short_annotation", "auto_annotation", "annotation", "charge")
+
+
+def motif_words(peaks: DataFrame, key: str, digits: int = 2) -> DataFrame:
+    """(doc, word, w) of fragments and losses with their intensities, each word once."""
+    sides = [peaks.select(F.col(key).alias("doc"), fixed_word(kind, F.col(mz), digits).alias("word"), F.col(i).cast("double").alias("w")).filter(F.col(mz).isNotNull()) for kind, mz, i in (("frag", "frag_mz", "frag_intens"), ("loss", "loss_mz", "loss_intens")) if mz in peaks.columns]
+    both = sides[0]
+    for side in sides[1:]:
+        both = both.unionByName(side)
+    return both.groupBy("doc", "word").agg(F.sum("w").alias("w"))
+
+
+def screen_store(store: tuple[DataFrame | None, DataFrame], query: str, vectors: DataFrame, spectra: DataFrame | None = None, motifs: DataFrame | None = None, least: float = 0.5, digits: int = 2, power: float = 0.5) -> DataFrame:
+    """(hit_id, screen_type, score, ref_*): spectra and motifs that are like the motifs of a store that a peak query finds, one call from query to list.
+
+    store: (ms1, ms2) tables of motifs with motif_id, and whatever else is known of them; spectra and motifs: peaks (scan or motif_id, frag_mz,
+    frag_intens, loss_mz, loss_intens); vectors (word, v). Cosines of mean word vectors from `least` on, rounded to two digits; `ranked_hits` puts them
+    in order. A query that finds no motif is an error.
+    """
+    ms1, ms2 = store
+    found = run(query, ms1, ms2).select("scan").distinct()
+    kept = ms2.join(found, "scan", "left_semi")
+    if kept.isEmpty():
+        raise ValueError("no motif of the store matches the query")
+    known = kept.groupBy("motif_id").agg(*(F.max(c).alias(f"ref_{c}") for c in REFERENCE if c in ms2.columns and c != "motif_id"))
+    number = F.xxhash64("doc")  # vectors meet under numbers; names come back in a join
+    library = weighted_means(motif_words(kept, "motif_id", digits), vectors, power).withColumn("id", number)
+    out = None
+    for kind, peaks, key in (("spectrum-motif", spectra, "scan"), ("motif-motif", motifs, "motif_id")):
+        if peaks is None:
+            continue
+        asked = weighted_means(motif_words(peaks, key, digits), vectors, power).withColumn("query", number)
+        hits = cosine_pairs(library.select("id", "v"), asked.select("query", "v"), least)
+        hits = hits.join(asked.select("query", F.col("doc").cast("string").alias("hit_id")), "query").join(library.select("id", F.col("doc").alias("motif_id")), "id")
+        part = hits.select("hit_id", F.lit(kind).alias("screen_type"), F.round("score", 2).alias("score"), "motif_id").join(known, "motif_id").withColumnRenamed("motif_id", "ref_motif_id")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("spectra or motifs are needed")
+    return out
+
+
+def ranked_hits(hits: DataFrame) -> DataFrame:
+    """Hits with their place: best score first, then by name."""
+    return numbered(hits, F.desc("score"), "hit_id", "ref_motif_id", "screen_type", name="place")

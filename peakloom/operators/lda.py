@@ -243,6 +243,12 @@ def infer(docs: DataFrame, model: TopicModel, steps: int = 30, tol: float = 1e-4
     return _inferred(docs, model, steps, tol, shares, "theta", "array<double>").select("doc", F.posexplode("theta").alias("topic", "p"))
 
 
+def gammas(docs: DataFrame, model: TopicModel, steps: int = 30, tol: float = 1e-4) -> DataFrame:
+    """(doc, topic, gamma): the Dirichlet parameters of each bag's mixture under frozen topics."""
+    listed = lambda ids, counts, bounds, log_beta, gamma: arrays(gamma)
+    return _inferred(docs, model, steps, tol, listed, "g", "array<double>").select("doc", F.posexplode("g").alias("topic", "gamma"))
+
+
 def responsibilities(docs: DataFrame, model: TopicModel, steps: int = 30, tol: float = 1e-4, least: float = 1e-2) -> DataFrame:
     """(doc, id, topic, p): the shares of topics in each document's words under frozen topics, from `least` on."""
     shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(expected_log(model.lam).T), model.alpha))

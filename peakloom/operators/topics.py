@@ -100,10 +100,11 @@ def of_document(theta: DataFrame, doc: object, least: float = 0.01) -> DataFrame
     return theta.filter((F.col("doc") == F.lit(doc)) & (F.col("p") >= least)).orderBy(F.desc("p"), "topic")
 
 
-def exported(theta: DataFrame, beta: DataFrame, phi: DataFrame | None = None, least: tuple[float, float, float] = (1e-2, 1e-3, 1e-2)) -> dict[str, DataFrame]:
-    """theta and beta above, and phi from, their limits: what a viewer is given."""
+def exported(theta: DataFrame, beta: DataFrame, phi: DataFrame | None = None, least: tuple[float, float, float] = (1e-2, 1e-3, 1e-2), gamma: DataFrame | None = None) -> dict[str, DataFrame]:
+    """theta and beta above, and phi from, their limits, and gamma whole: what a viewer is given."""
     out = {"theta": theta.filter(F.col("p") > least[0]), "beta": beta.filter(F.col("p") > least[1])}
-    return out if phi is None else out | {"phi": phi.filter(F.col("p") >= least[2])}
+    out |= {} if phi is None else {"phi": phi.filter(F.col("p") >= least[2])}
+    return out if gamma is None else out | {"gamma": gamma}
 
 
 def with_metadata(theta: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars, sketches
-from .operators import annotation, lda, metrics, motifs, network, ordered, peaks, screening, similarity, summaries, topic_table, topics
+from .operators import annotation, lda, metrics, motifs, network, ordered, peaks, runs, screening, similarity, summaries, topic_table, topics
 from .registry import PEAKS, THETA, named, q6, r6, register
 from .sources import readers, sinks
 from .sources.adapters import beta, ms2_peaks, theta
@@ -684,3 +684,68 @@ def greedy_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     spectra = ms2_peaks(spark, sf_dir).select("scan", "charge", F.col("frag_mz").alias("mz"), F.col("frag_intens").alias("i"))
     side = lambda charge, name: spectra.filter(F.col("charge") == charge).select(F.col("scan").alias(name), "mz", "i")
     return screening.greedy_search(side(1, "a"), side(2, "b"), 0.6).select("a", "b", r6("score").alias("score"), "n")
+
+
+@register("lda_gamma", f"{LDA_SQL} select doc, k::int as topic, {q6('0.1e0 + sum(c)')} as gamma from phi group by 1, 2")
+def lda_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = fixed_topics(spark, sf_dir)
+    return lda.gammas(docs, model, steps=1).select("doc", "topic", r6("gamma").alias("gamma"))
+
+
+STORE_QUERY = "QUERY scannum(MS2DATA) WHERE MS2PROD=500:TOLERANCEMZ=0.5"
+
+
+@register(
+    "screen_store",
+    f"""{PEAKS}, c as (select scan, charge, motifset, short_annotation, 'frag@' || floor(frag_mz + 0.5e0)::bigint as word, sum(frag_intens) as w from ms2 group by all),
+    e as (select 'frag@' || vec_id as word, unnest(range(64))::int as pos, unnest(embedding)::double as x from embeddings),
+    m as (select scan, charge, pos, sum(sqrt(w) * x) / sum(sqrt(w)) as v from c join e using (word) group by 1, 2, 3), n as (select scan, charge, pos, v / sqrt(sum(v * v) over (partition by scan)) as v from m),
+    k as (select distinct scan, motif_id, motifset, short_annotation from ms2 where charge = 1 and scan in (select scan from ms2 where frag_mz > 499.5e0 and frag_mz < 500.5e0)),
+    s as (select a.scan as hit_id, b.scan as ref, sum(a.v * b.v) as score from n a join n b using (pos) where a.charge = 2 and b.scan in (select scan from k) group by 1, 2)
+    select hit_id, 'spectrum-motif' as screen_type, k.motif_id as ref_motif_id, k.motifset as ref_motifset, k.short_annotation as ref_short_annotation, count(*) over (partition by hit_id) as hits from s join k on ref = k.scan where score >= 0.6e0""",
+)
+def screen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubly charged spectra beside the singly charged ones, taken as motifs, that a query finds."""
+    spectra = ms2_peaks(spark, sf_dir).drop("loss_mz", "loss_intens")
+    words = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("frag@"), F.col("vec_id").cast("string")).alias("word"), F.col("embedding").cast("array<double>").alias("v"))
+    found = annotation.screen_store((None, spectra.filter("charge = 1")), STORE_QUERY, words, spectra.filter("charge = 2"), least=0.6, digits=0)
+    return found.select("hit_id", "screen_type", "ref_motif_id", "ref_motifset", "ref_short_annotation").withColumn("hits", F.count("*").over(Window.partitionBy("hit_id")))
+
+
+@register(
+    "lineage_faults",
+    """with o as (select o_orderkey as key, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as source, o_orderpriority as priority, o_orderstatus as status, year(o_orderdate) as iterations from orders),
+    p as (select a.*, b.priority as bp, b.status as bs, b.iterations as bi from o a join o b on a.source = b.key),
+    f as (select key, unnest(list_filter([case when status <> bs then 'changes status' end, case when priority <> bp and priority = '1-URGENT' then 'changes priority' end, case when iterations = bi and priority <> '1-URGENT' then 'keeps iterations' end,
+      case when iterations <> bi and iterations < bi and priority <> '1-URGENT' then 'does not raise iterations' end, case when iterations <> bi and priority = '1-URGENT' then 'changes iterations' end], lambda x: x is not null)) as fault from p)
+    select key, fault from f""",
+)
+def lineage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs, each derived from its customer's one before: urgent ones must keep their options, others must raise the year."""
+    orders = table(spark, sf_dir, "orders")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    options = F.create_map(F.lit("priority"), "o_orderpriority", F.lit("status"), "o_orderstatus", F.lit("iterations"), F.year("o_orderdate").cast("string"))
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "frozen").otherwise("later")
+    frame = orders.select(F.col("o_orderkey").alias("key"), before.alias("source"), kind.alias("kind"), F.lit("next").alias("reason"), options.alias("options"))
+    rules = {"frozen": runs.Rule(frozenset()), "later": runs.Rule(frozenset({"priority", "iterations"}), frozenset({"iterations"}), frozenset({"iterations"}))}
+    return runs.lineage_faults(frame, rules)
+
+
+@register(
+    "scalar_functions",
+    """select o_orderkey as key, round_even(o_totalprice::double / 1e5 * 100, 0)::bigint as times, case when length(o_orderpriority) > 6 then o_orderpriority[1:6] || '...' else o_orderpriority end as short,
+    sha256('7' || chr(0) || o_orderkey::varchar) as digest, nullif(regexp_extract('motif_' || o_orderkey, '([0-9]+)', 1), '')::bigint as number, lower(trim(' ' || o_orderstatus || '  ')) as name, o_orderstatus || ', ' || o_orderpriority as list,
+    case when o_custkey % 10 = 0 then null when o_custkey % 10 / 10e0 > 0.8e0 then 'high' when o_custkey % 10 / 10e0 > 0.6e0 then 'intermediate' else 'low' end as quality from orders""",
+)
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey") % 10 / F.lit(10.0))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("key"),
+        scalars.repetitions(F.col("o_totalprice").cast("double") / 1e5).alias("times"),
+        scalars.shortened(F.col("o_orderpriority"), 6).alias("short"),
+        scalars.stable_digest(7, F.col("o_orderkey").cast("string")).alias("digest"),
+        scalars.natural_number(F.concat(F.lit("motif_"), F.col("o_orderkey").cast("string"))).alias("number"),
+        scalars.normal_key(F.concat(F.lit(" "), "o_orderstatus", F.lit("  "))).alias("name"),
+        scalars.listed(F.array("o_orderstatus", "o_orderpriority")).alias("list"),
+        scalars.quality_bin(share).alias("quality"),
+    )

@@ -136,3 +136,23 @@ def test_keys_and_lists(spark):
     r = df.select(scalars.normal_key(F.col("k")).alias("k"), scalars.listed(F.col("w")).alias("l"), scalars.document_key(F.col("w")).alias("d")).first()
     assert (r["k"], r["l"], r["d"]) == ("precursor m/z", "a, b", __import__("hashlib").md5(b"ab").hexdigest()) and scalars.accuracy(2) == 0.005
     assert readers.read_spectra(spark, df) is df
+
+
+def test_screening_a_store_in_one_call(spark):
+    vectors = spark.createDataFrame([("frag@100.00", [1.0, 0.0]), ("frag@200.00", [0.0, 1.0]), ("loss@18.00", [1.0, 1.0])], "word string, v array<double>")
+    peaks = "scan string, motif_id string, motifset string, charge int, frag_mz double, frag_intens double, loss_mz double, loss_intens double"
+    store = spark.createDataFrame([("k1", "m1", "s", 1, 100.0, 1.0, None, None), ("k1", "m1", "s", 1, None, None, 18.0, 0.25), ("k2", "m2", "s", 1, 200.0, 1.0, None, None), ("k3", "m3", "t", 1, 100.0, 1.0, None, None)], peaks)
+    spectra = spark.createDataFrame([("7", 100.0, 4.0), ("8", 200.0, 1.0), ("9", 100.0, 1.0), ("9", 200.0, 1.0)], "scan string, frag_mz double, frag_intens double")
+    own = spark.createDataFrame([("mine", 200.0, 1.0)], "motif_id string, frag_mz double, frag_intens double")
+    query = "QUERY scannum(MS2DATA) WHERE MS2PROD=100:TOLERANCEMZ=0.1"
+    hits = annotation.screen_store((None, store), query, vectors, spectra, own, least=0.3)
+    assert {(r["hit_id"], r["screen_type"], r["score"], r["ref_motif_id"], r["ref_motifset"], r["ref_charge"]) for r in hits.collect()} == {
+        ("7", "spectrum-motif", 0.95, "m1", "s", 1), ("7", "spectrum-motif", 1.0, "m3", "t", 1), ("8", "spectrum-motif", 0.32, "m1", "s", 1),
+        ("9", "spectrum-motif", 0.89, "m1", "s", 1), ("9", "spectrum-motif", 0.71, "m3", "t", 1), ("mine", "motif-motif", 0.32, "m1", "s", 1),
+    }
+    ranked = annotation.ranked_hits(hits).orderBy("place").collect()
+    assert [r["score"] for r in ranked] == [1.0, 0.95, 0.89, 0.71, 0.32, 0.32] and [r["hit_id"] for r in ranked[-2:]] == ["8", "mine"]
+    with pytest.raises(ValueError, match="no motif"):
+        annotation.screen_store((None, store), query.replace("100", "999"), vectors, spectra)
+    with pytest.raises(ValueError, match="needed"):
+        annotation.screen_store((None, store), query, vectors)

@@ -83,3 +83,45 @@ def test_shared_folders_names_and_library_joins(spark, tmp_path):
     sinks.results_table(spark.createDataFrame([("7", 1.0)], "scan string, comment double"), str(tmp_path / "t"), filename="/x/y.mzML", original_path="z/y.mzML")
     r = spark.read.csv(str(tmp_path / "t"), header=True).first()
     assert (r["filename"], r["original_path"]) == ("y.mzML", "z/y.mzML")
+
+
+def manifest_of(inputs=None, **options):
+    body = {"options": options, "inputs": inputs or {"a": "1"}}
+    return body | {"key": runs.body_key(body)}
+
+
+def test_derivations_are_permitted_or_refused():
+    old = manifest_of(name="x", iterations=20, topics=5, threads=1, inspected=False, timing="before")
+    make = lambda **change: manifest_of(**(old["options"] | change))
+    more = runs.derived(old, make(iterations=40), "continuation", " not converged ")
+    assert more["derivation"] == {"from": old["key"], "kind": "continuation", "reason": "not converged"} and more["key"] == runs.body_key(more)
+    assert runs.derived(more, make(iterations=60), "continuation", "again")["derivation"]["from"] == more["key"]
+    assert runs.refused(old, make(threads=4, name="y"), "execution", "faster") == []
+    assert runs.refused(old, make(inspected=True, timing="after"), "correction", "a fault") == []
+    for change, kind, reason, why in [
+        ({"iterations": 40, "topics": 6}, "continuation", "r", ["changes topics"]), ({"iterations": 10}, "continuation", "r", ["does not raise iterations"]),
+        ({}, "continuation", "r", ["keeps iterations"]), ({"iterations": 40}, "continuation", "  ", ["reason"]), ({"threads": 2}, "evaluation", "r", ["changes threads", "keeps name"]),
+        ({"name": "y"}, "fancy", "r", ["kind"]), ({"inspected": True}, "correction", "r", ["keeps timing"]),
+    ]:
+        assert runs.refused(old, make(**change), kind, reason) == why
+        with pytest.raises(ValueError, match=why[0]):
+            runs.derived(old, make(**change), kind, reason)
+    assert runs.refused(old, manifest_of({"a": "2"}, **(old["options"] | {"iterations": 30})), "continuation", "r") == ["inputs"]
+    assert runs.refused(old | {"options": old["options"] | {"topics": 9}}, make(iterations=30), "continuation", "r") == ["changes topics", "earlier key"]
+    assert not runs.RULES["correction"].reuses & {"model"}
+
+
+def test_lineages_of_many_runs(spark):
+    rows = [("a", None, None, None, {"iterations": "5", "topics": "3"})]
+    rows += [(f"c{k}", f"c{k - 1}" if k else "a", "continuation", "more", {"iterations": str(6 + k), "topics": "3"}) for k in range(20)]
+    rows += [("lost", "gone", "execution", "r", {}), ("after", "lost", "execution", "r", {"name": "n"}), ("x", "y", "execution", "r", {}), ("y", "z", "execution", "r", {}), ("z", "x", "execution", "r", {}), ("on", "x", "execution", "r", {})]
+    rows += [("low", "a", "continuation", "", {"iterations": "4", "topics": "4"}), ("odd", "a", "none", "r", {"iterations": "5", "topics": "3"}), ("same", "a", "continuation", "r", {"iterations": "5", "topics": "3"})]
+    df = spark.createDataFrame(rows, "key string, source string, kind string, reason string, options map<string,string>")
+    got = {}
+    for r in runs.lineage_faults(df).collect():
+        got.setdefault(r["key"], []).append(r["fault"])
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "lost": ["no source"], "low": ["changes topics", "does not raise iterations", "reason"], "odd": ["kind"], "same": ["keeps iterations"],
+        **{k: ["no origin"] for k in ("x", "y", "z", "on")},
+    }
+    assert runs.lineage_faults(df.limit(1)).count() == 0 == runs.lineage_faults(df.limit(0)).count()

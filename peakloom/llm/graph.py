@@ -13,7 +13,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("near").alias("node"), F.col("node").alias("near")))
     seen = both if large else both.filter("near < node")
     least = seen.groupBy("node").agg(F.min("near").alias("least")).withColumn("least", F.least("node", "least"))
-    moved = seen.filter("near > node" if large else "near < node").join(least, "node").select(F.col("near").alias("node"), F.col("least").alias("near"))
+    moved = seen.filter("near > node" if large else "near < node").join(least.hint("merge"), "node").select(F.col("near").alias("node"), F.col("least").alias("near"))
     if not large:
         moved = moved.unionByName(least.select("node", F.col("least").alias("near")))
     return moved.filter("node <> near").distinct()

@@ -457,9 +457,9 @@ def score(docs: DataFrame, head: int = 1 << 18, classes: int = 1024, states: int
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(known), pa.array(base), pa.array(logs / np.log(10))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     rare = lexicon.mapInArrow(packed, "word bigint, n bigint, own binary")
-    met = texts.select("row", F.posexplode("rare").alias("at", "word")).join(rare, "word")
+    met = texts.select("row", F.posexplode("rare").alias("at", "word")).join(rare.hint("merge"), "word")
     lists = met.groupBy("row").agg(F.collect_list(F.struct("at", "n", "own")).alias("found"))
-    out = texts.select("row", "doc_id", "tokens").join(lists, "row", "left").drop("row").mapInArrow(scored, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = texts.select("row", "doc_id", "tokens").join(lists.hint("merge"), "row", "left").drop("row").mapInArrow(scored, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     held = F.coalesce(crc_rest("doc_id", modulus) == 2, F.lit(False)).alias("held_out")
     return out.select("doc_id", held, "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -175,25 +175,25 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
         .agg(F.min("bucket").alias("bucket"), F.first("n_grams").alias("n_grams"))
         .select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("n_grams") / BLOCK_GRAMS)).alias("blocks"))
     )
-    members = placed.select("node", "bucket").join(held, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.collect_list(F.struct("bucket", "blocks")).alias("held"))
-    members = settle(members.join(nodes.select("node", "rep", "size"), "node"), "jaccard-members")
+    members = placed.select("node", "bucket").join(held.hint("merge"), "bucket").groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.collect_list(F.struct("bucket", "blocks")).alias("held"))
+    members = settle(members.join(nodes.select("node", "rep", "size").hint("merge"), "node"), "jaccard-members")
 
     wanted = members.select(F.col("rep").alias("doc_id"), "node")
     texts = shuffled_join(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner")
     sets = full_sets(texts, n).groupBy("node").agg(F.first("grams").alias("grams"))
     block = F.pmod(F.xxhash64("node"), F.col("held.blocks"))
     grouped = (
-        sets.join(members.select("node", "size", "buckets", F.explode("held").alias("held")), "node")
+        sets.join(members.select("node", "size", "buckets", F.explode("held").alias("held")).hint("merge"), "node")
         .select("node", "size", "buckets", "grams", F.col("held.bucket").alias("bucket"), block.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("held.blocks") - 1)).alias("other"))
         .select("node", "size", "buckets", "grams", "bucket", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
     )
     found = settle(grouped.groupBy("bucket", "low", "high").applyInArrow(lambda table: verified(table, threshold), "node bigint, near bigint, links bigint"), "jaccard-links")
 
     roots = components(found.select("node", "near"))
-    linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node")
-    named = nodes.select("node", "rep", "size").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(roots.hint("merge"), "node")
+    named = nodes.select("node", "rep", "size").join(linked.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_node = settle(named.join(names, "root").select("node", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-classes")
+    by_node = settle(named.join(names.hint("merge"), "root").select("node", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-classes")
     out = shuffled_join(signed.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("node") != 0), F.col("node")).alias("node")), by_node, ["node"])
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 

@@ -225,11 +225,11 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, trees: int, leaf_rows: in
     held = settle(rows.mapInArrow(indexed, schema), "forest-rows").select("vec_id", "v", F.explode("leaves").alias("leaf"))
     wanted = settle(asked.mapInArrow(asking, schema), "forest-queries").select("vec_id", "v", F.explode("leaves").alias("leaf"))
     blocks = lambda d, n, name: d.groupBy("leaf").agg(F.ceil(F.count("*") / n).alias(name))
-    crowd = settle(blocks(held, BLOCK_ROWS, "row_blocks").join(blocks(wanted, BLOCK_QUERIES, "query_blocks"), "leaf"), "forest-leaves")
+    crowd = settle(blocks(held, BLOCK_ROWS, "row_blocks").join(blocks(wanted, BLOCK_QUERIES, "query_blocks"), "leaf"), "forest-leaves")  # a row for each leaf: at most 2 * sample_rows for each tree
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("vec_id", "v", "leaf"), F.col(n))
-    left = held.join(crowd, "leaf").select("leaf", mine("row_blocks").alias("row_block"), spread("query_blocks").alias("query_block"), F.lit(False).alias("query"), "vec_id", "v")
-    right = wanted.join(crowd, "leaf").select("leaf", spread("row_blocks").alias("row_block"), mine("query_blocks").alias("query_block"), F.lit(True).alias("query"), "vec_id", "v")
+    left = held.join(F.broadcast(crowd), "leaf").select("leaf", mine("row_blocks").alias("row_block"), spread("query_blocks").alias("query_block"), F.lit(False).alias("query"), "vec_id", "v")
+    right = wanted.join(F.broadcast(crowd), "leaf").select("leaf", spread("row_blocks").alias("row_block"), mine("query_blocks").alias("query_block"), F.lit(True).alias("query"), "vec_id", "v")
     return left.unionByName(right).groupBy("leaf", "row_block", "query_block").applyInArrow(lambda table: best(table, k), "query_id bigint, vec_id bigint, score double")
 
 

@@ -145,13 +145,13 @@ def factors(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     docs = docs.filter(F.col("doc_id").isNotNull())
     same = settle(docs.groupBy("content", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "rlz-same")
-    copies = docs.select("doc_id", "content", "check").join(same, ["content", "check"]).filter("doc_id > first").select("doc_id", "content", F.col("first").alias("copy_of")).distinct()
+    copies = docs.select("doc_id", "content", "check").join(same.hint("merge"), ["content", "check"]).filter("doc_id > first").select("doc_id", "content", F.col("first").alias("copy_of")).distinct()
 
     found = settle(anchors(docs, window), "rlz-found")
     # settled, so that both sides of the joins below are plain shuffles, whose crowded keys adaptive execution splits
     hot = settle(found.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("anchor"), "rlz-hot")
     firsts = same.withColumnRenamed("check", "its_check")  # of two texts with one content hash but another check, neither is left out
-    by_text = settle(found.join(hot, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("hot")).join(firsts, "content", "left"), "rlz-anchors")
+    by_text = settle(found.join(hot.hint("merge"), "anchor").groupBy("content").agg(F.collect_set("anchor").alias("hot")).join(firsts.hint("merge"), "content", "left"), "rlz-anchors")
     discard(found, hot)
     hot_docs = shuffled_join(docs, by_text, ["content"], "inner").filter("first is null or check != its_check or doc_id = first")
 
@@ -159,8 +159,8 @@ def factors(docs: DataFrame, window: int = 13) -> DataFrame:
     discard(by_text)
     reference = placed.groupBy("piece", "twin").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last"), F.min_by("pos", F.when(F.col("fresh"), F.col("doc_id"))).alias("ref_pos"))
     reference = settle(reference.filter("ref_doc < last").drop("last"), "rlz-reference")
-    hits = placed.join(reference, ["piece", "twin"]).filter("ref_doc < doc_id").groupBy("doc_id", "content").agg(F.collect_list(F.struct("pos", "ref_doc", "ref_pos")).alias("hits"))
-    out = settle(parse(hits, window).join(copies, ["doc_id", "content"], "full_outer"), "rlz-factors")
+    hits = placed.join(reference.hint("merge"), ["piece", "twin"]).filter("ref_doc < doc_id").groupBy("doc_id", "content").agg(F.collect_list(F.struct("pos", "ref_doc", "ref_pos")).alias("hits"))
+    out = settle(parse(hits, window).join(copies.hint("merge"), ["doc_id", "content"], "full_outer"), "rlz-factors")
     discard(placed, reference, same)
     return out
 

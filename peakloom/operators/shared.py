@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the session's `spark.checkpoint.dir` and read again: its lineage ends here.
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the session's `spark.checkpoint.dir`.
 
     Where the setting is missing, a local session uses a temporary folder, and a cluster gets an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/peakloom-shared"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: its lineage ends here."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from .functions import scalars, sketches
 from .operators import annotation, lda, metrics, motifs, network, ordered, peaks, runs, screening, similarity, summaries, topic_table, topics
 from .registry import PEAKS, THETA, named, q6, r6, register
 from .sources import readers, sinks
-from .sources.adapters import beta, ms2_peaks, theta
+from .sources.adapters import beta, ms2_peaks, over, theta
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -390,8 +390,7 @@ CURATED = "select o_orderkey, o_custkey, case when o_orderkey % 3 = 0 then 1 els
 
 @register("library_curated", f"with s as ({CURATED}) select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderkey) as k from s where ms_level = 2 and lower(trim(ionmode)) = 'positive' and trim(smiles) <> '') where k = 1")
 def library_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return summaries.curated(summaries.library_spectra(spark.sql(CURATED)), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
+    return summaries.curated(summaries.library_spectra(over(spark, sf_dir, CURATED, "orders")), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
 @register(
@@ -463,8 +462,7 @@ GRAPH = "select distinct 'm<' || (vec_id % 5) as motif, case when label % 2 = 0
 )
 def graphml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node and edge lines of the document."""
-    table(spark, sf_dir, "embeddings").createOrReplaceTempView("embeddings")
-    return network.graphml_lines(spark.sql(GRAPH.replace("4e0", "4D"))).filter("place.part in (1, 2)").select("value")
+    return network.graphml_lines(over(spark, sf_dir, GRAPH.replace("4e0", "4D"), "embeddings")).filter("place.part in (1, 2)").select("value")
 
 
 @register(

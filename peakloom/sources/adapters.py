@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +32,19 @@ where n > 0 group by scan, word
 """
 
 
-def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+def over(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """A statement over tables of sf_dir, which leaves no views in the session."""
     for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        sql = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", sql)
+    return spark.sql(sql, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names})
 
 
 def ms2_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "lineitem", "orders", "customer")
-    return spark.sql(MS2_SQL)
+    return over(spark, sf_dir, MS2_SQL, "lineitem", "orders", "customer")
 
 
 def ms1_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "orders")
-    return spark.sql(MS1_SQL)
+    return over(spark, sf_dir, MS1_SQL, "orders")
 
 
 def theta(spark: SparkSession, sf_dir: str) -> DataFrame:

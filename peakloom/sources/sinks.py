@@ -14,9 +14,10 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from .readers import exploded_motifs, grouped_motifs, write_table
 
 WHOLE = ("scan", "ms1scan", "charge", "mslevel")
@@ -90,13 +91,14 @@ def results_table(results: DataFrame, path: str, kind: str = "csv", filename: st
     write_table(out, safe_path(path), kind)
 
 
-def extracted(peaks: DataFrame, results: DataFrame, limit: int = 10_000) -> DataFrame:
+def extracted(peaks: DataFrame, results: DataFrame, limit: int | None = 10_000) -> DataFrame:
     """Peaks (file, scan, ...) of the scans in results (file, scan, ...) as one row a scan: new_scan from 1 and peaks by m/z.
 
-    The first `limit` scans by file and scan; a result that repeats a scan is taken once.
+    The first `limit` scans by file and scan, or all; a result that repeats a scan is taken once.
     """
-    wanted = results.dropDuplicates(["file", "scan"]).withColumn("new_scan", F.row_number().over(Window.orderBy("file", F.col("scan").try_cast("bigint").asc_nulls_last(), "scan")))  # rows of results, not peaks
-    wanted = wanted.filter(F.col("new_scan") <= limit)
+    wanted = numbered(results.dropDuplicates(["file", "scan"]), "file", F.col("scan").try_cast("bigint").asc_nulls_last(), "scan", name="_n")
+    wanted = wanted.withColumn("new_scan", (F.col("_n") + 1).cast("int")).drop("_n")
+    wanted = wanted if limit is None else wanted.filter(F.col("new_scan") <= limit)
     spectra = peaks.join(wanted.select("file", "scan"), ["file", "scan"], "left_semi").groupBy("file", "scan").agg(F.array_sort(F.collect_list(F.struct(F.col("frag_mz").alias("mz"), F.col("frag_intens").alias("i")))).alias("peaks"))
     return wanted.join(spectra, ["file", "scan"])
 

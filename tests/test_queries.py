@@ -1,7 +1,7 @@
 import pytest
 from core_helpers import DATA, same_rows
 
-from peakloom import queries, queries_motifs  # noqa: F401
+from peakloom import queries, queries_files, queries_motifs  # noqa: F401
 from peakloom.plans.compiler import run
 
 SCHEMA = "scan string, ms1scan string, frag_mz double, frag_intens double, loss_mz double, loss_intens double, precmz double, rt double, polarity int, charge int, motif_id string"

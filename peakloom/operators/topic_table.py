@@ -76,7 +76,7 @@ def _round(cells: DataFrame, model: TopicTable, steps: int, tol: float) -> DataF
 
 
 def _moved(new: DataFrame, old: DataFrame, totals: np.ndarray, eta: float) -> np.ndarray:
-    """By topic, over the words of either table: sum of p log p, sum of changes, sum of the old weights."""
+    """By topic: sum of p log p over the new table's words, and over the words of either table sum of changes and sum of the old weights."""
     topics = len(totals)
 
     def work(batches):  # noqa: ANN001, ANN202
@@ -87,7 +87,7 @@ def _moved(new: DataFrame, old: DataFrame, totals: np.ndarray, eta: float) -> np
                     there = b[name].is_valid().to_numpy(zero_copy_only=False)
                     if there.any():
                         own[there] = matrix(b[name].drop_null())
-                p = both[0] / totals
+                p = both[0][b["v"].is_valid().to_numpy(zero_copy_only=False)] / totals
                 out = np.concatenate([(p * np.log(p)).sum(axis=0), np.abs(both[0] - both[1]).sum(axis=0), both[1].sum(axis=0)])
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), arrays(out[None])], ["id", "v"])
 

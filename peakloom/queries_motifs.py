@@ -747,3 +747,91 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalars.listed(F.array("o_orderstatus", "o_orderpriority")).alias("list"),
         scalars.quality_bin(share).alias("quality"),
     )
+
+
+LDA_ROUND = f"""{LDA_SQL}, g as (select doc, k, 0.1e0 + sum(c) as g from phi group by 1, 2), t as (select doc, k, g, {digamma_sql('g')} - {digamma_sql('(sum(g) over (partition by doc))')} as lt, g / sum(g) over (partition by doc) as share from g),
+    x as (select n.doc, n.w, n.n, sum(exp(t.lt) * exp(b.eb)) as p from n join t on t.doc = n.doc join b on b.w = n.w and b.k = t.k group by 1, 2, 3)"""
+
+
+@register("lda_evidence", f"{LDA_ROUND}, tokens as (select doc, sum(n * ln(p)) as s from x group by 1) select doc, {q6('max(s) + lgamma(0.3e0) - 3 * lgamma(0.1e0) - lgamma(sum(g)) + sum(lgamma(g)) + sum((0.1e0 - g) * lt)')} as bound from t join tokens using (doc) group by doc")
+def lda_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's evidence lower bound under given topics, after one step."""
+    docs, model = fixed_topics(spark, sf_dir)
+    return lda.evidence(docs, model, steps=1).select("doc", r6("bound").alias("bound"))
+
+
+LDA_SERIES = """, m as (select l.k, l.w, 0.01e0 + coalesce(c, 0) as v from l left join (select k, w, sum(c) as c from phi group by 1, 2) using (k, w)), beta as (select k, v / sum(v) over (partition by k) as p from m),
+    noted as (select (select sum(n * ln(p)) / sum(n) from x) as log_likelihood, (select avg(e) from (select -sum(share * ln(share)) as e from t group by doc)) as entropy_doc, (select avg(e) from (select -sum(p * ln(p)) as e from beta group by k)) as entropy_topic)
+    select metric, floor(value * 1e6 + 0.5e0) / 1e6 as value from (select unnest([{'m': 'log_likelihood', 'v': log_likelihood}, {'m': 'perplexity', 'v': exp(-log_likelihood)}, {'m': 'entropy_doc', 'v': entropy_doc}, {'m': 'entropy_topic', 'v': entropy_topic}], recursive := true) from noted) u(metric, value)"""
+
+
+@register("lda_series", LDA_ROUND + LDA_SERIES)
+def lda_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a round of training notes down, where every worker holds the topics."""
+    docs, model = fixed_topics(spark, sf_dir)
+    checks = lda.fit(docs, model.words, LDA_TOPICS, epochs=1, steps=1, start=model).checks[-1]
+    return spark.createDataFrame(sorted(checks.items()), "metric string, value double").select("metric", r6("value").alias("value"))
+
+
+@register("topic_table_series", LDA_ROUND + LDA_SERIES)
+def topic_table_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, where the topics are a partitioned table."""
+    checks = topic_table.fit(*fixed_table(spark, sf_dir), epochs=1, steps=1).checks[-1]
+    rows = spark.createDataFrame(sorted(checks.items()), "metric string, value double").filter(~F.col("metric").isin("table", "prior"))
+    return rows.select("metric", r6("value").alias("value"))
+
+
+@register(
+    "consensus_containment",
+    f"with f as (select vec_id, label, {POSITIONS.format('0')} as s from embeddings), b as (select label, pos from (select label, unnest(range(64)) as pos, (unnest(embedding) > 0)::int as b from embeddings) group by label, pos having avg(b) >= 0.5e0), c as (select label, list(pos) as m from b group by label) select vec_id, {q6('coalesce(len(list_intersect(m, s)) * 1e0 / len(m), 0)')} as score from f left join c using (label)",
+)
+def consensus_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of its label's consensus fingerprint each vector has."""
+    rows = table(spark, sf_dir, "embeddings")
+    bits = similarity.consensus(rows.select("label", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("bits")), "label", 0.5).filter("bit = 1")
+    motif = bits.groupBy("label").agg(F.collect_list("pos").alias("m"))  # 64 positions
+    mine = rows.select("vec_id", "label", positions(0).alias("s")).join(motif, "label", "left")
+    return mine.select("vec_id", r6(F.coalesce(similarity.containment(F.col("m"), F.col("s")), F.lit(0.0))).alias("score"))
+
+
+@register("wide_scores", f"select vec_id // 5 as id, {', '.join(f'{q6(f"max(embedding[1]::double) filter (vec_id % 5 = {k})")} as q{k}' for k in range(5))} from embeddings group by 1")
+def wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("q"), (F.col("vec_id") % 5).cast("string")).alias("query"), F.floor(F.col("vec_id") / 5).alias("id"), r6(F.col("embedding")[0].cast("double")).alias("score"))
+    return annotation.wide_scores(scores, [f"q{k}" for k in range(5)])
+
+
+CLUSTERS = "with c as (select o_custkey::varchar as motif, row_number() over (partition by o_custkey order by o_orderkey)::int as rank, (o_orderkey * 7 % 3)::int as cluster from orders)"
+
+
+@register(
+    "selected_hits",
+    f"{CLUSTERS}, b as (select motif, cluster, count(*) as n, min(rank) as first from c group by 1, 2), w as (select motif, arg_min(cluster, first) as best, arg_min(cluster, (-n, first)) as biggest from b group by 1) select motif, rank, cluster, cluster = best as in_best, cluster = biggest as in_biggest from c join w using (motif)",
+)
+def selected_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the hits of a motif, in clusters: which are in the first one's, which in the largest."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("motif"), place.alias("rank"), (F.col("o_orderkey") * 7 % 3).cast("int").alias("cluster"))
+    out = rows
+    for how in ("best", "biggest"):
+        kept = screening.selected_hits(rows, how).select("motif", "rank", F.lit(True).alias(f"in_{how}"))
+        out = out.join(kept, ["motif", "rank"], "left").withColumn(f"in_{how}", F.coalesce(f"in_{how}", F.lit(False)))
+    return out
+
+
+@register("bit_vectors", "select vec_id, array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), '') as bits from embeddings")
+def bit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(annotation.bit_vector(positions(0), 64).cast("array<string>"), "").alias("bits"))
+
+
+@register("natural_order", "select name, row_number() over (order by n, name)::int as place from (select distinct 'motif_' || o_custkey as name, o_custkey as n from orders)")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names such as motif_12 by the number inside them."""
+    names = table(spark, sf_dir, "orders").select(F.concat(F.lit("motif_"), F.col("o_custkey").cast("string")).alias("name")).distinct()
+    return ordered.numbered(names.withColumn("n", scalars.natural_number(F.col("name"))), "n", "name", name="place").select("name", (F.col("place") + 1).cast("int").alias("place"))
+
+
+@register("common_order", "select o_custkey as item, count(*) as n, row_number() over (order by count(*) desc, o_custkey)::int as place from orders group by 1")
+def common_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most common items first."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.count("*").alias("n"))
+    return ordered.numbered(counts, F.desc("n"), "item", name="place").withColumn("place", (F.col("place") + 1).cast("int"))

@@ -3,7 +3,7 @@
 Texts are reduced to their lower-cased ASCII letters and digits. Hashes of every GRAM of these characters are winnowed: of each
 WINDOW consecutive hashes the least is a fingerprint, so any common stretch of GRAM + WINDOW - 1 characters has one in
 common. An inverted index from fingerprints to the templates, a fixed list, is searched with those of each whole text.
-Around the hits of a template a banded local alignment of words (match 2, mismatch and gap -1) gives the matched words:
+Around the hits of a template, where enough of its words stand at all, a banded local alignment of words (match 2, mismatch and gap -1) gives the matched words:
 their share of the template is the coverage, the first and last give the span. Spans with `coverage` or more are candidates if all words
 of the template that tell licences and versions apart (DECISIVE, and the numbers of a version in its name) are matched; of overlapping candidates the one with the
 most matched words is reported, then the one that begins first, then the first in order of name.
@@ -14,11 +14,12 @@ The templates are whole texts of short licences, and of long ones the notices an
 Defined cases: null and empty texts have no licence; characters beyond ASCII are separators; reported spans
 never overlap; repeated rows are reported each; an empty table, or no template, gives an empty result; other columns are not
 read; spans are in words and code points, ends exclusive. A long text is held whole with 16 bytes a word and some 40
-bytes a character of one chunk; only words near a hit become strings.
+bytes a character of one chunk; a text with a hit has its words as strings too.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -155,6 +156,8 @@ class Index:
         self.words = [words_of(templates[name].encode()) for name in self.names]
         self.told = [decisive(name, words) for name, words in zip(self.names, self.words, strict=True)]
         self.bands = [max(BAND, len(words) // 6) for words in self.words]
+        self.number = {word: n for n, word in enumerate(sorted({word for words in self.words for word in words}))}
+        self.bags = [np.bincount([self.number[word] for word in words], minlength=len(self.number)) for words in self.words]
         self.found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, words in enumerate(self.words):
             letters = np.frombuffer(b"".join(words), np.uint8)
@@ -185,34 +188,42 @@ class Index:
             for k, i in self.found[h]:
                 seeds[k].add(j - i)
         found = []
+        low = [data[s:e].tobytes().lower() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        numbers = np.array([self.number.get(word, -1) for word in low], dtype=np.int64)
         for k, shifts in seeds.items():
-            template, band, gone = self.words[k], self.bands[k], set()
+            template, band, words, left = self.words[k], self.bands[k], list(low), numbers.copy()
             spaced = []  # one shift for those within the band of an alignment
             for shift in sorted(shifts):
                 if not spaced or shift - spaced[-1] > band // 2:
                     spaced.append(shift)
             for n, shift in enumerate(spaced):
                 while True:
+                    begin, end = max(0, shift - band), shift + len(template) + band
+                    there = left[begin:end]
+                    if np.minimum(np.bincount(there[there >= 0], minlength=len(self.number)), self.bags[k]).sum() < coverage * len(template):
+                        break  # no alignment matches more than the words in common
                     tries = []
                     for other in spaced[n:]:  # neighbours may see more of the same stretch
                         if other - shift > 2 * band or (tries and tries[0][0] < coverage * len(template)):
                             break
                         begin = max(0, other - band)
-                        local = [b"" if x in gone else data[starts[x] : ends[x]].tobytes().lower() for x in range(begin, min(len(starts), other + len(template) + band))]
-                        matched, first, last, bits = align(template, local, other - begin, band, self.told[k])
+                        matched, first, last, bits = align(template, words[begin : other + len(template) + band], other - begin, band, self.told[k])
                         tries.append((matched, -begin - first, begin + last, bits))
                     matched, first, last, bits = max(tries)
                     if tries[0][0] < coverage * len(template):
                         break
                     if bits == sum(self.told[k].values()):
                         found.append((-matched, -first, self.names[k], last, matched / len(template)))
-                    gone.update(range(-first, last))  # the same words are no second span of this template
-        out: list[tuple[int, int, str, float]] = []
+                    words[-first:last] = [b""] * (last + first)  # the same words are no second span of this template
+                    left[-first:last] = -1
+        begins, out = [], []  # spans that overlap no better one, by place
         for _, first, name, last, share in sorted(found):
-            if all(last <= a or b <= first for a, b, *_ in out):
-                out.append((first, last, name, share))
+            n = bisect.bisect_right(begins, first)
+            if (not n or out[n - 1][1] <= first) and (n == len(out) or last <= begins[n]):
+                begins.insert(n, first)
+                out.insert(n, (first, last, name, share))
         done, points, rows = 0, 0, []  # code points are counted on from span to span
-        for first, last, name, share in sorted(out):
+        for first, last, name, share in out:
             ahead = points + int(np.count_nonzero((data[done : starts[first]] & 0xC0) != 0x80))
             done, points = int(ends[last - 1]), ahead + int(np.count_nonzero((data[starts[first] : ends[last - 1]] & 0xC0) != 0x80))
             rows.append((name, share, first, last, ahead, points))

@@ -932,3 +932,48 @@ def test_neighbours_of_repeated_rows(spark):
     assert [r["vec_id"] for r in out.orderBy("rank").collect()] == expected
     table = lambda d: pa.table({"query": [True] + [False] * len(d), "vec_id": [99] + [k for k, _ in d], "v": [[1.0, 0.0]] + [v for _, v in d]})
     assert neighbours.best(table([(1, [9.0, k]) for k in range(30)] + [(k, [1.0 * k, 0.0]) for k in range(2, 6)]), 3)["vec_id"].to_pylist() == [1, 5, 4]
+
+
+def test_licences_in_long_texts_of_near_misses(spark):
+    import time
+
+    half = "Permission is hereby granted, free of charge, to any person "
+    notice = "Licensed under the Apache License, Version 2.0"
+    text = half * 3_000 + notice + " " + half * 3_000 + "é " * 1_000_000 + notice  # longer than a chunk
+    index = licenses.Index(licenses.TEMPLATES)
+    began = time.time()
+    got = [x for x in index.scan(pa.array([text]), 0.8) if x[1].startswith("apache")]
+    assert time.time() - began < 60
+    assert [text[x[5] : x[6]].startswith("Licensed under the Apache License") for x in got] == [True, True]
+
+
+def test_texts_longer_than_a_chunk(spark, tmp_path):
+    import public_tokenizers
+    from conftest import prose
+    from tokenizers import Tokenizer
+
+    rng = __import__("random").Random(31)
+    long, short = prose(rng, 500_000), prose(rng, 300)
+    assert len(long) > textops.CHUNK_BYTES
+    docs = spark.createDataFrame([(1, long), (2, f"{short} {long}"), (4, short), (7, None)], "doc_id long, text string").repartition(2)
+    kept = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.strip(docs).collect()}
+    assert kept == {1: (500_000, 0, long), 2: (500_300, 500_000, short), 4: (300, 300, ""), 7: (0, 0, "")}
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {k: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for k, x in ((1, long), (2, f"{short} {long}"), (4, short), (7, ""))}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in records.encode(docs, folder=str(tmp_path / "r")).collect()}
+    assert got == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in ids.items()}
+
+    train = [k for k in ids if zlib.crc32(str(k).encode()) % 7 != 2]
+    tokens = {1: [*words(long, True), None], 2: [*words(f"{short} {long}", True), None], 4: [*words(short, True), None], 7: [None]}
+    counts = collections.Counter(x for k in train for x in tokens[k])
+    total, distinct = sum(counts.values()), len(counts)
+    for r in hmm.score(docs).collect():
+        own = tokens[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(x in counts for x in own), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in own), rel=1e-9)
+        assert r["base_score"] * 1.5 < r["score"] < 0
+
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    assert scores.keys() == ids.keys() and all(0 <= x <= 1 for x in scores.values())

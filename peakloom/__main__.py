@@ -7,16 +7,18 @@ import json
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import checkpoints, lda, motifs, network, peaks, runs, topics
+from .operators import annotation, checkpoints, lda, motifs, network, peaks, runs, topics
 from .operators.shared import settle
 from .plans.compiler import run_many
 from .plans.describe import describe
+from .plans.drawing import curve, visualise
 from .sources.readers import read_spectra
-from .sources.sinks import results_table, run_folder, write_text
+from .sources.sinks import results_table, run_folder, write_motifs, write_text
 
-DEFAULTS = {"topics": 20, "iterations": 20, "digits": 2, "min_cf": 1, "min_df": 2, "low_mz": 0.0, "high_mz": 2000.0, "low": 0.01, "top": 1000, "least": 5, "top_words": 10, "motif_words": 50, "vocabulary_limit": 2_000_000}
+DEFAULTS = {"topics": 20, "iterations": 20, "digits": 2, "min_cf": 1, "min_df": 2, "low_mz": 0.0, "high_mz": 2000.0, "low": 0.01, "top": 1000, "least": 5, "top_words": 10, "motif_words": 50, "vocabulary_limit": 2_000_000, "library": None, "vector_size": 100}
 
 
 def merged(base: dict, over: dict) -> dict:
@@ -33,6 +35,11 @@ def tables(spark: SparkSession, path: str):
     return ms1, df.filter("ms_level = 2").withColumnsRenamed({"mz": "frag_mz", "i": "frag_intens"})
 
 
+def stored(made: DataFrame) -> DataFrame:
+    """Motif spectra as the rows of a motif store."""
+    return motifs.motif_tables(made)[1].withColumn("annotation", F.lit(None).cast("string"))
+
+
 def topic_run(spark: SparkSession, path: str, folder: str, options: dict) -> None:
     """Clean, count words, fit and infer; theta and beta as Parquet, the model as checkpoints, the options as JSON."""
     spectra = tables(spark, path)[1]
@@ -60,6 +67,16 @@ def topic_run(spark: SparkSession, path: str, folder: str, options: dict) -> Non
     topics.overlap(beta, phi).write.parquet(f"{folder}/overlap")
     for name, part in topics.exported(spark.read.parquet(f"{folder}/theta"), beta, phi, gamma=lda.gammas(docs, model)).items():
         part.write.parquet(f"{folder}/viewer/{name}")
+    made = spark.read.parquet(f"{folder}/motifs")
+    write_motifs(stored(made), f"{folder}/motifset")
+    corpus.select("doc").distinct().write.parquet(f"{folder}/doc2spec")
+    write_text(spark, f"{folder}/convergence.svg", curve([c["perplexity"] for c in model.checks], "perplexity"))
+    if options["library"]:
+        vectors = annotation.word_vectors(corpus.groupBy("doc").agg(F.sort_array(F.collect_list("word")).alias("words")), options["vector_size"])
+        hits, best = annotation.optimised_motifs(made, tables(spark, options["library"])[1], vectors, options["digits"])
+        hits.write.parquet(f"{folder}/annotation")
+        best.write.parquet(f"{folder}/motifs_optimised")
+        write_motifs(stored(spark.read.parquet(f"{folder}/motifs_optimised")), f"{folder}/motifset_optimised")
     network.write_graphml(network.feature_edges(motifs.network_features(spark.read.parquet(f"{folder}/motifs"))), f"{folder}/network.graphml")
     write_text(spark, f"{folder}/run.json", json.dumps(runs.manifest(spark, options, path) | {"history": model.history, "checks": model.checks}))
 
@@ -75,17 +92,25 @@ def main(arguments: list[str] | None = None) -> int:
     q.add_argument("--original-path", help="where the file came from")
     d = commands.add_parser("describe", help="say a query in words")
     d.add_argument("query")
+    g = commands.add_parser("draw", help="draw a query's bands as SVG")
+    g.add_argument("query")
+    for name, value in (("x", 500.0), ("y", 1.0), ("precursor", 800.0)):
+        g.add_argument(f"--{name}", type=float, default=value)
     t = commands.add_parser("topics", help="find topics in a file of spectra")
     t.add_argument("file")
     t.add_argument("--output-folder", required=True)
     t.add_argument("--run-name")
     t.add_argument("--n-topics", type=int)
     t.add_argument("--n-iterations", type=int)
+    t.add_argument("--library", help="spectra to annotate motifs from")
     t.add_argument("--config", help="JSON object of options")
     args = parser.parse_args(arguments)
     if args.command == "describe":
         print(describe(args.query))
         return 0
+    if args.command == "draw":
+        print(visualise(args.query, args.x, args.y, args.precursor))
+        return 0
     spark = SparkSession.builder.appName("peakloom").getOrCreate()
     if args.command == "query":
         ms1, ms2 = tables(spark, args.file)
@@ -95,7 +120,7 @@ def main(arguments: list[str] | None = None) -> int:
     if args.config:
         with open(args.config) as f:
             options = merged(options, json.load(f))
-    options = merged(options, {k: v for k, v in (("topics", args.n_topics), ("iterations", args.n_iterations)) if v is not None})
+    options = merged(options, {k: v for k, v in (("topics", args.n_topics), ("iterations", args.n_iterations), ("library", args.library)) if v is not None})
     topic_run(spark, args.file, run_folder(args.output_folder, args.run_name or os.path.splitext(os.path.basename(args.file))[0], spark), options)
     return 0
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .screening import clustered_hits, selected_hits
-from ..functions.scalars import fixed_word
+from .screening import clustered_hits, optimised, selected_hits
+from ..functions.scalars import fixed_word, natural_number
 from ..plans.compiler import run
 from .ordered import numbered
 from .similarity import containment, cosine_pairs, cosine_top, unique_hits, unit
@@ -195,3 +195,30 @@ def screen_store(store: tuple[DataFrame | None, DataFrame], query: str, vectors:
 def ranked_hits(hits: DataFrame) -> DataFrame:
     """Hits with their place: best score first, then by name."""
     return numbered(hits, F.desc("score"), "hit_id", "ref_motif_id", "screen_type", name="place")
+
+
+VARIANTS = 1 << 20  # more than any motif has
+
+
+def optimised_motifs(motifs: DataFrame, spectra: DataFrame, vectors: DataFrame, digits: int = 2, n: int = 10, k: int = 100, cut: float = 0.4, power: float = 0.5, how: str = "best") -> tuple[DataFrame, DataFrame]:
+    """(hits, peaks): the library spectra of each motif that belong together, and the motif's peaks that all of these have.
+
+    motifs (motif_id with a number, kind, peak_idx, mz, i); spectra: peaks of a library (scan, precmz, frag_mz, frag_intens); vectors (word, v). From
+    motif to optimised motif in one call: variants with one feature masked, mean word vectors, nearest library spectra, clusters, shared features.
+    """
+    own = motifs.withColumn("motif", natural_number(F.col("motif_id")))
+    word = lambda kind, mz: F.when(kind == "frag", fixed_word("frag", mz, digits)).otherwise(fixed_word("loss", mz, digits))
+    asked = weighted_means(own.select(F.col("motif").alias("doc"), word(F.col("kind"), F.col("mz")).alias("word"), F.col("i").alias("w")), vectors, power)
+    number = F.col("motif") * VARIANTS + F.col("variant")
+    masked = masked_spectra(own.select("motif", "kind", "peak_idx", "mz", "i"))
+    cells = [masked.select(number.alias("doc"), F.inline(side)).select("doc", fixed_word(kind, F.col("mz"), digits).alias("word"), F.col("i").alias("w")) for kind, side in (("frag", "frags"), ("loss", "losses"))]
+    variants = weighted_means(cells[0].unionByName(cells[1]), vectors, power)
+    variants = variants.select(F.floor(F.col("doc") / VARIANTS).alias("motif"), (F.col("doc") % VARIANTS).alias("variant"), "v")
+
+    known = spectra.withColumns({"id": F.xxhash64("scan"), "loss_mz": F.col("precmz") - F.col("frag_mz"), "loss_intens": F.col("frag_intens")})
+    library = weighted_means(motif_words(known, "id", digits), vectors, power).withColumnRenamed("doc", "id")
+    found = annotate(asked.withColumnRenamed("doc", "query"), library, library.select("id", F.col("id").cast("string").alias("molecule")), variants, n, k, cut, how)
+    hits = found.join(known.select("id", "scan").distinct(), "id").select(F.col("motif").cast("bigint").alias("motif"), "rank", "scan", "score", "cluster")
+    listed = known.select("scan", F.inline(F.array(F.struct(F.lit("frag").alias("kind"), F.col("frag_mz").alias("mz")), F.struct(F.lit("loss").alias("kind"), F.col("loss_mz").alias("mz")))))
+    shared = optimised(own, hits.join(listed, "scan").select("motif", F.col("scan").alias("hit"), "kind", "mz"), digits)
+    return hits, shared.drop("motif")

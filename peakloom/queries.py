@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import sketches
 from .operators import lda, metrics, network, peaks, screening, similarity, summaries, topics
+from .plans import drawing
 from .plans.compiler import run, run_many
 from .operators.shared import settle
 from .registry import ORACLES, PEAKS, QUERIES, THETA, named, q6, r6, register
@@ -529,3 +530,18 @@ def sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["ql_scaninfo_ms2prod"](spark, sf_dir)
+
+
+DRAWN = "QUERY scaninfo(MS2DATA) WHERE MS2PROD=(X-322 OR 200):TOLERANCEMZ=0.5 AND MS2NL=500:TOLERANCEMZ=40:EXCLUDED"
+
+
+@register(
+    "drawn_peaks",
+    f"""{PEAKS}, m as (select scan, frag_intens, frag_mz, precmz, max(frag_intens) over (partition by scan) as top from ms2), b as (select *, 0 as condition, 0 as value, 'MS2PROD' as field from m where {band('frag_mz', '178', '0.5')}
+    union all select *, 0, 1, 'MS2PROD' from m where {band('frag_mz', '200', '0.5')} union all select *, 1, 0, 'MS2NL' from m where precmz - frag_mz > 460 and precmz - frag_mz < 540)
+    select scan, condition, value, field, count(*) as n, {q6('max(frag_intens) / max(top)')} as best from b group by 1, 2, 3, 4""",
+)
+def drawn_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many peaks of each scan lie in each band that a query would draw."""
+    out = drawing.drawn_peaks(DRAWN, ms2_peaks(spark, sf_dir), 500.0)
+    return out.select("scan", "condition", "value", "field", "n", r6("best").alias("best"))

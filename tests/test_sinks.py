@@ -114,3 +114,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert sorted(r["scan"] for r in spark.read.csv(str(tmp_path / "q"), header=True).collect()) == ["7", "8"]
     assert main(["topics", str(tmp_path / "a.mgf"), "--output-folder", str(tmp_path / "runs"), "--n-topics", "2", "--n-iterations", "2"]) == 0
     assert spark.read.parquet(str(tmp_path / "runs" / "a" / "theta")).count() == 4
+    assert "<polyline" in (tmp_path / "runs" / "a" / "convergence.svg").read_text() and sinks.read_motifs(spark, str(tmp_path / "runs" / "a" / "motifset")).count() > 0
+    assert spark.read.parquet(str(tmp_path / "runs" / "a" / "doc2spec")).count() == 2 and spark.read.parquet(str(tmp_path / "runs" / "a" / "viewer" / "gamma")).count() == 4
+    assert main(["topics", str(tmp_path / "a.mgf"), "--output-folder", str(tmp_path / "runs"), "--run-name", "b", "--n-topics", "2", "--n-iterations", "2", "--library", str(tmp_path / "a.mgf")]) == 0
+    assert {r["scan"] for r in spark.read.parquet(str(tmp_path / "runs" / "b" / "annotation")).collect()} <= {"7", "8"}
+    assert (tmp_path / "runs" / "b" / "motifset_optimised").exists()
+    assert main(["draw", "QUERY scannum(MS2DATA) WHERE MS2PROD=100"]) == 0 and "<svg" in capsys.readouterr().out

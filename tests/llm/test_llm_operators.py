@@ -914,12 +914,53 @@ def test_clustered_vectors_visit_few_leaves():
             near[i] = -np.inf
             best = np.argsort(-near)[:20]
             seen = np.zeros(len(data), dtype=bool)
-            for tree, leaf in forest.search(forest.extend(data[i : i + 1], True)[0], share):
+            for tree, leaf, _ in forest.search(forest.extend(data[i : i + 1], True)[0], share):
                 seen |= leaves[tree] == leaf
             found += seen[best].sum()
         assert found >= 0.9 * 20 * len(range(5, 2000, 41))
 
 
+def test_visits_stay_flat_where_vectors_are_clustered(spark, tmp_path, monkeypatch):
+    """Four times the rows, in four times as many clusters: leaves of the forest hold more, and are split further."""
+    rng = np.random.default_rng(9)
+    real, visits, recalls = neighbours.best, {}, {}
+    for n in (1500, 6000):
+        for most in (10**9, 48):
+            folder = tmp_path / f"{n}-{most}"
+            folder.mkdir()
+
+            def logged(table, k, folder=str(folder)):
+                asked = int(np.count_nonzero(table["query"].to_numpy()))
+                with open(f"{folder}/{__import__('uuid').uuid4().hex}", "w") as f:
+                    f.write(str(asked * (len(table) - asked)))
+                return real(table, k)
+
+            centres = rng.normal(size=(n // 30, 12))
+            x = (centres / np.linalg.norm(centres, axis=1, keepdims=True)).repeat(30, axis=0) + rng.normal(size=(n, 12)) * 0.03
+            x /= np.linalg.norm(x, axis=1, keepdims=True)  # the nearest by product are those of the same cluster
+            df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+            monkeypatch.setattr(neighbours, "best", logged)
+            got = neighbours.search(df, df.filter("vec_id % 25 = 0"), k=10, trees=6, leaf_rows=16, sample_rows=400, most_rows=most).collect()
+            monkeypatch.setattr(neighbours, "best", real)
+            products = x[::25] @ x.T
+            products[np.arange(len(products)), np.arange(0, n, 25)] = -np.inf
+            true = np.argsort(-products, axis=1)[:, :10]
+            found = {}
+            for r in got:
+                found.setdefault(r["query_id"], set()).add(r["vec_id"])
+            recalls[n, most] = np.mean([len(found[25 * q] & set(near.tolist())) / 10 for q, near in enumerate(true)])
+            visits[n, most] = sum(int(f.read_text()) for f in folder.iterdir()) / len(products)
+    assert min(recalls.values()) >= 0.9
+    assert visits[6000, 10**9] > 2.5 * visits[1500, 10**9] and visits[6000, 48] < 1.6 * visits[1500, 48] < visits[1500, 10**9] * 1.6
+
+
+def test_crowded_leaves_of_equal_vectors_end(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(300 + i, [1.0, 2.0 + (i % 3)]) for i in range(30)] + [(400, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = neighbours.search(df, df.filter("vec_id in (0, 400)"), k=2, trees=3, sample_rows=50, most_rows=20).collect()
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in out if r["query_id"] == 0}[0, 1] == 400
+
+
 def test_neighbours_of_repeated_rows(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 6)).astype(np.float32)

@@ -270,6 +270,41 @@ def test_mixing(docs, texts, nothing):
     assert mixing.taken(*mixing.pieces(nothing)).count() == 0
 
 
+@pytest.mark.parametrize("slots", [1 << 20, 40])
+def test_the_mix_slot_by_slot(docs, slots, monkeypatch):
+    """Slots are dealt one after the other, each taking the next block of its source, word by word."""
+    monkeypatch.setattr(mixing, "SOURCE_SLOTS", 8)
+    laid, cut = mixing.pieces(docs, slots=slots)
+    got = mixing.taken(laid, cut).collect()
+    lines, target = {}, {}
+    for r in sorted(got, key=lambda r: (r["sid"], r["bucket"], r["seq"])):
+        target[r["sid"]] = r["target"]
+        lines.setdefault(r["sid"], []).extend([(r["bucket"], r["seq"])] * r["size"])
+    length = {s: max(1, min(int(sum(target.values()) // slots), math.floor(t / 8))) for s, t in target.items()}
+    wanted = {s: target[s] / length[s] for s in target}
+    edges = np.cumsum([wanted[s] for s in sorted(target)]) / sum(wanted.values())
+    taken, rank, order = collections.Counter(), collections.Counter(), []
+    for slot in range(round(sum(wanted.values()))):
+        point = slot * mixing.GOLDEN % 1.0
+        sid = sorted(target)[min(int(np.searchsorted(edges, point, side="right")), len(target) - 1)]
+        blocks = math.ceil(len(lines.get(sid, ())) / length[sid])
+        k, rank[sid] = rank[sid], rank[sid] + 1
+        if k < 2 * blocks:
+            order.append((slot, sid))
+            for place in lines[sid][k % blocks * length[sid] : (k % blocks + 1) * length[sid]]:
+                taken[(sid, *place)] += 1
+    assert sorted({(r["slot"], r["sid"]) for r in cut.collect()}) == order
+    assert {(r["sid"], r["bucket"], r["seq"]): r["taken"] for r in got if r["taken"]} == dict(taken)
+    copies = collections.Counter()
+    for r in mixing.resample(docs, slots=slots).collect():
+        copies[len(words(r["text"]))] += 1
+    expected = collections.Counter()
+    for r in got:
+        if r["size"]:
+            expected[r["size"]] += math.floor(r["taken"] / r["size"] + 0.5)
+    assert copies == +expected
+
+
 def test_small_sources_meet_their_targets_beside_large_blocks(spark):
     data = [(k, "w " * 999 + "w", "big") for k in range(300)] + [(1000 + k, "w " * 9 + "w", "few") for k in range(70)] + [(2000, "w " * 40, None)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")

@@ -24,14 +24,14 @@ TABLE_CELLS = 100_000_000
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """By recurrence to 6 and the asymptotic series."""
-    x = np.asarray(x, dtype=float)
-    out = np.zeros_like(x)
-    while (small := x < 6).any():
-        out = np.where(small, out - 1 / np.where(small, x, 1), out)
-        x = np.where(small, x + 1, x)
-    r = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
+    """Six steps of the recurrence, then the asymptotic series."""
+    y = np.asarray(x, dtype=float)
+    out = np.zeros_like(y)
+    for _ in range(6):
+        out -= 1 / y
+        y = y + 1
+    r = 1 / (y * y)
+    return out + np.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
 
 
 def expected_log(a: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.sources import elements, readers
+from peakloom.sources import elements, readers, strict
 
 
 def test_mgf_round_trip(spark, tmp_path):
@@ -168,3 +168,31 @@ def test_a_long_library_entry_is_read(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"spectrum_id": "long", "peaks_json": peaks}, {"spectrum_id": "short", "peaks_json": "[[1.5, 2.0]]"}]))
     assert len(peaks) > 1_000_000 and readers.read_spectra(spark, str(tmp_path / "a.json")).count() == 100_001
     assert readers.left_out(spark, str(tmp_path / "a.json"), 1_000_000) == 1
+
+
+def test_strict_files_are_read_by_several_tasks(spark, tmp_path, small_splits):
+    """Blocks, and the line of the first fault, are those of a reading from the first line to the last."""
+    rng = random.Random(11)
+    faults = ["BEGIN IONS\n", "END IONS\n", "stray\n", "100 x\n", "# note\n", "\n", " END IONS \n", "1 2 3\n", "\x0b\n", ""]
+    expected = {}
+    for k in range(12):
+        parts = ["".join(f"BEGIN IONS\nUSI=u{n}\n{rng.randint(50, 900)} {rng.randint(1, 9)}\n{rng.choice(['', '200.5 3\n'])}END IONS\n{rng.choice(['', '\n', '#x\n'])}") for n in range(rng.randint(0, 220))]
+        if k % 3:
+            parts.insert(rng.randint(0, len(parts)), rng.choice(faults))
+        text = "".join(parts)
+        text = text[: rng.randint(0, len(text))] if k % 4 == 3 else text
+        (tmp_path / f"f{k}.mgf").write_text(text)
+        rows = []
+        try:
+            for n, (fields, mz, intensity) in enumerate(strict.blocks(iter(text.splitlines()))):
+                rows.append((n, fields, mz, intensity, None))
+        except strict.MgfError as e:
+            rows.append((len(rows), {}, [], [], str(e)))
+        expected[f"f{k}.mgf"] = rows
+    got = {}
+    for r in strict.read_strict(spark, str(tmp_path / "*.mgf")).orderBy("file", "n").collect():
+        got.setdefault(r["file"].rpartition("/")[2], []).append((r["n"], r["fields"], r["mz"], r["intensity"], r["error"]))
+    for name, rows in expected.items():
+        assert got.get(name, []) == rows, name
+    assert sum(bool(rows) and rows[-1][4] is not None for rows in expected.values()) >= 4
+    assert spark.read.text(str(tmp_path / "*.mgf"), lineSep="\nBEGIN IONS").rdd.getNumPartitions() > 12

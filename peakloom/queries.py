@@ -151,6 +151,9 @@ peak_query("ql_ms2_of_ms1", "query scannum(MS2DATA) where MS1MZ=2050:TOLERANCEMZ
 peak_query("ql_scaninfo_norms", FLAGSHIP, ["scan", "ms1scan", named("i_norm_ms1")], f"select scan, max(ms1scan) as ms1scan, {q6('max(n.i_norm)')} as i_norm_ms1 from ms2 left join (select scan as s1, max(i_norm) as i_norm from ms1 group by 1) n on s1 = ms1scan where scan in (select scan from ms2 where {HIT}) group by scan", ms1=True)
 peak_query("ql_filter_ms1", "QUERY MS1DATA WHERE RTMAX=5 FILTER MS1MZ=(2000 OR 3000):TOLERANCEMZ=40", ["scan", named("mz"), named("i")], f"select scan, {q6('mz')} as mz, {q6('i')} as i from ms1 where rt < 5 and ({band('mz', '2000', '40')} or {band('mz', '3000', '40')})", ms1=True)
 peak_query("ql_ms1_massdefect", "QUERY scannum(MS1DATA, TOLERANCE=0.5) WHERE MS1MZ=2050:TOLERANCEMZ=50:MASSDEFECT=massdefect(min=0.3,max=0.6)", None, f"select distinct scan from ms1 where {band('mz', '2050', '50')} and mz - floor(mz) > 0.3e0 and mz - floor(mz) < 0.6e0", ms1=True)
+# masses from tables of residues: G 57.02146, K 128.09496, R 156.10111, S 87.03203; water 18.01056, a proton 1.00728
+peak_query("ql_peptide", "QUERY scannum(MS2DATA) WHERE MS2PROD=peptide(GSK, charge=1, ion=y):TOLERANCEMZ=0.4", None, f"select distinct scan from ms2 where {band('frag_mz', str(57.02146 + 87.03203 + 128.09496 + 18.01056 + 1.00728) + 'e0', '0.4e0')}")
+peak_query("ql_residues", "QUERY scannum(MS2DATA) WHERE MS2PROD=100+aminoaciddelta(KR):TOLERANCEMZ=0.4", None, f"select distinct scan from ms2 where {band('frag_mz', str(100 + 128.09496 + 156.10111) + 'e0', '0.4e0')}")
 peak_query("ql_percent_limit", "QUERY scannum(MS1DATA) WHERE MS1MZ=2050:TOLERANCEMZ=50:INTENSITYPERCENT=100", None, f"select distinct scan from ms1 where {band('mz', '2050', '50')} and i_norm > 0.99e0", ms1=True)
 peak_query("ql_nothing", "QUERY scaninfo(MS2DATA) WHERE MS2PROD=99999:TOLERANCEMZ=0.1", ["scan", named("i")], f"select scan, {q6('sum(frag_intens)')} as i from ms2 where false group by scan")
 peak_query("ql_arithmetic", "QUERY scannum(MS2DATA) WHERE MS2PROD=2*(100-10.985)+(0.5*0)/3:TOLERANCEMZ=0.5", None, f"select distinct scan from ms2 where {band('frag_mz', '178.03e0', '0.5e0')}")
@@ -184,6 +187,11 @@ def corpus_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.vocabulary(peaks.words(ms2_peaks(spark, sf_dir)), 50, 2)
 
 
+@register("vocabulary_without_top", f"{WORDS}, v as (select word, sum(n)::bigint as cf, count(distinct scan) as df from words group by word having count(distinct scan) >= 2) select word, cf, df from (select *, row_number() over (order by cf desc, word) as k from v) where k > 25")
+def vocabulary_without_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.vocabulary(peaks.words(ms2_peaks(spark, sf_dir)), 1, 2, drop_top=25)
+
+
 @register(
     "completion_split",
     f"""{PEAKS}, p as (select scan, row_number() over (partition by scan order by frag_mz, frag_intens, loss_mz) as peak_idx from ms2),

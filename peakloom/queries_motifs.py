@@ -835,3 +835,18 @@ def common_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most common items first."""
     counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.count("*").alias("n"))
     return ordered.numbered(counts, F.desc("n"), "item", name="place").withColumn("place", (F.col("place") + 1).cast("int"))
+
+
+@register(
+    "reference_library",
+    f"""{PEAKS}, w as (select scan, frag_mz, frag_intens, frag_intens / max(frag_intens) over (partition by scan) as w from ms2), k as (select *, count(*) over (partition by scan) as peaks from w where frag_mz <= 700 and w >= 0.2e0),
+    n as (select scan as doc, 'frag@' || floor(frag_mz + 0.5e0)::bigint as word, round_even(100e0 * (frag_intens / top), 0) as n from (select *, max(frag_intens) over (partition by scan) as top from k where peaks >= 2)), c as (select doc, word, sum(n) / 100e0 as w from n where n > 0 group by 1, 2),
+    e as (select 'frag@' || vec_id as word, unnest(range(64))::int as pos, unnest(embedding)::double as x from embeddings), m as (select doc, pos, sum(sqrt(w) * x) / sum(sqrt(w)) as v from c join e using (word) group by 1, 2)
+    select doc, {q6('sum(v)')} as total, {q6('sqrt(sum(v * v))')} as norm from m group by doc""",
+)
+def reference_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned spectra as the vectors of a library."""
+    words = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("frag@"), F.col("vec_id").cast("double").cast("string")).alias("word"), F.col("embedding").cast("array<double>").alias("v"))
+    library = annotation.reference_library(ms2_peaks(spark, sf_dir), words, 0, low_mz=0.0, high_mz=700.0, low=0.2, least=2)
+    add = lambda f: F.aggregate("v", F.lit(0.0), lambda a, x: a + f(x))
+    return library.select("doc", r6(add(lambda x: x)).alias("total"), r6(F.sqrt(add(lambda x: x * x))).alias("norm"))

@@ -286,7 +286,7 @@ def best(table: pa.Table, k: int) -> pa.Table:
     return pa.table(dict(zip(("query_id", "vec_id", "score"), cat, strict=True)))
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf_rows: int = 64, sample_rows: int = 65_536, target_recall: float = 0.95, trial_queries: int = 150, most_rows: int = BLOCK_ROWS, seed: int = 11, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12, leaf_rows: int = 64, sample_rows: int = 20_000, target_recall: float = 0.95, trial_queries: int = 150, most_rows: int = BLOCK_ROWS, seed: int = 11, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of df found for each row of queries."""
     rows, asked = vectors(df, key, vector).distinct(), vectors(queries, key, vector).distinct()
     widths = [r["n"] for r in asked.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # one, or a few

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .screening import clustered_hits, optimised, selected_hits
 from ..functions.scalars import fixed_word, natural_number
 from ..plans.compiler import run
 from .ordered import numbered
+from .screening import clustered_hits, optimised, selected_hits
+from .shared import settle
 from .similarity import containment, cosine_pairs, cosine_top, unique_hits, unit
 from .vectors import weighted_means
 
@@ -172,17 +173,17 @@ def screen_store(store: tuple[DataFrame | None, DataFrame], query: str, vectors:
     """
     ms1, ms2 = store
     found = run(query, ms1, ms2).select("scan").distinct()
-    kept = ms2.join(found, "scan", "left_semi")
+    kept = settle(ms2.join(found, "scan", "left_semi"), "screen-motifs")
     if kept.isEmpty():
         raise ValueError("no motif of the store matches the query")
     known = kept.groupBy("motif_id").agg(*(F.max(c).alias(f"ref_{c}") for c in REFERENCE if c in ms2.columns and c != "motif_id"))
     number = F.xxhash64("doc")  # vectors meet under numbers; names come back in a join
-    library = weighted_means(motif_words(kept, "motif_id", digits), vectors, power).withColumn("id", number)
+    library = settle(weighted_means(motif_words(kept, "motif_id", digits), vectors, power).withColumn("id", number), "screen-store")
     out = None
     for kind, peaks, key in (("spectrum-motif", spectra, "scan"), ("motif-motif", motifs, "motif_id")):
         if peaks is None:
             continue
-        asked = weighted_means(motif_words(peaks, key, digits), vectors, power).withColumn("query", number)
+        asked = settle(weighted_means(motif_words(peaks, key, digits), vectors, power).withColumn("query", number), "screen-asked")
         hits = cosine_pairs(library.select("id", "v"), asked.select("query", "v"), least)
         hits = hits.join(asked.select("query", F.col("doc").cast("string").alias("hit_id")), "query").join(library.select("id", F.col("doc").alias("motif_id")), "id")
         part = hits.select("hit_id", F.lit(kind).alias("screen_type"), F.round("score", 2).alias("score"), "motif_id").join(known, "motif_id").withColumnRenamed("motif_id", "ref_motif_id")
@@ -208,7 +209,7 @@ def optimised_motifs(motifs: DataFrame, spectra: DataFrame, vectors: DataFrame,
     """
     own = motifs.withColumn("motif", natural_number(F.col("motif_id")))
     word = lambda kind, mz: F.when(kind == "frag", fixed_word("frag", mz, digits)).otherwise(fixed_word("loss", mz, digits))
-    asked = weighted_means(own.select(F.col("motif").alias("doc"), word(F.col("kind"), F.col("mz")).alias("word"), F.col("i").alias("w")), vectors, power)
+    asked = settle(weighted_means(own.select(F.col("motif").alias("doc"), word(F.col("kind"), F.col("mz")).alias("word"), F.col("i").alias("w")), vectors, power), "motifs-asked")
     number = F.col("motif") * VARIANTS + F.col("variant")
     masked = masked_spectra(own.select("motif", "kind", "peak_idx", "mz", "i"))
     cells = [masked.select(number.alias("doc"), F.inline(side)).select("doc", fixed_word(kind, F.col("mz"), digits).alias("word"), F.col("i").alias("w")) for kind, side in (("frag", "frags"), ("loss", "losses"))]
@@ -216,7 +217,7 @@ def optimised_motifs(motifs: DataFrame, spectra: DataFrame, vectors: DataFrame,
     variants = variants.select(F.floor(F.col("doc") / VARIANTS).alias("motif"), (F.col("doc") % VARIANTS).alias("variant"), "v")
 
     known = spectra.withColumns({"id": F.xxhash64("scan"), "loss_mz": F.col("precmz") - F.col("frag_mz"), "loss_intens": F.col("frag_intens")})
-    library = weighted_means(motif_words(known, "id", digits), vectors, power).withColumnRenamed("doc", "id")
+    library = settle(weighted_means(motif_words(known, "id", digits), vectors, power).withColumnRenamed("doc", "id"), "motifs-library")
     found = annotate(asked.withColumnRenamed("doc", "query"), library, library.select("id", F.col("id").cast("string").alias("molecule")), variants, n, k, cut, how)
     hits = found.join(known.select("id", "scan").distinct(), "id").select(F.col("motif").cast("bigint").alias("motif"), "rank", "scan", "score", "cluster")
     listed = known.select("scan", F.inline(F.array(F.struct(F.lit("frag").alias("kind"), F.col("frag_mz").alias("mz")), F.struct(F.lit("loss").alias("kind"), F.col("loss_mz").alias("mz")))))

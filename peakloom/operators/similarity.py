@@ -21,23 +21,30 @@ DENSE_BITS = 1 << 16  # fingerprints of more positions are compared as sets
 def unit(v: Column) -> Column:
     """A vector of length 1; zeros stay, NaN counts as 0."""
     clean = F.transform(v, lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)))
-    norm = F.sqrt(F.aggregate(clean, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(clean, lambda x: x / norm)).otherwise(clean)
+    once = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731 - a name for a value, which is then not computed for each element
+    scaled = lambda c, n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(c)
+    return once(clean, lambda c: once(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), lambda n: scaled(c, n)))
+
+
+def units(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1, as `unit` makes them."""
+    clean = np.where(np.isnan(rows), 0.0, rows)
+    norm = np.sqrt((clean * clean).sum(axis=1, keepdims=True))
+    return np.divide(clean, norm, out=clean, where=norm > 0)
 
 
 Picked = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def matched(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Picked], names: tuple[str, str, str], width: int, cells: list[tuple[int, int]] | None = None) -> DataFrame:
+def matched(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Picked], names: tuple[str, str, str], width: int, counts: tuple[int, int], cells: list[tuple[int, int]] | None = None) -> DataFrame:
     """What `kernel` picks of each block of pairs: left and right (key, part, data), data of `width` bytes, as (left key, right key, score).
 
-    kernel gets two blocks' keys and bytes and returns rows, columns and scores. If the smaller side takes up to SHARED_BYTES, by its
-    measured number of rows, it goes to all tasks, sorted by part, and the other side is read where it lies, BLOCK rows of ascending
+    kernel gets two blocks' keys and bytes and returns rows, columns and scores. If the smaller side takes up to SHARED_BYTES, by the
+    numbers of rows in counts, it goes to all tasks, sorted by part, and the other side is read where it lies, BLOCK rows of ascending
     part at a time. Else both sides are dealt into `cells`, pairs of parts that may match (all of them by default), each a group of two parts,
     and a row is copied once for each part that its own may match.
     """
     spark, kinds = left.sparkSession, f"{names[0]} bigint, {names[1]} bigint, {names[2]} double"
-    counts = left.count(), right.count()
     small = 0 if counts[0] < counts[1] else 1
 
     def batch(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> pa.Table | None:
@@ -100,17 +107,17 @@ def _stretch(parts: np.ndarray, asked: np.ndarray, partners: dict[int, tuple[int
     return int(np.searchsorted(parts, min(f[0] for f in found))), int(np.searchsorted(parts, max(f[1] for f in found), side="right"))
 
 
-def packed(vectors: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, part, data): unit vectors as bytes, dealt by hash into parts of about QUERY_BLOCK to BLOCK rows."""
-    parts = max(1, -(-vectors.count() // BLOCK))
+def packed(vectors: DataFrame, key: str, width: int, rows: int) -> DataFrame:
+    """(key, part, data): unit vectors as bytes, dealt by hash into parts of about BLOCK rows."""
+    parts = max(1, -(-rows // BLOCK))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1) if len(b) else np.zeros((0, width))
+            v = units(b["v"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)) if len(b) else np.zeros((0, width))
             yield pa.RecordBatch.from_arrays([b["key"], b["part"], pa.array([x.tobytes() for x in v], pa.binary())], ["key", "part", "data"])
 
     own = F.col(key).cast("bigint")
-    return vectors.select(own.alias("key"), F.pmod(F.xxhash64(own, F.lit(7)), F.lit(parts)).alias("part"), unit(F.col("v")).alias("v")).mapInArrow(rows, "key bigint, part bigint, data binary")
+    return vectors.select(own.alias("key"), F.pmod(F.xxhash64(own, F.lit(7)), F.lit(parts)).alias("part"), F.col("v").cast("array<double>").alias("v")).mapInArrow(made, "key bigint, part bigint, data binary")
 
 
 def _cosines(library: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -122,7 +129,8 @@ def _cosines(library: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray]
         row, column = pick(score)
         return row, column, score[row, column]
 
-    return matched(packed(queries, "query", width), packed(library, "id", width), kernel, ("query", "id", "score"), 8 * width)
+    counts = queries.count(), library.count()
+    return matched(packed(queries, "query", width, counts[0]), packed(library, "id", width, counts[1]), kernel, ("query", "id", "score"), 8 * width, counts)
 
 
 def cosine_top(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -185,8 +193,8 @@ def size_parts(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def bit_rows(sets: DataFrame, key: str, width: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """((key, part, data), sizes of each part as (least, greatest)): sets as rows of bits, in parts by size."""
+def bit_rows(sets: DataFrame, key: str, width: int) -> tuple[DataFrame, dict[int, tuple[int, int]], int]:
+    """((key, part, data), sizes of each part as (least, greatest), rows): sets as rows of bits, in parts by size."""
     counts = {r["size"]: r["rows"] for r in sets.groupBy(F.size("set").alias("size")).agg(F.count("*").alias("rows")).collect()}  # width + 1 at most
     places = size_parts(counts)
     spans: dict[int, tuple[int, int]] = {}
@@ -203,7 +211,7 @@ def bit_rows(sets: DataFrame, key: str, width: int) -> tuple[DataFrame, dict[int
             part = first + b["key"].to_numpy() % np.maximum(several, 1)
             yield pa.RecordBatch.from_arrays([b["key"], pa.array(part), pa.array([x.tobytes() for x in np.packbits(flags, axis=1)], pa.binary())], ["key", "part", "data"])
 
-    return sets.select(F.col(key).cast("bigint").alias("key"), "set").mapInArrow(rows, "key bigint, part bigint, data binary"), spans
+    return sets.select(F.col(key).cast("bigint").alias("key"), "set").mapInArrow(rows, "key bigint, part bigint, data binary"), spans, sum(counts.values())
 
 
 def tanimotos(least: float) -> Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Picked]:
@@ -232,9 +240,9 @@ def screen(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     if top is not None and top >= DENSE_BITS:
         return screen_sets(left, right, least)
     width = -(-((top or 0) + 1) // 64) * 64
-    (a, spans_a), (b, spans_b) = bit_rows(left, "a", width), bit_rows(right, "b", width)
+    (a, spans_a, n_a), (b, spans_b, n_b) = bit_rows(left, "a", width), bit_rows(right, "b", width)
     cells = [(i, j) for i, (low, high) in spans_a.items() for j, (below, above) in spans_b.items() if high >= least * below and above >= least * low]
-    return matched(a, b, tanimotos(least), ("a", "b", "score"), width // 8, cells)
+    return matched(a, b, tanimotos(least), ("a", "b", "score"), width // 8, (n_a, n_b), cells)
 
 
 def screen_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:

@@ -323,7 +323,7 @@ def network_document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lda_fit_infer")
 def lda_fit_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the peak corpus by variational Bayes, then every scan's mixture under them."""
-    corpus = peaks.words(ms2_peaks(spark, sf_dir), digits=0).withColumnRenamed("scan", "doc")
+    corpus = settle(peaks.words(ms2_peaks(spark, sf_dir), digits=0).withColumnRenamed("scan", "doc"), "corpus")  # for the vocabulary and the bags
     vocabulary = peaks.vocabulary(corpus.withColumnRenamed("doc", "scan"), 1, 2).orderBy("word").select("word")
     words = [r["word"] for r in vocabulary.toLocalIterator()]  # whole m/z units: about a thousand
     ids = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, id int")

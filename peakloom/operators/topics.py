@@ -120,7 +120,8 @@ def shares(peaks: DataFrame, theta: DataFrame, beta: DataFrame, tol: float = 0.0
     """
     sides = peaks.select("doc", "peak_idx", F.explode(F.array(F.struct(F.lit("frag").alias("kind"), F.col("mz").alias("at")), F.struct(F.lit("loss").alias("kind"), (F.col("precursor") - F.col("mz")).alias("at")))).alias("s")).select("doc", "peak_idx", "s.kind", "s.at")
     sides = sides.withColumn("bin", F.floor(F.col("at") / tol))
-    near = beta.withColumn("bin", F.explode(F.sequence(F.floor(F.col("value") / tol) - 1, F.floor(F.col("value") / tol) + 1)))
+    reach = tol + 1e-9  # a difference that rounding takes past the tolerance may lie a bin farther
+    near = beta.withColumn("bin", F.explode(F.sequence(F.floor((F.col("value") - reach) / tol), F.floor((F.col("value") + reach) / tol))))
     hits = sides.join(near, ["kind", "bin"]).filter(F.abs(F.col("at") - F.col("value")) <= tol + 1e-12)
     weighed = hits.join(theta.withColumnsRenamed({"p": "t"}), ["doc", "topic"]).groupBy("doc", "peak_idx", "topic").agg(F.sum(F.col("t") * F.col("p")).alias("s"))
     return weighed.select("doc", "peak_idx", "topic", (F.col("s") / F.sum("s").over(Window.partitionBy("doc", "peak_idx"))).alias("share"))

@@ -34,9 +34,14 @@ def strict_clean(peaks: DataFrame, low_mz: float = 0.0, high_mz: float = 1000.0,
     return several.withColumn("peak_idx", F.row_number().over(scan.orderBy("frag_mz", "peak_idx")))
 
 
-def words(peaks: DataFrame, digits: int = 2, losses: bool = False) -> DataFrame:
-    """(scan, word, n): a fragment's word as often as a hundred times its relative intensity; losses take their own peak's."""
+def words(peaks: DataFrame, digits: int = 2, losses: bool = False, parts: int | None = None) -> DataFrame:
+    """(scan, word, n): a fragment's word as often as a hundred times its relative intensity; losses take their own peak's.
+
+    parts: how many parts the scans are dealt into, which bounds a task's sorts and counts; else the session's shuffle partitions.
+    """
     scan = Window.partitionBy("scan")
+    if parts:
+        peaks = peaks.select("scan", "frag_mz", "frag_intens", *(["precmz"] if losses else [])).repartition(parts, "scan")
     weighed = peaks.withColumn("w", F.col("frag_intens") / F.max("frag_intens").over(scan)).withColumn("n", repetitions(F.col("w")))
     kinds = [F.struct(word("frag", F.col("frag_mz"), digits).alias("word"))]
     if losses:

@@ -15,3 +15,18 @@ def test_a_loss_that_rounding_takes_past_the_tolerance_has_shares(spark):
     theta = spark.createDataFrame([("d", 0, 1.0)], "doc string, topic int, p double")
     beta = spark.createDataFrame([(0, "loss", 20.0, 1.0)], "topic int, kind string, value double, p double")
     assert [tuple(r) for r in topics.shares(peaks, theta, beta, 0.5).collect()] == [("d", 1, 0, 1.0)]
+
+
+def test_word_corpora_are_dealt_into_the_parts_asked_for(spark):
+    from core_helpers import DATA
+
+    from peakloom.operators import peaks
+    from peakloom.sources.adapters import ms2_peaks, scan_parts
+
+    table = ms2_peaks(spark, DATA)
+    for losses in (False, True):
+        dealt = peaks.words(table, 0, losses, parts=9)
+        assert dealt.rdd.getNumPartitions() == 9
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, peaks.words(table, 0, losses).collect()))
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert scan_parts(spark, DATA, 100) == -(-rows // 100) and scan_parts(spark, DATA, 10**9) == spark.sparkContext.defaultParallelism

@@ -529,7 +529,9 @@ SKETCH = f"""with p as (select p_partkey, p_name from part), g as (select p_part
     SKETCH + " select p_partkey, list_aggregate(sketch, 'sum')::bigint as total, list_sort(list_distinct([x % 1024 for x in h]))::varchar as bits, 1 - list_sum([(sketch[k] = o.other[k])::int for k in range(1, 17)]) / 16e0 as distance from m cross join (select sketch as other from m where p_partkey = 1) o",
 )
 def sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", sketches.lingo(F.col("p_name")).alias("s")).withColumn("sketch", sketches.minhash(F.col("s"), MAPS))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // 20_000))  # a small file is one split, and its sketches are work
+    table = rows.repartition(parts).select("p_partkey", sketches.lingo(F.col("p_name")).alias("s")).withColumn("sketch", sketches.minhash(F.col("s"), MAPS))
     first = table.filter("p_partkey = 1").select(F.col("sketch").alias("other"))
     total = F.aggregate("sketch", F.lit(0).cast("bigint"), lambda a, x: a + x)
     bits = F.concat(F.lit("["), F.array_join(sketches.folded(F.col("s"), 1024).cast("array<string>"), ", "), F.lit("]"))

@@ -30,3 +30,11 @@ def test_word_corpora_are_dealt_into_the_parts_asked_for(spark):
         assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, peaks.words(table, 0, losses).collect()))
     rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert scan_parts(spark, DATA, 100) == -(-rows // 100) and scan_parts(spark, DATA, 10**9) == spark.sparkContext.defaultParallelism
+
+
+def test_sketches_are_made_by_all_cores(spark):
+    from core_helpers import DATA
+
+    from peakloom import queries
+
+    assert queries.QUERIES["sketch_minhash"](spark, DATA).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -38,3 +38,14 @@ def test_sketches_are_made_by_all_cores(spark):
     from peakloom import queries
 
     assert queries.QUERIES["sketch_minhash"](spark, DATA).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_rows_go_to_two_bins_and_meet_all_within_the_margin(spark):
+    from pyspark.sql import functions as F
+
+    from peakloom.operators import screening
+
+    whole, half = spark.range(1, 200).select(F.col("id").cast("double").alias("b")), spark.range(2, 400).select((F.col("id") * 0.5).alias("a"))
+    assert screening.binned(whole, "b", 0.5).count() == 2 * 199
+    got = {tuple(r) for r in screening.near(half, whole, "a", "b", 0.5).collect()}
+    assert got == {(x / 2, float(y)) for x in range(2, 400) for y in range(1, 200) if abs(x / 2 - y) <= 0.5}

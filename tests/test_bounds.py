@@ -49,3 +49,12 @@ def test_rows_go_to_two_bins_and_meet_all_within_the_margin(spark):
     assert screening.binned(whole, "b", 0.5).count() == 2 * 199
     got = {tuple(r) for r in screening.near(half, whole, "a", "b", 0.5).collect()}
     assert got == {(x / 2, float(y)) for x in range(2, 400) for y in range(1, 200) if abs(x / 2 - y) <= 0.5}
+
+
+def test_a_cell_of_few_topics_counts_with_its_own_columns(spark, monkeypatch):
+    from peakloom.operators import topic_table
+
+    monkeypatch.setattr(topic_table, "BLOCK_CELLS", 3100)
+    cells = spark.range(4000).selectExpr("cast(id % 1000 as string) as doc", "id", "1 as n")
+    sizes = [r["count"] for r in topic_table.blocked(cells, 3).groupBy("block").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) * 3 * 8 < 3100 * 8 / 4  # topics' numbers are a small part of what a block of theirs takes

@@ -29,7 +29,7 @@ def spectra(peaks: DataFrame, scan: F.Column | str = "scan") -> DataFrame:
 
 def named_scan() -> F.Column:
     """The scan's own name, without that of its file."""
-    return F.regexp_extract("scan", r"([^:]+)$", 1)
+    return F.substring_index("scan", ":", -1)
 
 
 @register("files_mgf", f"{PEAKS} select scan, {q6('max(precmz)')} as precmz, count(*) as n, {q6('max(frag_mz)')} as top, {q6('sum(frag_intens)')} as total, {q6('max(frag_intens / t)')} as share from (select *, sum(frag_intens) over (partition by scan) as t from ms2) group by scan")

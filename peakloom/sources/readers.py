@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +58,8 @@ def _field(block: Column, name: str) -> Column:
 def _peaks(df: DataFrame) -> DataFrame:
     """df (scan, block, ...) with a row for each peak of positive intensity."""
     pairs = F.arrays_zip(F.regexp_extract_all("block", F.lit(PEAK), F.lit(1)).alias("m"), F.regexp_extract_all("block", F.lit(PEAK), F.lit(2)).alias("v"))
-    out = df.select(*[c for c in df.columns if c != "block"], F.posexplode(pairs).alias("peak_idx", "p"))
+    # outer: else Spark infers a filter that parses every block again; a block without peaks has a null, which the last filter drops
+    out = df.select(*[c for c in df.columns if c != "block"], F.posexplode_outer(pairs).alias("peak_idx", "p"))
     out = out.select("*", F.col("p.m").cast("double").alias("frag_mz"), F.col("p.v").cast("double").alias("frag_intens")).drop("p").filter("frag_intens > 0")
     return with_norms(out)
 
@@ -67,6 +69,18 @@ def with_norms(df: DataFrame) -> DataFrame:
     return df.withColumns({"i_norm": F.col("frag_intens") / F.max("frag_intens").over(scan), "i_tic_norm": F.col("frag_intens") / F.sum("frag_intens").over(scan)})
 
 
+def _read(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(file, split, value, id): a file's rows; ids go up by one inside a split."""
+    return spark.read.text(path, **options).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value", F.monotonically_increasing_id().alias("id"))
+
+
+def _starts(read: DataFrame, count: Column) -> DataFrame:
+    """(file, split, first, before): a row for each split: its first id, and the file's `count` over the splits before it."""
+    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    each = read.groupBy("file", "split").agg(F.min("id").alias("first"), count.alias("own"))
+    return each.select("file", "split", "first", F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("before"))
+
+
 def _rows(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """(file, value, n): a file's rows with their places from 1, whatever the splits it is read in.
 
@@ -82,7 +96,7 @@ def _rows(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def _named(df: DataFrame, name: Column) -> Column:
     """A scan's name: of several files, with its file's."""
     own = F.coalesce(name, F.col("n").cast("string"))
-    return F.concat_ws(":", F.regexp_extract("file", r"([^/]+)$", 1), own) if len(df.inputFiles()) > 1 else own
+    return F.concat_ws(":", F.substring_index("file", "/", -1), own) if len(df.inputFiles()) > 1 else own
 
 
 @reader(".mgf")
@@ -106,19 +120,65 @@ def polarity(text: Column) -> Column:
     return F.when(low.startswith("pos") | (low == "+"), 1).when(low.startswith("neg") | (low == "-"), 2).otherwise(0)
 
 
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (head, value, blank), of which a split's first has its head, as blocks of lines without a blank one between them.
+
+    k: how many blank lines of the file stand before a block; edge: the split's first or last, which may go on in another.
+    """
+    own, k, at, held, out = None, 0, 0, [], []
+
+    def done(last: bool) -> None:
+        if held:
+            out.append((own["file"], own["split"], own["before"] + at, "\n".join(held), last or at == 0))
+            held.clear()
+
+    for b in batches:
+        if not len(b):
+            continue
+        begins = np.flatnonzero(b["head"].is_valid().to_numpy(zero_copy_only=False))
+        bounds = np.unique(np.concatenate([[0], begins, [len(b)]]))
+        blank = b["blank"].to_numpy(zero_copy_only=False)
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b["head"][low].is_valid:
+                done(True)
+                own, k, at = b["head"][low].as_py(), 0, 0
+            gaps = blank[low:high]
+            numbers = (k + np.cumsum(gaps))[~gaps]
+            k += int(gaps.sum())
+            first = np.flatnonzero(np.diff(numbers, prepend=-1))
+            lines = b["value"].slice(low, high - low).filter(pa.array(~gaps))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(lines)), pa.int32()), lines), "\n")
+            for number, text in zip(numbers[first].tolist(), texts.to_pylist(), strict=True):
+                if number != at:
+                    done(False)
+                    at = number
+                held.append(text)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], PARTED_NAMES)
+            out.clear()
+    done(True)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], PARTED_NAMES)
+
+
+PARTED = "file string, split bigint, k bigint, block string, edge boolean"
+PARTED_NAMES = [c.split(" ")[0] for c in PARTED.split(", ")]
+
+
 @reader(".msp")
 def read_msp(spark: SparkSession, path: str) -> DataFrame:
-    """Compounds parted by blank lines, with any line ends; several peaks of a line are parted by semicolons, quoted notes are left out."""
-    lines = _rows(spark, path)
-    blank = (F.trim("value") == "").cast("int")
-    # blocks are counted like rows: inside chunks of lines, then over a file's chunks
-    lines = lines.withColumn("chunk", F.floor(F.col("n") / 100_000))
-    ahead = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = lines.groupBy("file", "chunk").agg(F.sum(blank).alias("k")).select("file", "chunk", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("before"))
-    inside = F.sum(blank).over(Window.partitionBy("file", "chunk").orderBy("n"))
-    numbered = lines.withColumn("k", inside).join(before, ["file", "chunk"]).select("file", "n", "value", (F.col("k") + F.col("before")).alias("k")).filter(F.trim("value") != "")
-    block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n")
-    blocks = numbered.groupBy("file", "k").agg(F.min("n").alias("n"), block.alias("block")).filter(F.lower("block").contains("num peaks"))
+    """Compounds parted by blank lines, with any line ends; several peaks of a line are parted by semicolons, quoted notes are left out.
+
+    Blocks are put together where their lines are read; only those at the edges of splits, two of each, are shuffled.
+    """
+    lines = _read(spark, path)
+    blank = F.trim("value") == ""
+    starts = F.broadcast(_starts(lines, F.sum(blank.cast("int"))))  # a row for each split
+    head = F.when(F.col("id") == F.col("first"), F.struct("file", "split", "before"))
+    parted = lines.join(starts, ["file", "split"]).select(head.alias("head"), "value", blank.alias("blank")).mapInArrow(_parted, PARTED)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "block"))), lambda x: x["block"]), "\n")
+    edges = parted.filter("edge").groupBy("file", "k").agg(joined.alias("block"))
+    blocks = parted.filter("not edge").select("file", "k", "block").unionByName(edges).filter(F.lower("block").contains("num peaks"))
     blocks = blocks.withColumn("n", F.col("k") + 1)
     named = blocks.select(
         "file",

@@ -58,3 +58,30 @@ def test_a_cell_of_few_topics_counts_with_its_own_columns(spark, monkeypatch):
     cells = spark.range(4000).selectExpr("cast(id % 1000 as string) as doc", "id", "1 as n")
     sizes = [r["count"] for r in topic_table.blocked(cells, 3).groupBy("block").count().collect()]
     assert sum(sizes) == 4000 and max(sizes) * 3 * 8 < 3100 * 8 / 4  # topics' numbers are a small part of what a block of theirs takes
+
+
+def test_only_compounds_at_the_edges_of_splits_are_shuffled(spark, tmp_path):
+    from peakloom.sources import readers
+
+    edges = []
+
+    def counted(batches):
+        for b in readers._parted(batches):
+            edges.extend(b["edge"].to_pylist())
+            yield b
+
+    (tmp_path / "a.msp").write_text("\n" + "".join(("" if k % 3 else f"Name: n{k}\n") + f"Num Peaks: 40\n{''.join(f'{k}.{j} {j + 1}{chr(10)}' for j in range(40))}" + "\n" * (1 + k % 2) for k in range(60)))
+    once = sorted(map(str, readers.read_msp(spark, str(tmp_path / "a.msp")).collect()))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        splits = spark.read.text(str(tmp_path / "a.msp")).rdd.getNumPartitions()
+        assert splits > 20 and once == sorted(map(str, readers.read_msp(spark, str(tmp_path / "a.msp")).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(once) == 60 * 40
+    head, value = [{"file": "f", "split": 0, "before": 0}] + [None] * 6, ["a", "", "b", "c", "", "", "d"]
+    import pyarrow as pa
+
+    list(counted([pa.RecordBatch.from_arrays([pa.array(head), pa.array(value), pa.array([v == "" for v in value])], ["head", "value", "blank"])]))
+    assert edges == [True, False, True]

@@ -22,9 +22,9 @@ def folder(spark: SparkSession, suffix: str) -> str:
     return fresh_folder(spark, "files") + suffix
 
 
-def spectra(peaks: DataFrame, scan: F.Column | str = "scan") -> DataFrame:
-    """One row a scan, to be compared with SPECTRA."""
-    return peaks.groupBy(F.col(scan).alias("scan") if isinstance(scan, str) else scan.alias("scan")).agg(r6(F.max("precmz")).alias("precmz"), F.count("*").alias("n"), r6(F.max("frag_mz")).alias("top"), r6(F.sum("frag_intens")).alias("total"))
+def spectra(peaks: DataFrame, scan: F.Column | str = "scan", *more: F.Column) -> DataFrame:
+    """One row a scan, to be compared with SPECTRA; more: further sums."""
+    return peaks.groupBy(F.col(scan).alias("scan") if isinstance(scan, str) else scan.alias("scan")).agg(r6(F.max("precmz")).alias("precmz"), F.count("*").alias("n"), r6(F.max("frag_mz")).alias("top"), r6(F.sum("frag_intens")).alias("total"), *more)
 
 
 def named_scan() -> F.Column:
@@ -36,8 +36,7 @@ def named_scan() -> F.Column:
 def files_mgf(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, ".mgf")
     readers.write_mgf(ms2_peaks(spark, sf_dir), path)
-    again = readers.read_spectra(spark, path)
-    return spectra(again, named_scan()).join(again.groupBy(named_scan().alias("scan")).agg(r6(F.max("i_tic_norm")).alias("share")), "scan")
+    return spectra(readers.read_spectra(spark, path), named_scan(), r6(F.max("i_tic_norm")).alias("share"))
 
 
 @register("files_msp", SPECTRA)

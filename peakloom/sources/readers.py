@@ -55,13 +55,28 @@ def _field(block: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
-def _peaks(df: DataFrame) -> DataFrame:
-    """df (scan, block, ...) with a row for each peak of positive intensity."""
+#: Into how many parts to deal the scans of a split of a text file: with short lines a split of 128 MB has five million peaks.
+PARTS_OF_SPLIT = 16
+
+
+def _peaks(df: DataFrame, splits: int | None = None) -> DataFrame:
+    """df (file, scan, block, ...) with a row for each peak of positive intensity.
+
+    Norms are taken over a file's blocks of one scan name, whose peaks are in arrays until then. Where the number of splits is given, scans
+    are dealt into so many parts that a task sorts little; else they are shuffled only where norms are asked for.
+    """
     pairs = F.arrays_zip(F.regexp_extract_all("block", F.lit(PEAK), F.lit(1)).alias("m"), F.regexp_extract_all("block", F.lit(PEAK), F.lit(2)).alias("v"))
-    # outer: else Spark infers a filter that parses every block again; a block without peaks has a null, which the last filter drops
-    out = df.select(*[c for c in df.columns if c != "block"], F.posexplode_outer(pairs).alias("peak_idx", "p"))
-    out = out.select("*", F.col("p.m").cast("double").alias("frag_mz"), F.col("p.v").cast("double").alias("frag_intens")).drop("p").filter("frag_intens > 0")
-    return with_norms(out)
+    numbers = F.transform(pairs, lambda x, k: F.struct(k.alias("k"), x["m"].cast("double").alias("m"), x["v"].cast("double").alias("v")))
+    kept = [c for c in df.columns if c != "block"]
+    blocks = df.select(*kept, F.filter(numbers, lambda x: x["v"] > 0).alias("p"))
+    blocks = blocks if splits is None else blocks.repartition(splits * PARTS_OF_SPLIT, "file", "scan")
+    scan = Window.partitionBy("file", "scan")
+    most = F.max(F.array_max(F.col("p.v"))).over(scan)
+    total = F.sum(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["v"])).over(scan)
+    # outer: else Spark infers a filter that parses every block again; a block without peaks has nulls, which the last filter drops
+    out = blocks.withColumns({"most": most, "total": total}).select(*kept, "most", "total", F.explode_outer("p").alias("p"))
+    own = out.select(*kept, F.col("p.k").alias("peak_idx"), F.col("p.m").alias("frag_mz"), F.col("p.v").alias("frag_intens"), "most", "total").filter("frag_intens > 0")
+    return own.withColumns({"i_norm": F.col("frag_intens") / F.col("most"), "i_tic_norm": F.col("frag_intens") / F.col("total")}).drop("most", "total")
 
 
 def with_norms(df: DataFrame) -> DataFrame:
@@ -84,13 +99,11 @@ def _starts(read: DataFrame, count: Column) -> DataFrame:
 def _rows(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """(file, value, n): a file's rows with their places from 1, whatever the splits it is read in.
 
-    Places inside a split are ranked there; what stands in the splits before is a sum over a file's few splits.
+    A row's place in its split is its id less the split's first, so no rows are sorted or shuffled for it.
     """
-    read = spark.read.text(path, **options).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value", F.monotonically_increasing_id().alias("id"))
-    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    before = read.groupBy("file", "split").agg(F.count("*").alias("rows")).select("file", "split", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("file", "split").orderBy("id"))
-    return read.withColumn("n", place).join(before, ["file", "split"]).select("file", "value", (F.col("n") + F.col("before")).alias("n"))
+    read = _read(spark, path, **options)
+    starts = F.broadcast(_starts(read, F.count("*")))  # a row for each split
+    return read.join(starts, ["file", "split"]).select("file", "value", (F.col("id") - F.col("first") + F.col("before") + 1).alias("n"))
 
 
 def _named(df: DataFrame, name: Column) -> Column:
@@ -102,6 +115,7 @@ def _named(df: DataFrame, name: Column) -> Column:
 @reader(".mgf")
 def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     """Spectra between BEGIN IONS and END IONS; without SCANS a spectrum is named by its place in its file."""
+    splits = spark.read.text(path).rdd.getNumPartitions()
     rows = _rows(spark, path, lineSep="END IONS").withColumnRenamed("value", "block").filter(F.col("block").contains("BEGIN IONS"))
     named = rows.select(
         "file",
@@ -112,7 +126,7 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
         polarity(_field(F.col("block"), "IONMODE")).alias("polarity"),
         F.regexp_replace("block", r"(?m)^[^\n]*[=][^\n]*$", "").alias("block"),
     )
-    return _peaks(named)
+    return _peaks(named, splits)
 
 
 def polarity(text: Column) -> Column:

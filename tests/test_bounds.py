@@ -85,3 +85,14 @@ def test_only_compounds_at_the_edges_of_splits_are_shuffled(spark, tmp_path):
 
     list(counted([pa.RecordBatch.from_arrays([pa.array(head), pa.array(value), pa.array([v == "" for v in value])], ["head", "value", "blank"])]))
     assert edges == [True, False, True]
+
+
+def test_norms_are_taken_in_parts_of_a_split_over_blocks_of_one_name(spark, tmp_path):
+    from peakloom.sources import readers
+
+    block = "BEGIN IONS\nSCANS={}\nPEPMASS=200.5\n50.5 {}\n60.5 0\n70.5 {}\nEND IONS\n"
+    (tmp_path / "a.mgf").write_text(block.format(1, 10, 30) + block.format(2, 5, 5) + block.format(1, 40, 20) + "BEGIN IONS\nSCANS=3\nEND IONS\n")
+    rows = readers.read_mgf(spark, str(tmp_path / "a.mgf"))
+    got = sorted((r["scan"], r["peak_idx"], r["frag_mz"], r["i_norm"], r["i_tic_norm"]) for r in rows.collect())
+    assert got == [("1", 0, 50.5, 0.25, 0.1), ("1", 0, 50.5, 1.0, 0.4), ("1", 2, 70.5, 0.5, 0.2), ("1", 2, 70.5, 0.75, 0.3), ("2", 0, 50.5, 1.0, 0.5), ("2", 2, 70.5, 1.0, 0.5)]
+    assert rows.rdd.getNumPartitions() == readers.PARTS_OF_SPLIT

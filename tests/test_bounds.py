@@ -96,3 +96,24 @@ def test_norms_are_taken_in_parts_of_a_split_over_blocks_of_one_name(spark, tmp_
     got = sorted((r["scan"], r["peak_idx"], r["frag_mz"], r["i_norm"], r["i_tic_norm"]) for r in rows.collect())
     assert got == [("1", 0, 50.5, 0.25, 0.1), ("1", 0, 50.5, 1.0, 0.4), ("1", 2, 70.5, 0.5, 0.2), ("1", 2, 70.5, 0.75, 0.3), ("2", 0, 50.5, 1.0, 0.5), ("2", 2, 70.5, 1.0, 0.5)]
     assert rows.rdd.getNumPartitions() == readers.PARTS_OF_SPLIT
+
+
+def test_steps_in_slices_equal_plain_ones_and_tiny_weights_do_not_vanish(monkeypatch):
+    from peakloom.operators import lda
+
+    rng = np.random.default_rng(4)
+    bounds = np.concatenate([[0], np.cumsum(rng.integers(0, 5, 40))])
+    ids, counts, alpha = rng.integers(0, 9, bounds[-1]), rng.integers(1, 9, bounds[-1]).astype(float), np.array([1e-5, 0.1, 0.2])
+    log_beta = rng.normal(-3, 2, (9, 3))
+    log_beta[:2] = [[-1.0, -3e5, -4e5], [-4e5, -3e5, -1.0]]
+    monkeypatch.setattr(lda, "AT_ONCE", 7)
+    gamma, weighed = lda.local_steps(ids, counts, bounds, log_beta, alpha, 5, 0.0)
+    for d, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        own, n = alpha + counts[low:high].sum() / 3, counts[low:high, None]
+        for _ in range(5 if high > low else 0):
+            score = lda.expected_log(own) + log_beta[ids[low:high]]
+            phi = np.exp(score - score.max(axis=1, keepdims=True))
+            phi *= n / phi.sum(axis=1, keepdims=True)
+            own = alpha + phi.sum(axis=0)
+        assert np.allclose(gamma[d], own, rtol=1e-9) and (high == low or np.allclose(weighed[low:high], phi, rtol=1e-9, atol=1e-12))
+    assert np.isfinite(gamma).all()

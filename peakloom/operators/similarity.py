@@ -14,6 +14,7 @@ from .vectors import weighted_means
 
 BLOCK = 4096  # rows of one side of a block of pairs
 QUERY_BLOCK = 1024
+PAIRS_AT_ONCE = 1 << 19  # of which the kernel's arrays are in a task at a time
 SHARED_BYTES = 64 << 20  # a side up to this size goes to all tasks
 DENSE_BITS = 1 << 16  # fingerprints of more positions are compared as sets
 
@@ -47,9 +48,13 @@ def matched(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.
     spark, kinds = left.sparkSession, f"{names[0]} bigint, {names[1]} bigint, {names[2]} double"
     small = 0 if counts[0] < counts[1] else 1
 
-    def batch(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> pa.Table | None:
-        row, column, score = kernel(*a, *b)
-        return pa.table({names[0]: a[0][row], names[1]: b[0][column], names[2]: score.astype(float)}) if len(row) else None
+    def batch(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        several = max(1, PAIRS_AT_ONCE // max(1, len(b[0])))
+        for start in range(0, len(a[0]), several):
+            keys, data = (x[start : start + several] for x in a)
+            row, column, score = kernel(keys, data, *b)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(b[0][column]), pa.array(score.astype(float))], list(names))
 
     if counts[small] * (width + 16) <= SHARED_BYTES:
         partners = None if cells is None else _partners(cells, small)
@@ -65,8 +70,7 @@ def matched(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.
                     for start in range(low, high, BLOCK):
                         other = slice(start, min(start + BLOCK, high))
                         mine, theirs = (own[0][at], own[2][at]), (keys[other], data[other])
-                        if (found := batch(theirs, mine) if small == 0 else batch(mine, theirs)) is not None:
-                            yield from found.to_batches()
+                        yield from batch(theirs, mine) if small == 0 else batch(mine, theirs)
 
         return (left, right)[1 - small].select("key", "part", "data").mapInArrow(rows, kinds)
 
@@ -76,8 +80,8 @@ def matched(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.
 
     def block(group: pa.Table) -> pa.Table:
         a, b = (_sorted(group.filter(pa.compute.equal(group["side"], k)).append_column("part", pa.array(np.zeros(n, np.int64))), width) for k, n in enumerate(np.bincount(group["side"].to_numpy(), minlength=2)))
-        found = batch((a[0], a[2]), (b[0], b[2])) if len(a[0]) and len(b[0]) else None
-        return found if found is not None else pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+        found = batch((a[0], a[2]), (b[0], b[2])) if len(a[0]) and len(b[0]) else ()
+        return pa.Table.from_batches(found, pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True))))
 
     return dealt[0].unionByName(dealt[1]).groupBy("a", "b").applyInArrow(block, kinds)
 

@@ -117,3 +117,19 @@ def test_steps_in_slices_equal_plain_ones_and_tiny_weights_do_not_vanish(monkeyp
             own = alpha + phi.sum(axis=0)
         assert np.allclose(gamma[d], own, rtol=1e-9) and (high == low or np.allclose(weighed[low:high], phi, rtol=1e-9, atol=1e-12))
     assert np.isfinite(gamma).all()
+
+
+def test_a_kernel_sees_few_pairs_at_once(spark, monkeypatch):
+    from peakloom.operators import similarity
+
+    monkeypatch.setattr(similarity, "PAIRS_AT_ONCE", 64)
+
+    def kernel(keys_a, a, keys_b, b):
+        assert len(keys_a) * len(keys_b) <= 64
+        return np.nonzero((keys_a[:, None] + keys_b) % 5 == 0) + (np.ones(int(((keys_a[:, None] + keys_b) % 5 == 0).sum())),)
+
+    side = spark.range(40, numPartitions=2).selectExpr("id as key", "cast(0 as bigint) as part", "cast('12345678' as binary) as data")
+    for shared in (1 << 26, 0):
+        monkeypatch.setattr(similarity, "SHARED_BYTES", shared)
+        got = {(r["a"], r["b"]) for r in similarity.matched(side, side, kernel, ("a", "b", "s"), 8, (40, 40)).collect()}
+        assert got == {(i, j) for i in range(40) for j in range(40) if (i + j) % 5 == 0}

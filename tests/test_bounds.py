@@ -1,6 +1,7 @@
 """Peaks at the very tolerance, and parts that grow with the table."""
 
 import numpy as np
+import pytest
 
 from peakloom.operators import topics
 
@@ -60,6 +61,26 @@ def test_a_cell_of_few_topics_counts_with_its_own_columns(spark, monkeypatch):
     assert sum(sizes) == 4000 and max(sizes) * 3 * 8 < 3100 * 8 / 4  # topics' numbers are a small part of what a block of theirs takes
 
 
+def test_training_and_inference_hold_blocks_of_bounded_cells(spark, monkeypatch):
+    from peakloom.operators import topic_table
+
+    most, meet = [], topic_table.meet
+
+    def noted(rows, *rest):
+        most.append(max(r["count"] for r in rows.groupBy("block").count().collect()))
+        return meet(rows, *rest)
+
+    monkeypatch.setattr(topic_table, "BLOCK_CELLS", 3100)
+    monkeypatch.setattr(topic_table, "meet", noted)
+    for times in (1, 4):
+        cells = spark.range(2000 * times).selectExpr("cast(id div 4 as string) as doc", "id % 40 as id", "1 as n")
+        rows = spark.range(40).selectExpr("id", "array(1D + id % 5, 1D + id % 3, 1D) as v")
+        model = topic_table.fit(cells, topic_table.given(rows, 40, np.full(3, 0.1)), epochs=1, steps=1)
+        assert model.totals.sum() == pytest.approx(2000 * times + 3 * 40 * 0.01)
+        assert topic_table.infer(cells, model, steps=1).count() == 500 * times * 3
+    assert len(most) == 4 and max(most) < 400  # 100 a block on average, where topics alone would deal 1,000 or more
+
+
 def test_only_compounds_at_the_edges_of_splits_are_shuffled(spark, tmp_path):
     from peakloom.sources import readers
 
